@@ -26,7 +26,8 @@ SAMPLE_BYTES = 2048
 SAMPLE_ROWS = 120
 #: A text is compressed in blocks of this size, so that far repeats within it don't hide the language.
 BLOCK_BYTES = 4096
-LEVEL = 3
+#: Short matches and one step of lookahead: words of a few letters tell languages apart.
+SETTINGS = {"window_log": 17, "chain_log": 16, "hash_log": 16, "search_log": 3, "min_match": 4, "target_length": 16}
 #: Relative margin below which a prediction counts as rejected.
 MARGIN = 0.0
 UNDETERMINED = "und"
@@ -34,6 +35,16 @@ UNDETERMINED = "und"
 PREDICTED = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("margin", pa.float64()), ("rejected", pa.bool_())])
 
 
+#: ASCII punctuation and digits say nothing of the language and are left out; ASCII white space and controls become spaces.
+NOT_LETTERS = bytes(b for b in range(33, 127) if not chr(b).isalpha())
+SPACES = bytes(32 if b < 33 or b == 127 else b for b in range(256))
+
+
+def letters(text: str) -> bytes:
+    """A text's lower-case letters and spaces in UTF-8, as they are compressed."""
+    return text.lower().encode().translate(SPACES, NOT_LETTERS)
+
+
 def held_out(doc_id: str = "doc_id"):
     """Whether a document is kept out of learning: crc32 of its id as text, modulo 5, is 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -42,6 +53,7 @@ def held_out(doc_id: str = "doc_id"):
 def learn(docs: DataFrame, rows: int = SAMPLE_ROWS) -> dict[str, bytes]:
     """Raw-content dictionaries by language from labelled documents that aren't held out.
 
+    Languages come in descending order of their labelled documents.
     The sample is bounded: about ``rows`` texts a language, taken by a hash of
     the text (which is drawn alike over any partitioning), SAMPLE_BYTES of each
     and DICTIONARY_BYTES in all. Only languages with a text are learned.
@@ -55,12 +67,12 @@ def learn(docs: DataFrame, rows: int = SAMPLE_ROWS) -> dict[str, bytes]:
     made: dict[str, bytearray] = {}
     seen: set[bytes] = set()
     for r in sorted(sample.collect(), key=lambda r: (r["lang"], r["at"] & (2**64 - 1), r["text"])) if counts else []:
-        raw = r["text"].encode()[:SAMPLE_BYTES]
+        raw = letters(r["text"])[:SAMPLE_BYTES]
         whole = made.setdefault(r["lang"], bytearray())
         if raw not in seen and len(whole) + len(raw) <= DICTIONARY_BYTES:
             seen.add(raw)
             whole += raw
-    return {k: bytes(v) for k, v in made.items()}
+    return {k: bytes(made[k]) for k in sorted(made, key=lambda k: (-counts[k], k))}
 
 
 @functools.lru_cache(2)
@@ -68,10 +80,11 @@ def _compressors(dictionaries: tuple[tuple[str, bytes], ...]) -> list[tuple[str,
     import zstandard
 
     made = []
+    how = zstandard.ZstdCompressionParameters(**SETTINGS, strategy=zstandard.STRATEGY_LAZY, write_content_size=False, write_dict_id=False)
     for lang, raw in dictionaries:
         known = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        known.precompute_compress(level=LEVEL)
-        made.append((lang, zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False, write_dict_id=False)))
+        known.precompute_compress(compression_params=how)
+        made.append((lang, zstandard.ZstdCompressor(compression_params=how, dict_data=known)))
     return made
 
 
@@ -79,15 +92,17 @@ _LETTER = regex.compile(r"\p{L}")
 
 
 def classify(text: str | None, compressors: list[tuple[str, object]]) -> tuple[str, float, float]:
-    """(language, score, margin) of one text; score is the share of the winner among exp(-bits per letter block)."""
+    """(language, score, margin) of one text.
+
+    The margin is the second smallest size over the smallest, less one; the
+    score is the winner's share of exp(-60 * relative excess) over languages.
+    Equal sizes go to the language with more labelled documents.
+    """
     if not text or not compressors or not _LETTER.search(text):
         return UNDETERMINED, 0.0, 0.0
-    raw = text.lower().encode()
-    sizes = []
-    for lang, c in compressors:
-        sizes.append((sum(len(c.compress(raw[at : at + BLOCK_BYTES])) for at in range(0, len(raw), BLOCK_BYTES)), lang))
-    sizes.sort()
-    least, lang = sizes[0]
+    raw = letters(text)
+    sizes = sorted((sum(len(c.compress(raw[at : at + BLOCK_BYTES])) for at in range(0, len(raw), BLOCK_BYTES)), k) for k, (_, c) in enumerate(compressors))
+    least, lang = sizes[0][0], compressors[sizes[0][1]][0]
     margin = (sizes[1][0] - least) / least if len(sizes) > 1 else 1.0
     weights = [math.exp(-60.0 * (s - least) / least) for s, _ in sizes]
     return lang, 1.0 / sum(weights), margin
@@ -99,7 +114,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MAR
     A text that is null or has no letter is ``und`` with score 0 and rejected;
     with a single learned language every other text gets that one.
     """
-    packed = docs.sparkSession.sparkContext.broadcast(tuple(sorted((k, v.decode(errors="ignore").lower().encode()) for k, v in dictionaries.items())))
+    packed = docs.sparkSession.sparkContext.broadcast(tuple(dictionaries.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = _compressors(packed.value)
