@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import language, packing, pieces
+from . import language, packing, pieces, simhash, substrings
 
 QUERIES: dict = {
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op3_simhash": simhash.op3_simhash,
     "op4_language_id": language.op4_language_id,
     "op6_sentencepiece": pieces.op6_sentencepiece,
+    "op10_substring_dedup": substrings.op10_substring_dedup,
 }
-ORACLES: dict = {}
+ORACLES: dict = {"op10_substring_dedup": substrings.ORACLE_OP10}
