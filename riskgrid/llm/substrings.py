@@ -87,17 +87,17 @@ def _slid(x: np.ndarray, width: int, least: bool) -> np.ndarray:
     return best
 
 
-def nodes(text: Hashed, window: int = WINDOW, node: int = NODE) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the k-mers that are smallest in a window; none in texts below a window."""
+def nodes(text: Hashed, window: int = WINDOW, node: int = NODE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions and hashes of the k-mers that are smallest in a window, and each window's smallest; none in texts below a window."""
     if text.n < window:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
     at = np.arange(text.n - node + 1)
     h = text.stretch(at, at + node)
     width = window - node + 1
     low = _slid(h, width, True)
     padded = np.concatenate([np.zeros(width - 1, np.uint64), low, np.zeros(width - 1, np.uint64)])
     chosen = np.flatnonzero(_slid(padded, width, False) == h)
-    return chosen, h[chosen]
+    return chosen, h[chosen], low
 
 
 def _split(text: str | None) -> list[bytes]:
@@ -126,7 +126,7 @@ def graph_nodes(docs: DataFrame, window: int, node: int) -> DataFrame:
             ids, rows, found = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("row").to_numpy(zero_copy_only=False), []
             for k, text in enumerate(batch.column("text").to_pylist()):
                 hashed = Hashed(_split(text))
-                at, h = nodes(hashed, window, node)
+                at, h, _ = nodes(hashed, window, node)
                 if len(at):
                     starts, ends = np.concatenate([[0], at]), np.concatenate([at + node, [hashed.n]])
                     between = hashed.stretch(starts, ends)
@@ -158,9 +158,12 @@ def compacted(at: np.ndarray, goes_on: np.ndarray, came_from: np.ndarray, follow
 
 
 def spans_of(hashed: Hashed, at: np.ndarray, flags: np.ndarray, window: int, node: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and sizes of what one text looks up: its paths, and the windows of repeated nodes that no path holds."""
-    chosen, _ = nodes(hashed, window, node)
-    repeated = np.isin(chosen, at)
+    """Starts and sizes of what one text looks up: its paths, and the windows outside them whose smallest node is repeated.
+
+    A window's smallest k-mer is a node wherever the window stands, while its
+    other nodes also depend on the words around it.
+    """
+    chosen, hashes, low = nodes(hashed, window, node)
     order = np.searchsorted(chosen, at)
     follows = np.concatenate([[False], np.diff(order) == 1])
     paths = compacted(at, (flags & 1) > 0, (flags & 2) > 0, follows, hashed.n, node)
@@ -170,9 +173,7 @@ def spans_of(hashed: Hashed, at: np.ndarray, flags: np.ndarray, window: int, nod
         paths[-1] = (paths[-1][0], hashed.n)
     paths = [(a, b) for a, b in paths if b - a >= window]
     starts = np.arange(hashed.n - window + 1)
-    bad = np.concatenate([[0], np.cumsum(~repeated)])
-    from_, to = np.searchsorted(chosen, starts), np.searchsorted(chosen, starts + window - node, side="right")
-    open_ = (bad[to] == bad[from_]) & (to > from_)
+    open_ = np.isin(low, hashes[order])
     for a, b in paths:
         open_[a : b - window + 1] = False
     single = starts[open_]
