@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import language, packing, pieces, simhash, substrings
+from . import language, packing, parsing, pieces, simhash, substrings, tokencount
 
 QUERIES: dict = {
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_simhash": simhash.op3_simhash,
     "op4_language_id": language.op4_language_id,
     "op6_sentencepiece": pieces.op6_sentencepiece,
+    "op7_fingerprints": parsing.op7_fingerprints,
+    "op9_token_counts": tokencount.op9_token_counts,
     "op10_substring_dedup": substrings.op10_substring_dedup,
 }
 ORACLES: dict = {"op10_substring_dedup": substrings.ORACLE_OP10}
