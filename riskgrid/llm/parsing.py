@@ -1,6 +1,7 @@
 """Document fingerprints by locally consistent parsing.
 
-Method: deterministic coin tossing. Runs of equal symbols are one symbol; each
+Method: deterministic coin tossing. Runs of equal symbols, of any length
+from two on, are one symbol; each
 symbol's label is the place and value of the lowest bit in which it differs
 from the one before it, taken again until labels are below six; phrases begin
 at local maxima of the labels and get names by hashing what they hold. Names are the next
@@ -84,7 +85,7 @@ def _level(symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
         starts = np.searchsorted(at, starts)
         kept = symbols[at]
         labels = _labels(kept, starts)
-        values = np.where(length > 1, _mix(kept.astype(np.uint64) + length.astype(np.uint64) * _POWER[3]), kept.astype(np.uint64))
+        values = np.where(length > 1, _mix(kept.astype(np.uint64) + _POWER[3]), kept.astype(np.uint64))
     else:
         labels, values = _labels(symbols, starts), symbols.astype(np.uint64)
     top = np.zeros(len(labels), bool)

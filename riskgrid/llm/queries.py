@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, packing, parsing, pieces, simhash, substrings, tokencount
+from . import language, packing, parsing, pieces, privacy, simhash, substrings, tokencount
 
 QUERIES: dict = {
     "op2_best_fit_packing": packing.op2_best_fit_packing,
@@ -10,6 +10,7 @@ QUERIES: dict = {
     "op4_language_id": language.op4_language_id,
     "op6_sentencepiece": pieces.op6_sentencepiece,
     "op7_fingerprints": parsing.op7_fingerprints,
+    "op8_personal_data": privacy.op8_personal_data,
     "op9_token_counts": tokencount.op9_token_counts,
     "op10_substring_dedup": substrings.op10_substring_dedup,
 }
