@@ -25,7 +25,10 @@ from .common import arrow_batches, documents, table, texts
 DEFAULT = "piece_bpe_32k.model"
 MARK = "▁"
 #: Words and parts a worker keeps; beyond it the cache starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
+#: Symbols up to which the agenda is a list searched for its minimum; beyond, a heap.
+SHORT = 40
+_NONE = 1 << 30
 
 ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("agrees", pa.bool_())])
 
@@ -54,6 +57,8 @@ class MergeVocabulary:
 
     def merge(self, part: str) -> list[str]:
         """Symbols of ``part`` after all merges, best score first and leftmost among equals."""
+        if len(part) <= SHORT:
+            return self._merge_short(part)
         symbols: list[str | None] = list(part)
         n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -79,30 +84,53 @@ class MergeVocabulary:
                 heapq.heappush(agenda, (k, h))
         return [x for x in symbols if x is not None]
 
+    def _merge_short(self, part: str) -> list[str]:
+        symbols, order, pieces = list(part), self.order.get, self.by_order
+        agenda = [order(part[i : i + 2], _NONE) for i in range(len(part) - 1)]
+        while agenda:
+            k = min(agenda)
+            if k == _NONE:
+                break
+            i = agenda.index(k)
+            symbols[i : i + 2] = (joined := pieces[k],)
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = order(joined + symbols[i + 1], _NONE)
+            if i:
+                agenda[i - 1] = order(symbols[i - 1] + joined, _NONE)
+        return symbols
+
+    def ids_of(self, part: str) -> tuple[int, ...]:
+        out: list[int] = []
+        ids = self.ids
+        for x in self.merge(part):
+            if x in ids:
+                out.append(ids[x])
+            elif self.bytes:
+                out += [self.bytes[b] for b in x.encode()]
+            else:
+                out.append(self.unknown)
+        return tuple(out)
+
     def part_ids(self, part: str) -> tuple[int, ...]:
         known = self.parts.get(part)
         if known is None:
-            out: list[int] = []
-            for x in self.merge(part):
-                if x in self.ids:
-                    out.append(self.ids[x])
-                elif self.bytes:
-                    out += [self.bytes[b] for b in x.encode()]
-                else:
-                    out.append(self.unknown)
             if len(self.parts) >= CACHE_WORDS:
                 self.parts.clear()
-            known = self.parts[part] = tuple(out)
+            known = self.parts[part] = self.ids_of(part)
         return known
 
     def word_ids(self, word: str) -> tuple[int, ...]:
         """Ids of a run of space marks and what follows it, up to the next one."""
-        pairs, at, out = self.pairs, 0, ()
-        for k in range(1, len(word)):
-            if word[k - 1 : k + 1] not in pairs:
-                out += self.part_ids(word[at:k])
-                at = k
-        return out + self.part_ids(word[at:])
+        pairs = self.pairs
+        cuts = [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in pairs]
+        if not cuts:
+            return self.ids_of(word)
+        out, at = (), 0
+        for k in (*cuts, len(word)):
+            out += self.part_ids(word[at:k])
+            at = k
+        return out
 
 
 @functools.lru_cache(2)
@@ -119,8 +147,8 @@ def _cut(text: str) -> list[str]:
     return [w[1:] if len(w) > 1 and w[0] == MARK != w[1] else w for w in re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", MARK + text.replace(" ", MARK))]
 
 
-def encode(text: str, vocab: MergeVocabulary, fresh: list[str] | None = None) -> list[int]:
-    """Ids of a text without the end id; words met for the first time are added to ``fresh``."""
+def encode(text: str, vocab: MergeVocabulary, fresh: dict[str, tuple[int, ...]] | None = None) -> list[int]:
+    """Ids of a text without the end id; words met for the first time are put into ``fresh``."""
     words, out = vocab.words, []
     for word in _cut(text):
         ids = words.get(word)
@@ -130,15 +158,15 @@ def encode(text: str, vocab: MergeVocabulary, fresh: list[str] | None = None) ->
                 words.clear()
             words[word] = ids
             if fresh is not None:
-                fresh.append(word)
+                fresh[word] = ids
         out.extend(ids)
     return out
 
 
-def disagreeing(fresh: list[str], vocab: MergeVocabulary) -> set[str]:
-    """Words whose ids differ from the library's."""
-    plain = [w for w in fresh if w[0] != MARK]
-    return {w for w, ids in zip(plain, vocab.library.encode(plain, num_threads=1)) if tuple(ids) != vocab.word_ids(MARK + w)}
+def agrees(fresh: dict[str, tuple[int, ...]], vocab: MergeVocabulary) -> bool:
+    """Whether the library gives the same ids for all these words, laid in one text."""
+    plain = {w: ids for w, ids in fresh.items() if w[0] != MARK}
+    return vocab.library.encode(" ".join(plain)) == [i for ids in plain.values() for i in ids]
 
 
 def encode_documents(docs: DataFrame, model: str = DEFAULT) -> DataFrame:
@@ -152,9 +180,9 @@ def encode_documents(docs: DataFrame, model: str = DEFAULT) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model)
         for batch in batches:
-            whole, fresh = texts(batch), []
+            whole, fresh = texts(batch), {}
             encoded = [encode(x, vocab, fresh) for x in whole]
-            wrong = disagreeing(fresh, vocab)
+            wrong = not agrees(fresh, vocab)
             if wrong:
                 vocab.words.clear()
                 encoded = [vocab.library.encode(x) for x in whole]
