@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from . import language, packing, parsing, pieces, privacy, simhash, substrings, tokencount
+from . import embeddings, language, packing, parsing, pieces, privacy, simhash, substrings, tokencount
 
 QUERIES: dict = {
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_simhash": simhash.op3_simhash,
     "op4_language_id": language.op4_language_id,
+    "op5_embedding_dedup": embeddings.op5_embedding_dedup,
     "op6_sentencepiece": pieces.op6_sentencepiece,
     "op7_fingerprints": parsing.op7_fingerprints,
     "op8_personal_data": privacy.op8_personal_data,
     "op9_token_counts": tokencount.op9_token_counts,
     "op10_substring_dedup": substrings.op10_substring_dedup,
 }
-ORACLES: dict = {"op10_substring_dedup": substrings.ORACLE_OP10}
+ORACLES: dict = {"op5_embedding_dedup": embeddings.ORACLE_OP5, "op10_substring_dedup": substrings.ORACLE_OP10}
