@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import embeddings, language, packing, parsing, pieces, privacy, simhash, substrings, tokencount
+from . import embeddings, language, packing, pages, parsing, pieces, privacy, simhash, substrings, tokencount
 
 QUERIES: dict = {
+    "op1_html_extraction": pages.op1_html_extraction,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_simhash": simhash.op3_simhash,
     "op4_language_id": language.op4_language_id,
