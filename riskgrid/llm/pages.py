@@ -78,6 +78,7 @@ class Block(NamedTuple):
     stops: float
     boiler: bool
     inside: bool
+    heading: bool
 
 
 def _hinted(tag: str, attributes: str, inside: bool) -> bool:
@@ -111,7 +112,7 @@ def blocks(page: str) -> list[Block]:
             linked = len(" ".join(entities.unescape("".join(links)).split()))
             words = text.split()
             stops = sum(w in STOP_WORDS for w in _LETTERS.findall(text.lower()))
-            out.append(Block(text, len(words), linked / len(text), stops / len(words), stack[-1][1], stack[-1][2]))
+            out.append(Block(text, len(words), linked / len(text), stops / len(words), stack[-1][1], stack[-1][2], any(len(t) == 2 and t[0] == "h" and t[1].isdigit() for t, *_ in stack[-3:])))
         parts.clear()
         links.clear()
 
@@ -173,32 +174,34 @@ def decide(found: list[Block]) -> list[bool]:
             label.append(False)
         else:
             label.append(None)
-    return _inherited(label, [trusted and b.inside and not b.boiler for b in found])
+    return _inherited(found, label, [trusted and b.inside and not b.boiler for b in found])
 
 
-def _inherited(label: list[bool | None], within: list[bool]) -> list[bool]:
+def _inherited(found: list[Block], label: list[bool | None], within: list[bool]) -> list[bool]:
     """Open blocks take the label of the nearest decided block on either side; in an article only its own blocks count.
 
-    A draw goes to the article inside it and against it outside; an article
-    with no decided block is kept whole.
+    A heading takes that of the next decided block. Blocks in containers of
+    boilerplate are nobody's neighbours. A draw goes to the article inside it
+    and against it outside; an article with no decided block is kept whole.
     """
     out: list[bool] = []
     before: list[tuple[int, bool] | None] = []
     last: dict[bool, tuple[int, bool]] = {}
     for k, (x, w) in enumerate(zip(label, within)):
         before.append(last.get(w))
-        if x is not None:
+        if x is not None and not found[k].boiler:
             last[w] = (k, x)
     after: list[tuple[int, bool] | None] = [None] * len(label)
     last = {}
     for k in range(len(label) - 1, -1, -1):
         after[k] = last.get(within[k])
-        if label[k] is not None:
+        if label[k] is not None and not found[k].boiler:
             last[within[k]] = (k, label[k])
     lone = not any(label) and not any(within)
     for k, x in enumerate(label):
         if x is None:
-            near = [(abs(k - n[0]), n[1]) for n in (before[k], after[k]) if n]
+            sides = (after[k],) if found[k].heading and after[k] else (before[k], after[k])
+            near = [(abs(k - n[0]), n[1]) for n in sides if n]
             if not near:
                 x = within[k] or lone
             elif len(near) == 2 and near[0][0] == near[1][0] and near[0][1] != near[1][1]:

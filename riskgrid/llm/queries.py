@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import embeddings, language, packing, pages, parsing, pieces, privacy, simhash, substrings, tokencount
 
 QUERIES: dict = {
@@ -15,5 +17,6 @@ QUERIES: dict = {
     "op8_personal_data": privacy.op8_personal_data,
     "op9_token_counts": tokencount.op9_token_counts,
     "op10_substring_dedup": substrings.op10_substring_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict = {"op5_embedding_dedup": embeddings.ORACLE_OP5, "op10_substring_dedup": substrings.ORACLE_OP10}

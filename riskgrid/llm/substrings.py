@@ -256,6 +256,28 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, node: int = NODE) -> D
     return with_repeats(docs, window, node).select("doc_id", "text", "_spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
+def strip_repeats(docs: DataFrame, window: int = WINDOW, node: int = NODE) -> DataFrame:
+    """The documents' rows with repeated passages cut out of ``text``.
+
+    A text that loses words is its kept words joined by one space (empty if
+    none is left); all other texts, null among them, stay as they are.
+    """
+    names = docs.columns
+    at = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist()):
+                if spans:
+                    words = _split(text)
+                    text = b" ".join(w for w, x in zip(words, _covered(len(words), spans).tolist()) if not x).decode()
+                out.append(text)
+            yield batch.select(names).set_column(at, "text", pa.array(out, pa.string()))
+
+    return with_repeats(docs, window, node).mapInArrow(run, docs.schema)
+
+
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir))
 
