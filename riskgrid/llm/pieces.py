@@ -24,8 +24,8 @@ from .common import arrow_batches, documents, table, texts
 
 DEFAULT = "piece_bpe_32k.model"
 MARK = "▁"
-#: Words and parts a worker keeps; beyond it the cache starts anew.
-CACHE_WORDS = 600_000
+#: Words a worker keeps in a generation; beyond it they become the old generation, from which words in use move back.
+CACHE_WORDS = 500_000
 #: Symbols up to which the agenda is a list searched for its minimum; beyond, a heap.
 SHORT = 40
 _NONE = 1 << 30
@@ -53,6 +53,7 @@ class MergeVocabulary:
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids):
             raise ValueError(f"{name}: a piece reaches across a space mark")
         self.words: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
         self.parts: dict[str, tuple[int, ...]] = {}
 
     def merge(self, part: str) -> list[str]:
@@ -153,12 +154,15 @@ def encode(text: str, vocab: MergeVocabulary, fresh: dict[str, tuple[int, ...]]
     for word in _cut(text):
         ids = words.get(word)
         if ids is None:
-            ids = vocab.word_ids(word if word[0] == MARK else MARK + word)
-            if len(words) >= CACHE_WORDS:
-                words.clear()
+            ids = vocab.old.get(word)
+            if ids is None:
+                ids = vocab.word_ids(word if word[0] == MARK else MARK + word)
+                if fresh is not None:
+                    fresh[word] = ids
             words[word] = ids
-            if fresh is not None:
-                fresh[word] = ids
+            if len(words) >= CACHE_WORDS:
+                vocab.old, vocab.words = words, {}
+                words = vocab.words
         out.extend(ids)
     return out
 
@@ -184,7 +188,7 @@ def encode_documents(docs: DataFrame, model: str = DEFAULT) -> DataFrame:
             encoded = [encode(x, vocab, fresh) for x in whole]
             wrong = not agrees(fresh, vocab)
             if wrong:
-                vocab.words.clear()
+                vocab.words, vocab.old = {}, {}
                 encoded = [vocab.library.encode(x) for x in whole]
             rows = []
             for ids in encoded:
