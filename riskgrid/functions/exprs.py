@@ -27,6 +27,10 @@ def clip(x: Column, low: Column | float, high: Column | float) -> Column:
     return F.when(x.isNull(), None).otherwise(F.least(F.greatest(x, lit(low)), lit(high)))
 
 
+def at_least(x: Column, low: Column | float) -> Column:
+    return F.when(x.isNotNull(), F.greatest(x, lit(low)))
+
+
 def minmax(x: Column | str, low: Column, high: Column) -> Column:
     """Linear scaling to 0..1; a domain without width gives 0."""
     x = col(x)
@@ -42,7 +46,7 @@ def neg_log_minmax(x: Column | str, low: Column, high: Column, pad: Column | flo
 
 def log1p_minmax(x: Column | str, low: Column, high: Column) -> Column:
     """log1p, then linear scaling."""
-    return minmax(F.log1p(F.greatest(col(x), F.lit(0.0))), F.log1p(F.greatest(low, F.lit(0.0))), F.log1p(F.greatest(high, F.lit(0.0))))
+    return minmax(F.log1p(at_least(col(x), 0.0)), F.log1p(at_least(low, 0.0)), F.log1p(at_least(high, 0.0)))
 
 
 def hazard(term: Column | str, x: Column | str, low: Column, high: Column, pad: Column | float = C.UPPER_PAD) -> Column:

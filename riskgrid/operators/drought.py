@@ -26,7 +26,7 @@ def monthly(daily: DataFrame, cell: tuple[str, ...] = ("cell",)) -> DataFrame:
 def climatology(months: DataFrame, cell: tuple[str, ...] = ("cell",)) -> DataFrame:
     """Each cell's heat index from the mean temperature of its calendar months."""
     means = months.groupBy(*cell, "month").agg(F.avg("tas_c").alias("mean_c"))
-    return means.groupBy(*cell).agg(F.sum(F.pow(F.greatest(F.col("mean_c"), F.lit(0.0)) / 5.0, F.lit(1.514))).alias("heat_index"))
+    return means.groupBy(*cell).agg(F.sum(F.pow(X.at_least(F.col("mean_c"), 0.0) / 5.0, F.lit(1.514))).alias("heat_index"))
 
 
 def balance(months: DataFrame, cell: tuple[str, ...] = ("cell",)) -> DataFrame:
@@ -69,7 +69,7 @@ def too_short(acc: DataFrame, cell: tuple[str, ...] = ("cell",)) -> DataFrame:
 def standard_index(acc: DataFrame, fitted: DataFrame, cell: tuple[str, ...] = ("cell",), value: str = "acc") -> DataFrame:
     """Standard normal index of each accumulated month."""
     joined = acc.join(fitted.select(*cell, "month", "alpha", "beta", "gamma"), [*cell, "month"])
-    z = F.greatest(F.try_divide(F.col(value) - F.col("gamma"), F.col("alpha")), F.lit(LEAST_Z))
+    z = X.at_least(F.try_divide(F.col(value) - F.col("gamma"), F.col("alpha")), LEAST_Z)
     cdf = X.clip(1.0 / (1.0 + F.pow(z, -F.col("beta"))), LEAST_CDF, 1.0 - LEAST_CDF)
     return joined.withColumn("spei", X.normal_quantile(cdf))
 
