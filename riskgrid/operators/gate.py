@@ -21,8 +21,9 @@ def skewness(value: str) -> Column:
 
 
 def correlation(a: str, b: str) -> Column:
-    """Pearson correlation; null below three pairs or where a side is constant."""
-    return F.when((F.count(a) >= 3) & (F.min(a) < F.max(a)) & (F.min(b) < F.max(b)), F.corr(a, b))
+    """Pearson correlation of paired columns; null below three pairs or where a side is constant, for which ``corr`` itself raises."""
+    r = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    return F.when((F.count(a) >= 3) & (F.min(a) < F.max(a)) & (F.min(b) < F.max(b)), r)
 
 
 def normalisation_origin(samples: DataFrame) -> DataFrame:

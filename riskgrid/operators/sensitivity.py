@@ -92,8 +92,10 @@ def index_means(samples: DataFrame, draws: DataFrame, keys: tuple[str, ...] = ("
     cuts = high_cuts(draws, rank_table(samples), tuple(dict.fromkeys((*by, *keys))))
     moving = counted.filter(fixed.isNull()).join(cuts, [*by, "term", "model"])
     high = moving.groupBy(*dict.fromkeys((*by, *keys)), "model").agg(F.sum(F.when(F.col("value") >= F.col("cut"), F.col("c") / F.col("size")).otherwise(0.0)).alias("moving"))
-    joined = high.join(total, [*by, "model"]).join(still, [*by, "model"], "left")
-    return joined.select(*dict.fromkeys((*by, *keys)), "model", ((F.col("moving") + F.coalesce("fixed", F.lit(0.0))) / F.col("complete")).alias("index_mean"))
+    on = list(dict.fromkeys((*by, *keys)))
+    every = draws.select(*on).join(total, list(by)) if by else draws.select(*on).crossJoin(F.broadcast(total))
+    joined = every.join(high, [*on, "model"], "left").join(still, [*by, "model"], "left")
+    return joined.select(*on, "model", ((F.coalesce("moving", F.lit(0.0)) + F.coalesce("fixed", F.lit(0.0))) / F.col("complete")).alias("index_mean"))
 
 
 RATES = {"coal": "coal_decay_rate", "wind": "wind_relative_rate", "hydro": "hydro_retention_rate", "solar": "solar_retention_rate", "cycle": "coal_overhaul_cycle_years", "recovery": "coal_overhaul_recovery"}
