@@ -26,8 +26,10 @@ from .common import arrow_batches, documents, table
 #: Slots of a fingerprint by level; a level's phrases are about three times as long as those below.
 SLOTS = {2: 16, 3: 24, 4: 24}
 #: Documents in a bucket of neighbours, and quantiles of doc_id that buckets are cut from.
-BUCKET_ROWS = 1_000
+BUCKET_ROWS = 300
 QUANTILES = 64
+#: Buckets up to which their first ids are broadcast (a few MB); beyond, the copies come from a shuffle join.
+BROADCAST_BUCKETS = 200_000
 #: Bytes parsed at once, and rows in a batch.
 BLOCK_BYTES = 4_000_000
 
@@ -167,7 +169,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
 
     Columns _bucket, _key, _copy (true for that extra row), doc_id, text. The
     last bucket is followed by the first document of all. Bounds come from
-    quantiles of doc_id, so only one shuffle moves texts.
+    quantiles of doc_id, so one shuffle moves texts.
     """
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     shares = [(k + 1) / QUANTILES for k in range(QUANTILES - 1)]
@@ -183,6 +185,8 @@ def neighbours(docs: DataFrame) -> DataFrame:
     firsts = cut.groupBy("_bucket").agg(F.min("_key").alias("_key"))
     order = Window.orderBy("_bucket")
     before = firsts.select("_key", F.coalesce(F.lag("_bucket").over(order), F.max("_bucket").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_to"))
+    if each * len(bounds) <= BROADCAST_BUCKETS:
+        before = F.broadcast(before)
     copies = cut.drop("_bucket").join(before, "_key").select(F.col("_to").alias("_bucket"), "_key", F.lit(True).alias("_copy"), "doc_id", "text")
     return cut.unionByName(copies).repartition("_bucket").sortWithinPartitions("_bucket", "_copy", "_key", F.xxhash64("text"))
 
