@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from riskgrid.functions import config as C
 from riskgrid.operators import gate
-from riskgrid.plans import carriers
+from riskgrid.plans import carriers, ranks
 
 from .base import query, r, samples
 
@@ -49,7 +49,8 @@ def c19(spark, folder):
 def w3(spark, folder):
     from riskgrid.sources.tables import read_table
 
-    return read_table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", gate.average_rank("l_quantity", "l_returnflag").alias("avg_rank"))
+    rows = read_table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    return ranks.with_average_ranks(rows, {"avg_rank": "l_quantity"}, "l_returnflag").select("l_orderkey", "l_linenumber", "avg_rank")
 
 
 @query("a39_grouping_sets", "SELECT term, model, coalesce(country, 'pooled') AS country, count(value) AS n, round(avg(value), 8) AS mean FROM samples GROUP BY GROUPING SETS ((term, model, country), (term, model))", "samples")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from riskgrid.functions import config as C
 from riskgrid.functions import exprs as X
+from riskgrid.plans import ranks
 
-from . import gate, spatial
+from . import spatial
 
 CORROBORATED, NO_RECORD, NOT_APPLICABLE = "Corroborated", "No Record", "Not Applicable"
 
@@ -102,8 +103,7 @@ def rank_sum_test(values: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
     Groups below three get a reason instead.
     """
-    known = values.filter("value is not null").withColumn("rk", gate.average_rank("value", *by))
-    known = known.withColumn("one", F.lit(1))
+    known = ranks.with_average_ranks(values.filter("value is not null"), {"rk": "value"}, *by)
     ties = known.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("t")).groupBy(*by).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).cast("double").alias("ties"))
     flag = F.col("flag")
     stats = known.groupBy(*by).agg(

@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskgrid.functions import config as C
-
-
-def average_rank(value: str, *by: str) -> Column:
-    """Rank within a group, ties sharing their mean rank."""
-    w = Window.partitionBy(*by)
-    return (F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1) / 2.0).cast("double")
+from riskgrid.plans import ranks
 
 
 def skewness(value: str) -> Column:
@@ -48,11 +43,16 @@ def pair_table(samples: DataFrame) -> DataFrame:
     return found.select("term_a", "term_b", "gated", "bucket", F.when(F.col("by_model"), F.col("model")).otherwise("not_model_dependent").alias("model"), F.explode(F.array("country", F.lit("pooled"))).alias("country"), "x", "y")
 
 
-def run_gate(samples: DataFrame, threshold: float = C.GATE) -> DataFrame:
-    """Correlations and verdict of each pair, bucket, country and model; pooled rows have no verdict."""
+def run_gate(samples: DataFrame, threshold: float = C.GATE, small_groups: bool = True) -> DataFrame:
+    """Correlations and verdict of each pair, bucket, country and model; pooled rows have no verdict.
+
+    A group holds at most the plants of a bucket times the scenarios, so ranks
+    are taken by windows; ``small_groups=False`` takes them in two levels, for
+    samples whose groups outgrow a task.
+    """
     keys = ("term_a", "term_b", "gated", "bucket", "country", "model")
     rows = pair_table(samples)
-    ranked = rows.withColumns({"rx": average_rank("x", *keys), "ry": average_rank("y", *keys)})
+    ranked = (ranks.window_ranks if small_groups else ranks.with_average_ranks)(rows, {"rx": "x", "ry": "y"}, *keys)
     stats = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), correlation("x", "y").alias("pearson_r"), correlation("rx", "ry").alias("spearman_rho"))
     return verdicts(stats, F.lit(threshold))
 

@@ -83,7 +83,7 @@ def domain(cells: DataFrame, *by: str, sentinel: float | None = None) -> DataFra
 def normalise(cells: DataFrame, domains: DataFrame, *by: str, sentinel: float | None = None) -> DataFrame:
     """Values scaled to their group's domain; a sentinel stands for the group's real maximum."""
     value = F.col("value") if sentinel is None else F.when(F.col("value") == sentinel, F.col("hi")).otherwise(F.col("value"))
-    return cells.join(F.broadcast(domains), list(by)).withColumn("scaled", X.minmax(value, F.col("lo"), F.col("hi"))).drop("lo", "hi", "n")
+    return cells.join(domains, list(by)).withColumn("scaled", X.minmax(value, F.col("lo"), F.col("hi"))).drop("lo", "hi", "n")
 
 
 def threshold_summary(values: DataFrame, cut: float, percentiles: tuple[float, ...] = (0.9, 0.95, 0.99), by: tuple[str, ...] = ()) -> DataFrame:

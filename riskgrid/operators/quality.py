@@ -58,7 +58,7 @@ def other_grid(meta: DataFrame, by: str = "country", tolerance: float = 1e-9) ->
     off = apart[0]
     for x in apart[1:]:
         off = off | x
-    return meta.join(F.broadcast(first), by).filter(off).drop("ref")
+    return meta.join(first, by).filter(off).drop("ref")
 
 
 def buckets_in(df: DataFrame, column: str = "bucket") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from riskgrid.functions import config as C
 from riskgrid.functions import exprs as X
+from riskgrid.plans import ranks
 
 from . import gate, risk
 
@@ -147,7 +148,7 @@ def robust(values: DataFrame, *by: str) -> DataFrame:
     stats = values.groupBy(*by).agg(*(F.percentile("value", F.lit(p)).alias(f"_{k}") for k, p in at.items()), F.count("value").alias("_n"))
     width = F.when(F.col("_q3") > F.col("_q1"), F.col("_q3") - F.col("_q1")).otherwise(1.0)
     z = lambda x: (x - F.col("_med")) / width
-    joined = values.filter("value is not null").join(F.broadcast(stats), list(by)).withColumn("_rk", gate.average_rank("value", *by))
+    joined = ranks.with_average_ranks(values.filter("value is not null"), {"_rk": "value"}, *by).join(stats, list(by))
     return joined.withColumns({
         "robust": X.minmax(X.clip(z(F.col("value")), z(F.col("_p1")), z(F.col("_p99"))), z(F.col("_p1")), z(F.col("_p99"))),
         "rank_quantile": F.when(F.col("_n") > 1, (F.col("_rk") - 1.0) / (F.col("_n") - 1.0)),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskgrid.functions import config as C
 from riskgrid.functions import exprs as X
+from riskgrid.plans import ranks
 
 from . import risk
 
@@ -47,13 +48,11 @@ def rank_table(samples: DataFrame) -> DataFrame:
 
     Built once for all draws; a block of ranks keys the equi-join with draws.
     """
-    counts = samples.filter("value is not null").groupBy("term", "model", "value").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy("term", "model")
-    ranked = counts.withColumns({"high": F.sum("c").over(w.orderBy("value")), "n": F.sum("c").over(w)}).withColumn("low", F.col("high") - F.col("c"))
-    return ranked.withColumn("block", F.explode(F.sequence(F.floor(F.col("low") / RANK_BLOCK), F.floor((F.col("high") - 1) / RANK_BLOCK)))).drop("c")
+    ranked = ranks.value_ranks(samples, "value", "term", "model")
+    return ranked.withColumn("block", F.explode(F.sequence(F.floor(F.col("low") / RANK_BLOCK), F.floor((F.col("high") - 1) / RANK_BLOCK))))
 
 
-def high_cuts(draws: DataFrame, ranks: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+def high_cuts(draws: DataFrame, table: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """For each draw, percentile term and model the cut where "High" begins: keys, term, bucket group, model, cut.
 
     A percentile p is the point between the ranks around p / 100 * (n - 1). For
@@ -64,10 +63,10 @@ def high_cuts(draws: DataFrame, ranks: DataFrame, keys: tuple[str, ...]) -> Data
     rules = spark.createDataFrame([(t, float(p[2]), float(max(p)) if t == "wind" else None) for t, _, p in rows], "term string, base double, top double")
     shift = F.coalesce(*(F.when(F.col("term") == t, F.col(f"{t}_percentile_shift")) for t, *_ in rows))
     capped = F.when(F.col("top").isNotNull() & (shift > 0), F.least(shift, F.lit(C.WIND_CEILING) - F.col("top"))).otherwise(shift)
-    sizes = ranks.groupBy("term", "model").agg(F.first("n").alias("n"))
+    sizes = table.groupBy("term", "model").agg(F.first("n").alias("n"))
     wanted = draws.crossJoin(F.broadcast(rules)).join(F.broadcast(sizes), "term").withColumn("at", X.clip(F.col("base") + capped, 0.0, 100.0) / 100.0 * (F.col("n") - 1))
     both = wanted.select(*keys, "term", "model", "at", F.explode(F.array(F.floor("at"), F.ceil("at"))).alias("rank")).withColumn("block", F.floor(F.col("rank") / RANK_BLOCK))
-    met = both.join(ranks.drop("n"), ["term", "model", "block"]).filter("rank >= low and rank < high")
+    met = both.join(table.drop("n"), ["term", "model", "block"]).filter("rank >= low and rank < high")
     cut = F.min("value") + (F.first("at") - F.floor(F.first("at"))) * (F.max("value") - F.min("value"))
     return met.groupBy(*keys, "term", "model").agg(cut.alias("cut"))
 

@@ -44,7 +44,7 @@ def containing(points: DataFrame, polygons: DataFrame, point: str = "point_id",
 
 def first_polygon(points: DataFrame, polygons: DataFrame, point: str = "point_id", attribute: str = "gid") -> DataFrame:
     """Every point with the attribute of the first polygon (by seq) that holds it; null where none does."""
-    hit = containing(points, polygons, point).join(F.broadcast(polygons.select("poly_id", "seq", attribute)), "poly_id")
+    hit = containing(points, polygons, point).join(polygons.select("poly_id", "seq", attribute), "poly_id")
     return points.join(hit.groupBy(point).agg(F.min_by(attribute, "seq").alias(attribute)), point, "left")
 
 
@@ -54,7 +54,7 @@ def rasterise(grid: tuple[float, float, float], width: int, height: int, polygon
     spark = polygons.sparkSession
     cells = spark.range(width * height).select(F.col("id").alias("point_id"), (F.col("id") / width).cast("int").alias("row"), (F.col("id") % width).cast("int").alias("col"))
     points = cells.withColumns({"x": F.lit(xmin) + (F.col("col") + 0.5) * res, "y": F.lit(ymax) - (F.col("row") + 0.5) * res})
-    hit = containing(points, polygons).join(F.broadcast(polygons.select("poly_id", "seq", value)), "poly_id").groupBy("point_id").agg(F.max_by(value, "seq").alias(value))
+    hit = containing(points, polygons).join(polygons.select("poly_id", "seq", value), "poly_id").groupBy("point_id").agg(F.max_by(value, "seq").alias(value))
     return cells.join(hit, "point_id", "left").drop("point_id")
 
 

@@ -198,3 +198,23 @@ def test_sobol_finds_the_only_parameter(spark):
     found = {r.param: r for r in sensitivity.sobol_indices(d, "y", resamples=5).collect()}
     assert found["coal_decay_rate"].st == pytest.approx(1.0, abs=0.1)
     assert max(abs(r.st) for p, r in found.items() if p != "coal_decay_rate") < 1e-9
+
+
+@pytest.mark.parametrize("buckets", [1, 5, 64])
+def test_ranks_in_buckets(spark, buckets):
+    from riskgrid.plans import ranks
+
+    rows = [("a", float((k * 7) % 23)) for k in range(100)] + [("b", 1.0), ("b", None), ("b", 1.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    found = {(r.g, r.v): (r.low, r.high, r.n) for r in ranks.value_ranks(df, "v", "g", buckets=buckets).collect()}
+    for g in "ab":
+        own = sorted(v for x, v in rows if x == g and v is not None)
+        assert {v: lh for (x, v), lh in found.items() if x == g} == {v: (own.index(v), own.index(v) + own.count(v), len(own)) for v in own}
+
+
+def test_both_rank_plans_agree(spark):
+    from riskgrid.plans import ranks
+
+    df = spark.createDataFrame([("ab"[k % 2], float((k * 7) % 11)) for k in range(60)], "g string, v double")
+    a, b = (sorted((r.g, r.v, r.rk) for r in f(df, {"rk": "v"}, "g").collect()) for f in (ranks.window_ranks, ranks.with_average_ranks))
+    assert a == b
