@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +16,26 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 400
 
 
+#: Applications whose workers have the package.
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send the package's sources to the application's Python workers, once, whatever their working folder."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        top = Path(__file__).resolve().parents[1]
+        packed = Path(tempfile.mkdtemp(prefix="spark-")) / f"{top.name}.zip"
+        with zipfile.ZipFile(packed, "w") as file:
+            for source in sorted(top.rglob("*.py")):
+                file.write(source, source.relative_to(top.parent))
+        sc.addPyFile(str(packed))
+        _SHIPPED.add(sc.applicationId)
+
+
 def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep Arrow batches small enough for tables whose rows hold whole texts."""
+    """Prepare a session for Arrow batches: small enough where rows hold whole texts, with workers that know the package."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

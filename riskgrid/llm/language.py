@@ -28,8 +28,10 @@ SAMPLE_ROWS = 120
 BLOCK_BYTES = 4096
 #: Short matches and one step of lookahead: words of a few letters tell languages apart.
 SETTINGS = {"window_log": 17, "chain_log": 16, "hash_log": 16, "search_log": 3, "min_match": 4, "target_length": 16}
-#: Relative margin below which a prediction counts as rejected.
-MARGIN = 0.0
+#: Relative margin below which a prediction is rejected, and the bytes from which sizes are fine enough to tell;
+#: below them a tie goes to the language with more labelled documents.
+MARGIN = 0.002
+MARGIN_BYTES = 200
 UNDETERMINED = "und"
 
 PREDICTED = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("margin", pa.float64()), ("rejected", pa.bool_())])
@@ -91,21 +93,21 @@ def _compressors(dictionaries: tuple[tuple[str, bytes], ...]) -> list[tuple[str,
 _LETTER = regex.compile(r"\p{L}")
 
 
-def classify(text: str | None, compressors: list[tuple[str, object]]) -> tuple[str, float, float]:
-    """(language, score, margin) of one text.
+def classify(text: str | None, compressors: list[tuple[str, object]], least_margin: float = MARGIN) -> tuple[str, float, float, bool]:
+    """(language, score, margin, rejected) of one text.
 
     The margin is the second smallest size over the smallest, less one; the
     score is the winner's share of exp(-60 * relative excess) over languages.
     Equal sizes go to the language with more labelled documents.
     """
     if not text or not compressors or not _LETTER.search(text):
-        return UNDETERMINED, 0.0, 0.0
+        return UNDETERMINED, 0.0, 0.0, True
     raw = letters(text)
     sizes = sorted((sum(len(c.compress(raw[at : at + BLOCK_BYTES])) for at in range(0, len(raw), BLOCK_BYTES)), k) for k, (_, c) in enumerate(compressors))
     least, lang = sizes[0][0], compressors[sizes[0][1]][0]
     margin = (sizes[1][0] - least) / least if len(sizes) > 1 else 1.0
     weights = [math.exp(-60.0 * (s - least) / least) for s, _ in sizes]
-    return lang, 1.0 / sum(weights), margin
+    return lang, 1.0 / sum(weights), margin, len(raw) >= MARGIN_BYTES and margin < least_margin
 
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
@@ -119,8 +121,8 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MAR
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = _compressors(packed.value)
         for batch in batches:
-            rows = [classify(x, compressors) for x in batch.column("text").to_pylist()]
-            yield table(PREDICTED, [batch.column("doc_id"), [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [r[0] == UNDETERMINED or r[2] < margin for r in rows]])
+            rows = [classify(x, compressors, margin) for x in batch.column("text").to_pylist()]
+            yield table(PREDICTED, [batch.column("doc_id"), *(zip(*rows) if rows else [[]] * 4)])
 
     arrow_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, margin double, rejected boolean")
