@@ -34,3 +34,11 @@ def test_stages_on_planted_cases(spark, small):
 def test_run_gives_the_packing_columns(spark, small):
     df = corpus_pipeline.run(spark, small)
     assert {"doc_id", "piece", "start", "length", "sequence_id", "offset"} <= set(df.columns) and df.count() > 0
+
+
+def test_documents_without_id_stay(spark, small):
+    rows = [(None, "The first of the documents has no id but it has words of a language in it.", "en", "s", 1), (1, "The other of the documents has an id and it has words in it as well as the first.", "en", "s", 1), (2, None, "en", "s", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, small)
+    assert sorted(str(r.doc_id) for r in docs.collect()) == ["1", "None"]
