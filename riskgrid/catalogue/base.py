@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +32,22 @@ def r(c, digits: int = 6):
     return F.round(F.col(c) if isinstance(c, str) else c, digits)
 
 
+_SAMPLES: dict[tuple[str, str], DataFrame] = {}
+
+
 def samples(spark: SparkSession, folder: str) -> DataFrame:
+    """The long samples of a folder, kept for the session: bounds, risk, bands and draws all read them.
+
+    They spill to disk where memory is short, and are computed again if the
+    cache is cleared or an executor is lost.
+    """
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _SAMPLES:
+        _SAMPLES[key] = _sampled(spark, folder).persist(StorageLevel.MEMORY_AND_DISK)
+    return _SAMPLES[key]
+
+
+def _sampled(spark: SparkSession, folder: str) -> DataFrame:
     return grid.sample_terms(carriers.plants(spark, folder), carriers.cells(spark, folder), carriers.scenario_keys(spark), carriers.GRID)
 
 
