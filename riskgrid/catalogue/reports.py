@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskgrid.functions import config as C
-from riskgrid.operators import events, gate, grid, quality, report, risk
+from riskgrid.operators import events, quality, report, risk
 from riskgrid.plans import carriers
 from riskgrid.sources import sinks
 from riskgrid.sources.tables import read_table
 from riskgrid.streaming import annual_max
 
 from . import places
-from .base import bands, index, query, r, risks, samples
+from .base import bands, index, query, r, samples
 
 
 @query("a27_band_distribution", """SELECT k.country, k.bucket, k.term, k.water_scenario, k.model, l AS risk_band, count(b.plant_uid) FILTER (b.risk_band = l) AS n, round(coalesce(sum(capacity_mw) FILTER (b.risk_band = l), 0), 4) AS mw,
