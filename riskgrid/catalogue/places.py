@@ -85,7 +85,7 @@ carriers.NEEDS["zones"] = ("polys",)
 
 
 def precip_cells(spark, folder) -> DataFrame:
-    return carriers.cells(spark, folder).filter("term = 'precip' and scenario = 'bau' and model = 'gfdl_esm4' and row < 40").select("row", "col", "value")
+    return carriers.cells(spark, folder).filter("term = 'precip' and scenario = 'bau' and model = 'gfdl_esm4'").select("row", "col", "value")
 
 
 @query("j6_zonal_mean", "SELECT poly_id, round(mean, 9) AS mean, CASE WHEN cells > 0 THEN cells END AS cells FROM zones", "zones")

@@ -180,6 +180,13 @@ def test_zero_shift_gives_the_base_cut(spark, small):
         assert cuts[r.term, r.model] == pytest.approx(r.p95 if r.term == "wind" else r.p90)
 
 
+def test_precipitation_keeps_every_cell(spark):
+    from riskgrid.catalogue import places
+
+    parts = spark.read.parquet("/root/testdata/sf0.1/part.parquet").count()
+    assert places.precip_cells(spark, "/root/testdata/sf0.1").count() == parts
+
+
 def test_results_do_not_depend_on_partitions(spark, small):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     try:
