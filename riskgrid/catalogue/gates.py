@@ -34,14 +34,14 @@ def c11(spark, folder):
 @query("c12_correlation_gate", """SELECT g.term_a, g.term_b, gated, g.bucket, country, model, n, round(pearson_r, 8) AS pearson_r, round(spearman_rho, 8) AS spearman_rho, nonlinear, verdict, CASE WHEN verdict = 'fail' THEN keep END AS retained,
 CASE WHEN verdict = 'fail' THEN CASE WHEN keep = g.term_a THEN g.term_b ELSE g.term_a END END AS excluded, CASE WHEN verdict = 'fail' THEN crit END AS criterion FROM gate g LEFT JOIN tie USING (term_a, term_b, bucket)""", "gate", "rules2")
 def c12(spark, folder):
-    found = gate.run_gate(samples(spark, folder))
+    found = gate.run_gate(samples(spark, folder), small_groups=False)
     return found.withColumns({"pearson_r": r("pearson_r", 8), "spearman_rho": r("spearman_rho", 8)}).drop("decision_r")
 
 
 @query("c19_gate_sweep", """SELECT g.term_a, g.term_b, g.bucket, country, model, threshold, CASE WHEN decision_r IS NULL THEN 'insufficient_data' WHEN abs(decision_r) >= threshold THEN 'fail' ELSE 'pass' END AS verdict_at, verdict_at <> verdict AS flipped
 FROM gate g CROSS JOIN (SELECT unnest([0.60, 0.65, 0.70, 0.75, 0.80, 0.85, 0.90])::DOUBLE AS threshold) WHERE gated AND country <> 'pooled'""", "gate")
 def c19(spark, folder):
-    found = gate.sweep(gate.run_gate(samples(spark, folder)))
+    found = gate.sweep(gate.run_gate(samples(spark, folder), small_groups=False))
     return found.select("term_a", "term_b", "bucket", "country", "model", "threshold", F.col("verdict").alias("verdict_at"), "flipped")
 
 

@@ -46,9 +46,8 @@ def pair_table(samples: DataFrame) -> DataFrame:
 def run_gate(samples: DataFrame, threshold: float = C.GATE, small_groups: bool = True) -> DataFrame:
     """Correlations and verdict of each pair, bucket, country and model; pooled rows have no verdict.
 
-    A group holds at most the plants of a bucket times the scenarios, so ranks
-    are taken by windows; ``small_groups=False`` takes them in two levels, for
-    samples whose groups outgrow a task.
+    Windows rank a group in one task; ``small_groups=False`` takes ranks in two
+    levels. Pooled groups grow with the plants, so the registered queries do.
     """
     keys = ("term_a", "term_b", "gated", "bucket", "country", "model")
     rows = pair_table(samples)

@@ -187,6 +187,18 @@ def test_precipitation_keeps_every_cell(spark):
     assert places.precip_cells(spark, "/root/testdata/sf0.1").count() == parts
 
 
+@pytest.mark.parametrize("name", ["c12_correlation_gate", "c19_gate_sweep"])
+def test_gate_queries_rank_in_two_levels(spark, small, name, monkeypatch):
+    from riskgrid import queries as core
+    from riskgrid.plans import ranks
+
+    def refuse(*_):
+        raise AssertionError("a window holds a whole group")
+
+    monkeypatch.setattr(ranks, "window_ranks", refuse)
+    assert core.QUERIES[name](spark, small).count() > 0
+
+
 def test_results_do_not_depend_on_partitions(spark, small):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     try:
