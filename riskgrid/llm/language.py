@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, documents, table
@@ -22,7 +22,7 @@ from .common import arrow_batches, documents, table
 #: The bounds of the labelled sample: bytes of a language's dictionary, and of one text in it.
 DICTIONARY_BYTES = 96 * 1024
 SAMPLE_BYTES = 2048
-#: Texts a language's sample is drawn from, on average; the rest of the labelled rows is not collected.
+#: A language's dictionary is made from twice as many distinct texts at most; the rest of the labelled rows is not collected.
 SAMPLE_ROWS = 120
 #: A text is compressed in blocks of this size, so that far repeats within it don't hide the language.
 BLOCK_BYTES = 4096
@@ -56,16 +56,23 @@ def learn(docs: DataFrame, rows: int = SAMPLE_ROWS) -> dict[str, bytes]:
     """Raw-content dictionaries by language from labelled documents that aren't held out.
 
     Languages come in descending order of their labelled documents.
-    The sample is bounded: about ``rows`` texts a language, taken by a hash of
-    the text (which is drawn alike over any partitioning), SAMPLE_BYTES of each
-    and DICTIONARY_BYTES in all. Only languages with a text are learned.
+    The sample is bounded: the 2 * ``rows`` distinct texts of a language with
+    the lowest hashes (which are alike over any partitioning), SAMPLE_BYTES of
+    each and DICTIONARY_BYTES in all. Copies leave before they are collected: a
+    share of hashes with twice as many texts is expected to hold the lowest.
+    Only languages with a text are learned.
     """
+    at, place = F.xxhash64("text"), F.pmod("at", F.lit(1_000_000))
     usable = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out())
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts, kinds = {}, {}
+    for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(at).alias("d")).collect():
+        counts[r["lang"]], kinds[r["lang"]] = r["n"], r["d"]
     chosen = F.lit(False)
-    for lang, n in sorted(counts.items()):
-        chosen |= (F.col("lang") == lang) & (F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < max(1, math.ceil(1_000_000 * min(1.0, 2 * rows / n))))
-    sample = usable.filter(chosen).select("lang", F.substring("text", 1, SAMPLE_BYTES).alias("text"), F.xxhash64("text").alias("at")) if counts else None
+    for lang, d in sorted(kinds.items()):
+        chosen |= (F.col("lang") == lang) & (place < max(1, math.ceil(1_000_000 * min(1.0, 4 * rows / d))))
+    drawn = usable.select("lang", F.substring("text", 1, SAMPLE_BYTES).alias("text"), at.alias("at")).filter(chosen).distinct()
+    lowest = F.row_number().over(Window.partitionBy("lang").orderBy(place, "at", "text"))
+    sample = drawn.withColumn("_k", lowest).filter(F.col("_k") <= 2 * rows).drop("_k") if counts else None
     made: dict[str, bytearray] = {}
     seen: set[bytes] = set()
     for r in sorted(sample.collect(), key=lambda r: (r["lang"], r["at"] & (2**64 - 1), r["text"])) if counts else []:

@@ -87,6 +87,17 @@ def test_language_rejects_without_letters(spark):
     assert found[1] == ("und", 0.0, True) and found[2] == ("und", 0.0, True) and found[3][0] in ("en", "de")
 
 
+def test_language_sample_is_bounded(spark, monkeypatch):
+    names = spark.range(200).select(F.concat(F.lit("the common text "), F.col("id").cast("string")).alias("text"))
+    copied = names.orderBy(F.pmod(F.xxhash64("text"), F.lit(1_000_000))).first().text
+    docs = spark.range(4000).select("id", F.when(F.col("id") % 2 == 0, copied).otherwise(F.concat(F.lit("a text of its own "), F.col("id").cast("string"))).alias("text"))
+    taken, collect = [], type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda self: (taken.append(collect(self)), taken[-1])[1])
+    learned = language.learn(docs.select(F.col("id").alias("doc_id"), "text", F.lit("en").alias("lang")))
+    assert max(map(len, taken)) <= 2 * language.SAMPLE_ROWS
+    assert learned["en"].count(language.letters(copied)) >= 1
+
+
 def test_redaction_leaves_clean_texts(spark):
     docs = frame(spark, [(1, "write to a.b@example.com or +1 (555) 010-9999, card 4111 1111 1111 1111, host 10.0.0.255!"), (2, "nothing to see in 2024, really 12.5 %")])
     out = {r.doc_id: r.text for r in privacy.redact(docs).collect()}
