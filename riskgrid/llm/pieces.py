@@ -4,7 +4,8 @@ Method: a score-ordered agenda of adjacent symbol pairs. A text is cut where no
 piece of the vocabulary could reach across (before a run of space marks, and
 between two characters that no piece holds side by side), each part is merged
 through its agenda once and kept in a bounded cache, and within each Arrow
-batch every newly merged word is compared with the sentencepiece library.
+batch every newly merged word, runs of spaces included, is compared with the
+sentencepiece library.
 """
 
 from __future__ import annotations
@@ -168,9 +169,18 @@ def encode(text: str, vocab: MergeVocabulary, fresh: dict[str, tuple[int, ...]]
 
 
 def agrees(fresh: dict[str, tuple[int, ...]], vocab: MergeVocabulary) -> bool:
-    """Whether the library gives the same ids for all these words, laid in one text."""
-    plain = {w: ids for w, ids in fresh.items() if w[0] != MARK}
-    return vocab.library.encode(" ".join(plain)) == [i for ids in plain.values() for i in ids]
+    """Whether the library gives the same ids for all these words.
+
+    Words are laid in one text in their own spacing. Runs of marks alone would
+    join the word after them, so each ends a text of its own.
+    """
+    bare = {w: ids for w, ids in fresh.items() if not w.strip(MARK)}
+    laid = {w: ids for w, ids in fresh.items() if w not in bare}
+    whole = "".join(w if w[0] == MARK else MARK + w for w in laid)
+    if vocab.library.encode(whole[1:].replace(MARK, " ")) != [i for ids in laid.values() for i in ids]:
+        return False
+    front = vocab.library.encode("a")
+    return all(vocab.library.encode("a" + " " * len(w)) == [*front, *ids] for w, ids in bare.items())
 
 
 def encode_documents(docs: DataFrame, model: str = DEFAULT) -> DataFrame:

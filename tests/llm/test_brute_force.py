@@ -152,6 +152,16 @@ def plain_spans(text):
     return sorted(out)
 
 
+@pytest.mark.parametrize("word", ["▁▁b", "▁", "▁▁▁", "▁▁▁▁▁x"])
+def test_words_after_runs_of_spaces_are_compared(word):
+    vocab, fresh = pieces.MergeVocabulary(), {}
+    for text in ("one  b two", " a", "a ", "a   ", "    x y", "   ", "▁▁▁b▁", "\t  \n  z"):
+        pieces.encode(text, vocab, fresh)
+    assert word in fresh and pieces.agrees(fresh, vocab)
+    assert not pieces.agrees(fresh | {word: (*fresh[word], 5)}, vocab)
+    assert pieces.agrees({}, vocab)
+
+
 @pytest.mark.parametrize("text", [
     "a@b.c a@@b.c x.y@z.w.v..u a@b a@b. @b.c é@b.c aé@b.cé q@w.e@r.t", "1.2.3.4 1.2.3.4.5 300.1.1.1 01.002.3.255 1..2.3.4 1.2.3.4.5.6.7.8", "4111 1111 1111 1111 4111-1111-1111-1112 4111  1111",
     "+1 (743) 555-3824 ++12 345 678 90 +123 +12345678901234567 +1-2.3(4)5 6 7 8 9.", "+4111111111111111 10.0.0.1-4111111111111111 (1.2.3.4)", "9" * 3000 + "." + "1" * 50,
