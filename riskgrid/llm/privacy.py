@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -40,6 +41,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _OBFUSCATED = re.compile(r"[\w.%+-]{1,64}\s?(?:@|\[at\]|\(at\)|\{at\})\s?[\w-]{1,63}(?:\s?(?:\.|\[dot\]|\(dot\)|\{dot\})\s?[\w-]{1,63}){1,8}", re.IGNORECASE)
+#: Brackets around "at" and "dot" in addresses that are written out, and what they stand for.
+_BRACKETS = ("[]", "()", "{}")
+_MARKED = [(re.compile(r"\s?(?:\[at\]|\(at\)|\{at\})\s?", re.IGNORECASE), "@"), (re.compile(r"\s?(?:\[dot\]|\(dot\)|\{dot\})\s?", re.IGNORECASE), ".")]
 _HINTS = {
     "email": ("mail", "contact", "write", "@"),
     "ip": ("ip", "host", "server", "addr"),
@@ -145,8 +149,54 @@ def features(text: str, span: Span) -> list[float]:
     ]
 
 
+def rewritten(text: str, strict: list[Span]) -> tuple[str, set[Span]]:
+    """The text with its strict addresses written out and its phone numbers without the plus sign, and the spans of these."""
+    parts, spans, end, at = [], set(), 0, 0
+    for s in strict:
+        if s.kind not in (0, 3) or s.start < end:
+            continue
+        inner = text[s.start : s.end]
+        if s.kind == 0:
+            a, b = _BRACKETS[zlib.crc32(inner.encode()) % len(_BRACKETS)]
+            name, host = inner.split("@")
+            inner = f"{name} {a}at{b} " + (host.replace(".", f" {a}dot{b} ") if zlib.crc32(inner.encode()) % 2 else host)
+        else:
+            inner = inner[1:]
+        at += s.start - end
+        parts += text[end : s.start], inner
+        spans.add(Span(at, s.kind, at := at + len(inner)))
+        end = s.end
+    return "".join([*parts, text[end:]]), spans
+
+
+def written_out(inner: str) -> bool:
+    """Whether a strict address is left when bracketed words are put back."""
+    plain = inner
+    for pattern, sign in _MARKED:
+        plain = pattern.sub(sign, plain)
+    return plain != inner and _emails(plain) == [Span(0, 0, len(plain))]
+
+
+def labelled(text: str) -> list[tuple[list[float], bool, str]]:
+    """(features, label, hash) of the candidates that the strict patterns don't settle.
+
+    Positive are the rewritten strict spans, which have the forms that the
+    trees are to add; negative are all others, but for addresses that the text
+    itself writes out, which are neither.
+    """
+    text, true = rewritten(text, base_spans(text))
+    runs = clusters(text)
+    strict, rows = base_spans(text, runs), []
+    for span in candidates(text, runs):
+        inner = text[span.start : span.end]
+        if any(span.start < t.end and t.start < span.end for t in strict) or (span.kind == 0 and span not in true and written_out(inner)):
+            continue
+        rows.append((features(text, span), span in true, hashlib.md5(f"{inner}:{span.kind}".encode()).hexdigest()))
+    return rows
+
+
 def train(docs: DataFrame) -> tuple[tuple, list[float]]:
-    """(trees, thresholds by kind) from a bounded sample of texts, labelled by the strict patterns.
+    """(trees, thresholds by kind) from a bounded sample of texts, labelled by rewrites of their strict spans.
 
     A fifth of the sample's candidates, by hash, calibrates: a kind's threshold
     is the least from LEAST on whose held-out precision reaches PRECISION, and
@@ -157,12 +207,7 @@ def train(docs: DataFrame) -> tuple[tuple, list[float]]:
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text in batch.column(0).to_pylist():
-                runs = clusters(text)
-                strict = set(base_spans(text, runs))
-                for span in candidates(text, runs):
-                    rows.append((features(text, span), span in strict, hashlib.md5(f"{text[span.start : span.end]}:{span.kind}".encode()).hexdigest()))
+            rows = [r for text in batch.column(0).to_pylist() for r in labelled(text)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.float64())), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.string())], ["x", "y", "at"])
 
     sample = docs.filter(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share)).select("text")

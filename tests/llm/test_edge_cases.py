@@ -104,6 +104,17 @@ def test_redaction_leaves_clean_texts(spark):
     assert out[1] == "write to [EMAIL] or [PHONE], card [CARD], host [IP]!" and out[2] == "nothing to see in 2024, really 12.5 %"
 
 
+def test_written_out_addresses_are_found(spark):
+    words = "lorem ipsum dolor sit amet consectetur".split()
+    texts = [(k, f"{words[k % 6]} mail to user{k}.x@host{k % 50}.example.com today or {words[k % 5]} order 2024{k:06d} of {words[k % 4]}") for k in range(900)]
+    texts += [(1000 + k, f"{words[k % 6]} mail to other{k} [at] place{k % 40} [dot] org today") for k in range(300)]
+    found = {r.doc_id: r.spans for r in privacy.find(frame(spark, texts)).collect()}
+    plain = dict(texts)
+    hit = [k for k in range(1000, 1300) if found[k] == f"email:{plain[k].index('other')}:{plain[k].index(' today')}"]
+    assert len(hit) >= 290
+    assert all(found[k].count(":") == 2 for k in range(900))
+
+
 def test_repeats_are_judged_on_the_input(spark):
     words = [f"w{k}" for k in range(120)]
     docs = frame(spark, [(1, " ".join(words)), (2, "x y " + " ".join(words[10:70]) + " z"), (3, " ".join(words)), (4, " ".join(words[:49])), (5, " ".join(words[60:110]))])
