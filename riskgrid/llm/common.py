@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 import zipfile
@@ -34,34 +36,79 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Prepare a session for Arrow batches: small enough where rows hold whole texts, with workers that know the package."""
+    """Prepare a session for Arrow batches of whole texts: workers that know the package, and at most ``rows`` rows a batch.
+
+    The session's own bound is only ever lowered, to the same value by every
+    operator, since plans are lazy and take the bound that holds when they run.
+    """
     ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if not 0 < now <= rows:
+        spark.conf.set(key, str(rows))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where it is unset."""
+    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where it is unset and all runs on one machine."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
 
-def save(df: DataFrame) -> DataFrame:
+#: Tables of the open scopes, innermost last, and what to call to delete each.
+_SCOPES: list[list] = [[]]
+
+
+def _deleter(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark._jsc.hadoopConfiguration()
+    return lambda: at.getFileSystem(conf).delete(at, True)
+
+
+@contextlib.contextmanager
+def temporary() -> Iterator[None]:
+    """A scope whose saved tables are deleted at its end; what reads them must be written by then."""
+    made: list = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(made)
+        for remove in made:
+            remove()
+
+
+@atexit.register
+def _clear() -> None:
+    """Delete the tables of results that were never written, when the driver ends; a gateway that is gone keeps its own."""
+    for remove in _SCOPES[0]:
+        with contextlib.suppress(Exception):
+            remove()
+
+
+def stored(df: DataFrame, name: str = "table", codec: str | None = None) -> DataFrame:
     """Write ``df`` to shared storage and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
+    _SCOPES[-1].append(_deleter(spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def save(df: DataFrame) -> DataFrame:
+    """A table between steps, deleted with its scope or when the driver ends."""
+    return stored(df, codec="zstd")
+
+
 def drop(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`save` that nothing will read again."""
-    spark = df.sparkSession
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/table-" in path:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _deleter(df.sparkSession, path)()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +154,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
         least = save(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         return pairs.join(least, "u"), least
 
-    def stored(df: DataFrame, *old: DataFrame) -> DataFrame:
+    def kept_edges(df: DataFrame, *old: DataFrame) -> DataFrame:
         kept = save(df.filter(F.col("u") > F.col("v")).distinct())
         for x in old:
             drop(x)
@@ -117,9 +164,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
     for _ in range(most if before[0] else 0):
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         met, least = handed(both)
-        state = stored(met.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")), state, least)
+        state = kept_edges(met.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")), state, least)
         met, least = handed(state)
-        state = stored(met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))), state, least)
+        state = kept_edges(met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))), state, least)
         after = mark(state)
         if after == before:
             break

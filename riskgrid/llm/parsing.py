@@ -18,18 +18,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, documents, table
+from .common import arrow_batches, documents, save, table
 
 #: Slots of a fingerprint by level; a level's phrases are about three times as long as those below.
 SLOTS = {2: 16, 3: 24, 4: 24}
-#: Documents in a bucket of neighbours, and quantiles of doc_id that buckets are cut from.
-BUCKET_ROWS = 300
-QUANTILES = 64
-#: Buckets up to which their first ids are broadcast (a few MB); beyond, the copies come from a shuffle join.
-BROADCAST_BUCKETS = 200_000
+#: Bytes of text in a range of neighbouring documents, and the most ranges (their bounds are held by every task).
+RANGE_BYTES = 32 << 20
+MOST_RANGES = 10_000
+#: Keys drawn for each range to find the bounds.
+SAMPLE_KEYS = 50
+#: Rows of one doc_id and text that stay rows of a range; beyond, or beyond a 20,000th of all rows, they are taken once.
+EQUAL_ROWS = 64
+#: Rows of equal documents that one task hands out.
+HANDED = 20_000
 #: Bytes parsed at once, and rows in a batch.
 BLOCK_BYTES = 4_000_000
 
@@ -127,12 +131,14 @@ def fingerprints(texts: list[str]) -> np.ndarray:
     raw = [x.encode() for x in texts]
     out = np.zeros((len(raw), _TOTAL), np.uint16)
     full = [k for k, x in enumerate(raw) if x]
-    while full:
-        part, size = [], 0
-        while full and (not part or size + len(raw[full[0]]) <= BLOCK_BYTES):
-            part.append(full.pop(0))
-            size += len(raw[part[-1]])
-        out[part] = _block([raw[k] for k in part])
+    at = 0
+    while at < len(full):
+        end, size = at, 0
+        while end < len(full) and (end == at or size + len(raw[full[end]]) <= BLOCK_BYTES):
+            size += len(raw[full[end]])
+            end += 1
+        out[full[at:end]] = _block([raw[k] for k in full[at:end]])
+        at = end
     return out
 
 
@@ -160,66 +166,125 @@ def edited(text: str, following: str) -> str:
 
 RESULT = pa.schema([
     ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
-    ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()),
+    ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("times", pa.int64()),
 ])
 
 
-def neighbours(docs: DataFrame) -> DataFrame:
-    """Documents in buckets of neighbouring doc_ids (null first), each bucket followed by the next one's first document.
-
-    Columns _bucket, _key, _copy (true for that extra row), doc_id, text. The
-    last bucket is followed by the first document of all. Bounds come from
-    quantiles of doc_id, so one shuffle moves texts.
+def _ordered(ids: pa.Array, hashes: pa.Array) -> np.ndarray:
+    """Fixed-width bytes that sort as (doc_id, hash) do, null doc_ids first."""
+    n = len(ids)
+    out = np.zeros((n, 17), np.uint8)
+    out[:, 0] = 1 - ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
+    for at, column in ((1, ids.fill_null(0)), (9, hashes)):
+        signed = column.cast(pa.int64()).to_numpy(zero_copy_only=False)
+        out[:, at : at + 8] = (signed.view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").view(np.uint8).reshape(n, 8)
+    return out.view("S17").ravel()
+
+
+def _ranges(keys: DataFrame, rows: int, size: int) -> np.ndarray:
+    """First possible keys of the ranges, from a bounded sample of the distinct keys with their rows as weights."""
+    spark = keys.sparkSession
+    wanted = min(MOST_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / RANGE_BYTES)))
+    share = min(1_000_000_000, math.ceil(1e9 * SAMPLE_KEYS * wanted / max(rows, 1)))
+    drawn = keys.filter(F.pmod(F.xxhash64("_hash", "doc_id"), F.lit(1_000_000_000)) < share).select("doc_id", "_hash", "n").toArrow().combine_chunks()
+    if not drawn.num_rows:
+        return np.array([b""], "S17")
+    at = _ordered(drawn.column("doc_id").combine_chunks(), drawn.column("_hash").combine_chunks())
+    order = np.argsort(at)
+    weight = np.cumsum(drawn.column("n").to_numpy()[order])
+    cuts = np.searchsorted(weight, np.arange(1, wanted) * weight[-1] / wanted, side="left") + 1
+    return np.concatenate([[b""], np.unique(at[order][cuts[cuts < len(at)]])]).astype("S17")
+
+
+def neighbours(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Documents in ranges of (doc_id, text hash), null ids first, each range followed by the next one's first document.
+
+    Returns the rows (_range, _copy, _times, doc_id, text), one partition a
+    range and sorted within, and the keys (doc_id, _hash, n) of documents that
+    so many rows repeat that they are taken once (None: none). ``_copy`` marks
+    the document after the range; the last range is followed by the first
+    document of all. Bounds come from a narrow table of keys, so texts move
+    once, at every size; rows of one doc_id, or without any, are spread by
+    their hashes.
     """
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    shares = [(k + 1) / QUANTILES for k in range(QUANTILES - 1)]
-    n, low, high, inner = ids.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id"), F.percentile_approx("doc_id", shares, 10_000)).first()
-    bounds = sorted({low or 0, *(inner or []), (high or 0) + 1})
-    each = max(1, math.ceil(n / BUCKET_ROWS / len(bounds)))
-    key = F.coalesce("doc_id", F.lit((low or 0) - 1))
-    lows, highs = F.array(*map(F.lit, bounds)), F.array(*map(F.lit, [*bounds[1:], bounds[-1] + 1]))
-    coarse = F.greatest(F.lit(1), F.size(F.filter(lows, lambda x: x <= key)))
-    begin, end = F.element_at(lows, coarse), F.element_at(highs, coarse)
-    fine = F.greatest(F.lit(0), F.floor((key - begin) * each / (end - begin)))
-    cut = ids.select((coarse * each + fine).cast("long").alias("_bucket"), key.alias("_key"), F.lit(False).alias("_copy"), "doc_id", "text")
-    firsts = cut.groupBy("_bucket").agg(F.min("_key").alias("_key"))
-    order = Window.orderBy("_bucket")
-    before = firsts.select("_key", F.coalesce(F.lag("_bucket").over(order), F.max("_bucket").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_to"))
-    if each * len(bounds) <= BROADCAST_BUCKETS:
-        before = F.broadcast(before)
-    copies = cut.drop("_bucket").join(before, "_key").select(F.col("_to").alias("_bucket"), "_key", F.lit(True).alias("_copy"), "doc_id", "text")
-    return cut.unionByName(copies).repartition("_bucket").sortWithinPartitions("_bucket", "_copy", "_key", F.xxhash64("text"))
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_hash", F.xxhash64("text"))
+    keys = save(rows.groupBy("doc_id", "_hash").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("size")))
+    total, size, most = keys.agg(F.sum("n"), F.sum("size"), F.max("n")).first()
+    heavy, single = None, rows.withColumn("_times", F.lit(1).cast("long"))
+    limit = max(EQUAL_ROWS, (total or 0) // 20_000)
+    if (most or 0) > limit:
+        heavy = keys.filter(F.col("n") > limit).select("doc_id", "_hash", "n")
+        known = F.broadcast(heavy.select(F.col("doc_id").alias("_d"), F.col("_hash").alias("_h"), F.col("n").alias("_n")))
+        same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_h"))
+        once = rows.join(known, same).groupBy("doc_id", "_hash").agg(F.min("text").alias("text"), F.max("_n").alias("_times")).select(*rows.columns, "_times")
+        single = single.join(known, same, "left_anti").unionByName(once)
+        keys = keys.withColumn("n", F.when(F.col("n") > limit, F.lit(1)).otherwise(F.col("n")))
+    bounds = _ranges(keys, total or 0, size or 0)
+    packed = spark.sparkContext.broadcast(bounds)
+
+    @F.arrow_udf("int")
+    def range_of(ids: pa.Array, hashes: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(packed.value, _ordered(ids, hashes), side="right") - 1, pa.int32())
+
+    at = range_of("doc_id", "_hash")
+    firsts = keys.select(at.alias("_range"), "doc_id", "_hash").groupBy("_range").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id", "_hash")).alias("k")).collect()
+    firsts.sort(key=lambda r: r["_range"])
+    before = [(firsts[k - 1]["_range"], r["k"]["doc_id"], r["k"]["_hash"]) for k, r in enumerate(firsts)]
+    known = F.broadcast(spark.createDataFrame(before, "_to int, _d long, _h long"))
+    placed = single.withColumn("_range", at)
+    copies = F.array(F.struct(F.col("_range"), F.lit(False).alias("_copy")), F.struct(F.col("_to").alias("_range"), F.lit(True).alias("_copy")))
+    both = placed.join(known, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_h")), "left").withColumn(
+        "_at", F.explode(F.when(F.col("_to").isNull(), F.slice(copies, 1, 1)).otherwise(copies))
+    )
+    moved = both.select("_at._range", "_at._copy", "_times", "doc_id", "_hash", "text").repartitionById(len(bounds), F.col("_range"))
+    return moved.sortWithinPartitions("_copy", F.col("doc_id").asc_nulls_first(), "_hash").drop("_hash"), heavy
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """Fingerprint each whole text (doc_id, text; null: empty) and its edited text, and their likeness.
 
-    The next document follows by doc_id (rows of one doc_id by a hash of their
-    text, null first); after the last comes the first, and a lone document is
-    its own next one.
+    The next document follows by doc_id (null first; rows of one doc_id by a
+    hash of their text); after the last comes the first, and a lone document is
+    its own next one. Equal rows follow each other; where very many rows are
+    equal, all but one of them are their own next one by one computed row,
+    which is handed out in portions.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
-            held += zip(batch.column("_bucket").to_pylist(), batch.column("_copy").to_pylist(), batch.column("doc_id").to_pylist(), (x or "" for x in batch.column("text").to_pylist()))
+            held += zip(batch.column("_copy").to_pylist(), batch.column("doc_id").to_pylist(), (x or "" for x in batch.column("text").to_pylist()), batch.column("_times").to_pylist())
             if len(held) > 1:
                 yield _described(held)
                 held = held[-1:]
 
     arrow_batches(docs.sparkSession)
-    return neighbours(docs).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    chain, heavy = neighbours(docs)
+    found = chain.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, times long")
+    if heavy is None:
+        return found.drop("times")
+    found = save(found)
+    portions = found.filter("times > 0").withColumn("_p", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / HANDED))))
+    portions = portions.repartition(F.xxhash64("doc_id", "edited_sha256", "_p")).withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(HANDED), F.col("times") - F.col("_p") * HANDED))))
+    return found.filter("times = 0").drop("times").unionByName(portions.drop("times", "_p", "_k"))
 
 
 def _described(held: list[tuple]) -> pa.RecordBatch:
-    """Rows for all but the last held document; copies get none."""
-    at = [k for k in range(len(held) - 1) if not held[k][1]]
-    changed = [edited(held[k][3], held[k + 1][3]) for k in at]
-    slots = fingerprints([h[3] for h in held])
+    """Rows for all but the last held document; copies get none.
+
+    A document that stands for many rows gets a second row, with the number of
+    rows (``times``) that are followed by an equal one.
+    """
+    at = [k for k in range(len(held) - 1) if not held[k][0]]
+    pairs = [(k, k + 1, 0) for k in at] + [(k, k, held[k][3] - 1) for k in at if held[k][3] > 1]
+    here, there = [k for k, *_ in pairs], [n for _, n, _ in pairs]
+    changed = [edited(held[k][2], held[n][2]) for k, n, _ in pairs]
+    slots = fingerprints([h[2] for h in held])
     other = fingerprints(changed)
     return table(RESULT, [
-        [held[k][2] for k in at], [len(held[k][3]) for k in at], [hashlib.sha256(x.encode()).hexdigest() for x in changed], hexed(slots[at]), hexed(other),
-        pa.array(likeness(slots[at], other)), pa.array(likeness(slots[at], slots[[k + 1 for k in at]])),
+        [held[k][1] for k in here], [len(held[k][2]) for k in here], [hashlib.sha256(x.encode()).hexdigest() for x in changed], hexed(slots[here]), hexed(other),
+        pa.array(likeness(slots[here], other)), pa.array(likeness(slots[here], slots[there])), [t for *_, t in pairs],
     ])
 
 

@@ -203,3 +203,87 @@ def test_fingerprints_do_not_depend_on_offset():
     body = "".join(rng.choice(list("abcdefghij klmnop"), 4000))
     a, b, c = parsing.fingerprints([body, "some other head " + body, "".join(rng.choice(list("abcdefghij klmnop"), 4000))])
     assert parsing.likeness(a[None], b[None])[0] > 0.9 and parsing.likeness(a[None], c[None])[0] < 0.2
+
+
+WRAP = (1 << 64) - 1
+
+
+def plain_mix(x):
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & WRAP
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & WRAP
+    return x ^ x >> 31
+
+
+def plain_toss(symbols):
+    out = [0]
+    for a, b in zip(symbols, symbols[1:]):
+        bit = ((a ^ b) & -(a ^ b)).bit_length() - 1
+        out.append(2 * bit + (b >> bit & 1) if a != b else 0)
+    return out
+
+
+def plain_level(symbols, rounds):
+    """Collapse runs, toss coins ``rounds`` times, cut at local maxima and name the phrases."""
+    kept, values = [], []
+    for k, x in enumerate(symbols):
+        if not k or x != symbols[k - 1]:
+            long_run = k + 1 < len(symbols) and symbols[k + 1] == x
+            kept.append(x)
+            values.append(plain_mix((x + pow(0x9E3779B97F4A7C15, 3, 1 << 64)) & WRAP) if long_run else x)
+    labels = kept
+    for _ in range(rounds):
+        labels = plain_toss(labels)
+    starts = [0] + [k for k in range(1, len(labels) - 1) if labels[k - 1] < labels[k] > labels[k + 1]]
+    names = []
+    for a, b in zip(starts, [*starts[1:], len(labels)]):
+        total = sum(values[k] * pow(0x9E3779B97F4A7C15, (k - a) % 256, 1 << 64) for k in range(a, b)) + b - a
+        names.append(plain_mix(total & WRAP))
+    return names
+
+
+def plain_fingerprint(text):
+    names, out = list(text.encode()), []
+    for level in range(1, 5):
+        names = plain_level(names, 3 if level == 1 else 4) if names else []
+        if slots := parsing.SLOTS.get(level):
+            drawn = [plain_mix(x ^ level) for x in names]
+            for k in range(slots):
+                own = [d >> 24 for d in drawn if d % slots == k]
+                out.append(1 + min(own) % 65535 if own else 0)
+    return "".join(f"{x:04x}" for x in out)
+
+
+def test_fingerprints_by_plain_parsing(docs):
+    texts = [x or "" for x in list(docs.values())[:25]] + ["", "a", "aa", "aaaa", "abab" * 50, "x" * 700 + "yz", "ß😀" * 40, "a b " * 300]
+    texts = [x[:3000] for x in texts]
+    assert parsing.hexed(parsing.fingerprints(texts)) == [plain_fingerprint(x) for x in texts]
+
+
+def followed(rows, count):
+    """(doc_id, edited hash) rows of a table by a plain sort."""
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, signed(xxhash.xxh64_intdigest((r[1]).encode(), 42))))
+    out = []
+    for k, (doc_id, text) in enumerate(order):
+        changed = parsing.edited(text, order[(k + 1) % len(order)][1])
+        out.append((str(doc_id), hashlib.sha256(changed.encode()).hexdigest()))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("case", ["null ids", "one id", "equal rows", "uneven ids", "one row", "two rows"])
+def test_next_documents_of_hot_ids(spark, monkeypatch, case):
+    text = lambda k: f"text number {k} of the table " + "x" * (k % 37)
+    rows = {
+        "null ids": [(None if k % 2 else k, text(k)) for k in range(1200)], "one id": [(7 if k % 3 else k, text(k)) for k in range(1200)],
+        "equal rows": [(7, "the same") if k % 3 else (k, text(k)) for k in range(1200)], "uneven ids": [(k if k % 50 else k * 10**14, text(k)) for k in range(1200)],
+        "one row": [(5, "alone here")], "two rows": [(5, "alone here"), (-5, "")],
+    }[case]
+    monkeypatch.setattr(parsing, "RANGE_BYTES", 2_000)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    chain, heavy = parsing.neighbours(df)
+    sizes = [r["count"] for r in chain.filter("not _copy").groupBy("_range").count().collect()]
+    assert max(sizes) <= 150 and (heavy is not None) == (case == "equal rows")
+    found = parsing.fingerprint_documents(df).collect()
+    assert sorted((str(r.doc_id), r.edited_sha256) for r in found) == followed(rows, len(rows))
