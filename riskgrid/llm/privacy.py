@@ -3,13 +3,16 @@
 Method: candidate gradient boosting. Strict patterns give the base spans, which
 always stay. High-recall generators propose further, overlapping spans; boosted
 trees score them by format and context, and thresholds calibrated for precision
-on a part of the sample that the trees didn't see select the spans to add.
+on documents that the trees didn't see select the spans to add. The trees learn
+from made-up data in forms that the strict patterns don't know, and from
+look-alikes, both put into texts of the corpus.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections.abc import Iterator
@@ -24,12 +27,13 @@ from . import boosting
 from .common import arrow_batches, documents, table
 
 KINDS = ("email", "ip", "card", "phone")
-#: Bounds of the training sample: documents (on average) and candidates.
-SAMPLE_DOCS = 4_000
-SAMPLE_CANDIDATES = 30_000
-#: Precision that a threshold must reach on held-out candidates, and the least threshold.
+#: Bounds of the training sample: documents (on average), items put into each, and candidates.
+SAMPLE_DOCS = 2_500
+PLANTED = 6
+SAMPLE_CANDIDATES = 40_000
+#: Precision that a threshold must reach on held-out documents, and the least threshold.
 PRECISION = 0.99
-LEAST = 0.9
+LEAST = 0.7
 #: Characters of context on either side.
 CONTEXT = 32
 
@@ -40,10 +44,27 @@ _CLUSTER = re.compile(r"[+0-9][0-9\x20.()-]*")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_OBFUSCATED = re.compile(r"[\w.%+-]{1,64}\s?(?:@|\[at\]|\(at\)|\{at\})\s?[\w-]{1,63}(?:\s?(?:\.|\[dot\]|\(dot\)|\{dot\})\s?[\w-]{1,63}){1,8}", re.IGNORECASE)
-#: Brackets around "at" and "dot" in addresses that are written out, and what they stand for.
-_BRACKETS = ("[]", "()", "{}")
+_OBFUSCATED = re.compile(r"[\w.%+-]{1,64}(?:\s?(?:@|\[at\]|\(at\)|\{at\})\s?|\sat\s(?=[\w-]{1,63}\sdot\s))[\w-]{1,63}(?:(?:\.|\s?(?:\[dot\]|\(dot\)|\{dot\})\s?|\sdot\s)[\w-]{1,63}){1,8}", re.IGNORECASE)
+_DEFANGED = re.compile(r"(?<![0-9])[0-9]{1,3}(?:\s?[\[({](?:\.|dot)[\])}]\s?[0-9]{1,3}){3}(?![0-9])", re.IGNORECASE)
+_COLONS = re.compile(r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}(?:::?[0-9A-Fa-f]{1,4}){3,7}(?![0-9A-Za-z:])")
+_AT = re.compile(r"@|[\[({]at[\])}]|\sat\s[\w-]{1,63}\sdot\s", re.IGNORECASE)
+# Forms to learn, by kind; # is a digit, x a hexadecimal one, N the part of an address before its @ and H a host's name.
+FORMS = {
+    "email": ("N [at] H [dot] com", "N(at)H(dot)org", "N {at} H.net", "N [at] H.example.com", "N at H dot com", "N at H dot co dot uk", "N @ H.com", "N[at]H[dot]example[dot]org", "N (at) H (dot) de"),
+    "ip": ("#[.]#[.]#[.]#", "#(.)#(.)#(.)#", "#[dot]#[dot]#[dot]#", "xxxx:xxxx:xxxx:xxxx:xxxx:xxxx:xxxx:xxxx", "xxxx:xxx::xxxx:xxxx:x", "fe80::xxxx:xxxx:xxxx:xxxx", "2001:db8::xxxx:xx"),
+    "card": ("####.####.####.####", "####  ####  ####  ####", "#### - #### - #### - ####", "####.######.#####", "####  ######  #####"),
+    "phone": ("0#### ######", "(0##) ####-####", "(0##) ########", "00## ## ########", "0049 ### #######", "(###) ###-####", "###-###-####", "###.###.####", "0## ### ####", "0### ## ## ##", "0# ## ## ## ##", "1 ### ### ####", "1-###-###-####", "0###-#######", "0###########"),
+}
+# Forms that look alike but are none; L is a card number that fails its check digit.
+LOOKALIKES = {
+    "email": ("@N", "# @ #.##", "N@", "N @ ##.##", "N.N [at", "N @N", "at H.com", "N (at) home", "[at] the end"),
+    "ip": ("#.#.999.#", "##:##:##", "xx:xx:xx:xx:xx:xx", "##:##:##:##", "300.#.#.#.#", "#[#]#[#]#", "xx-xx-xx-xx", "1:2:3:4:5"),
+    "card": ("L", "L", "#### #### ####", "978-#-##-######-#", "####-####", "############", "##.####.####.##"),
+    "phone": ("L", "20##-0#-1# 1# 0#", "1#.0#.20##", "20##-0#-1#", "19##-20## ##", "#.###.###", "# ### ### ###", "##.#### ##.####", "17########", "########", "20########", "0.#### 0.####", "978-#-##-######-#", "978#########", "#### - ####", "##-##-##-##", "1#### 1#### 1####", "0000 0000"),
+}
+#: What bracketed words stand for.
 _MARKED = [(re.compile(r"\s?(?:\[at\]|\(at\)|\{at\})\s?", re.IGNORECASE), "@"), (re.compile(r"\s?(?:\[dot\]|\(dot\)|\{dot\})\s?", re.IGNORECASE), ".")]
+_CUES = ("no", "order", "total", "page", "item", "version", "ref", "see", "on", "")
 _HINTS = {
     "email": ("mail", "contact", "write", "@"),
     "ip": ("ip", "host", "server", "addr"),
@@ -109,10 +130,16 @@ def base_spans(text: str, runs: list[tuple[int, int]] | None = None) -> list[Spa
 
 
 def candidates(text: str, runs: list[tuple[int, int]]) -> list[Span]:
-    """Overlapping spans of high recall: every number of 7 to 19 digits as card, phone and, if dotted, address; written-out e-mail addresses."""
+    """Overlapping spans of high recall.
+
+    Every number of 7 to 19 digits as card and phone, dotted, bracketed and
+    colon-separated groups as IP address, and written-out e-mail addresses.
+    """
     found = set()
-    if "@" in text or "at]" in text or "at)" in text or "at}" in text or "AT]" in text or "AT)" in text:
+    if _AT.search(text):
         found.update(Span(m.start(), 0, m.end()) for m in _OBFUSCATED.finditer(text))
+    if ":" in text:
+        found.update(Span(m.start(), 1, m.end()) for m in _COLONS.finditer(text))
     for a, b in runs:
         while b > a and not "0" <= text[b - 1] <= "9":
             b -= 1
@@ -126,47 +153,112 @@ def candidates(text: str, runs: list[tuple[int, int]]) -> list[Span]:
             if 7 <= n <= 19 and e - s <= 64:
                 found.update((Span(s, 2, e), Span(s, 3, e)))
         found.update(Span(m.start(), 1, m.end()) for m in _IP.finditer(text, a, b) if m.end() - m.start() <= 32)
+    if "[.]" in text or "(.)" in text or "{.}" in text or "dot" in text or "DOT" in text:
+        found.update(Span(m.start(), 1, m.end()) for m in _DEFANGED.finditer(text))
     return sorted(found)
 
 
-N_FEATURES = 22
+N_FEATURES = 34
 
 
 def features(text: str, span: Span) -> list[float]:
-    """Format and context of a candidate; the strict rules' own tests (Luhn, digit bounds, the plus sign) aren't among them."""
+    """Format and context of a candidate; the digits of an e-mail address say nothing, so only whether it ends in them counts."""
     inner, kind = text[span.start : span.end], KINDS[span.kind]
     before, after = text[max(0, span.start - CONTEXT) : span.start], text[span.end : span.end + CONTEXT]
-    digits = _digits(inner)
-    groups = [g for g in re.split("[^0-9]+", inner) if g]
+    digits = "" if kind == "email" else _digits(inner)
+    groups = [g for g in re.split("[^0-9]+", inner) if g and digits]
     low = before.lower()
+    hexes = [g for g in re.split("[^0-9A-Fa-f]+", inner) if g] if ":" in inner else []
     return [
         *(float(kind == k) for k in KINDS), float(len(inner)), float(len(digits)), float(len(groups)),
-        float(max(map(len, groups), default=0)), float(min(map(len, groups), default=0)),
-        float(inner.count(".")), float(inner.count("-")), float(inner.count(" ")), float(inner.count("(") + inner.count(")")), float(inner.count("@")),
+        float(max(map(len, groups), default=0)), float(min(map(len, groups), default=0)), float(len(groups[0]) if groups else 0), float(len(groups[-1]) if groups else 0),
+        float(inner.count(".")), float(inner.count("-")), float(inner.count(" ")), float(inner.count("(") + inner.count(")")), float(inner.count("[") + inner.count("{")), float(inner.count("@")),
+        float(inner.count(":")), float("::" in inner), float(max(map(len, hexes), default=0)), float("  " in inner), float(inner.startswith("0")), float(inner.startswith(("00", "(0"))),
+        float(luhn(digits)), float(max(map(int, groups), default=0) > 255), float(inner[:2] in ("19", "20")), float(inner[:1].isalpha()), float(inner[-1:].isalpha()),
         float(len(set(digits))), float(bool(before) and (before[-1].isalnum() or before[-1] in "=\"'_#/@")),
         float(bool(after) and (after[0].isalnum() or after[0] in "\"'_%@/")), float(before[-1:].isspace() or not before), float(after[:1].isspace() or not after),
-        float(any(h in low for h in _HINTS[kind])), float(sum(c.isdigit() for c in before)), float(sum(c.isdigit() for c in after)),
+        float(any(h in low for h in _HINTS[kind])),
     ]
 
 
-def rewritten(text: str, strict: list[Span]) -> tuple[str, set[Span]]:
-    """The text with its strict addresses written out and its phone numbers without the plus sign, and the spans of these."""
-    parts, spans, end, at = [], set(), 0, 0
-    for s in strict:
-        if s.kind not in (0, 3) or s.start < end:
-            continue
-        inner = text[s.start : s.end]
-        if s.kind == 0:
-            a, b = _BRACKETS[zlib.crc32(inner.encode()) % len(_BRACKETS)]
-            name, host = inner.split("@")
-            inner = f"{name} {a}at{b} " + (host.replace(".", f" {a}dot{b} ") if zlib.crc32(inner.encode()) % 2 else host)
+def _check_digit(digits: str) -> str:
+    return next(d for d in "0123456789" if luhn(digits + d))
+
+
+def made(form: str, kind: int, rng: random.Random) -> str:
+    """An item in a form; digits of a card form end in their check digit."""
+    def name(sign: str) -> str:
+        letters = "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4)))
+        return letters + rng.choice(("", sign + letters[:2], str(rng.randint(0, 9)), str(rng.randint(1, 999))))
+
+    if form == "L":
+        head = rng.choice("3456") + "".join(rng.choice("0123456789") for _ in range(14))
+        whole = head + rng.choice([d for d in "0123456789" if d != _check_digit(head)])
+        return rng.choice(("", " ", "-", ".", "  ")).join(whole[k : k + 4] for k in range(0, 16, 4))
+    out = []
+    for c in form:
+        if c == "N":
+            out.append(name(rng.choice("._")))
+        elif c == "H":
+            out.append(name("-"))
+        elif c == "x":
+            out.append(rng.choice("0123456789abcdef"))
+        elif c == "#":
+            out.append(str(rng.randint(0, 255)) if kind == 1 and ":" not in form else rng.choice("0123456789"))
         else:
-            inner = inner[1:]
-        at += s.start - end
-        parts += text[end : s.start], inner
-        spans.add(Span(at, s.kind, at := at + len(inner)))
-        end = s.end
-    return "".join([*parts, text[end:]]), spans
+            out.append(c)
+    item = "".join(out)
+    if kind == 2 and form in FORMS["card"]:
+        item = item[:-1]
+        item += _check_digit(_digits(item))
+    return item
+
+
+def _shape(inner: str) -> str:
+    return re.sub("[A-Za-z_]+", "a", re.sub("[0-9]", "#", inner))
+
+
+_SHAPES = frozenset(_shape(f) for k in ("card", "phone") for f in FORMS[k])
+
+
+def planted(text: str, form: str, kind: int, rng: random.Random) -> tuple[str, int, int]:
+    """A stretch of the text with an item in it, after a cue in half the cases (a look-alike's may be a true item's), and the item's place."""
+    at = text.find(" ", rng.randint(0, max(0, len(text) - 1)))
+    at = len(text) if at < 0 else at
+    item = made(form, kind, rng)
+    true = form in FORMS[KINDS[kind]]
+    cue = rng.choice(_HINTS[KINDS[kind]][:-1] if true or rng.random() < 0.3 else _CUES) + rng.choice((" ", ": ", ". ")) if rng.random() < 0.5 else ""
+    left = f"{text[max(0, at - 2 * CONTEXT) : at]} {cue}"
+    return f"{left}{item}{rng.choice((' ', ' ', ', ', '. ', ')'))}{text[at + 1 : at + 2 * CONTEXT]}", len(left), len(left) + len(item)
+
+
+def labelled(text: str) -> list[tuple[list[float], bool, str]]:
+    """(features, label, form) of candidates that the strict patterns don't settle.
+
+    PLANTED items in forms to learn or look-alikes are put into the text, alone
+    each; a candidate that is a whole item of its kind is positive, any other
+    that meets the item is negative. The text's own candidates are negative,
+    but for numbers in a form to learn and addresses that it writes out: these
+    may be personal data, and are left out.
+    """
+    rng, rows = random.Random(zlib.crc32(text.encode())), []
+    for k in range(PLANTED):
+        kind, true = rng.randrange(len(KINDS)), k % 2 == 0
+        form = rng.choice((FORMS if true else LOOKALIKES)[KINDS[kind]])
+        whole, start, end = planted(text, form, kind, rng)
+        runs = clusters(whole)
+        strict = base_spans(whole, runs)
+        for span in candidates(whole, runs):
+            hit = true and span == (start, kind, end)
+            if span.start < end and start < span.end and not any(span.start < t.end and t.start < span.end for t in strict) and (hit or span.kind or not written_out(whole[span.start : span.end])):
+                rows.append((features(whole, span), hit, form if hit else ""))
+    runs = clusters(text)
+    strict = base_spans(text, runs)
+    for span in candidates(text, runs)[:200]:
+        inner = text[span.start : span.end]
+        if not any(span.start < t.end and t.start < span.end for t in strict) and (_shape(inner) not in _SHAPES if span.kind > 1 else ":" not in inner and "[" not in inner) and not (span.kind == 0 and written_out(inner)):
+            rows.append((features(text, span), False, ""))
+    return rows
 
 
 def written_out(inner: str) -> bool:
@@ -177,52 +269,46 @@ def written_out(inner: str) -> bool:
     return plain != inner and _emails(plain) == [Span(0, 0, len(plain))]
 
 
-def labelled(text: str) -> list[tuple[list[float], bool, str]]:
-    """(features, label, hash) of the candidates that the strict patterns don't settle.
+class Learned(NamedTuple):
+    """Trees, thresholds by kind, and what the thresholds reach on held-out documents: (precision, recall) by kind."""
 
-    Positive are the rewritten strict spans, which have the forms that the
-    trees are to add; negative are all others, but for addresses that the text
-    itself writes out, which are neither.
-    """
-    text, true = rewritten(text, base_spans(text))
-    runs = clusters(text)
-    strict, rows = base_spans(text, runs), []
-    for span in candidates(text, runs):
-        inner = text[span.start : span.end]
-        if any(span.start < t.end and t.start < span.end for t in strict) or (span.kind == 0 and span not in true and written_out(inner)):
-            continue
-        rows.append((features(text, span), span in true, hashlib.md5(f"{inner}:{span.kind}".encode()).hexdigest()))
-    return rows
+    model: tuple
+    thresholds: list[float]
+    reached: list[tuple[float, float]]
 
 
-def train(docs: DataFrame) -> tuple[tuple, list[float]]:
-    """(trees, thresholds by kind) from a bounded sample of texts, labelled by rewrites of their strict spans.
+def train(docs: DataFrame) -> Learned:
+    """Trees and thresholds from a bounded sample of distinct texts.
 
-    A fifth of the sample's candidates, by hash, calibrates: a kind's threshold
-    is the least from LEAST on whose held-out precision reaches PRECISION, and
-    above 1 (nothing is added) where none does.
+    A fifth of the documents, by hash, calibrates: a kind's threshold is the
+    least from LEAST on whose precision on them reaches PRECISION, and above 1
+    (nothing is added) where none does.
     """
+    arrow_batches(docs.sparkSession)
     n = max(1, docs.count())
     share = min(1_000_000, math.ceil(1_000_000 * SAMPLE_DOCS / n))
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [r for text in batch.column(0).to_pylist() for r in labelled(text)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.float64())), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.string())], ["x", "y", "at"])
+            rows = [(*r, hashlib.md5(text.encode()).hexdigest()) for text in batch.column(0).to_pylist() for r in labelled(text)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.float64())), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[3] for r in rows], pa.string())], ["x", "y", "at"])
 
-    sample = docs.filter(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share)).select("text")
-    drawn = sorted(sample.mapInArrow(propose, "x array<double>, y boolean, at string").orderBy("at").limit(SAMPLE_CANDIDATES).collect(), key=lambda r: (r["at"], r["x"]))
+    sample = docs.filter(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share)).select("text").distinct()
+    drawn = sorted(sample.mapInArrow(propose, "x array<double>, y boolean, at string").orderBy("at", "x").limit(SAMPLE_CANDIDATES).collect(), key=lambda r: (r["at"], r["x"]))
     x = np.array([r["x"] for r in drawn], float).reshape(-1, N_FEATURES)
     y = np.array([r["y"] for r in drawn], float)
     held = np.array([int(r["at"][:8], 16) % 5 == 0 for r in drawn], bool)
-    model = boosting.fit(x[~held], y[~held])
-    thresholds = []
+    model = boosting.fit(x[~held], y[~held], rounds=60, depth=4)
     scores = boosting.chance(model, x[held]) if held.any() else np.empty(0)
+    thresholds, reached = [], []
     for k in range(len(KINDS)):
         own = x[held][:, k] > 0 if held.any() else np.empty(0, bool)
-        tried = [t for t in np.arange(LEAST, 1.0, 0.005) if (hit := own & (scores >= t)).any() and y[held][hit].mean() >= PRECISION]
+        true = y[held] > 0
+        tried = [t for t in np.arange(LEAST, 1.0, 0.005) if (hit := own & (scores >= t)).any() and true[hit].mean() >= PRECISION]
         thresholds.append(float(tried[0]) if tried else 2.0)
-    return model, thresholds
+        hit = own & (scores >= thresholds[-1])
+        reached.append((float(true[hit].mean()) if hit.any() else 1.0, float((hit & true).sum() / max(1, (own & true).sum()))))
+    return Learned(model, thresholds, reached)
 
 
 def select(text: str, strict: list[Span], runs: list[tuple[int, int]], model: tuple, thresholds: list[float]) -> list[Span]:
@@ -257,7 +343,7 @@ def find(docs: DataFrame) -> DataFrame:
     learned = docs.sparkSession.sparkContext.broadcast(train(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, thresholds = learned.value
+        model, thresholds, _ = learned.value
         for batch in batches:
             rows = []
             for text in batch.column("text").to_pylist():
@@ -278,7 +364,7 @@ def redact(docs: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, thresholds = learned.value
+        model, thresholds, _ = learned.value
         for batch in batches:
             out = []
             for text in batch.column(at).to_pylist():

@@ -115,6 +115,33 @@ def test_written_out_addresses_are_found(spark):
     assert all(found[k].count(":") == 2 for k in range(900))
 
 
+PLANTED = {
+    "phone": ("07700 900123", "(030) 1234-5678", "0049 30 12345678", "(555) 123-4567", "030 123 4567"), "email": ("john[at]example[dot]org", "a.b (at) home (dot) de", "joe at acme dot com"),
+    "ip": ("2001:db8:85a3:1:2:8a2e:370:7334", "10[.]20[.]30[.]41"), "card": ("4111  1111  1111  1111", "4111 - 1111 - 1111 - 1111"),
+}
+CLEAN = ("4111 1111 1111 1112", "2024-01-15 10", "978-3-16-148410-0", "aa:bb:cc:dd:ee:ff", "1990-1995", "12:30:45", "20240001234", "1.234.567", "12.5 %", "3.14159265", "1.2.3.400", "me @home")
+
+
+def test_added_spans_on_planted_forms(spark, small):
+    """Forms that the strict patterns don't know are found in most cases; look-alikes, failed cards among them, never."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").filter("text is not null")
+    texts = [(kind, item, f"{before} {item} {after}") for kind, items in PLANTED.items() for item in items for before, after in (("you can call or mail", "for more of it"), ("und das ist", "wie es war"))]
+    texts += [("", item, f"{before} {item} {after}") for item in CLEAN for before, after in (("see the phone or card", "for more of it"), ("und das ist", "wie es war"))]
+    df = docs.unionByName(spark.createDataFrame([(10**6 + k, t) for k, (*_, t) in enumerate(texts)], "doc_id long, text string"))
+    found = {r.doc_id: r.spans for r in privacy.find(df).filter(f"doc_id >= {10**6}").collect()}
+    hit = [found[10**6 + k] == f"{kind}:{text.index(item)}:{text.index(item) + len(item)}" for k, (kind, item, text) in enumerate(texts) if kind]
+    assert sum(hit) >= 0.7 * len(hit)
+    assert all(found[10**6 + k] == "" for k, (kind, *_) in enumerate(texts) if not kind)
+
+
+def test_training_without_a_prepared_session(spark, small):
+    from riskgrid.llm import common
+
+    common._SHIPPED.clear()
+    learned = privacy.train(spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text"))
+    assert all(p >= privacy.PRECISION for p, _ in learned.reached) and sum(r for _, r in learned.reached) >= 2.5
+
+
 def test_repeats_are_judged_on_the_input(spark):
     words = [f"w{k}" for k in range(120)]
     docs = frame(spark, [(1, " ".join(words)), (2, "x y " + " ".join(words[10:70]) + " z"), (3, " ".join(words)), (4, " ".join(words[:49])), (5, " ".join(words[60:110]))])
