@@ -25,8 +25,14 @@ COSINE = 0.98
 WIDTH = 0.2
 #: Chance of missing a pair that is just at the threshold.
 MISS = 1e-4
-#: Vectors compared with each other at once.
-BLOCK = 256
+#: Chance neighbours of a vector in a table that keys are chosen for; few, since each costs a copy of the vector.
+LOAD = 0.1
+#: Vectors of a bucket that are compared with each other at once, and the largest group whose pairs are listed.
+BLOCK = 512
+SMALL = 8
+#: Rows gathered before groups are compared, and pairs compared at once.
+GATHERED = 8192
+PAIRS = 65_536
 SEED = 20_240
 
 
@@ -48,7 +54,7 @@ def design(rows: int, dim: int, cosine: float = COSINE, miss: float = MISS) -> t
     shrink = math.sqrt(dim)
     near = same_step(math.sqrt(2 - 2 * cosine) / shrink) if cosine < 1 else 1.0
     far = same_step(math.sqrt(2) / shrink)
-    keys = max(1, math.ceil(math.log(max(rows, 2)) / -math.log(far)))
+    keys = max(1, math.ceil(math.log(max(rows, 2) / LOAD) / -math.log(far)))
     hit = near**keys
     return keys, 1 if hit >= 1 - miss else math.ceil(math.log(miss) / math.log1p(-hit))
 
@@ -60,74 +66,115 @@ def directions(dim: int, keys: int, tables: int, seed: int = SEED) -> tuple[np.n
 
 
 def _keys(x: np.ndarray, keys: int, tables: int) -> np.ndarray:
-    """One signed 64-bit key a vector and table."""
+    """One 32-bit key a vector and table; equal keys are one bucket, so a chance collision only makes a bucket larger."""
     a, shift = directions(x.shape[1], keys, tables)
     steps = np.floor((x @ a.T + shift) / WIDTH).astype(np.int64).view(np.uint64).reshape(len(x), tables, keys)
     odd = np.random.default_rng(SEED).integers(1, 1 << 63, keys, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     h = (steps * odd).sum(axis=2, dtype=np.uint64)
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return (h ^ (h >> np.uint64(29))).view(np.int64)
+    return (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def _linked(x: np.ndarray, sig: np.ndarray, which: int, cosine: float, halves: np.ndarray | None) -> np.ndarray:
-    """Links among rows that table ``which`` is the first to bring together; with ``halves`` only between the two halves."""
-    near = x @ x.T >= cosine
-    np.fill_diagonal(near, False)
-    if halves is not None:
-        near &= halves[:, None] != halves[None, :]
-    for k in range(which):
-        if not near.any():
-            break
-        near &= sig[:, k][:, None] != sig[:, k][None, :]
-    return near
+def _rows_of(column: pa.Array, at: np.ndarray, dim: int) -> np.ndarray:
+    """Rows ``at`` of a list column as a matrix; all have ``dim`` values."""
+    column = column.take(pa.array(at))
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(at), dim)
 
 
-def _roots(near: np.ndarray) -> np.ndarray:
-    """Smallest row that links reach, for each row."""
-    root = np.arange(len(near))
+def _lists(x: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    n, width = x.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(x.ravel(), kind))
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(float)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Smallest of n nodes that edges (a, b) reach, for each node."""
+    root = np.arange(n)
     while True:
-        low = np.where(near, root[None, :], len(near)).min(axis=1)
-        new = np.minimum(root, low)
-        new = new[new]
-        if (new == root).all():
+        low = root.copy()
+        np.minimum.at(low, a, root[b])
+        np.minimum.at(low, b, root[a])
+        low = low[low]
+        if (low == root).all():
             return root
-        root = new
+        root = low
 
 
-HASHED = pa.schema([("class", pa.int64()), ("weight", pa.int64()), ("unit", pa.list_(pa.float64())), ("keys", pa.list_(pa.int64()))])
 LINKED = pa.schema([("class", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
+PLACED = ("group", "class", "weight", "label", "v", "sig", "table", "half", "split")
+
+
+def _near(group: np.ndarray, unit: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (a < b) at the cosine or more within runs of equal group: small runs many at a time, a large run by blocks of rows."""
+    start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    size = np.diff(np.append(start, len(group)))
+    for n in range(2, SMALL + 1):
+        left, right = np.triu_indices(n, 1)
+        at, step = start[size == n], max(1, PAIRS // len(left))
+        for k in range(0, len(at), step):
+            a, b = (at[k : k + step, None] + left).ravel(), (at[k : k + step, None] + right).ravel()
+            near = np.einsum("ij,ij->i", unit[a], unit[b]) >= cosine
+            yield a[near], b[near]
+    for s, n in zip(start[size > SMALL], size[size > SMALL]):
+        step = max(1, 16 * PAIRS // n)
+        for k in range(s, s + n, step):
+            a, b = np.nonzero(unit[k : min(k + step, s + n)] @ unit[s : s + n].T >= cosine)
+            a, b = a + k, b + s
+            yield a[a < b], b[a < b]
+
+
+def _compare(rows: pa.RecordBatch, cosine: float) -> pa.RecordBatch | None:
+    """Links (class, links, root) of whole groups, each pair in the first table that brings it together, within one label and dimension only."""
+    column = {c: rows.column(c).to_numpy(zero_copy_only=False) for c in ("group", "class", "weight", "table", "half", "split")}
+    label = rows.column("label").dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    dims = rows.column("v").value_lengths().to_numpy(zero_copy_only=False)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for dim in np.unique(dims):
+        at = np.flatnonzero(dims == dim)
+        unit = _unit(_rows_of(rows.column("v"), at, int(dim)))
+        tables = rows.column("sig").value_lengths().to_numpy(zero_copy_only=False)[at[0]]
+        sig = _rows_of(rows.column("sig"), at, int(tables))
+        for a, b in _near(column["group"][at], unit, cosine):
+            for k in range(0, len(a), PAIRS):
+                x, y = a[k : k + PAIRS], b[k : k + PAIRS]
+                i, j = at[x], at[y]
+                ok = (label[i] == label[j]) & ~(column["split"][i] & (column["half"][i] == column["half"][j])) & (column["class"][i] != column["class"][j])
+                ok &= (sig[x] == sig[y]).argmax(axis=1) == column["table"][i]
+                found.append((i[ok], j[ok]))
+    if not sum(len(a) for a, _ in found):
+        return None
+    a, b = (np.concatenate(x) for x in zip(*found))
+    ids, inner = np.unique(column["class"], return_inverse=True)
+    links = np.bincount(inner[a], column["weight"][b], len(ids)) + np.bincount(inner[b], column["weight"][a], len(ids))
+    root = ids[_roots(inner[a], inner[b], len(ids))]
+    hit = np.flatnonzero(links)
+    return table(LINKED, [pa.array(ids[hit]), pa.array(links[hit].astype(np.int64)), pa.array(root[hit])])
 
 
-def _compare(members: list[tuple], cosine: float) -> list[tuple[int, int, int]]:
-    """Rows (class, links, root) of one group: members are (class, weight, unit, keys, table, half, split)."""
-    if len(members) < 2:
-        return []
-    ids, weights = np.array([m[0] for m in members]), np.array([m[1] for m in members])
-    halves = np.array([m[5] for m in members]) if members[0][6] else None
-    near = _linked(np.array([m[2] for m in members]), np.array([m[3] for m in members]), members[0][4], cosine, halves)
-    if not near.any():
-        return []
-    order = np.argsort(ids)
-    near = near[np.ix_(order, order)]
-    ids, weights = ids[order], weights[order]
-    links, root = near @ weights, ids[_roots(near)]
-    return [(int(a), int(n), int(r)) for a, n, r in zip(ids, links, root) if n]
+def _grouped(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
+    """Compare runs of rows with one group key, many groups at once; a run may go on in the next batch."""
+    held: list[pa.RecordBatch] = []
 
+    def whole() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
-def _grouped(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
-    """Compare runs of rows with one group key; a run may go on in the next batch."""
-    held, now, out = [], None, []
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("group", "class", "weight", "unit", "keys", "table", "half", "split"))):
-            if row[0] != now:
-                out += _compare(held, cosine)
-                held, now = [], row[0]
-            held.append(row[1:])
-        if len(out) > 10_000:
-            yield table(LINKED, list(zip(*out)))
-            out = []
-    out += _compare(held, cosine)
-    yield table(LINKED, list(zip(*out)) or [[]] * 3)
+        if batch.num_rows:
+            held.append(batch)
+        if sum(x.num_rows for x in held) >= GATHERED:
+            rows = whole()
+            group = rows.column("group").to_numpy()
+            last = len(group) - int(np.argmax(group[::-1] != group[-1])) if group[0] != group[-1] else 0
+            held = [rows.slice(last)]
+            if last and (out := _compare(rows.slice(0, last), cosine)):
+                yield out
+    if held and (out := _compare(whole(), cosine)):
+        yield out
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -137,16 +184,20 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     and those without a label, link with nothing. Identical vectors are one
     class from the start, whose members link among themselves, so a vector that
     a third of all rows share costs as much as any other. Rows of equal vec_id
-    count as different vectors.
+    count as different vectors. Bucket keys are counted in narrow rows first, so
+    vectors, in the type they came in, travel only to buckets that hold several.
     """
     spark = vectors.sparkSession
-    arrow_batches(spark, 2_000)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("string").alias("label"))
+    arrow_batches(spark)
+    wide = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v"), F.col("label").cast("string").alias("label"))
+    kind = wide.schema["v"].dataType.elementType.simpleString()
+    if kind not in ("float", "double"):
+        kind, wide = "double", wide.withColumn("v", F.col("v").cast("array<double>"))
     usable = (
         F.col("label").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     )
-    key = [F.when(F.coalesce(usable, F.lit(False)), F.xxhash64(F.lit(k), F.size("v"), "label", F.transform("v", lambda x: x + F.lit(0.0)))).alias(f"k{k}") for k in (1, 2)]
-    keyed = save(rows.select("vec_id", "label", "v", *key))
+    key = [F.when(F.coalesce(usable, F.lit(False)), F.xxhash64(F.lit(k), F.size("v"), "label", F.transform("v", lambda x: x + F.lit(0.0).cast(kind)))).alias(f"k{k}") for k in (1, 2)]
+    keyed = save(wide.select("vec_id", "label", "v", *key))
     classes = save(
         keyed.filter(F.col("k1").isNotNull()).groupBy("k1", "k2", "label", F.size("v").alias("dim"))
         .agg(F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("first"), F.first("v").alias("v"))
@@ -154,32 +205,29 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     )
     sizes = classes.groupBy("label", "dim").count().groupBy("dim").agg(F.max("count").alias("n")).collect()
     shape = {r["dim"]: design(r["n"], r["dim"], cosine) for r in sizes}
+    hashed_schema = pa.schema([("class", pa.int64()), ("weight", pa.int64()), ("label", pa.string()), ("v", pa.list_(pa.float32() if kind == "float" else pa.float64())), ("sig", pa.list_(pa.int32()))])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("v").to_pylist()
-            for dim, (keys, tables) in shape.items():
-                at = [k for k, v in enumerate(lists) if len(v) == dim]
-                if not at:
-                    continue
-                x = np.array([lists[k] for k in at])
-                x /= np.abs(x).max(axis=1, keepdims=True)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
+            dims = batch.column("v").value_lengths().to_numpy(zero_copy_only=False)
+            for dim in np.unique(dims):
+                at = np.flatnonzero(dims == dim)
+                x = _rows_of(batch.column("v"), at, int(dim))
                 take = pa.array(at)
-                yield table(HASHED, [batch.column("class").take(take), batch.column("weight").take(take), pa.array(list(x), pa.list_(pa.float64())), pa.array(list(_keys(x, keys, tables)), pa.list_(pa.int64()))])
+                yield table(hashed_schema, [*(batch.column(c).take(take) for c in ("class", "weight", "label")), _lists(x, hashed_schema.field("v").type.value_type), _lists(_keys(_unit(x), *shape[int(dim)]), pa.int32())])
 
-    units = save(classes.select("class", "weight", "v").mapInArrow(hashed, "class long, weight long, unit array<double>, keys array<long>").join(classes.select("class", "label"), "class"))
-    bucketed = units.select("class", F.posexplode("keys").alias("table", "key"), F.xxhash64("label", F.size("unit")).alias("of"))
-    filled = save(bucketed.groupBy("of", "table", "key").count().filter("count > 1").select("of", "table", "key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
+    units = save(classes.select("class", "weight", "label", "v").mapInArrow(hashed, f"class long, weight long, label string, v array<{kind}>, sig array<int>"))
+    bucketed = units.select("class", F.size("v").alias("dim"), "label", F.posexplode("sig").alias("table", "key")).select("class", "table", F.xxhash64("label", "dim", "table", "key").alias("bucket"))
+    filled = save(bucketed.groupBy("bucket").count().filter("count > 1").select("bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
     placed = (
-        bucketed.join(filled, ["of", "table", "key"]).withColumn("block", F.pmod(F.xxhash64("class", "table"), F.col("blocks")).cast("int"))
+        bucketed.join(filled, "bucket").withColumn("block", F.pmod(F.xxhash64("class", "table"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("class", "table", (F.col("block") > F.col("other")).alias("half"), (F.col("block") != F.col("other")).alias("split"),
-                F.xxhash64("of", "table", "key", F.least("block", "other"), F.greatest("block", "other")).alias("group"))
+                F.when(F.col("blocks") == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other"))).alias("group"))
     )
     found = save(
-        placed.join(units.select("class", "weight", "unit", "keys"), "class").select("group", "class", "weight", "unit", "keys", "table", "half", "split")
-        .repartition("group").sortWithinPartitions("group").mapInArrow(lambda batches: _grouped(batches, cosine), "class long, links long, root long")
+        placed.join(units, "class").select(*PLACED).repartition("group").sortWithinPartitions("group")
+        .mapInArrow(lambda batches: _grouped(batches, cosine), "class long, links long, root long")
     )
     counted = found.groupBy("class").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("class").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "class")
