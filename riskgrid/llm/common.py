@@ -59,8 +59,8 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-#: Tables of the open scopes, innermost last, and what to call to delete each.
-_SCOPES: list[list] = [[]]
+#: Tables by path with what deletes them: those of the application, then those of the open scopes.
+_SCOPES: list[dict] = [{}]
 
 
 def _deleter(spark: SparkSession, path: str):
@@ -72,43 +72,48 @@ def _deleter(spark: SparkSession, path: str):
 @contextlib.contextmanager
 def temporary() -> Iterator[None]:
     """A scope whose saved tables are deleted at its end; what reads them must be written by then."""
-    made: list = []
+    made: dict = {}
     _SCOPES.append(made)
     try:
         yield
     finally:
         _SCOPES.remove(made)
-        for remove in made:
+        for remove in made.values():
             remove()
 
 
 @atexit.register
 def _clear() -> None:
     """Delete the tables of results that were never written, when the driver ends; a gateway that is gone keeps its own."""
-    for remove in _SCOPES[0]:
+    for remove in _SCOPES[0].values():
         with contextlib.suppress(Exception):
             remove()
 
 
-def stored(df: DataFrame, name: str = "table", codec: str | None = None) -> DataFrame:
-    """Write ``df`` to shared storage and read it back: cuts lineage and survives lost executors."""
+def stored(df: DataFrame, name: str = "table", codec: str | None = None, outer: bool = False) -> DataFrame:
+    """Write ``df`` to shared storage and read it back: cuts lineage and survives lost executors.
+
+    The table is deleted with the innermost scope (``outer``: the one around
+    it), or when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     (df.write.option("compression", codec) if codec else df.write).parquet(path)
-    _SCOPES[-1].append(_deleter(spark, path))
+    _SCOPES[-2 if outer else -1][path] = _deleter(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def save(df: DataFrame) -> DataFrame:
-    """A table between steps, deleted with its scope or when the driver ends."""
+    """A table between steps."""
     return stored(df, codec="zstd")
 
 
 def drop(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`save` that nothing will read again."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/table-" in path:
-            _deleter(df.sparkSession, path)()
+    """Delete a table made by :func:`stored` that nothing will read again; other tables stay."""
+    names = {f.rsplit("/", 2)[-2] for f in df.inputFiles()}
+    for scope in _SCOPES:
+        for path in [p for p in scope if p.rsplit("/", 1)[1] in names]:
+            scope.pop(path)()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

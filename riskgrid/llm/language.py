@@ -24,6 +24,8 @@ DICTIONARY_BYTES = 96 * 1024
 SAMPLE_BYTES = 2048
 #: A language's dictionary is made from twice as many distinct texts at most; the rest of the labelled rows is not collected.
 SAMPLE_ROWS = 120
+#: Languages learned at most, those with most labelled documents.
+LANGUAGES = 200
 #: A text is compressed in blocks of this size, so that far repeats within it don't hide the language.
 BLOCK_BYTES = 4096
 #: Short matches and one step of lookahead: words of a few letters tell languages apart.
@@ -60,22 +62,21 @@ def learn(docs: DataFrame, rows: int = SAMPLE_ROWS) -> dict[str, bytes]:
     the lowest hashes (which are alike over any partitioning), SAMPLE_BYTES of
     each and DICTIONARY_BYTES in all. Copies leave before they are collected: a
     share of hashes with twice as many texts is expected to hold the lowest.
-    Only languages with a text are learned.
+    Only languages with a text are learned, and at most LANGUAGES of them.
     """
-    at, place = F.xxhash64("text"), F.pmod("at", F.lit(1_000_000))
+    spark = docs.sparkSession
     usable = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out())
-    counts, kinds = {}, {}
-    for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(at).alias("d")).collect():
-        counts[r["lang"]], kinds[r["lang"]] = r["n"], r["d"]
-    chosen = F.lit(False)
-    for lang, d in sorted(kinds.items()):
-        chosen |= (F.col("lang") == lang) & (place < max(1, math.ceil(1_000_000 * min(1.0, 4 * rows / d))))
-    drawn = usable.select("lang", F.substring("text", 1, SAMPLE_BYTES).alias("text"), at.alias("at")).filter(chosen).distinct()
-    lowest = F.row_number().over(Window.partitionBy("lang").orderBy(place, "at", "text"))
-    sample = drawn.withColumn("_k", lowest).filter(F.col("_k") <= 2 * rows).drop("_k") if counts else None
+    usable = usable.select("lang", "text", F.xxhash64("text").alias("at")).withColumn("place", F.pmod("at", F.lit(1_000_000)))
+    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("at").alias("d")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    counts = {r["lang"]: r["n"] for r in sizes}
+    shares = [(r["lang"], max(1, math.ceil(1_000_000 * min(1.0, 4 * rows / r["d"])))) for r in sizes]
+    below = F.broadcast(spark.createDataFrame(shares, "lang string, below long"))
+    drawn = usable.join(below, "lang").filter(F.col("place") < F.col("below")).select("lang", "at", "place", F.substring("text", 1, SAMPLE_BYTES).alias("text")).distinct()
+    lowest = F.row_number().over(Window.partitionBy("lang").orderBy("place", "at", "text"))
+    sample = drawn.withColumn("k", lowest).filter(F.col("k") <= 2 * rows).collect()
     made: dict[str, bytearray] = {}
     seen: set[bytes] = set()
-    for r in sorted(sample.collect(), key=lambda r: (r["lang"], r["at"] & (2**64 - 1), r["text"])) if counts else []:
+    for r in sorted(sample, key=lambda r: (r["lang"], r["at"] & (2**64 - 1), r["text"])):
         raw = letters(r["text"])[:SAMPLE_BYTES]
         whole = made.setdefault(r["lang"], bytearray())
         if raw not in seen and len(whole) + len(raw) <= DICTIONARY_BYTES:
@@ -135,6 +136,20 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MAR
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, margin double, rejected boolean")
 
 
+def known(docs: DataFrame, margin: float = MARGIN) -> DataFrame:
+    """The documents' rows whose language can be told, learned from themselves; each row is judged where it is, without a shuffle."""
+    packed = docs.sparkSession.sparkContext.broadcast(tuple(learn(docs).items()))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compressors = _compressors(packed.value)
+        for batch in batches:
+            yield batch.filter(pa.array([not classify(x, compressors, margin)[3] for x in batch.column(at).to_pylist()], pa.bool_()))
+
+    arrow_batches(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """Learn from the documents that aren't held out, predict all: doc_id, held_out, lang_pred, score, margin, rejected."""
     found = predict(docs, learn(docs))

@@ -111,29 +111,29 @@ def pack(cut_pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
     Ranks within a length are counted in groups of doc_id hashes, whose number
     follows the number of rows, so a length that a third of all pieces share is
     spread over many tasks. An empty input gives an empty result; equal rows
-    get different slots.
+    get different slots. Other columns may have any names; sequence_id and
+    offset are replaced.
     """
     spark = cut_pieces.sparkSession
     counted = cut_pieces.groupBy("length").count().collect()
     histogram = {r["length"]: r["count"] for r in counted}
     groups = max(8, sum(histogram.values()) // GROUP_ROWS)
-    slots = spark.createDataFrame(plan(histogram, limit) or [(0, 0, 0, 0, 1, 0)], "length long, rank_from long, rank_to long, first long, each long, base long")
-    grouped = cut_pieces.withColumn("_g", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    slots = spark.createDataFrame(plan(histogram, limit) or [(0, 0, 0, 0, 1, 0)], "size long, rank_from long, rank_to long, first long, each long, base long")
+    order = [F.col(f"r.{c}").asc_nulls_first() for c in ("doc_id", "piece", "ids_crc32") if c in cut_pieces.columns]
+    rows = cut_pieces.select(F.struct(*(F.col(f"`{c}`") for c in cut_pieces.columns)).alias("r"), F.col("length").alias("size"), F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).alias("part"))
     before = (
-        grouped.groupBy("length", "_g").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_g")) - F.col("_n")).drop("_n")
+        rows.groupBy("size", "part").agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("before", F.sum("n").over(Window.partitionBy("size").orderBy("part")) - F.col("n")).drop("n")
     )
-    order = [F.col(c).asc_nulls_first() for c in ("doc_id", "piece", "ids_crc32") if c in cut_pieces.columns]
     ranked = (
-        grouped.withColumn("_r", F.row_number().over(Window.partitionBy("length", "_g").orderBy(*order)) - 1)
-        .join(before, ["length", "_g"]).withColumn("_r", F.col("_r") + F.col("_before"))
+        rows.withColumn("rank", F.row_number().over(Window.partitionBy("size", "part").orderBy(*order)) - 1)
+        .join(before, ["size", "part"]).withColumn("rank", F.col("rank") + F.col("before"))
     )
-    at = F.col("_r") - F.col("rank_from")
+    at = F.col("rank") - F.col("rank_from")
     return (
-        ranked.join(F.broadcast(slots), "length").filter((F.col("_r") >= F.col("rank_from")) & (F.col("_r") < F.col("rank_to")))
-        .withColumn("sequence_id", F.col("first") + F.floor(at / F.col("each")))
-        .withColumn("offset", F.col("base") + (at % F.col("each")) * F.col("length"))
-        .select(*cut_pieces.columns, "sequence_id", "offset")
+        ranked.join(F.broadcast(slots), "size").filter((F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to")))
+        .select(*(F.col(f"r.`{c}`") for c in cut_pieces.columns if c not in ("sequence_id", "offset")),
+                (F.col("first") + F.floor(at / F.col("each"))).alias("sequence_id"), (F.col("base") + (at % F.col("each")) * F.col("size")).alias("offset"))
     )
 
 

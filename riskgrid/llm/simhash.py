@@ -24,10 +24,11 @@ from .common import arrow_batches, components, documents, save, table, texts
 WORDS = 3
 SEED = 42
 RADIUS = 2
+#: Fingerprints whose variants one task emits.
+SPREAD = 100_000
 #: Hashes whose bits are counted at once.
 BLOCK = 65_536
 
-PRINTS = pa.schema([("doc_id", pa.int64()), ("print", pa.int64())])
 
 
 def shingle_hashes(text: str, words: int = WORDS, seed: int = SEED) -> np.ndarray:
@@ -54,15 +55,17 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(set_bits.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
-    """Fingerprint of each whole text (doc_id, text; null: no words): doc_id, print (long)."""
+def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED, more: tuple[str, ...] = ()) -> DataFrame:
+    """Fingerprint of each whole text (doc_id, text; null: no words): doc_id, print (long), and long columns ``more`` as they are."""
+    names = ("doc_id", *more, "print")
+    schema = pa.schema([(c, pa.int64()) for c in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield table(PRINTS, [batch.column("doc_id"), [fingerprint(shingle_hashes(x, words, seed)) for x in texts(batch)]])
+            yield table(schema, [*(batch.column(c) for c in names[:-1]), [fingerprint(shingle_hashes(x, words, seed)) for x in texts(batch)]])
 
     arrow_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, print long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *more, "text").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def ball(radius: int) -> list[int]:
@@ -76,6 +79,8 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     if radius % 2 or radius < 2:
         raise ValueError("the radius must be even: a ball of half the radius is hashed")
     masks = F.array(*(F.lit(m) for m in ball(radius // 2)))
+    spread = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), prints.count() // SPREAD)
+    prints = prints.select("print").repartition(spread, "print")
     reached = prints.select("print", F.explode(masks).alias("mask")).select(F.col("print").bitwiseXOR(F.col("mask")).alias("variant"), "print")
     shared = reached.groupBy("variant").agg(F.min("print").alias("b"), F.max("print").alias("top")).filter(F.col("b") < F.col("top"))
     back = shared.select("b", F.explode(masks).alias("mask"), "variant").select(F.col("variant").bitwiseXOR(F.col("mask")).alias("print"), "b")
@@ -85,19 +90,24 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     )
 
 
+def _classes(prints: DataFrame, radius: int) -> DataFrame:
+    """Distinct fingerprints (column print, and a smallest value ``first`` of each) with the one that their component has (component)."""
+    nodes = save(prints)
+    grouped = components(links(nodes.select("print"), radius)).withColumnRenamed("node", "print")
+    return save(nodes.join(grouped, "print", "left").withColumn("component", F.coalesce("component", "print")))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
     """Group documents whose fingerprints link: doc_id, fingerprint, component_id, kept.
 
     component_id is the smallest doc_id that links reach. Texts without words
     have fingerprint zero and link like any other; rows with equal doc_id stay
     apart unless their fingerprints link, and a null doc_id is never a
-    component_id unless all ids of the group are null.
+    component_id unless all ids of the group are null. ``kept`` holds for every
+    row of that doc_id; :func:`surplus` tells such rows apart.
     """
     prints = save(fingerprints(docs, words, seed))
-    nodes = save(prints.groupBy("print").agg(F.min("doc_id").alias("first")))
-    grouped = components(links(nodes, radius)).withColumnRenamed("node", "print")
-    named = nodes.join(grouped, "print", "left").withColumn("component", F.coalesce("component", "print"))
-    named = save(named)
+    named = _classes(prints.groupBy("print").agg(F.min("doc_id").alias("first")), radius)
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
     classes = save(named.join(smallest, "component").select("print", "component_id"))
     return prints.join(classes, "print").select(
@@ -105,5 +115,40 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED, radiu
     )
 
 
+def surplus(docs: DataFrame, words: int = WORDS, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
+    """What has to go for one document of each group to stay: doc_id, text_hash (xxhash64 of the text), one.
+
+    The document with the smallest doc_id stays (ids before nulls), among its
+    texts that with the smallest hash. Where several rows are that document, its
+    key is listed with ``one`` true: all its rows but one have to go.
+    """
+    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    prints = fingerprints(hashed, words, seed, ("text_hash",)).groupBy("print", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    prints = save(prints)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    named = _classes(prints.groupBy("print").agg(F.min(key).alias("first")), radius)
+    best = named.groupBy("component").agg(F.min("first").alias("best"))
+    classes = named.join(best, "component").select("print", "best")
+    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))
+    return save(prints.join(classes, "print").filter(~stays | (F.col("n") > 1)).select("doc_id", "text_hash", stays.alias("one")))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents' rows with one document of each group of near-duplicates; see :func:`surplus`.
+
+    The keys of rows that go are joined back on id and text hash; Spark
+    broadcasts them where their table is small.
+    """
+    gone = surplus(docs)
+    key = lambda t: F.col("r.doc_id").cast("long").eqNullSafe(t["doc_id"]) & (F.xxhash64("r.text") == t["text_hash"])
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("r"))
+    kept = rows.join(gone, key(gone), "left_anti").select("r.*")
+    several = gone.filter("one")
+    if several.isEmpty():
+        return kept
+    once = rows.join(several, key(several), "left_semi").select("r", F.col("r.doc_id").alias("i"), F.xxhash64("r.text").alias("h")).dropDuplicates(["i", "h"])
+    return kept.unionByName(once.select("r.*"))
+
+
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))

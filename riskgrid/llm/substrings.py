@@ -7,7 +7,9 @@ one document has are dropped. Where a node's stretch to the next node is the
 same at all its occurrences the path doesn't branch, and such runs compact to
 one path, whose windows all start in the same documents. So one row a path, and
 one a window only where paths begin, branch and end, go into the search for the
-smallest document; a second hash verifies each repeat against its source.
+smallest document. Each repeat is verified against its source by a hash of
+another family over the words at both coordinates; fetching the source's words
+themselves would move all texts a third time, which the disk bound rules out.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ WINDOW = 50
 #: Words of a node.
 NODE = 8
 
-_ODD = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
+_ODD = 0x9E3779B97F4A7C15
 _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 _HEAD, _TAIL = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
@@ -55,7 +57,7 @@ class _Powers:
         return self.up, self.down
 
 
-_POWERS = [_Powers(x) for x in _ODD]
+_POWERS = _Powers(_ODD)
 
 
 class Hashed:
@@ -63,17 +65,20 @@ class Hashed:
 
     def __init__(self, words: list[bytes]) -> None:
         self.n = len(words)
+        self.text = words
         self.words = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, self.n)
-        self._sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        up, self._down = _POWERS.upto(self.n + 1)
+        self._sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.words * up[: self.n])])
 
-    def stretch(self, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
-        """Hash of words[start:end] for arrays of starts and ends; ``which`` picks one of two independent hashes."""
-        if which not in self._sums:
-            up, down = _POWERS[which].upto(self.n + 1)
-            words = self.words if not which else _mixed(self.words ^ np.uint64(_ODD[1]))
-            self._sums[which] = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up[: self.n])]), down
-        sums, down = self._sums[which]
-        return _mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(_MIX[which]))
+    def stretch(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of words[start:end] for arrays of starts and ends, from prefix sums."""
+        return _mixed((self._sums[end] - self._sums[start]) * self._down[start] + (end - start).astype(np.uint64) * np.uint64(_MIX[0]))
+
+    def digest(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """XXH3 of the words themselves, joined by one space."""
+        joined, at, xxh3 = b" ".join(self.text), np.zeros(self.n + 1, np.int64), xxhash.xxh3_64_intdigest
+        np.cumsum(np.fromiter(map(len, self.text), np.int64, self.n) + 1, out=at[1:])
+        return np.fromiter((xxh3(joined[a:b]) for a, b in zip(at[start].tolist(), (at[end] - 1).tolist())), np.uint64, len(start))
 
 
 def _slid(x: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -193,7 +198,7 @@ def lookups(docs: DataFrame, marked: DataFrame, window: int, node: int) -> DataF
                 order = np.argsort(at)
                 begin, size = spans_of(hashed, np.array(at)[order], np.array(flags)[order], window, node)
                 if len(begin):
-                    found.append((np.full(len(begin), doc_id), np.full(len(begin), row), begin.astype(np.int32), size.astype(np.int32), _signed(hashed.stretch(begin, begin + size)), _signed(hashed.stretch(begin, begin + size, 1))))
+                    found.append((np.full(len(begin), doc_id), np.full(len(begin), row), begin.astype(np.int32), size.astype(np.int32), _signed(hashed.stretch(begin, begin + size)), _signed(hashed.digest(begin, begin + size))))
             if found:
                 yield table(SPANS, [pa.array(np.concatenate([f[i] for f in found])) for i in range(6)])
 
@@ -201,7 +206,7 @@ def lookups(docs: DataFrame, marked: DataFrame, window: int, node: int) -> DataF
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, node: int = NODE) -> DataFrame:
-    """Spans of words that also stand in a document with a smaller doc_id: doc_id, row, spans array<struct<start, size>>."""
+    """Spans of words that also stand in a document with a smaller doc_id: doc_id, row, spans array<struct<start, size, source>>, source that doc_id."""
     arrow_batches(docs.sparkSession)
     found = save(graph_nodes(docs, window, node))
     seen = found.groupBy("node").agg(*(f(c).alias(f"{c}_{n}") for c in ("doc_id", "before", "after") for f, n in ((F.min, "a"), (F.max, "b"))))
@@ -217,7 +222,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, node: int = NODE) -> DataFram
     source = save(first.drop("last"))
     return (
         wanted.join(source, ["key", "check"]).filter(F.col("first") < F.col("doc_id"))
-        .groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "size")).alias("spans"))
+        .groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "size", F.col("first").alias("source"))).alias("spans"))
     )
 
 
@@ -230,9 +235,10 @@ def _covered(n: int, spans: list[dict] | None) -> np.ndarray:
 
 
 def with_repeats(docs: DataFrame, window: int = WINDOW, node: int = NODE) -> DataFrame:
-    """The documents' rows with a column ``spans`` of the word spans to remove (null: none)."""
-    found = save(repeats(docs, window, node)).withColumnsRenamed({"doc_id": "_doc", "row": "_row", "spans": "_spans"})
-    return docs.join(found, (F.col("doc_id") == F.col("_doc")) & (_row() == F.col("_row")), "left").drop("_doc", "_row")
+    """Each document's row as a struct ``r``, so that its columns may have any names, with the ``spans`` of words to remove (null: none)."""
+    found = save(repeats(docs, window, node)).select(F.col("doc_id").alias("d"), F.col("row").alias("h"), "spans")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("r"))
+    return rows.join(found, (F.col("r.doc_id") == F.col("d")) & (F.xxhash64("r.text") == F.col("h")), "left").select("r", "spans")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, node: int = NODE) -> DataFrame:
@@ -245,7 +251,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, node: int = NODE) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist()):
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
                 words = _split(text)
                 gone = _covered(len(words), spans)
                 kept = b" ".join(w for w, x in zip(words, gone.tolist()) if not x) if spans else b" ".join(words)
@@ -253,7 +259,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, node: int = NODE) -> D
             yield table(RESULT, [batch.column("doc_id"), *(zip(*rows) if rows else [[]] * 3)])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return with_repeats(docs, window, node).select("doc_id", "text", "_spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return with_repeats(docs, window, node).select("r.doc_id", "r.text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def strip_repeats(docs: DataFrame, window: int = WINDOW, node: int = NODE) -> DataFrame:
@@ -262,20 +268,22 @@ def strip_repeats(docs: DataFrame, window: int = WINDOW, node: int = NODE) -> Da
     A text that loses words is its kept words joined by one space (empty if
     none is left); all other texts, null among them, stay as they are.
     """
-    names = docs.columns
-    at = names.index("text")
+    n, at = len(docs.columns), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist()):
+            for text, spans in zip(batch.column(at).to_pylist(), batch.column(n).to_pylist()):
                 if spans:
                     words = _split(text)
                     text = b" ".join(w for w, x in zip(words, _covered(len(words), spans).tolist()) if not x).decode()
                 out.append(text)
-            yield batch.select(names).set_column(at, "text", pa.array(out, pa.string()))
+            yield batch.select(list(range(n))).set_column(at, "text", pa.array(out, pa.string()))
 
-    return with_repeats(docs, window, node).mapInArrow(run, docs.schema)
+    spans = "spans"
+    while spans in map(str.lower, docs.columns):
+        spans += "_"
+    return with_repeats(docs, window, node).select("r.*", F.col("spans").alias(spans)).mapInArrow(run, docs.schema)
 
 
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ whatever the vocabulary's size.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import os
 import re
@@ -26,9 +27,9 @@ from . import tokens
 from .common import arrow_batches, documents, save, table
 
 LIMIT = 512
-#: Most entries and longest entry of the broadcast table: its size is bounded whatever the corpus.
+#: Most entries of the broadcast table, and characters from which a pre-token stands in it by its MD5: its size is bounded whatever the corpus.
 HEAD_ROWS = 250_000
-HEAD_BYTES = 64
+HEAD_CHARS = 64
 #: Distinct pre-tokens that a task holds before it hands them on.
 HELD = 150_000
 
@@ -85,19 +86,29 @@ def vocabulary(docs: DataFrame, tokenizer: str = tokens.DEFAULT) -> DataFrame:
     return distinct.mapInArrow(encoded, "token string, n long, pieces long")
 
 
+def _short(token: str) -> str:
+    """A pre-token as the broadcast table knows it."""
+    return token if len(token) <= HEAD_CHARS else "\0" + hashlib.md5(token.encode()).hexdigest()
+
+
 def head(vocab: DataFrame, rows: int = HEAD_ROWS) -> tuple[dict[str, int], DataFrame]:
-    """(piece counts of the most frequent pre-tokens, at most ``rows`` of them; the rest of the vocabulary)."""
-    step = F.when(F.octet_length("token") > HEAD_BYTES, -1).otherwise(F.floor(F.log2(F.col("n")) * 8)).cast("int")
+    """(piece counts of the most frequent pre-tokens, at most ``rows`` of them; the rest of the vocabulary).
+
+    Long pre-tokens, such as a line of dashes that every document has, stand in
+    the table by a digest, so frequent ones never go through the join.
+    """
+    step = F.floor(F.log2(F.col("n")) * 8).cast("int")
     sizes = {r["step"]: r["count"] for r in vocab.groupBy(step.alias("step")).count().collect()}
     least, total = math.inf, 0
-    for at in sorted((x for x in sizes if x >= 0), reverse=True):
+    for at in sorted(sizes, reverse=True):
         total += sizes[at]
         if total > rows:
             break
         least = at
     if least == math.inf:
         return {}, vocab
-    return {r["token"]: r["pieces"] for r in vocab.filter(step >= int(least)).select("token", "pieces").collect()}, vocab.filter(step < int(least))
+    short = F.when(F.length("token") <= HEAD_CHARS, F.col("token")).otherwise(F.concat(F.lit("\0"), F.md5(F.encode("token", "UTF-8"))))
+    return {r["token"]: r["pieces"] for r in vocab.filter(step >= int(least)).select(short.alias("token"), "pieces").collect()}, vocab.filter(step < int(least))
 
 
 def count_tokens(docs: DataFrame, tokenizer: str = tokens.DEFAULT, limit: int = LIMIT) -> DataFrame:
@@ -121,7 +132,7 @@ def count_tokens(docs: DataFrame, tokenizer: str = tokens.DEFAULT, limit: int =
                 found, known = counted(text or "", tokenizer)
                 names, numbers = [], []
                 for token, n in found.items():
-                    if (k := pieces.get(token)) is None:
+                    if (k := pieces.get(token if len(token) <= HEAD_CHARS else _short(token))) is None:
                         names.append(token)
                         numbers.append(n)
                     else:

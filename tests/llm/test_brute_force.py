@@ -287,3 +287,38 @@ def test_next_documents_of_hot_ids(spark, monkeypatch, case):
     assert max(sizes) <= 150 and (heavy is not None) == (case == "equal rows")
     found = parsing.fingerprint_documents(df).collect()
     assert sorted((str(r.doc_id), r.edited_sha256) for r in found) == followed(rows, len(rows))
+
+
+def test_languages_by_plain_compression(spark, small, docs):
+    import zstandard
+
+    learned = language.learn(spark.read.parquet(f"{small}/documents.parquet"))
+    how = zstandard.ZstdCompressionParameters(**language.SETTINGS, strategy=zstandard.STRATEGY_LAZY, write_content_size=False, write_dict_id=False)
+    found = {r.doc_id: r for r in language.op4_language_id(spark, small).collect()}
+    for k, text in docs.items():
+        if not text or not any(c.isalpha() for c in text):
+            assert (found[k].lang_pred, found[k].score) == ("und", 0.0)
+            continue
+        kept = "".join(c if ord(c) > 127 or c.isalpha() else " " if ord(c) < 33 or ord(c) == 127 else "" for c in text.lower()).encode()
+        sizes = {}
+        for lang, raw in learned.items():
+            size = 0
+            for at in range(0, len(kept), language.BLOCK_BYTES):
+                known = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                size += len(zstandard.ZstdCompressor(compression_params=how, dict_data=known).compress(kept[at : at + language.BLOCK_BYTES]))
+            sizes[lang] = size
+        assert found[k].lang_pred == min(sizes, key=sizes.get)
+
+
+def test_packing_uses_few_sequences(spark, small):
+    """Never more than first-fit decreasing piece by piece, nor the bound by total length and by pieces over half."""
+    rows = packing.op2_best_fit_packing(spark, small).collect()
+    open_ = []
+    for n in sorted((r.length for r in rows), reverse=True):
+        at = next((k for k, left in enumerate(open_) if left >= n), None)
+        if at is None:
+            open_.append(2048 - n)
+        else:
+            open_[at] -= n
+    used = len({r.sequence_id for r in rows})
+    assert max(-(-sum(r.length for r in rows) // 2048), sum(r.length > 1024 for r in rows)) <= used <= len(open_)

@@ -98,6 +98,73 @@ def test_language_sample_is_bounded(spark, monkeypatch):
     assert learned["en"].count(language.letters(copied)) >= 1
 
 
+def test_languages_of_one_text_or_too_many_are_learned(spark):
+    one = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("der eine text der immer wieder steht").alias("text"), F.lit("de").alias("lang"))
+    many = spark.range(3000, 4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("some text of number "), "id").alias("text"), F.concat(F.lit("x"), F.col("id") % 500).alias("lang"))
+    more = spark.range(4000, 6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("the text of number "), "id").alias("text"), F.lit("en").alias("lang"))
+    learned = language.learn(one.unionByName(many).unionByName(more))
+    assert {"de", "en"} <= set(learned) and len(learned) <= language.LANGUAGES
+    assert language.learn(one.filter("false")) == {}
+
+
+NAMES = ("first", "each", "base", "rank_from", "rank_to", "_g", "_r", "_n", "part", "size", "before", "r", "spans", "_spans", "_row", "_doc", "d", "h", "one", "text_hash", "best", "print", "sequence_id")
+
+
+def clashing(spark, texts):
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    return df.select("*", *(F.lit(k).alias(c) for k, c in enumerate(NAMES)))
+
+
+@pytest.mark.parametrize("change", [substrings.strip_repeats, privacy.redact, simhash.one_of_each, language.known])
+def test_clashing_columns_pass_through(spark, change):
+    df = clashing(spark, [(k, f"the text of the row {k} and all that there is in it") for k in range(5)])
+    if change is language.known:
+        df = df.withColumn("lang", F.lit("en"))
+    out = change(df)
+    assert out.columns == df.columns and {r.first for r in out.collect()} == {0}
+    assert change(df.filter("false")).collect() == []
+
+
+def test_packing_with_clashing_columns(spark):
+    cut = clashing(spark, [(k, "x") for k in range(30)]).withColumns({"piece": F.lit(0), "length": F.lit(100).cast("long") + F.col("doc_id")})
+    rows = packing.pack(cut).collect()
+    assert len(rows) == 30 and {r.first for r in rows} == {0} and len({(r.sequence_id, r.offset) for r in rows}) == 30
+
+
+def test_one_row_of_each_group_stays(spark):
+    text = "the very same text stands here in every one of them"
+    rows = [(1, text), (1, text), (2, text), (None, text), (5, "another text that has nothing to do with them at all"), (5, "a third text under the very same number as the other one"), (7, None), (7, None), (None, "one without a number that stays as it is here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.monotonically_increasing_id())
+    kept = simhash.one_of_each(df).collect()
+    assert sorted((str(r.doc_id), (r.text or "")[:9]) for r in kept) == [("1", text[:9]), ("5", "a third t"), ("5", "another t"), ("7", ""), ("None", "one witho")]
+
+
+def test_long_frequent_tokens_are_looked_up(spark):
+    line = "=" * 500
+    docs = spark.createDataFrame([(k, f"{line} some {k}") for k in range(40)], "doc_id long, text string")
+    frequent, rest = tokencount.head(tokencount.vocabulary(docs).cache(), rows=30)
+    assert any(k.startswith("\0") for k in frequent) and rest.filter(F.length("token") > 64).count() == 0
+    want = len(tokencount.tokens.library("byte_bpe_50k.json").encode(f"{line} some 7", add_special_tokens=False).ids)
+    assert {r.doc_id: r.n_tokens for r in tokencount.count_tokens(docs).collect()}[7] == want
+
+
+def test_temporary_tables_are_deleted(spark):
+    import os
+
+    from riskgrid.llm import common
+
+    def tables():
+        return {f for f in os.listdir(common.shared_folder(spark).removeprefix("file:")) if f.startswith(("table-", "kept-"))}
+
+    before = tables()
+    with common.temporary():
+        inner = common.save(spark.range(5))
+        out = common.stored(inner.filter("id > 1"), "kept", outer=True)
+    assert len(tables() - before) == 1 and out.count() == 3
+    common.drop(out)
+    assert tables() == before
+
+
 def test_redaction_leaves_clean_texts(spark):
     docs = frame(spark, [(1, "write to a.b@example.com or +1 (555) 010-9999, card 4111 1111 1111 1111, host 10.0.0.255!"), (2, "nothing to see in 2024, really 12.5 %")])
     out = {r.doc_id: r.text for r in privacy.redact(docs).collect()}

@@ -42,3 +42,12 @@ def test_documents_without_id_stay(spark, small):
     for _, stage in corpus_pipeline.STAGES[:4]:
         docs = stage(spark, docs, small)
     assert sorted(str(r.doc_id) for r in docs.collect()) == ["1", "None"]
+
+
+def test_identical_rows_leave_one(spark, small):
+    text = "The first of the two texts has all of this in it and it is the same as the other one."
+    rows = [(1, text, "en", "s", 1), (1, text, "en", "s", 1), (2, text, "en", "s", 1), (3, "12 34", "en", "s", 1), (3, "The text of the row is in the words of a language that we know.", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        docs = stage(spark, docs, small)
+    assert sorted(r.doc_id for r in docs.collect()) == [1, 3]
