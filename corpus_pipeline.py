@@ -7,28 +7,25 @@ return the columns of documents.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskgrid.llm import language, packing, privacy, simhash, substrings
-from riskgrid.llm.common import shared_folder
+from riskgrid.llm.common import drop, stored, temporary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose language can't be told: null, without letters, or within the reject margin."""
-    kept = language.identify(docs).filter(~F.col("rejected")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*COLUMNS)
+    """Drop documents whose language can't be told: null, without letters, or within the reject margin. Rows are judged one by one, whatever their ids."""
+    return language.known(docs.select(*COLUMNS))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of each group of near-duplicates; a document without id stays."""
-    kept = simhash.near_duplicates(docs).filter("kept or doc_id is null").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*COLUMNS)
+    """Keep one row of each group of near-duplicates: that with the smallest doc_id (a null one last)."""
+    return simhash.one_of_each(docs.select(*COLUMNS))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,12 +56,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table of ``sf_dir``."""
+    """All stages over the documents table of ``sf_dir``; a stage's own tables are deleted once it is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-    return docs
+    for name, stage in STAGES[:-1]:
+        with temporary():
+            out = stored(stage(spark, docs, sf_dir), name, outer=True)
+        drop(docs)
+        docs = out
+    return STAGES[-1][1](spark, docs, sf_dir)
