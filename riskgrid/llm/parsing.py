@@ -26,10 +26,11 @@ from .common import arrow_batches, documents, save, table
 #: Slots of a fingerprint by level; a level's phrases are about three times as long as those below.
 SLOTS = {2: 16, 3: 24, 4: 24}
 #: Bytes of text in a range of neighbouring documents, and the most ranges (their bounds are held by every task).
-RANGE_BYTES = 32 << 20
-MOST_RANGES = 10_000
-#: Keys drawn for each range to find the bounds.
+RANGE_BYTES = 4 << 20
+MOST_RANGES = 20_000
+#: Keys drawn for each range to find the bounds, in proportion to their bytes, and what a row counts beside its text.
 SAMPLE_KEYS = 50
+ROW_BYTES = 200
 #: Rows of one doc_id and text that stay rows of a range; beyond, or beyond a 20,000th of all rows, they are taken once.
 EQUAL_ROWS = 64
 #: Rows of equal documents that one task hands out.
@@ -182,16 +183,18 @@ def _ordered(ids: pa.Array, hashes: pa.Array) -> np.ndarray:
 
 
 def _ranges(keys: DataFrame, rows: int, size: int) -> np.ndarray:
-    """First possible keys of the ranges, from a bounded sample of the distinct keys with their rows as weights."""
+    """First possible keys of the ranges, of about equal bytes, from a bounded sample of the distinct keys."""
     spark = keys.sparkSession
     wanted = min(MOST_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / RANGE_BYTES)))
-    share = min(1_000_000_000, math.ceil(1e9 * SAMPLE_KEYS * wanted / max(rows, 1)))
-    drawn = keys.filter(F.pmod(F.xxhash64("_hash", "doc_id"), F.lit(1_000_000_000)) < share).select("doc_id", "_hash", "n").toArrow().combine_chunks()
+    mean = max(1.0, (size + ROW_BYTES * rows) / max(rows, 1))
+    chance = F.lit(SAMPLE_KEYS * wanted / max(rows, 1)) * (F.coalesce("size", F.lit(0)) + ROW_BYTES * F.col("n")) / F.lit(mean)
+    drawn = keys.withColumn("chance", chance).filter(F.pmod(F.xxhash64("_hash", "doc_id"), F.lit(1_000_000_000)) < F.col("chance") * 1e9)
+    drawn = drawn.select("doc_id", "_hash", F.greatest("chance", F.lit(1.0)).alias("weight")).toArrow().combine_chunks()
     if not drawn.num_rows:
         return np.array([b""], "S17")
     at = _ordered(drawn.column("doc_id").combine_chunks(), drawn.column("_hash").combine_chunks())
     order = np.argsort(at)
-    weight = np.cumsum(drawn.column("n").to_numpy()[order])
+    weight = np.cumsum(drawn.column("weight").to_numpy()[order])
     cuts = np.searchsorted(weight, np.arange(1, wanted) * weight[-1] / wanted, side="left") + 1
     return np.concatenate([[b""], np.unique(at[order][cuts[cuts < len(at)]])]).astype("S17")
 
@@ -219,7 +222,7 @@ def neighbours(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_h"))
         once = rows.join(known, same).groupBy("doc_id", "_hash").agg(F.min("text").alias("text"), F.max("_n").alias("_times")).select(*rows.columns, "_times")
         single = single.join(known, same, "left_anti").unionByName(once)
-        keys = keys.withColumn("n", F.when(F.col("n") > limit, F.lit(1)).otherwise(F.col("n")))
+        keys = keys.withColumns({"size": F.when(F.col("n") > limit, F.col("size") / F.col("n")).otherwise(F.col("size")), "n": F.when(F.col("n") > limit, F.lit(1)).otherwise(F.col("n"))})
     bounds = _ranges(keys, total or 0, size or 0)
     packed = spark.sparkContext.broadcast(bounds)
 
@@ -238,7 +241,7 @@ def neighbours(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         "_at", F.explode(F.when(F.col("_to").isNull(), F.slice(copies, 1, 1)).otherwise(copies))
     )
     moved = both.select("_at._range", "_at._copy", "_times", "doc_id", "_hash", "text").repartitionById(len(bounds), F.col("_range"))
-    return moved.sortWithinPartitions("_copy", F.col("doc_id").asc_nulls_first(), "_hash").drop("_hash"), heavy
+    return moved.sortWithinPartitions("_range", "_copy", F.col("doc_id").asc_nulls_first(), "_hash").drop("_hash"), heavy
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
