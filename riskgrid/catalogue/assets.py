@@ -134,6 +134,7 @@ def o7(spark, folder):
     return quality.set_difference(expected, plants(spark, folder).select("country").distinct())
 
 
-@query("a40_table_profile")
+@query("a40_table_profile", """SELECT name, type, (SELECT count(*) FROM supplier) AS rows, CASE name WHEN 's_acctbal' THEN (SELECT count(*) FROM supplier WHERE s_acctbal < 0) ELSE 0 END AS missing, example FROM (SELECT unnest(['s_suppkey', 's_name', 's_nationkey', 's_acctbal']) AS name, unnest(['bigint', 'string', 'int', 'double']) AS type,
+unnest([min(s_suppkey::VARCHAR), min(s_name), min(s_nationkey::VARCHAR), min(CASE WHEN s_acctbal >= 0 THEN s_acctbal END::VARCHAR)]) AS example FROM supplier)""")
 def a40(spark, folder):
-    return quality.profile(read_table(spark, folder, "supplier"))
+    return quality.profile(read_table(spark, folder, "supplier").withColumn("s_acctbal", F.when(F.col("s_acctbal") >= 0, F.col("s_acctbal"))))

@@ -32,6 +32,11 @@ def r(c, digits: int = 6):
     return F.round(F.col(c) if isinstance(c, str) else c, digits)
 
 
+def single(c: str):
+    """In single precision: unlike decimal rounding it has no boundaries among products of short decimals."""
+    return F.col(c).cast("float").cast("double")
+
+
 _SAMPLES: dict[tuple[str, str], DataFrame] = {}
 
 

@@ -8,7 +8,7 @@ from riskgrid.functions import exprs as X
 from riskgrid.operators import grid, quality, risk
 from riskgrid.plans import carriers
 
-from .base import bands, index, query, r, risks, samples
+from .base import bands, index, query, r, risks, samples, single
 
 
 @query("s2_plants", "SELECT * FROM plants", "plants")
@@ -50,9 +50,9 @@ def a11(spark, folder):
     return risk.global_bounds(samples(spark, folder))
 
 
-@query("c8_risk_by_hazard", "SELECT plant_uid, water_scenario, model, term, round(hazard, 8) AS hazard, round(age_factor, 8) AS age_factor, round(risk + 3e-7, 5) AS risk FROM risk", "risk")
+@query("c8_risk_by_hazard", "SELECT plant_uid, water_scenario, model, term, round(hazard, 8) AS hazard, round(age_factor, 8) AS age_factor, risk::FLOAT::DOUBLE AS risk FROM risk", "risk")
 def c8(spark, folder):
-    return risks(spark, folder).select("plant_uid", "water_scenario", "model", "term", r("hazard", 8).alias("hazard"), r("age_factor", 8).alias("age_factor"), r(F.col("risk") + 3e-7, 5).alias("risk"))
+    return risks(spark, folder).select("plant_uid", "water_scenario", "model", "term", r("hazard", 8).alias("hazard"), r("age_factor", 8).alias("age_factor"), single("risk").alias("risk"))
 
 
 @query("c8_top_risk", """SELECT country, term, water_scenario, model, rank, plant_uid, round(risk, 6) AS risk FROM (SELECT *, row_number() OVER (PARTITION BY country, term, water_scenario, model

@@ -39,7 +39,8 @@ PRIMACY = {("precip", "ws", "hydro"): "precip", ("precip", "ws", "thermal"): "ws
 DATA_TIER = {"ws": 1, "spei": 3, "precip": 3, "sv": 4, "iv": 4}
 GATE, NONLINEAR, SKEWED = 0.80, 0.10, 0.5
 SWEPT = (0.60, 0.65, 0.70, 0.75, 0.80, 0.85, 0.90)
-LABELS = ("LOW", "MEDIUM", "HIGH", "EXTREME")
+LABELS = LABELS_BY_BAND = ("LOW", "MEDIUM", "HIGH", "EXTREME")
+EXCLUDED_TERMS = ("wildfire", "slr")
 SHIFTED_CUTS = (0.4, 0.5, 0.6)
 PARAMETERS = (
     ("coal_decay_rate", 0.0019, 0.0044), ("wind_relative_rate", 0.0030, 0.0050), ("hydro_retention_rate", 0.0050, 0.0060),

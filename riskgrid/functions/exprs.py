@@ -44,6 +44,13 @@ def neg_log_minmax(x: Column | str, low: Column, high: Column, pad: Column | flo
     return F.when(x.isNull(), None).when(high <= low, 0.0).otherwise(clip(-F.log1p(-share) / F.log1p(F.lit(1.0) / pad), 0.0, 1.0))
 
 
+def transform(name: Column | str, x: Column | str, low: Column, high: Column, pad: Column | float = C.UPPER_PAD) -> Column:
+    """The transform of a name, as the normalisation origin gives it; an unknown name raises."""
+    name = col(name)
+    known = F.when(name == "neg_log_minmax", neg_log_minmax(x, low, high, pad)).when(name == "direct_minmax", minmax(x, low, high)).when(name == "log1p_minmax", log1p_minmax(x, low, high))
+    return known.otherwise(F.when(name.isNull(), None).otherwise(F.raise_error(F.concat(F.lit("unknown transform "), name)).cast("double")))
+
+
 def log1p_minmax(x: Column | str, low: Column, high: Column) -> Column:
     """log1p, then linear scaling."""
     return minmax(F.log1p(at_least(col(x), 0.0)), F.log1p(at_least(low, 0.0)), F.log1p(at_least(high, 0.0)))

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from riskgrid.functions import config as C
 from riskgrid.functions import exprs as X
+from riskgrid.plans.sizes import checked_broadcast
 
 # Source columns by internal name, and the statuses that count.
 SOURCE_COLUMNS = {
     "Plant / Project name": "plant_name", "Latitude": "lat", "Longitude": "lon", "Capacity (MW)": "capacity_mw", "Type": "fuel_type",
     "Start year": "commissioning_year", "Country/area": "country", "Status": "status",
 }
+PLANT_COLUMNS = ("country", "plant_name", "lat", "lon", "capacity_mw", "commissioning_year", "fuel_type", "mixed_fuel_type", "bucket")
 OPERATING = ("operating",)
 PLANNED = ("construction", "pre-construction", "announced")
 TOLERANCE = 0.0009
@@ -30,9 +31,6 @@ def read_assets(spark: SparkSession, path: str, form: str = "csv") -> DataFrame:
     return named.withColumns({c: number(c) for c in ("lat", "lon", "capacity_mw", "commissioning_year")})
 
 
-UNIT_SCHEMA = T.StructType([T.StructField(c, T.DoubleType() if c in ("lat", "lon", "capacity_mw", "commissioning_year") else T.StringType()) for c in SOURCE_COLUMNS.values()])
-
-
 def with_status(units: DataFrame) -> DataFrame:
     """Class of each unit from its trimmed lower-case status: operating, planned or other."""
     s = F.lower(F.trim("status"))
@@ -43,6 +41,26 @@ def status_counts(units: DataFrame) -> DataFrame:
     return with_status(units).groupBy("status_class").agg(F.count(F.lit(1)).alias("units"), F.concat_ws(",", F.array_sort(F.collect_set(F.lower(F.trim("status"))))).alias("statuses"))
 
 
+def read_plants(table: DataFrame) -> DataFrame:
+    """Validated plants: numbers coerced (bad ones null), a missing mixed flag false, and an id of the country's code and the raw name and place.
+
+    :func:`quality.colliding_ids` tells ids that two different plants share.
+    """
+    lacking = [c for c in PLANT_COLUMNS if c not in table.columns]
+    if lacking:
+        raise ValueError(f"missing plant columns: {lacking}")
+    number = lambda c: X.finite(F.expr(f"try_cast(`{c}` as double)"))
+    code = F.upper(F.substring(F.trim("country"), 1, 3))
+    id = X.content_id(code, F.col("plant_name"), F.col("lat").cast("string"), F.col("lon").cast("string"))
+    numbers = {c: number(c) for c in ("lat", "lon", "capacity_mw", "commissioning_year")}
+    return table.withColumn("plant_uid", id).withColumns(numbers | {"mixed_fuel_type": F.coalesce(F.expr("try_cast(mixed_fuel_type as boolean)"), F.lit(False))})
+
+
+def disputed(areas: DataFrame) -> DataFrame:
+    """Countries with whether one of their first-level areas (country, gid) has a code that begins with Z."""
+    return areas.groupBy("country").agg(F.coalesce(F.bool_or(F.col("gid").startswith("Z")), F.lit(False)).alias("disputed"))
+
+
 def in_scope(units: DataFrame, countries: list[str]) -> DataFrame:
     return units.filter(F.trim("country").isin(*countries))
 
@@ -54,7 +72,7 @@ def boxed(plants: DataFrame, boxes: DataFrame) -> DataFrame:
     that is set do plants outside leave, with a reason.
     """
     inside = F.coalesce(F.col("lon").between(F.col("xmin"), F.col("xmax")) & F.col("lat").between(F.col("ymin"), F.col("ymax")), F.lit(False))
-    out = plants.join(F.broadcast(boxes), "country", "left").withColumn("inside", inside)
+    out = plants.join(checked_broadcast(boxes), "country", "left").withColumn("inside", inside)
     stays = F.col("inside") | ~F.coalesce("mainland_only", F.lit(False))
     return out.withColumns({"stays": stays, "reason": F.when(~stays, "outside the mainland box")}).drop("xmin", "ymin", "xmax", "ymax", "mainland_only")
 

@@ -108,9 +108,9 @@ def rank_sum_test(values: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     flag = F.col("flag")
     stats = known.groupBy(*by).agg(
         F.count_if(flag).alias("n1"), F.count_if(~flag).alias("n2"), F.sum(F.when(flag, F.col("rk"))).alias("r1"),
-        F.percentile(F.when(flag, F.col("value")), F.lit(0.5)).alias("median1"), F.percentile(F.when(~flag, F.col("value")), F.lit(0.5)).alias("median2"),
     )
-    joined = stats.join(ties, list(by)) if by else stats.crossJoin(ties)
+    halves = ranks.percentiles(values.filter("value is not null"), "value", {"m": 0.5}, *by, "flag").groupBy(*by).agg(F.max(F.when(flag, F.col("m"))).alias("median1"), F.max(F.when(~flag, F.col("m"))).alias("median2"))
+    joined = stats.join(ties, list(by)).join(halves, list(by)) if by else stats.crossJoin(ties).crossJoin(halves)
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
     enough = (F.col("n1") >= 3) & (F.col("n2") >= 3)

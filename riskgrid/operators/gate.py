@@ -43,11 +43,11 @@ def pair_table(samples: DataFrame) -> DataFrame:
     return found.select("term_a", "term_b", "gated", "bucket", F.when(F.col("by_model"), F.col("model")).otherwise("not_model_dependent").alias("model"), F.explode(F.array("country", F.lit("pooled"))).alias("country"), "x", "y")
 
 
-def run_gate(samples: DataFrame, threshold: float = C.GATE, small_groups: bool = True) -> DataFrame:
+def run_gate(samples: DataFrame, threshold: float = C.GATE, small_groups: bool = False) -> DataFrame:
     """Correlations and verdict of each pair, bucket, country and model; pooled rows have no verdict.
 
-    Windows rank a group in one task; ``small_groups=False`` takes ranks in two
-    levels. Pooled groups grow with the plants, so the registered queries do.
+    Ranks are taken in two levels, since pooled groups grow with the plants;
+    ``small_groups=True`` ranks a group in one task by windows.
     """
     keys = ("term_a", "term_b", "gated", "bucket", "country", "model")
     rows = pair_table(samples)

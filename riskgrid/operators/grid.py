@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskgrid.functions import config as C
 from riskgrid.functions import exprs as X
+from riskgrid.plans import ranks
 
 
 def cell_of(lon: Column | str, lat: Column | str, xmin: float, ymax: float, res: float) -> tuple[Column, Column]:
@@ -33,6 +34,14 @@ def wide(samples: DataFrame, *keys: str) -> DataFrame:
     return samples.groupBy(*keys).pivot("term", list(C.TERMS)).agg(F.first("value"))
 
 
+def long(table: DataFrame, *keys: str, terms: tuple[str, ...] = C.TERMS) -> DataFrame:
+    """One row a term column: keys, term, value, missing values included; other columns are left out, an absent term raises."""
+    lacking = [t for t in terms if t not in table.columns]
+    if lacking:
+        raise ValueError(f"missing term columns: {lacking}")
+    return table.select(*keys, *(F.col(t).cast("double").alias(t) for t in terms)).unpivot(list(keys), list(terms), "term", "value")
+
+
 def regrid(cells: DataFrame, source: tuple[float, float, float], target: tuple[float, float, float], extent: tuple[float, float]) -> DataFrame:
     """Nearest-neighbour values on a finer or coarser grid that spans ``extent`` (width, height in degrees)."""
     (xmin, ymax, res), (txmin, tymax, tres) = source, target
@@ -88,5 +97,7 @@ def normalise(cells: DataFrame, domains: DataFrame, *by: str, sentinel: float |
 
 def threshold_summary(values: DataFrame, cut: float, percentiles: tuple[float, ...] = (0.9, 0.95, 0.99), by: tuple[str, ...] = ()) -> DataFrame:
     """Share at or above a cut with the valid count, and percentile cuts."""
-    out = [F.avg(F.when(F.col("value").isNotNull(), (F.col("value") >= cut).cast("double"))).alias("share"), F.count("value").alias("n")]
-    return values.groupBy(*by).agg(*out, *(F.percentile("value", F.lit(p)).alias(f"p{round(p * 100)}") for p in percentiles))
+    share = values.groupBy(*by).agg(F.avg(F.when(F.col("value").isNotNull(), (F.col("value") >= cut).cast("double"))).alias("share"))
+    at = {f"p{round(p * 100)}": p for p in percentiles}
+    found = ranks.percentiles(values, "value", at, *by)
+    return (share.join(found, list(by)) if by else share.crossJoin(found)).select(*by, "share", "n", *at)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskgrid.functions import config as C
@@ -16,6 +16,8 @@ from . import gate, risk
 # Water category boundaries and bucket weights of the composite score.
 WATER_BOUNDARIES = {"ws": (0.1, 0.2, 0.4, 0.8), "sv": (0.33, 0.66, 1.00, 1.33), "iv": (0.25, 0.50, 0.75, 1.00)}
 WATER_BANDS = ("Low", "Low-Medium", "Medium-High", "High", "Extremely High")
+EQUAL_TERMS = ("ws", "heat", "sv", "iv")
+SCORE_CUTS = (0.128, 0.386, 0.647)
 COMPOSITE = {"hydro": (0.55, 0.0, 0.45), "thermal": (0.525, 0.175, 0.30), "wind": (0.0, 0.95, 0.05), "solar": (0.0, 0.95, 0.05)}
 
 
@@ -50,8 +52,9 @@ def overlay(validated: DataFrame) -> DataFrame:
 
 def spread(values: DataFrame, *by: str) -> DataFrame:
     """n, percentiles, largest value and skewness of each group."""
-    at = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
-    return values.groupBy(*by).agg(F.count("value").alias("n"), *(F.percentile("value", F.lit(p)).alias(f"p{round(p * 100)}") for p in at), F.max("value").alias("top"), gate.skewness("value").alias("skewness"))
+    at = {f"p{round(p * 100)}": p for p in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)}
+    rest = values.groupBy(*by).agg(F.max("value").alias("top"), gate.skewness("value").alias("skewness"))
+    return ranks.percentiles(values, "value", at, *by).join(rest, list(by)).select(*by, "n", *at, "top", "skewness")
 
 
 def unmatched(samples: DataFrame) -> DataFrame:
@@ -120,7 +123,92 @@ def composite_score(samples: DataFrame, bounds: DataFrame, multipliers: DataFram
         F.count("_x").alias("_k"), F.first("parts").alias("_p"), F.sum(F.col("weight") * F.col("_x")).alias("_s"), F.first(X.age_factor()).alias("_a")
     )
     score = F.when(F.col("_k") == F.col("_p"), F.col("_s") * F.col("_a") * F.coalesce("multiplier", F.lit(1.0)))
-    return summed.join(F.broadcast(multipliers.select("country", "multiplier")), "country", "left").select("plant_uid", "country", "bucket", "water_scenario", "model", score.alias("score"))
+    return summed.join(multipliers.select("country", "multiplier"), "country", "left").select("plant_uid", "country", "bucket", "water_scenario", "model", score.alias("score"))
+
+
+def with_capacity(result: DataFrame, inventory: DataFrame) -> DataFrame:
+    """A result table with its plants' capacity (null where the inventory lacks a plant); one already there is replaced."""
+    own = inventory.groupBy("plant_uid").agg(F.max("capacity_mw").alias("capacity_mw"))
+    return result.drop("capacity_mw").join(own, "plant_uid", "left")
+
+
+def plant_places(table: DataFrame) -> DataFrame:
+    """Coordinates of each plant, once: those of its first row by longitude and latitude."""
+    return table.filter("lon is not null and lat is not null").groupBy("plant_uid").agg(F.min(F.struct("lon", "lat")).alias("p")).select("plant_uid", "p.lon", "p.lat")
+
+
+def country_ranks(index: DataFrame) -> DataFrame:
+    """Countries by their capacity-weighted mean index, ranked within scenario and model; without a known index last."""
+    mean = index.groupBy("country", "water_scenario", "model").agg(X.weighted_mean("index_value", "capacity_mw").alias("mean_index"))
+    return mean.withColumn("rank", F.rank().over(Window.partitionBy("water_scenario", "model").orderBy(F.col("mean_index").desc_nulls_last())))
+
+
+def by_absolute(table: DataFrame, value: str) -> DataFrame:
+    """Rows by falling absolute value, missing last, with their place."""
+    return table.withColumn("place", F.rank().over(Window.orderBy(F.abs(value).desc_nulls_last()))).orderBy("place")
+
+
+def gate_matrix(gate_rows: DataFrame) -> DataFrame:
+    """The gate's rows with a label a pair and how their statistic was decided."""
+    label = F.concat_ws(" vs ", "term_a", "term_b")
+    return gate_rows.select(label.alias("pair_label"), "gated", "bucket", "country", "model", "n", F.when(F.col("nonlinear"), "spearman").otherwise("pearson").alias("method"), F.abs("decision_r").alias("strength"), "verdict")
+
+
+def invariant_band(bands: DataFrame, term: str = "wind") -> DataFrame:
+    """One row a bucket and band of a term that no scenario or model moves: plants and MW, each plant once."""
+    once = bands.filter((F.col("term") == term) & F.col("risk_band").isNotNull()).groupBy("plant_uid", "bucket").agg(F.min("risk_band").alias("risk_band"), F.max("capacity_mw").alias("capacity_mw"), F.count_distinct("risk_band").alias("_k"))
+    sure = F.when(F.col("_k") > 1, F.raise_error(F.lit(f"{term} band differs between scenarios")).cast("string")).otherwise(F.col("risk_band"))
+    return once.withColumn("risk_band", sure).groupBy("bucket", "risk_band").agg(F.count(F.lit(1)).alias("n"), F.sum("capacity_mw").alias("mw"))
+
+
+def hazard_scores(samples: DataFrame) -> DataFrame:
+    """Equal-weight score of water stress, heat and both variabilities for rows that know all four, with its fixed band.
+
+    Terms are scaled to their range over those rows, by model; stress and heat
+    after log1p.
+    """
+    keys = ("plant_uid", "country", "bucket", "water_scenario", "model", "capacity_mw")
+    wide = samples.filter(F.col("term").isin(*EQUAL_TERMS)).groupBy(*keys).pivot("term", list(EQUAL_TERMS)).agg(F.max("value")).na.drop(subset=list(EQUAL_TERMS))
+    spans = wide.groupBy("model").agg(*(f(t).alias(f"_{n}_{t}") for t in EQUAL_TERMS for n, f in (("lo", F.min), ("hi", F.max))))
+    scale = lambda t: (X.log1p_minmax if t in ("ws", "heat") else X.minmax)(F.col(t), F.col(f"_lo_{t}"), F.col(f"_hi_{t}"))
+    score = sum((scale(t) * (1.0 / len(EQUAL_TERMS)) for t in EQUAL_TERMS[1:]), scale(EQUAL_TERMS[0]) * (1.0 / len(EQUAL_TERMS)))
+    return wide.join(F.broadcast(spans), "model").select(*keys, *EQUAL_TERMS, score.alias("score")).withColumn("band", X.band("score", [F.lit(c) for c in SCORE_CUTS], C.LABELS_BY_BAND))
+
+
+def heat_bands(scores: DataFrame) -> DataFrame:
+    """Scored rows with the band of their heat between the quarters and the 95th percentile of its model."""
+    at = {"_a": 0.25, "_b": 0.75, "_c": 0.95}
+    cuts = ranks.percentiles(scores, "heat", at, "model").drop("n")
+    return scores.join(F.broadcast(cuts), "model").withColumn("heat_band", X.band("heat", [F.col(c) for c in at], C.LABELS_BY_BAND)).drop(*at)
+
+
+def water_heat_table(scores: DataFrame, water: DataFrame) -> DataFrame:
+    """Capacity share of each water and heat band by country and model, scenarios pooled, with the joint shares high-high and top-top."""
+    keys = ["plant_uid", "water_scenario", "model"]
+    joined = heat_bands(scores).join(water.select(*keys, F.col("band").alias("water_band")), keys)
+    own = joined.groupBy("country", "model", "water_band", "heat_band").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("capacity_mw", F.lit(0.0))).alias("mw"))
+    whole = Window.partitionBy("country", "model")
+    share = F.try_divide("mw", F.sum("mw").over(whole))
+    high = F.col("water_band").isin(*WATER_BANDS[3:]) & F.col("heat_band").isin("HIGH", "EXTREME")
+    top = (F.col("water_band") == WATER_BANDS[4]) & (F.col("heat_band") == "EXTREME")
+    out = own.withColumn("share", share)
+    return out.withColumns({c: F.sum(F.when(x, F.col("share")).otherwise(0.0)).over(whole) for c, x in (("high_high", high), ("top_top", top))})
+
+
+def matched_coverage(scores: DataFrame, plants: DataFrame, scenario: str = C.SCENARIOS[0][0]) -> DataFrame:
+    """Declared and scored capacity by country and model; the scored set is taken from one scenario."""
+    declared = plants.groupBy("country").agg(F.sum("capacity_mw").alias("declared_mw"))
+    matched = scores.filter(F.col("water_scenario") == scenario).groupBy("country", "model").agg(F.sum("capacity_mw").alias("matched_mw"))
+    return matched.join(declared, "country").withColumn("matched_share", F.try_divide("matched_mw", "declared_mw"))
+
+
+def plant_against_grid(samples: DataFrame, cells: DataFrame, *by: str) -> DataFrame:
+    """Percentiles of a layer at the plants beside those over all its cells, and the plants' match rate."""
+    at = {"p5": 0.05, "p50": 0.5, "p95": 0.95}
+    own = ranks.percentiles(samples, "value", at, *by).withColumnsRenamed({"n": "plants_known"} | {c: f"plants_{c}" for c in at})
+    rows = samples.groupBy(*by).agg(F.count(F.lit(1)).alias("plants"))
+    grid = ranks.percentiles(cells, "value", at, *by).withColumnsRenamed({"n": "cells_known"} | {c: f"cells_{c}" for c in at})
+    return own.join(rows, list(by)).join(grid, list(by), "left").withColumn("match_rate", F.col("plants_known") / F.col("plants"))
 
 
 def map_layer(bands: DataFrame) -> DataFrame:
@@ -145,7 +233,7 @@ def age_summary(ages: DataFrame) -> DataFrame:
 def robust(values: DataFrame, *by: str) -> DataFrame:
     """Centred by median over the interquartile range, clipped to p1..p99 and rescaled; rank quantiles beside it."""
     at = {"p1": 0.01, "q1": 0.25, "med": 0.5, "q3": 0.75, "p99": 0.99}
-    stats = values.groupBy(*by).agg(*(F.percentile("value", F.lit(p)).alias(f"_{k}") for k, p in at.items()), F.count("value").alias("_n"))
+    stats = ranks.percentiles(values, "value", {f"_{k}": p for k, p in at.items()}, *by).withColumnRenamed("n", "_n")
     width = F.when(F.col("_q3") > F.col("_q1"), F.col("_q3") - F.col("_q1")).otherwise(1.0)
     z = lambda x: (x - F.col("_med")) / width
     joined = ranks.with_average_ranks(values.filter("value is not null"), {"_rk": "value"}, *by).join(stats, list(by))

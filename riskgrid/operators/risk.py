@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from riskgrid.functions import config as C
 from riskgrid.functions import exprs as X
+from riskgrid.plans import ranks
 
+#: Name of the exposure that only maps use.
+DISPLAY = "exposure_log10_display"
 PLANT = ("plant_uid", "country", "plant_name", "bucket", "capacity_mw")
 
 
@@ -27,12 +30,21 @@ def age_factors(plants: DataFrame) -> DataFrame:
     return plants.withColumns({"age_factor": X.age_factor(), "year_missing": F.col("commissioning_year").isNull()})
 
 
+def display_exposure(plants: DataFrame) -> DataFrame:
+    """log10(MW + 1) for maps, in a column of its own name; a missing capacity stays missing."""
+    return plants.withColumn(DISPLAY, F.log10(X.at_least(F.col("capacity_mw"), 0.0) + 1.0))
+
+
 def risk_by_hazard(samples: DataFrame, bounds: DataFrame, pad: float = C.UPPER_PAD) -> DataFrame:
     """hazard x capacity x age factor for every plant, scenario, model and term; a missing value stays missing.
 
+    Rows that carry the display exposure are refused: it never enters scoring.
+
     Bounds are a table of at most ten rows; the samples are read once and not
     shuffled again.
     """
+    if DISPLAY in samples.columns:
+        raise ValueError(f"{DISPLAY} is for display and can't enter scoring")
     bounds = F.broadcast(bounds.withColumnsRenamed({"term": "_term"}))
     joined = samples.join(bounds, (F.col("term") == F.col("_term")) & (bound_model() == F.col("bound_model")))
     hazard = X.hazard("term", "value", F.col("lo"), F.col("hi"), pad)
@@ -48,9 +60,8 @@ def top_risk(risk: DataFrame, n: int = 10, by: tuple[str, ...] = ("country", "te
 
 
 def percentile_cuts(samples: DataFrame) -> DataFrame:
-    """Percentile cuts of each term's pooled sample, by model."""
-    at = (0.5, 0.75, 0.9, 0.95, 0.99)
-    return samples.groupBy("term", "model").agg(*(F.percentile("value", F.lit(p)).alias(f"p{round(100 * p)}") for p in at), F.count("value").alias("n"))
+    """Percentile cuts of each term's pooled sample, by model; exact, over ranks counted in two levels."""
+    return ranks.percentiles(samples, "value", {f"p{round(100 * p)}": p for p in (0.5, 0.75, 0.9, 0.95, 0.99)}, "term", "model")
 
 
 def band_cuts(samples: DataFrame) -> DataFrame:
@@ -83,14 +94,15 @@ def risk_bands(samples: DataFrame, cuts: DataFrame | None = None) -> DataFrame:
 def screening_index(bands: DataFrame, applicable: DataFrame | None = None, cut: float = 0.5, by: tuple[str, ...] = ("plant_uid", "water_scenario", "model")) -> DataFrame:
     """Share of High or Extreme bands in the bucket's hazard set; one missing band makes the index missing and is named.
 
-    One aggregation by plant, scenario and model, no pivot.
+    One aggregation by plant, scenario and model, no pivot. Plant columns are
+    those of the plant; where rows disagree the smallest value stands.
     """
     spark = bands.sparkSession
     sets = applicable if applicable is not None else spark.createDataFrame(C.applicability(), "bucket string, term string, pos int, size int")
     joined = bands.join(F.broadcast(sets), ["bucket", "term"])
     named = F.array_sort(F.collect_list(F.when(F.col("risk_band").isNull(), F.struct("pos", "term"))))
     out = joined.groupBy(*by).agg(
-        *(F.first(c).alias(c) for c in PLANT[1:] if c in bands.columns and c not in by), F.first("size").alias("set_size"),
+        *(F.min(c).alias(c) for c in PLANT[1:] if c in bands.columns and c not in by), F.max("size").alias("set_size"),
         F.count_if(F.col("risk_band").isNull()).alias("n_missing"), F.count_if(F.col("risk_band").isin("High", "Extreme")).alias("n_high"), named.alias("_named"),
     )
     value = F.when(F.col("n_missing") == 0, F.col("n_high") / F.col("set_size"))
@@ -101,8 +113,15 @@ def index_coverage(index: DataFrame, *by: str) -> DataFrame:
     return index.groupBy(*by).agg(F.count_if(F.col("index_value").isNull()).alias("incomplete"), F.count(F.lit(1)).alias("total")).withColumn("share", F.col("incomplete") / F.col("total"))
 
 
-def rank_within_bucket(index: DataFrame, bucket: str, ascending: bool = False) -> DataFrame:
-    """Rank by index within one bucket, missing last."""
+def rank_within_bucket(index: DataFrame, bucket: str, ascending: bool = False, only: bool = False) -> DataFrame:
+    """Rank by index within one bucket, missing last.
+
+    With ``only`` the rows must be that bucket's: any other raises when it is
+    met, since index values of different buckets don't compare.
+    """
+    if only:
+        wrong = F.raise_error(F.concat(F.lit("rank across buckets: "), F.coalesce("bucket", F.lit("null")))).cast("string")
+        index = index.withColumn("bucket", F.when(F.col("bucket") == bucket, F.col("bucket")).otherwise(wrong))
     order = F.col("index_value").asc_nulls_last() if ascending else F.col("index_value").desc_nulls_last()
     return index.filter(F.col("bucket") == bucket).withColumn("rank", F.rank().over(Window.partitionBy("bucket", "water_scenario", "model").orderBy(order)))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from riskgrid.functions import config as C
 from riskgrid.functions import exprs as X
 from riskgrid.plans import ranks
+from riskgrid.plans.sizes import checked_broadcast
 
 from . import risk
 
@@ -36,11 +37,11 @@ def saltelli_draws(spark: SparkSession, n0: int, seed: int = 20_260_915) -> Data
     return crossed.select("draw", "matrix", *(F.when((F.col("matrix") == "B") | (F.col("matrix") == n), F.col(f"B_{n}")).otherwise(F.col(f"A_{n}")).alias(n) for n in NAMES))
 
 
-def jitter_draws(spark: SparkSession, n: int, seed: int = 1) -> DataFrame:
-    """Rates within 10 % of their values and one common percentile shift within 5."""
+def jitter_draws(draws: DataFrame, seed: int = 1) -> DataFrame:
+    """Rates within 10 % of their values and one common percentile shift within 5, for each row of ``draws`` (draw long)."""
     base = {"coal_decay_rate": C.COAL_DECAY, "wind_relative_rate": C.WIND_RATE, "hydro_retention_rate": C.HYDRO_RATE, "solar_retention_rate": C.SOLAR_RATE}
-    u = lambda name: X.uniform(F.lit(str(seed)), F.col("id").cast("string"), F.lit(name))
-    return spark.range(n).select(F.col("id").alias("draw"), *((F.lit(v) * X.between(u(k), 0.9, 1.1)).alias(k) for k, v in base.items()), X.between(u("shift"), -5.0, 5.0).alias("percentile_shift"))
+    u = lambda name: X.uniform(F.lit(str(seed)), F.col("draw").cast("string"), F.lit(name))
+    return draws.select("draw", *((F.lit(v) * X.between(u(k), 0.9, 1.1)).alias(k) for k, v in base.items()), X.between(u("shift"), -5.0, 5.0).alias("percentile_shift"))
 
 
 def rank_table(samples: DataFrame) -> DataFrame:
@@ -62,38 +63,42 @@ def high_cuts(draws: DataFrame, table: DataFrame, keys: tuple[str, ...]) -> Data
     rows = [(t, "solar" if t == "wind" else "*", C.GUST_PERCENTILES if t == "wind" else C.GENERIC_PERCENTILES) for t in ("spei", "precip", "heat", "sv", "iv", "wind")]
     rules = spark.createDataFrame([(t, float(p[2]), float(max(p)) if t == "wind" else None) for t, _, p in rows], "term string, base double, top double")
     shift = F.coalesce(*(F.when(F.col("term") == t, F.col(f"{t}_percentile_shift")) for t, *_ in rows))
-    capped = F.when(F.col("top").isNotNull() & (shift > 0), F.least(shift, F.lit(C.WIND_CEILING) - F.col("top"))).otherwise(shift)
+    moved = F.when(F.col("top").isNotNull(), X.shifted(F.col("base"), shift, F.col("top"))).otherwise(X.shifted(F.col("base"), shift))
     sizes = table.groupBy("term", "model").agg(F.first("n").alias("n"))
-    wanted = draws.crossJoin(F.broadcast(rules)).join(F.broadcast(sizes), "term").withColumn("at", X.clip(F.col("base") + capped, 0.0, 100.0) / 100.0 * (F.col("n") - 1))
+    wanted = draws.crossJoin(F.broadcast(rules)).join(F.broadcast(sizes), "term").withColumn("at", moved / 100.0 * (F.col("n") - 1))
     both = wanted.select(*keys, "term", "model", "at", F.explode(F.array(F.floor("at"), F.ceil("at"))).alias("rank")).withColumn("block", F.floor(F.col("rank") / RANK_BLOCK))
     met = both.join(table.drop("n"), ["term", "model", "block"]).filter("rank >= low and rank < high")
     cut = F.min("value") + (F.first("at") - F.floor(F.first("at"))) * (F.max("value") - F.min("value"))
     return met.groupBy(*keys, "term", "model").agg(cut.alias("cut"))
 
 
-def index_means(samples: DataFrame, draws: DataFrame, keys: tuple[str, ...] = ("draw",), by: tuple[str, ...] = ()) -> DataFrame:
+def index_means(samples: DataFrame, draws: DataFrame, keys: tuple[str, ...] = ("draw",), by: tuple[str, ...] = (), strata: tuple[str, ...] = ()) -> DataFrame:
     """Mean screening index of each draw and model: keys, model, index_mean.
 
     Completeness doesn't depend on the draw, and the mean index is the sum over
     buckets of counts of high rows over the set's size, divided by all complete
     rows; so rows are counted once by value, and draws join those counts.
-    ``by`` names columns that draws and samples share (their stream).
+    ``by`` names columns that draws and samples share (their stream), ``strata``
+    those of the samples that the means are split by.
     """
     spark = samples.sparkSession
     sets = F.broadcast(spark.createDataFrame(C.applicability(), "bucket string, term string, pos int, size int").drop("pos"))
     rows = samples.join(sets, ["bucket", "term"])
     whole = Window.partitionBy("plant_uid", "water_scenario", "model")
     complete = rows.withColumn("_gone", F.max(F.col("value").isNull()).over(whole)).filter("not _gone")
-    counted = complete.groupBy(*by, "bucket", "term", "model", "size", "value").agg(F.count(F.lit(1)).alias("c"))
-    total = counted.groupBy(*by, "model").agg(F.sum(F.col("c") / F.col("size")).alias("complete"))
+    part = tuple(c for c in dict.fromkeys((*by, *strata)) if c != "bucket")
+    split = (*part, *(("bucket",) if "bucket" in strata else ()))
+    counted = complete.groupBy(*part, "bucket", "term", "model", "size", "value").agg(F.count(F.lit(1)).alias("c"))
+    total = counted.groupBy(*split, "model").agg(F.sum(F.col("c") / F.col("size")).alias("complete"))
     fixed = F.when(F.col("term") == "ws", C.WATER_CUTS[1]).when((F.col("term") == "wind") & (F.col("bucket") == "wind"), C.WIND_CUT)
-    still = counted.filter(fixed.isNotNull()).groupBy(*by, "model").agg(F.sum(F.when(F.col("value") >= fixed, F.col("c") / F.col("size")).otherwise(0.0)).alias("fixed"))
+    still = counted.filter(fixed.isNotNull()).groupBy(*split, "model").agg(F.sum(F.when(F.col("value") >= fixed, F.col("c") / F.col("size")).otherwise(0.0)).alias("fixed"))
     cuts = high_cuts(draws, rank_table(samples), tuple(dict.fromkeys((*by, *keys))))
     moving = counted.filter(fixed.isNull()).join(cuts, [*by, "term", "model"])
-    high = moving.groupBy(*dict.fromkeys((*by, *keys)), "model").agg(F.sum(F.when(F.col("value") >= F.col("cut"), F.col("c") / F.col("size")).otherwise(0.0)).alias("moving"))
-    on = list(dict.fromkeys((*by, *keys)))
-    every = draws.select(*on).join(total, list(by)) if by else draws.select(*on).crossJoin(F.broadcast(total))
-    joined = every.join(high, [*on, "model"], "left").join(still, [*by, "model"], "left")
+    high = moving.groupBy(*dict.fromkeys((*split, *keys)), "model").agg(F.sum(F.when(F.col("value") >= F.col("cut"), F.col("c") / F.col("size")).otherwise(0.0)).alias("moving"))
+    on = list(dict.fromkeys((*split, *keys)))
+    drawn = draws.select(*dict.fromkeys((*by, *keys)))
+    every = drawn.join(total, list(by)) if by else drawn.crossJoin(checked_broadcast(total))
+    joined = every.join(high, [*on, "model"], "left").join(still, [*split, "model"], "left")
     return joined.select(*on, "model", ((F.coalesce("moving", F.lit(0.0)) + F.coalesce("fixed", F.lit(0.0))) / F.col("complete")).alias("index_mean"))
 
 
@@ -101,31 +106,33 @@ RATES = {"coal": "coal_decay_rate", "wind": "wind_relative_rate", "hydro": "hydr
 CURVE = ("bucket", "fuel_type", "mixed_fuel_type", "fuel_types_found", "commissioning_year")
 
 
-def risk_means(samples: DataFrame, bounds: DataFrame, draws: DataFrame, keys: tuple[str, ...] = ("draw",), by: tuple[str, ...] = ()) -> DataFrame:
+def risk_means(samples: DataFrame, bounds: DataFrame, draws: DataFrame, keys: tuple[str, ...] = ("draw",), by: tuple[str, ...] = (), strata: tuple[str, ...] = ()) -> DataFrame:
     """Capacity-weighted mean risk of each draw and model: keys, model, risk_mean.
 
     The mean is sum(MW^2 * hazard * age) / sum(MW). Rows that share an age curve
     and a value are summed once; the padding moves only the terms on a log
     scale, so linear terms are summed over their values too before draws join.
+    Where log-scaled values are continuous, the cost is their rows x draws.
     """
     b = F.broadcast(bounds.withColumnRenamed("term", "_t"))
     rows = samples.filter("value is not null and capacity_mw is not null").join(b, (F.col("term") == F.col("_t")) & (risk.bound_model() == F.col("bound_model")))
     log = F.col("term").isin(*C.LOG_TERMS)
     linear = F.when(log, None).otherwise(X.minmax("value", F.col("lo"), F.col("hi")))
     square = F.col("capacity_mw") * F.col("capacity_mw")
-    grouped = rows.groupBy(*by, "model", *CURVE, F.when(log, F.col("term")).alias("term"), *(F.when(log, F.col(c)).alias(c) for c in ("value", "lo", "hi"))).agg(
+    part = tuple(c for c in dict.fromkeys((*by, *strata)) if c not in CURVE)
+    grouped = rows.groupBy(*part, "model", *CURVE, F.when(log, F.col("term")).alias("term"), *(F.when(log, F.col(c)).alias(c) for c in ("value", "lo", "hi"))).agg(
         F.sum(square * F.coalesce(linear, F.lit(1.0))).alias("s"), F.sum("capacity_mw").alias("w")
     )
-    joined = grouped.join(draws, list(by)) if by else grouped.crossJoin(F.broadcast(draws))
+    joined = grouped.join(draws, list(by)) if by else grouped.crossJoin(checked_broadcast(draws))
     hazard = F.when(F.col("term").isNull(), 1.0).otherwise(X.neg_log_minmax("value", F.col("lo"), F.col("hi"), F.col("upper_tail_padding_fraction")))
     age = X.age_factor(rates={k: F.col(v) for k, v in RATES.items()})
-    return joined.groupBy(*dict.fromkeys((*by, *keys)), "model").agg((F.sum(F.col("s") * hazard * age) / F.sum("w")).alias("risk_mean"))
+    return joined.groupBy(*dict.fromkeys((*by, *strata, *keys)), "model").agg((F.sum(F.col("s") * hazard * age) / F.sum("w")).alias("risk_mean"))
 
 
-def recompute(samples: DataFrame, bounds: DataFrame, draws: DataFrame, keys: tuple[str, ...] = ("draw",), by: tuple[str, ...] = ()) -> DataFrame:
-    """Risk and index mean of each draw and model."""
-    on = [*dict.fromkeys((*by, *keys)), "model"]
-    return risk_means(samples, bounds, draws, keys, by).join(index_means(samples, draws, keys, by), on)
+def recompute(samples: DataFrame, bounds: DataFrame, draws: DataFrame, keys: tuple[str, ...] = ("draw",), by: tuple[str, ...] = (), strata: tuple[str, ...] = ()) -> DataFrame:
+    """Risk and index mean of each draw and model, overall or by strata (country, bucket)."""
+    on = [*dict.fromkeys((*by, *strata, *keys)), "model"]
+    return risk_means(samples, bounds, draws, keys, by, strata).join(index_means(samples, draws, keys, by, strata), on)
 
 
 def summaries(results: DataFrame, value: str, *by: str) -> DataFrame:

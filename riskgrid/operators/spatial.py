@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from riskgrid.functions import config as C
 from riskgrid.functions import exprs as X
 
+from . import grid as layers
+
 #: Side of the coarse cells in degrees.
 COARSE = 2.0
 
@@ -51,8 +53,7 @@ def first_polygon(points: DataFrame, polygons: DataFrame, point: str = "point_id
 def rasterise(grid: tuple[float, float, float], width: int, height: int, polygons: DataFrame, value: str = "value") -> DataFrame:
     """Grid cells with the value of the last polygon (by seq) that holds their centre; null outside."""
     xmin, ymax, res = grid
-    spark = polygons.sparkSession
-    cells = spark.range(width * height).select(F.col("id").alias("point_id"), (F.col("id") / width).cast("int").alias("row"), (F.col("id") % width).cast("int").alias("col"))
+    cells = polygons.sparkSession.range(width * height).select(F.col("id").alias("point_id"), (F.col("id") / width).cast("int").alias("row"), (F.col("id") % width).cast("int").alias("col"))
     points = cells.withColumns({"x": F.lit(xmin) + (F.col("col") + 0.5) * res, "y": F.lit(ymax) - (F.col("row") + 0.5) * res})
     hit = containing(points, polygons).join(polygons.select("poly_id", "seq", value), "poly_id").groupBy("point_id").agg(F.max_by(value, "seq").alias(value))
     return cells.join(hit, "point_id", "left").drop("point_id")
@@ -95,6 +96,33 @@ def largest_part(polygons: DataFrame) -> DataFrame:
     return ranked.filter("_n = 1").withColumn("rings", F.array("_r")).drop("_k", "_r", "_n")
 
 
+def inside_largest_part(areas: DataFrame, countries: DataFrame) -> DataFrame:
+    """Areas (poly_id, country_id, rings) whose vertices' mean lies in the largest part of their country (poly_id, rings)."""
+    main = largest_part(countries).select(F.col("poly_id").alias("country_id"), "rings")
+    ring = F.flatten("rings")
+    mean = lambda c: F.aggregate(F.transform(ring, lambda p: p[c]), F.lit(0.0), lambda s, x: s + x) / F.size(ring)
+    points = areas.select(F.col("poly_id").alias("point_id"), F.col("country_id").alias("own"), mean("x").alias("x"), mean("y").alias("y"))
+    hit = containing(points, main.withColumnRenamed("country_id", "poly_id")).join(points.select("point_id", "own"), "point_id").filter("poly_id = own")
+    return areas.join(hit.select(F.col("point_id").alias("poly_id")), "poly_id", "left_semi")
+
+
+def basin_layer(table: DataFrame, grid: tuple[float, float, float], width: int, height: int, indicator: str = "ws", scenarios: tuple[str, ...] = ("opt", "bau", "pes"), ceiling: float | None = 50.0, sentinel: float = 9999.0) -> DataFrame:
+    """Grid layers of a basin indicator: scenario, row, col, value (raw, the sentinel at the largest real value), scaled; cells outside are null.
+
+    The domain is pooled over all basins and scenarios without the sentinel, so
+    layers of all scenarios compare; each basin is burned into the grid once and
+    its values join the burned cells.
+    """
+    basins = read_basins(table, indicator, scenarios, ceiling)
+    values = basins.select("poly_id", *scenarios).unpivot(["poly_id"], list(scenarios), "scenario", "value").filter("value is not null")
+    span = layers.domain(values, sentinel=sentinel)
+    real = F.when(F.col("value") == sentinel, F.col("hi")).otherwise(F.col("value"))
+    scaled = values.crossJoin(F.broadcast(span)).select("poly_id", "scenario", real.alias("value"), X.minmax(real, F.col("lo"), F.col("hi")).alias("scaled"))
+    burned = rasterise(grid, width, height, basins.withColumn("seq", F.col("poly_id")).withColumn("value", F.col("poly_id")), "value").withColumnRenamed("value", "poly_id")
+    every = burned.crossJoin(F.broadcast(table.sparkSession.createDataFrame([(s,) for s in scenarios], "scenario string")))
+    return every.join(scaled, ["poly_id", "scenario"], "left").select("scenario", "row", "col", "value", "scaled")
+
+
 def read_basins(table: DataFrame, indicator: str = "ws", scenarios: tuple[str, ...] = ("opt", "bau", "pes"), ceiling: float | None = 50.0) -> DataFrame:
     """Wide basin columns {scenario}50_{indicator}_x_r to named ones; rows without geometry or any value drop out.
 

@@ -92,7 +92,7 @@ SQL = {
     "bounds": """bounds AS (SELECT term, CASE WHEN term IN ('heat', 'spei', 'precip') THEN model ELSE '-' END AS bound_model, min(value) AS lo, max(value) AS hi FROM samples WHERE value IS NOT NULL GROUP BY ALL)""",
     "risk": """risk AS (SELECT s.plant_uid, s.country, s.plant_name, s.bucket, s.capacity_mw, s.water_scenario, s.model, s.term,
   CASE WHEN s.value IS NULL THEN NULL WHEN hi <= lo THEN 0.0::DOUBLE WHEN s.term IN ('ws', 'heat', 'wind') THEN
-    least(greatest(-ln(1 - least(greatest((s.value - lo) / (hi + 0.05::DOUBLE * (hi - lo) - lo), 0), 1 - 1e-9::DOUBLE)) / ln(1 + 1 / 0.05::DOUBLE), 0), 1)
+    0.0::DOUBLE + least(greatest(-ln(1 - least(greatest((s.value - lo) / (hi + 0.05::DOUBLE * (hi - lo) - lo), 0), 1 - 1e-9::DOUBLE)) / ln(1 + 1 / 0.05::DOUBLE), 0), 1)
     ELSE least(greatest((s.value - lo) / (hi - lo), 0), 1) END AS hazard, a.age_factor, hazard * s.capacity_mw * a.age_factor AS risk
   FROM samples s JOIN age a USING (plant_uid) JOIN bounds b ON b.term = s.term AND b.bound_model = CASE WHEN s.term IN ('heat', 'spei', 'precip') THEN s.model ELSE '-' END)""",
     "bands": """cuts AS (SELECT term, model, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.75) AS p75, quantile_cont(value, 0.9) AS p90, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99,

@@ -33,6 +33,26 @@ def value_ranks(df: DataFrame, value: str, *by: str, buckets: int = BUCKETS) ->
     return out.select(*by, value, (F.col("high") - F.col("_c")).alias("low"), "high", "n")
 
 
+def percentiles(df: DataFrame, value: str, at: dict[str, float], *by: str) -> DataFrame:
+    """Exact percentiles (linear between neighbouring ranks) of each group: by, one column a name of ``at``, and n known values.
+
+    They come from the rank table, so no task or buffer holds a group's values;
+    a group without a known value has null percentiles and n = 0.
+    """
+    table = value_ranks(df, value, *by)
+    found = []
+    for name, p in at.items():
+        place = F.lit(float(p)) * (F.col("n") - 1)
+        low = F.max(F.when(F.col("low") <= F.floor(place), F.col(value)))
+        high = F.max(F.when(F.col("low") <= F.ceil(place), F.col(value)))
+        share = F.max(place - F.floor(place))
+        found.append((low + share * (high - low)).alias(name))
+    known = table.groupBy(*by).agg(*found, F.max("n").alias("n"))
+    if not by:
+        return known.withColumn("n", F.coalesce("n", F.lit(0)))
+    return df.select(*by).distinct().join(known, list(by), "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
 def with_average_ranks(df: DataFrame, names: dict[str, str], *by: str) -> DataFrame:
     """Add columns ``names`` with the average rank of their value column in its group, ties sharing it; missing values have none.
 

@@ -10,10 +10,13 @@ from pyspark.sql.types import StructType
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the one that ``spark.checkpoint.dir`` names; a temporary one only where that is unset."""
+    """A new folder below the one that ``spark.checkpoint.dir`` names; a temporary one only where that is unset and all runs on one machine."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return f"{sc.getCheckpointDir()}/scratch-{uuid.uuid4().hex}"
 
 

@@ -3,8 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The parquet table ``name`` of a folder, read through Spark only (any file system)."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def read_series(spark: SparkSession, path: str, variables: tuple[str, ...], first_year: int, last_year: int) -> DataFrame:
+    """A series in many files by year as (..., year, value): the first of the variables that the files have, over a window of years.
+
+    The window prunes files; none of the variables raises.
+    """
+    table = spark.read.parquet(path)
+    known = [v for v in variables if v in table.columns]
+    if not known:
+        raise ValueError(f"no variable of {list(variables)}")
+    keys = [c for c in table.columns if c not in known]
+    return table.filter(F.col("year").between(first_year, last_year)).select(*keys, F.col(known[0]).cast("double").alias("value"))

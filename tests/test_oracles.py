@@ -11,7 +11,8 @@ from riskgrid import queries as core
 NAMES = (
     "s2_plants", "j2_hazard_samples", "c7_age_factors", "c8_top_risk", "c9_risk_bands", "c10_screening_index", "c23_cuts_table", "f8_normalised_layer", "j13_regrid",
     "a1_units_to_plants", "c1_clean_assets", "c4_wet_day_exceedance", "c5_mean_annual_max", "c12_correlation_gate", "c19_gate_sweep", "j4_point_in_polygon", "j5_rasterise",
-    "j7_radius_join", "a23_severity", "f31_event_codes", "c13_contextual_validation", "c17_recompute", "c18_hazard_removal", "a27_band_distribution", "t1_annual_max_stream",
+    "j7_radius_join", "a23_severity", "f31_event_codes", "c13_contextual_validation", "c17_recompute", "c18_hazard_removal", "a27_band_distribution", "t1_annual_max_stream", "q3_grid_mismatch", "q4_bounds_drift", "q5_null_hazards", "s7_partitioned_series", "f27_composite_score", "f32_jitter_draws",
+    "a40_table_profile", "c6_basin_layer", "c25_water_heat_table", "c24_plant_against_grid", "c15_pooled", "q8_registry_conflicts", "f7_named_transforms", "w11_country_ranks",
 )
 TABLES = "region nation customer supplier part orders lineitem events"
 
