@@ -48,11 +48,11 @@ def samples(spark: SparkSession, folder: str) -> DataFrame:
     """
     key = (spark.sparkContext.applicationId, folder)
     if key not in _SAMPLES:
-        _SAMPLES[key] = _sampled(spark, folder).persist(StorageLevel.MEMORY_AND_DISK)
+        _SAMPLES[key] = sampled(spark, folder).persist(StorageLevel.MEMORY_AND_DISK)
     return _SAMPLES[key]
 
 
-def _sampled(spark: SparkSession, folder: str) -> DataFrame:
+def sampled(spark: SparkSession, folder: str) -> DataFrame:
     return grid.sample_terms(carriers.plants(spark, folder), carriers.cells(spark, folder), carriers.scenario_keys(spark), carriers.GRID)
 
 

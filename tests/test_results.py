@@ -126,3 +126,38 @@ def test_strata_add_up_to_nothing_new(spark):
     whole = {(r.draw, r.matrix): (r.risk_mean, r.index_mean) for r in sensitivity.recompute(samples, bounds, draws, ("draw", "matrix")).collect()}
     parts = {(r.draw, r.matrix): (r.risk_mean, r.index_mean) for r in sensitivity.recompute(samples, bounds, draws, ("draw", "matrix"), strata=("country", "bucket")).collect()}
     assert whole.keys() == parts.keys() and len(whole) == 30 and all(whole[k] == pytest.approx(parts[k]) for k in whole)
+
+
+def test_recomputed_means_of_continuous_values_equal_a_plain_loop(spark):
+    rng = np.random.default_rng(8)
+    terms = {"hydro": ("ws", "spei", "precip", "sv", "iv"), "thermal": ("ws", "heat", "precip"), "wind": ("wind",), "solar": ("heat", "precip", "wind")}
+    rows = []
+    for k in range(120):
+        bucket = list(terms)[k % 4]
+        fuel = {"thermal": "coal"}.get(bucket, bucket)
+        for t in terms[bucket]:
+            value = None if rng.random() < 0.03 else float(rng.gamma(2.0, 3.0))
+            rows.append((f"p{k}", "X", f"P{k}", bucket, float(rng.integers(1, 90)), float(1970 + k % 50), fuel, False, fuel, "opt", "gfdl_esm4", t, value))
+    samples = spark.createDataFrame(rows, "plant_uid string, country string, plant_name string, bucket string, capacity_mw double, commissioning_year double, fuel_type string, mixed_fuel_type boolean, fuel_types_found string, water_scenario string, model string, term string, value double")
+    draws, bounds = sensitivity.saltelli_draws(spark, 3), risk.global_bounds(samples)
+    found = {(r.draw, r.matrix): (r.risk_mean, r.index_mean) for r in sensitivity.recompute(samples, bounds, draws, ("draw", "matrix")).collect()}
+    span = {r.term: (r.lo, r.hi) for r in bounds.collect()}
+    pool = {t: np.sort([r[-1] for r in rows if r[-2] == t and r[-1] is not None]) for t in span}
+    gone = {r[0] for r in rows if r[-1] is None}
+    for d in draws.collect():
+        p, top, low = d.upper_tail_padding_fraction, 0.0, 0.0
+        high = whole = 0.0
+        for uid, _, _, bucket, mw, year, fuel, *_, term, v in rows:
+            y = 2050 - year
+            coal = 1 - np.floor(y / d.coal_overhaul_cycle_years) * (1 - d.coal_overhaul_recovery) * d.coal_decay_rate * d.coal_overhaul_cycle_years - d.coal_decay_rate * (y - np.floor(y / d.coal_overhaul_cycle_years) * d.coal_overhaul_cycle_years)
+            kept = {"hydro": 1 - d.hydro_retention_rate * y, "wind": 1 - d.wind_relative_rate * y, "solar": (1 - d.solar_retention_rate) ** y, "thermal": coal}[bucket]
+            if v is not None:
+                lo, hi = span[term]
+                h = -np.log(1 - (v - lo) / ((1 + p) * (hi - lo))) / np.log(1 + 1 / p) if term in ("ws", "heat", "wind") else (v - lo) / (hi - lo)
+                top, low = top + mw * mw * h * (2 - min(max(kept, 0), 1)), low + mw
+            if uid not in gone:
+                size = len(terms[bucket])
+                shift = None if term == "ws" or bucket == "wind" else min(getattr(d, f"{term}_percentile_shift"), 0.5) if term == "wind" else getattr(d, f"{term}_percentile_shift")
+                cut = 0.4 if term == "ws" else 25.0 if shift is None else np.percentile(pool[term], (95 if term == "wind" else 90) + shift)
+                whole, high = whole + 1 / size, high + (v >= cut) / size
+        assert found[d.draw, d.matrix] == (pytest.approx(top / low, rel=1e-11), pytest.approx(high / whole, abs=1e-12))
