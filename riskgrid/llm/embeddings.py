@@ -106,7 +106,7 @@ def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 
 LINKED = pa.schema([("class", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
-PLACED = ("group", "class", "weight", "label", "v", "sig", "table", "half", "split")
+PLACED = ("group", "class", "weight", "label", "v", "table", "half", "split")
 
 
 def _near(group: np.ndarray, unit: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -128,8 +128,11 @@ def _near(group: np.ndarray, unit: np.ndarray, cosine: float) -> Iterator[tuple[
             yield a[a < b], b[a < b]
 
 
-def _compare(rows: pa.RecordBatch, cosine: float) -> pa.RecordBatch | None:
-    """Links (class, links, root) of whole groups, each pair in the first table that brings it together, within one label and dimension only."""
+def _compare(rows: pa.RecordBatch, cosine: float, shape: dict[int, tuple[int, int]]) -> pa.RecordBatch | None:
+    """Links (class, links, root) of whole groups, each pair in the first table that brings it together, within one label and dimension only.
+
+    Keys are computed again for the vectors of near pairs, which costs less than moving them with every copy.
+    """
     column = {c: rows.column(c).to_numpy(zero_copy_only=False) for c in ("group", "class", "weight", "table", "half", "split")}
     label = rows.column("label").dictionary_encode().indices.to_numpy(zero_copy_only=False)
     dims = rows.column("v").value_lengths().to_numpy(zero_copy_only=False)
@@ -137,9 +140,16 @@ def _compare(rows: pa.RecordBatch, cosine: float) -> pa.RecordBatch | None:
     for dim in np.unique(dims):
         at = np.flatnonzero(dims == dim)
         unit = _unit(_rows_of(rows.column("v"), at, int(dim)))
-        tables = rows.column("sig").value_lengths().to_numpy(zero_copy_only=False)[at[0]]
-        sig = _rows_of(rows.column("sig"), at, int(tables))
-        for a, b in _near(column["group"][at], unit, cosine):
+        near = list(_near(column["group"][at], unit, cosine))
+        paired = np.zeros(len(at), bool)
+        for ends in near:
+            for end in ends:
+                paired[end] = True
+        if not paired.any():
+            continue
+        sig = np.zeros((len(at), shape[int(dim)][1]), np.int32)
+        sig[paired] = _keys(unit[paired], *shape[int(dim)])
+        for a, b in near:
             for k in range(0, len(a), PAIRS):
                 x, y = a[k : k + PAIRS], b[k : k + PAIRS]
                 i, j = at[x], at[y]
@@ -156,7 +166,7 @@ def _compare(rows: pa.RecordBatch, cosine: float) -> pa.RecordBatch | None:
     return table(LINKED, [pa.array(ids[hit]), pa.array(links[hit].astype(np.int64)), pa.array(root[hit])])
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
+def _grouped(batches: Iterator[pa.RecordBatch], cosine: float, shape: dict[int, tuple[int, int]]) -> Iterator[pa.RecordBatch]:
     """Compare runs of rows with one group key, many groups at once; a run may go on in the next batch."""
     held: list[pa.RecordBatch] = []
 
@@ -171,9 +181,9 @@ def _grouped(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.Re
             group = rows.column("group").to_numpy()
             last = len(group) - int(np.argmax(group[::-1] != group[-1])) if group[0] != group[-1] else 0
             held = [rows.slice(last)]
-            if last and (out := _compare(rows.slice(0, last), cosine)):
+            if last and (out := _compare(rows.slice(0, last), cosine, shape)):
                 yield out
-    if held and (out := _compare(whole(), cosine)):
+    if held and (out := _compare(whole(), cosine, shape)):
         yield out
 
 
@@ -205,19 +215,18 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     )
     sizes = classes.groupBy("label", "dim").count().groupBy("dim").agg(F.max("count").alias("n")).collect()
     shape = {r["dim"]: design(r["n"], r["dim"], cosine) for r in sizes}
-    hashed_schema = pa.schema([("class", pa.int64()), ("weight", pa.int64()), ("label", pa.string()), ("v", pa.list_(pa.float32() if kind == "float" else pa.float64())), ("sig", pa.list_(pa.int32()))])
+    hashed_schema = pa.schema([("class", pa.int64()), ("label", pa.string()), ("dim", pa.int32()), ("sig", pa.list_(pa.int32()))])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column("v").value_lengths().to_numpy(zero_copy_only=False)
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
-                x = _rows_of(batch.column("v"), at, int(dim))
-                take = pa.array(at)
-                yield table(hashed_schema, [*(batch.column(c).take(take) for c in ("class", "weight", "label")), _lists(x, hashed_schema.field("v").type.value_type), _lists(_keys(_unit(x), *shape[int(dim)]), pa.int32())])
+                take, unit = pa.array(at), _unit(_rows_of(batch.column("v"), at, int(dim)))
+                yield table(hashed_schema, [*(batch.column(c).take(take) for c in ("class", "label")), np.full(len(at), dim, np.int32), _lists(_keys(unit, *shape[int(dim)]), pa.int32())])
 
-    units = save(classes.select("class", "weight", "label", "v").mapInArrow(hashed, f"class long, weight long, label string, v array<{kind}>, sig array<int>"))
-    bucketed = units.select("class", F.size("v").alias("dim"), "label", F.posexplode("sig").alias("table", "key")).select("class", "table", F.xxhash64("label", "dim", "table", "key").alias("bucket"))
+    signed = save(classes.select("class", "label", "v").mapInArrow(hashed, "class long, label string, dim int, sig array<int>"))
+    bucketed = signed.select("class", "dim", "label", F.posexplode("sig").alias("table", "key")).select("class", "table", F.xxhash64("label", "dim", "table", "key").alias("bucket"))
     filled = save(bucketed.groupBy("bucket").count().filter("count > 1").select("bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
     placed = (
         bucketed.join(filled, "bucket").withColumn("block", F.pmod(F.xxhash64("class", "table"), F.col("blocks")).cast("int"))
@@ -226,8 +235,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
                 F.when(F.col("blocks") == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other"))).alias("group"))
     )
     found = save(
-        placed.join(units, "class").select(*PLACED).repartition("group").sortWithinPartitions("group")
-        .mapInArrow(lambda batches: _grouped(batches, cosine), "class long, links long, root long")
+        placed.join(classes.select("class", "weight", "label", "v"), "class").select(*PLACED).repartition("group").sortWithinPartitions("group")
+        .mapInArrow(lambda batches: _grouped(batches, cosine, shape), "class long, links long, root long")
     )
     counted = found.groupBy("class").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("class").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "class")
