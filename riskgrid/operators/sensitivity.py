@@ -59,14 +59,11 @@ def rank_table(samples: DataFrame) -> DataFrame:
     return ranked.withColumn("block", F.explode(F.sequence(F.floor(F.col("low") / RANK_BLOCK), F.floor((F.col("high") - 1) / RANK_BLOCK))))
 
 
-def high_ranks(draws: DataFrame, table: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """For each draw, percentile term and model the first rank that is "High": keys, term, model, n, start.
+def _around_cuts(draws: DataFrame, table: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """For each draw, percentile term and model the rows of the rank table around the point where "High" begins: keys, term, model, n, at, value, low.
 
     A percentile p is the point between the ranks around p / 100 * (n - 1). For
-    wind the positive shift keeps the top percentile below its ceiling. No value
-    of the pooled sample lies strictly between neighbouring ranks, so the cut
-    falls on a rank: that of its lower value if the point is a whole rank or both
-    values are equal, else that of its upper one.
+    wind the positive shift keeps the top percentile below its ceiling.
     """
     spark = draws.sparkSession
     rows = [(t, C.GUST_PERCENTILES if t == "wind" else C.GENERIC_PERCENTILES) for t in ("spei", "precip", "heat", "sv", "iv", "wind")]
@@ -76,9 +73,24 @@ def high_ranks(draws: DataFrame, table: DataFrame, keys: tuple[str, ...]) -> Dat
     sizes = table.groupBy("term", "model").agg(F.max("n").alias("n"))
     wanted = draws.crossJoin(F.broadcast(rules)).join(F.broadcast(sizes), "term").withColumn("at", moved / 100.0 * (F.col("n") - 1))
     both = wanted.select(*keys, "term", "model", "n", "at", F.explode(F.array(F.floor("at"), F.ceil("at"))).alias("rank")).withColumn("block", F.floor(F.col("rank") / RANK_BLOCK))
-    met = both.join(table.drop("n"), ["term", "model", "block"]).filter("rank >= low and rank < high")
+    return both.join(table.drop("n"), ["term", "model", "block"]).filter("rank >= low and rank < high")
+
+
+def high_cuts(draws: DataFrame, table: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """For each draw, percentile term and model the cut where "High" begins, a value: keys, term, model, cut."""
+    cut = F.min("value") + (F.max("at") - F.floor(F.max("at"))) * (F.max("value") - F.min("value"))
+    return _around_cuts(draws, table, keys).groupBy(*keys, "term", "model").agg(cut.alias("cut"))
+
+
+def high_ranks(draws: DataFrame, table: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """For each draw, percentile term and model the first rank that is "High": keys, term, model, n, start.
+
+    No value of the pooled sample lies strictly between neighbouring ranks, so
+    the cut falls on a rank: that of its lower value if the point is a whole
+    rank or both values are equal, else that of its upper one.
+    """
     start = F.when(F.max("at") == F.floor(F.max("at")), F.min("low")).otherwise(F.max("low"))
-    return met.groupBy(*keys, "term", "model").agg(F.max("n").alias("n"), start.alias("start"))
+    return _around_cuts(draws, table, keys).groupBy(*keys, "term", "model").agg(F.max("n").alias("n"), start.alias("start"))
 
 
 def index_means(samples: DataFrame, draws: DataFrame, keys: tuple[str, ...] = ("draw",), by: tuple[str, ...] = (), strata: tuple[str, ...] = ()) -> DataFrame:
