@@ -10,9 +10,12 @@ import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 #: Rows in an Arrow batch: bounds a Python worker's memory where texts are long.
 BATCH_ROWS = 400
@@ -116,6 +119,43 @@ def drop(df: DataFrame) -> None:
             scope.pop(path)()
 
 
+def numbered(df: DataFrame, *order: str, size: str | None = None) -> DataFrame:
+    """Rows in a total order: ``_at`` (place from 0), ``_before`` (sum of ``size`` over all rows before) and ``_part`` (range of the order).
+
+    The table is written first, so that file and row number settle ties: rows
+    are dealt to ranges of a key that no two share, whatever repeats. Each range
+    counts its own rows and one offset a range is added, so no task holds a
+    group. Null keys come first, a null size counts as zero.
+    """
+    spark = df.sparkSession
+    ship_package(spark)
+    first = save(df)
+    keys = [*order, "_file", "_row"]
+    named = first.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    ranged = named.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_file", "_row")
+
+    def running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at, before = TaskContext.get().partitionId(), 0, 0
+        for batch in batches:
+            n = batch.num_rows
+            sizes = np.array(batch.column(size).fill_null(0), np.int64) if size else np.zeros(n, np.int64)
+            sums = before + np.cumsum(sizes)
+            more = [np.full(n, part), np.arange(at, at + n), sums - sizes]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.int64()) for x in more)], names=[*batch.schema.names, "_part", "_at", "_before"])
+            at, before = at + n, int(sums[-1]) if n else before
+
+    schema = StructType([*df.schema.fields, *(StructField(c, LongType()) for c in ("_part", "_at", "_before"))])
+    counted = save(ranged.mapInArrow(running, schema))
+    drop(first)
+    last = F.max(F.col("_before") + (F.coalesce(size, F.lit(0)) if size else F.lit(0)))
+    offsets, at, before = [], 0, 0
+    for part, n, total in sorted(map(tuple, counted.groupBy("_part").agg(F.count(F.lit(1)), last).collect())):
+        offsets.append((part, at, before))
+        at, before = at + n, before + total
+    table_of = F.broadcast(spark.createDataFrame(offsets, "_part long, _rows long, _sizes long"))
+    return counted.join(table_of, "_part").select(*df.columns, "_part", (F.col("_at") + F.col("_rows")).alias("_at"), (F.col("_before") + F.col("_sizes")).alias("_before"))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import embeddings, language, packing, pages, parsing, pieces, privacy, simhash, substrings, tokencount
+from . import embeddings, language, lexical, manifest, packing, pages, parsing, pieces, privacy, sharding, simhash, substrings, tokencount
 
 QUERIES: dict = {
     "op1_html_extraction": pages.op1_html_extraction,
@@ -17,6 +17,9 @@ QUERIES: dict = {
     "op8_personal_data": privacy.op8_personal_data,
     "op9_token_counts": tokencount.op9_token_counts,
     "op10_substring_dedup": substrings.op10_substring_dedup,
+    "op11_resharding": sharding.op11_resharding,
+    "op12_lexical_search": lexical.op12_lexical_search,
+    "op13_merkle_manifest": manifest.op13_merkle_manifest,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict = {"op5_embedding_dedup": embeddings.ORACLE_OP5, "op10_substring_dedup": substrings.ORACLE_OP10}
+ORACLES: dict = {"op5_embedding_dedup": embeddings.ORACLE_OP5, "op10_substring_dedup": substrings.ORACLE_OP10, "op12_lexical_search": lexical.ORACLE_OP12, "op13_merkle_manifest": manifest.ORACLE_OP13}
