@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from riskgrid.operators import grid, risk
 from riskgrid.plans import carriers
@@ -61,8 +62,20 @@ def risks(spark: SparkSession, folder: str) -> DataFrame:
     return risk.risk_by_hazard(s, risk.global_bounds(s))
 
 
+_CUTS: dict[tuple[str, str], tuple[list, StructType]] = {}
+
+
+def cuts(spark: SparkSession, folder: str) -> DataFrame:
+    """The band cuts of a folder, a row for each (bucket, term) of the registry and model: taken once a session."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _CUTS:
+        made = risk.band_cuts(samples(spark, folder))
+        _CUTS[key] = made.collect(), made.schema
+    return spark.createDataFrame(*_CUTS[key])
+
+
 def bands(spark: SparkSession, folder: str) -> DataFrame:
-    return risk.risk_bands(samples(spark, folder))
+    return risk.risk_bands(samples(spark, folder), cuts(spark, folder))
 
 
 def index(spark: SparkSession, folder: str) -> DataFrame:

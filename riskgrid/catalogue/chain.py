@@ -129,10 +129,12 @@ def f8(spark, folder):
 
 
 @query("j13_regrid", """SELECT t.id // 100 AS target_row, t.id % 100 AS target_col, CASE WHEN (p_partkey + 37) % 31 <> 0 THEN ((p_partkey * 37 + p_size * 7) % 71) / 1.5::DOUBLE END AS value
-FROM range(8000) t(id) LEFT JOIN part ON p_partkey // 50 = floor((t.id // 100 + 0.5) * 0.5)::BIGINT AND p_partkey % 50 = floor((t.id % 100 + 0.5) * 0.5)::BIGINT""")
+FROM (SELECT unnest(range((max(p_partkey) // 50 + 1) * 200)) AS id FROM part) t LEFT JOIN part ON p_partkey // 50 = floor((t.id // 100 + 0.5) * 0.5)::BIGINT AND p_partkey % 50 = floor((t.id % 100 + 0.5) * 0.5)::BIGINT""")
 def j13(spark, folder):
+    """All rows of the layer, which grow with the parts, at half the cell size."""
     cells = carriers.cells(spark, folder).filter("term = 'wind'").select("row", "col", "value")
-    found = grid.regrid(cells, carriers.GRID, (0.0, 40.0, 0.5), (50.0, 40.0))
+    rows = cells.agg(F.max("row")).first()[0] + 1
+    found = grid.regrid(cells, carriers.GRID, (0.0, 40.0, 0.5), (50.0, float(rows)))
     return found.select(F.col("target_row").cast("long").alias("target_row"), F.col("target_col").cast("long").alias("target_col"), "value")
 
 

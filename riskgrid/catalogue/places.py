@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,13 +71,24 @@ def j4(spark, folder):
     return spatial.first_polygon(points(spark, folder), polygons(spark, folder)).select(F.col("point_id").alias("plant_uid"), "gid")
 
 
+#: Grids of the rasterised layers: the plants' extent in about as many cells as there are parts, and the same in SQL.
+carriers.SQL["fine"] = "fine AS (SELECT ceil(sqrt(count(*) / 2000.0::DOUBLE))::BIGINT AS f, 1.0::DOUBLE / f AS res FROM part), centre AS (SELECT id // (50 * f) AS row, id % (50 * f) AS col, 0.0 + (col + 0.5) * res AS cx, 40.0 - (row + 0.5) * res AS cy FROM fine CROSS JOIN range(2000 * f * f) t(id))"
+BURNT = """SELECT c.row, c.col, poly_id FROM centre c JOIN edge ON least(y1, y2) <= cy AND cy < greatest(y1, y2) AND cx < x1 + (cy - y1) * (x2 - x1) / (y2 - y1) GROUP BY c.row, c.col, poly_id HAVING count(*) % 2 = 1"""
+
+
+def fine_grid(spark, folder) -> tuple[tuple[float, float, float], int, int]:
+    """Grid, width and height of about as many cells as there are parts."""
+    f = math.ceil(math.sqrt(read_table(spark, folder, "part").count() / 2000.0))
+    return (0.0, 40.0, 1.0 / f), 50 * f, 40 * f
+
+
 CENTRES = """SELECT c.id, {pick} AS v FROM range(2000) c(id) JOIN edge ON least(y1, y2) <= 40 - (c.id // 50 + 0.5) AND 40 - (c.id // 50 + 0.5) < greatest(y1, y2)
 AND c.id % 50 + 0.5 < x1 + (40 - (c.id // 50 + 0.5) - y1) * (x2 - x1) / (y2 - y1) GROUP BY c.id, poly_id HAVING count(*) % 2 = 1"""
 
 
-@query("j5_rasterise", f"""SELECT id // 50 AS row, id % 50 AS col, value FROM range(2000) c(id) LEFT JOIN (SELECT id, arg_max(value, seq) AS value FROM ({CENTRES.format(pick="poly_id")}) JOIN polys ON poly_id = v GROUP BY id) USING (id)""", "polys")
+@query("j5_rasterise", f"""SELECT row, col, value FROM centre LEFT JOIN (SELECT row, col, arg_max(value, seq) AS value FROM ({BURNT}) JOIN polys USING (poly_id) GROUP BY 1, 2) USING (row, col)""", "polys", "fine")
 def j5(spark, folder):
-    found = spatial.rasterise(carriers.GRID, 50, 40, polygons(spark, folder))
+    found = spatial.rasterise(*fine_grid(spark, folder), polygons(spark, folder))
     return found.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "value")
 
 

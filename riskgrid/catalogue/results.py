@@ -188,9 +188,9 @@ def s4(spark, folder):
 
 BASIN = f"""WITH {{polys}}, val AS (SELECT n_nationkey AS poly_id, s AS scenario, CASE WHEN n_nationkey % 4 = 1 AND s = 'opt' THEN 9999.0::DOUBLE WHEN n_nationkey % 6 = 5 AND s = 'pes' THEN NULL ELSE n_nationkey % 11 + CASE s WHEN 'opt' THEN 0.5 WHEN 'bau' THEN 1.25 ELSE 3 END END::DOUBLE AS v
 FROM nation CROSS JOIN (SELECT unnest(['opt', 'bau', 'pes']) AS s) WHERE n_nationkey % 8 <> 0), span AS (SELECT min(v) AS lo, max(v) AS hi FROM val WHERE v <> 9999),
-hit AS (SELECT id, max(v) AS poly_id FROM ({places.CENTRES.format(pick="poly_id")}) WHERE v % 8 <> 0 GROUP BY id)
-SELECT s AS scenario, c.id // 50 AS row, c.id % 50 AS col, CASE WHEN v = 9999 THEN hi ELSE v END AS value, round((CASE WHEN v = 9999 THEN hi ELSE v END - lo) / (hi - lo), 9) AS scaled FROM range(2000) c(id) CROSS JOIN (SELECT unnest(['opt', 'bau', 'pes']) AS s)
-LEFT JOIN hit USING (id) LEFT JOIN val ON val.poly_id = hit.poly_id AND scenario = s CROSS JOIN span"""
+{carriers.SQL["fine"]}, hit AS (SELECT row, col, max(poly_id) AS poly_id FROM ({places.BURNT}) WHERE poly_id % 8 <> 0 GROUP BY 1, 2)
+SELECT s AS scenario, c.row, c.col, CASE WHEN v = 9999 THEN hi ELSE v END AS value, round((CASE WHEN v = 9999 THEN hi ELSE v END - lo) / (hi - lo), 9) AS scaled FROM centre c CROSS JOIN (SELECT unnest(['opt', 'bau', 'pes']) AS s)
+LEFT JOIN hit USING (row, col) LEFT JOIN val ON val.poly_id = hit.poly_id AND scenario = s CROSS JOIN span"""
 
 
 @query("c6_basin_layer", BASIN.replace("{polys}", carriers.SQL["polys"]))
@@ -200,7 +200,7 @@ def c6(spark, folder):
         "poly_id", F.when(k % 8 != 0, F.col("rings")).alias("rings"), F.when(k % 4 == 1, 9999.0).otherwise(k % 11 + 0.5).alias("opt50_ws_x_r"), (k % 11 + 1.25).alias("bau50_ws_x_r"),
         F.when(k % 6 != 5, k % 11 + 3.0).alias("pes50_ws_x_r"),
     )
-    found = spatial.basin_layer(table, carriers.GRID, 50, 40)
+    found = spatial.basin_layer(table, *places.fine_grid(spark, folder))
     return found.select("scenario", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "value", r("scaled", 9).alias("scaled"))
 
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskgrid.functions import config as C
 from riskgrid.functions import exprs as X
 from riskgrid.plans import ranks
+from riskgrid.sources import sinks
 
 from . import spatial
 
@@ -98,26 +103,66 @@ def contextual_validation(plants: DataFrame, admin: DataFrame, events: DataFrame
     return broad_impact(plants.join(located, "plant_uid"), exploded(events)).unionByName(physical_occurrence(plants, tracks))
 
 
+#: Sizes of the smaller and the larger group up to which the U distribution without ties is counted out.
+EXACT_SMALLER, EXACT_LARGER = 8, 100
+
+
+@functools.cache
+def exact_tails(m: int, n: int) -> list[float]:
+    """P(U >= u) for u = 0 .. m * n, all orders of m and n distinct values being as likely.
+
+    The number of orders with a U obeys N(m, n, u) = N(m - 1, n, u - n) +
+    N(m, n - 1, u): the largest value is one of the m, above all n, or not.
+    """
+    row = [[1] for _ in range(n + 1)]  # N(0, k, .)
+    for i in range(1, m + 1):
+        above, row = row, [[1]]
+        for k in range(1, n + 1):
+            counts = [0] * (i * k + 1)
+            for u, c in enumerate(above[k]):
+                counts[u + k] += c
+            for u, c in enumerate(row[k - 1]):
+                counts[u] += c
+            row.append(counts)
+    total = math.comb(m + n, m)
+    return [x / total for x in itertools.accumulate(row[n][::-1])][::-1]
+
+
 def rank_sum_test(values: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Two-sided Mann-Whitney U of flagged against other values: sizes, medians, U, tie-corrected z and asymptotic p.
+    """Two-sided Mann-Whitney U of flagged against other values: sizes, medians, U, tie-corrected z, p and the method of p.
 
-    Groups below three get a reason instead.
+    p is exact (counted) where no values tie and the groups have at most
+    EXACT_SMALLER and EXACT_LARGER values, else asymptotic with a continuity
+    correction. Groups below three get a reason instead. Rows are counted by
+    value before ranks are taken, so ties of any number cost one row.
     """
-    known = ranks.with_average_ranks(values.filter("value is not null"), {"rk": "value"}, *by)
-    ties = known.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("t")).groupBy(*by).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).cast("double").alias("ties"))
-    flag = F.col("flag")
-    stats = known.groupBy(*by).agg(
-        F.count_if(flag).alias("n1"), F.count_if(~flag).alias("n2"), F.sum(F.when(flag, F.col("rk"))).alias("r1"),
+    spark, flag = values.sparkSession, F.coalesce("flag", F.lit(False))
+    known = values.filter("value is not null")
+    counts = sinks.kept(known.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("c"), F.count_if(flag).alias("f")))
+    ranked = ranks.value_ranks(counts, "value", *by, weight=F.col("c"))
+    t = (F.col("high") - F.col("low")).cast("double")
+    met = counts.join(ranked.select(*by, "value", "low", "high"), [*by, "value"])
+    stats = met.groupBy(*by).agg(
+        F.sum("f").alias("n1"), F.sum(F.col("c") - F.col("f")).alias("n2"), F.sum(F.col("f") * ranks.average(F.col("low"), F.col("high"))).alias("r1"), F.sum(t * t * t - t).alias("ties"),
     )
-    halves = ranks.percentiles(values.filter("value is not null"), "value", {"m": 0.5}, *by, "flag").groupBy(*by).agg(F.max(F.when(flag, F.col("m"))).alias("median1"), F.max(F.when(~flag, F.col("m"))).alias("median2"))
-    joined = stats.join(ties, list(by)).join(halves, list(by)) if by else stats.crossJoin(ties).crossJoin(halves)
+    halves = ranks.percentiles(known.withColumn("flag", flag), "value", {"m": 0.5}, *by, "flag").groupBy(*by).agg(F.max(F.when(F.col("flag"), F.col("m"))).alias("median1"), F.max(F.when(~F.col("flag"), F.col("m"))).alias("median2"))
+    joined = sinks.kept(stats.join(halves, list(by)) if by else stats.crossJoin(halves))
+    small, large = F.least("n1", "n2"), F.greatest("n1", "n2")
+    counted = (F.col("ties") == 0) & small.between(3, EXACT_SMALLER) & (large <= EXACT_LARGER)
+    sizes = joined.filter(counted).select(small.alias("m"), large.alias("n")).distinct().collect()  # of a bounded number of sizes
+    tails = spark.createDataFrame([(m, n, exact_tails(m, n)) for m, n in sizes], "_m long, _n long, _tails array<double>")
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
     enough = (F.col("n1") >= 3) & (F.col("n2") >= 3)
     u = F.col("r1") - n1 * (n1 + 1) / 2
     sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("ties") / F.nullif(n * (n - 1), F.lit(0.0))))
-    out = joined.withColumn("u", F.when(enough, u)).withColumn("z", F.when(enough, F.try_divide(F.abs(F.col("u") - n1 * n2 / 2) - 0.5, sd)))
-    return out.withColumns({"p": X.clip(2.0 * (1.0 - X.normal_cdf(F.col("z"))), 0.0, 1.0), "reason": F.when(~enough, "group below 3")}).drop("r1", "ties")
+    found = joined.join(F.broadcast(tails), (small == F.col("_m")) & (large == F.col("_n")) & (F.col("ties") == 0), "left")
+    out = found.withColumn("u", F.when(enough, u)).withColumn("z", F.when(enough, F.try_divide(F.abs(F.col("u") - n1 * n2 / 2) - 0.5, sd)))
+    most = F.greatest(F.col("u"), n1 * n2 - F.col("u")).cast("int")
+    exact = 2.0 * F.try_element_at("_tails", most + 1)
+    p = X.clip(F.coalesce(exact, 2.0 * (1.0 - X.normal_cdf(F.col("z")))), 0.0, 1.0)
+    method = F.when(enough, F.when(F.col("_tails").isNotNull(), "exact").otherwise("asymptotic"))
+    return out.withColumns({"p": F.when(enough, p), "method": method, "reason": F.when(~enough, "group below 3")}).drop("r1", "ties", "_m", "_n", "_tails")
 
 
 def spatial_event_test(polygons: DataFrame, cells: DataFrame, grid: tuple[float, float, float], found: DataFrame, term: str) -> DataFrame:
@@ -125,3 +170,35 @@ def spatial_event_test(polygons: DataFrame, cells: DataFrame, grid: tuple[float,
     means = spatial.zonal_mean(cells, grid, polygons).join(polygons.select("poly_id", "gid"), "poly_id")
     hit = found.filter(F.col("term") == term).select("gid").distinct().withColumn("hit", F.lit(True))
     return rank_sum_test(means.join(hit, "gid", "left").select(F.col("mean").alias("value"), F.coalesce("hit", F.lit(False)).alias("flag")))
+
+
+def zonal_event_tests(polygons: DataFrame, cells: DataFrame, grid: tuple[float, float, float], events: DataFrame, terms: dict[str, str] = C.ZONAL_TERMS) -> dict[str, DataFrame]:
+    """Rank-sum tests of each country and disaster type, and the polygons they compare.
+
+    ``polygons`` has poly_id, gid, country and rings, ``cells`` one layer a term
+    (term, row, col, value). ``polygons`` of the result: country, term, gid,
+    mean, has_event; ``summary``: country, term, polygons with and without an
+    event, and the columns of :func:`rank_sum_test`. A type without a layer
+    (storms) has no test.
+    """
+    names = F.broadcast(cells.sparkSession.createDataFrame(sorted({*terms.values()}), "string").toDF("term"))
+    means = spatial.zonal_mean(cells.join(names, "term", "left_semi"), grid, polygons, ("term",), names)
+    hit = exploded(events, terms).select("term", "gid").distinct().withColumn("hit", F.lit(True))
+    each = polygons.select("poly_id", "gid", "country").join(means, "poly_id").join(hit, ["term", "gid"], "left")
+    compared = sinks.kept(each.select("country", "term", "gid", "mean", F.coalesce("hit", F.lit(False)).alias("has_event")))
+    sizes = compared.groupBy("country", "term").agg(F.count_if("has_event").alias("polygons_with"), F.count_if(~F.col("has_event")).alias("polygons_without"))
+    tests = rank_sum_test(compared.select("country", "term", F.col("mean").alias("value"), F.col("has_event").alias("flag")), ("country", "term"))
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("n1", "n2")}
+    return {"polygons": compared, "summary": sizes.join(tests, ["country", "term"], "left").withColumns(zero | {"reason": F.when(F.col("u").isNull(), "group below 3")})}
+
+
+def track_summary(tracks: DataFrame, countries: DataFrame) -> DataFrame:
+    """Track points and distinct storms (sid) of each country's basin; 0 where it has none.
+
+    ``countries`` has country and basin, one row a country; a basin serves
+    several countries. Points are counted by storm before the join, so it moves
+    one row a storm and basin.
+    """
+    storms = tracks.filter("lat is not null and lon is not null").groupBy("basin", "sid").agg(F.count(F.lit(1)).alias("_n"))
+    joined = countries.select("country", "basin").join(storms, "basin", "left")
+    return joined.groupBy("country").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("points"), F.count("sid").alias("storms"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskgrid.functions import config as C
 from riskgrid.plans import ranks
+from riskgrid.sources import sinks
 
 
 def skewness(value: str) -> Column:
@@ -46,11 +47,11 @@ def pair_table(samples: DataFrame) -> DataFrame:
 def run_gate(samples: DataFrame, threshold: float = C.GATE, small_groups: bool = False) -> DataFrame:
     """Correlations and verdict of each pair, bucket, country and model; pooled rows have no verdict.
 
-    Ranks are taken in two levels, since pooled groups grow with the plants;
-    ``small_groups=True`` ranks a group in one task by windows.
+    Ranks are taken over ranges of values, since pooled groups grow with the
+    plants; ``small_groups=True`` ranks a group in one task by windows.
     """
     keys = ("term_a", "term_b", "gated", "bucket", "country", "model")
-    rows = pair_table(samples)
+    rows = sinks.kept(pair_table(samples))  # read by the ranks of both sides and by the correlations
     ranked = (ranks.window_ranks if small_groups else ranks.with_average_ranks)(rows, {"rx": "x", "ry": "y"}, *keys)
     stats = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), correlation("x", "y").alias("pearson_r"), correlation("rx", "ry").alias("spearman_rho"))
     return verdicts(stats, F.lit(threshold))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from riskgrid.functions import config as C
 from riskgrid.functions import exprs as X
 from riskgrid.plans import ranks
+from riskgrid.plans.sizes import checked_broadcast
 
 
 def cell_of(lon: Column | str, lat: Column | str, xmin: float, ymax: float, res: float) -> tuple[Column, Column]:
@@ -29,6 +30,20 @@ def sample_terms(plants: DataFrame, cells: DataFrame, keys: DataFrame, grid: tup
     return wanted.join(found, ["term", "layer_scenario", "layer_model", "row", "col"], "left").drop("layer_scenario", "layer_model", "row", "col")
 
 
+def sample_tiled(plants: DataFrame, tiled: DataFrame, keys: DataFrame, grid: tuple[float, float, float], tile: int = 256) -> DataFrame:
+    """The same samples from layers written by :func:`sinks.write_tiled`.
+
+    The tiles that hold plants, and the layers that keys name, prune the folders
+    before they are read; only cells that a plant stands on are shuffled.
+    """
+    row, column = cell_of("lon", "lat", *grid)
+    here = plants.select(row.alias("row"), column.alias("col")).filter("row is not null and col is not null").distinct()
+    tiles = here.select(F.floor(F.col("row") / tile).cast("int").alias("tile_row"), F.floor(F.col("col") / tile).cast("int").alias("tile_col")).filter("tile_row >= 0 and tile_col >= 0").distinct()
+    wanted = F.broadcast(keys.select("term", F.col("layer_scenario").alias("scenario"), F.col("layer_model").alias("model")).filter("term <> ''").distinct())
+    near = tiled.join(wanted, ["term", "scenario", "model"], "left_semi").join(checked_broadcast(tiles), ["tile_row", "tile_col"], "left_semi")
+    return sample_terms(plants, near.join(here, ["row", "col"], "left_semi").select("term", "scenario", "model", "row", "col", "value"), keys, grid)
+
+
 def wide(samples: DataFrame, *keys: str) -> DataFrame:
     """One column a term."""
     return samples.groupBy(*keys).pivot("term", list(C.TERMS)).agg(F.first("value"))

@@ -99,8 +99,8 @@ def index_means(samples: DataFrame, draws: DataFrame, keys: tuple[str, ...] = ("
     Completeness doesn't depend on the draw, and the mean index is the sum over
     buckets of counts of high rows over the set's size, divided by all complete
     rows; so rows are counted once by value. A draw's cut falls on a rank, and
-    what lies above it is the sum of whole blocks of ranks and of a part of one,
-    so a draw meets about as many rows as a term has blocks, never all of them.
+    what lies above it is a sum over whole blocks of ranks, taken once for all
+    draws, and a part of one block: a draw meets one row and one block a term.
     ``by`` names columns that draws and samples share (their stream), ``strata``
     those of the samples that the means are split by.
     """
@@ -122,11 +122,15 @@ def index_means(samples: DataFrame, draws: DataFrame, keys: tuple[str, ...] = ("
         counted.filter(fixed.isNull()).join(own, ["term", "model", "value"]).groupBy(*split, "term", "model", "low", F.floor(F.col("low") / step).alias("block"))
         .agg(F.sum(F.col("c") / F.col("size")).alias("w"))
     )
-    blocks = moving.groupBy(*split, "term", "model", F.col("block").alias("later")).agg(F.sum("w").alias("w"))
+    blocks = moving.groupBy(*split, "term", "model", "block").agg(F.sum("w").alias("w"))
+    line = Window.partitionBy(*split, "term", "model").orderBy("block")
+    after = F.sum("w").over(line.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    last = F.coalesce(F.lag("block").over(line), F.lit(0))
+    suffix = blocks.withColumns({"w": after, "_from": last}).filter("_from < block").withColumn("block", F.explode(F.sequence("_from", F.col("block") - 1))).drop("_from")
     on = list(dict.fromkeys((*split, *keys)))
     wanted = high_ranks(draws, table, tuple(dict.fromkeys((*by, *keys)))).withColumn("block", F.floor(F.col("start") / step)).drop("n")
     inside = wanted.join(moving, [*by, "term", "model", "block"]).filter(F.col("low") >= F.col("start")).select(*on, "model", "w")
-    beyond = wanted.join(blocks, [*by, "term", "model"]).filter(F.col("later") > F.col("block")).select(*on, "model", "w")
+    beyond = wanted.join(suffix, [*by, "term", "model", "block"]).select(*on, "model", "w")
     high = inside.unionByName(beyond).groupBy(*on, "model").agg(F.sum("w").alias("moving"))
     drawn = draws.select(*dict.fromkeys((*by, *keys)))
     every = drawn.join(total, list(by)) if by else drawn.crossJoin(checked_broadcast(total))
@@ -230,17 +234,22 @@ def sobol_indices(results: DataFrame, value: str, by: tuple[str, ...] = (), resa
 def hazard_removal(bands: DataFrame) -> DataFrame:
     """Shift of each label's capacity share when one hazard leaves a bucket's set: bucket, country, removed, label, share, shift.
 
-    Applicability is data: one table of sets with a removal column gives every
-    variant in one plan.
+    Each plant's bands become two masks of terms in one aggregation; a removal
+    is arithmetic on them, and every variant is one row of a table of sets.
     """
     spark = bands.sparkSession
-    variants = []
-    for b, ts in C.APPLICABLE.items():
-        for gone in (None, *ts) if len(ts) > 1 else ():
-            left = [t for t in ts if t != gone]
-            variants += [(b, t, k, len(left), gone or "none") for k, t in enumerate(left)]
-    sets = spark.createDataFrame(variants, "bucket string, term string, pos int, size int, removed string")
-    index = risk.screening_index(bands, sets, by=("plant_uid", "water_scenario", "model", "removed"))
+    sets = F.broadcast(spark.createDataFrame(C.applicability(), "bucket string, term string, pos int, size int"))
+    bit = F.call_function("shiftleft", F.lit(1), F.col("pos"))
+    masked = lambda c: F.bit_or(F.when(c, bit).otherwise(0))
+    one = bands.join(sets, ["bucket", "term"]).groupBy("plant_uid", "water_scenario", "model").agg(
+        *(F.min(c).alias(c) for c in ("country", "bucket", "capacity_mw")), F.max("size").alias("size"), masked(F.lit(True)).alias("seen"),
+        masked(F.coalesce(F.col("risk_band").isin("High", "Extreme"), F.lit(False))).alias("high"), masked(F.col("risk_band").isNull()).alias("gone"),
+    )
+    variants = [(b, gone or "none", 1 << ts.index(gone) if gone else 0) for b, ts in C.APPLICABLE.items() if len(ts) > 1 for gone in (None, *ts)]
+    left = one.join(F.broadcast(spark.createDataFrame(variants, "bucket string, removed string, bit int")), "bucket")
+    rest = lambda c: F.col(c).bitwiseAND(F.bitwise_not("bit"))
+    value = F.when(rest("gone") == 0, F.bit_count(rest("high")) / (F.col("size") - F.when(F.col("bit") > 0, 1).otherwise(0)))
+    index = left.filter(rest("seen") != 0).withColumn("index_value", value).withColumn("label", X.index_label("index_value"))
     shares = label_shares(index, "bucket", "country", "water_scenario", "model", "removed")
     base = shares.filter("removed = 'none'").drop("removed").withColumnRenamed("share", "base_share")
     on = ["bucket", "country", "water_scenario", "model", "label"]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +13,7 @@ from riskgrid.functions import exprs as X
 
 from . import grid as layers
 
-#: Side of the coarse cells in degrees.
+#: Side of index cells in degrees where polygons have no extent.
 COARSE = 2.0
 
 
@@ -22,26 +25,81 @@ def edges(polygons: DataFrame, key: str = "poly_id") -> DataFrame:
     return pair.select(key, F.col("e.a.x").alias("x1"), F.col("e.a.y").alias("y1"), F.col("e.b.x").alias("x2"), F.col("e.b.y").alias("y2")).filter("x1 <> x2 or y1 <> y2")
 
 
-def _steps(low: Column, high: Column, side: float) -> Column:
-    return F.sequence(F.floor(low / side), F.floor(high / side))
+def _spans(crossings: DataFrame, *line: str) -> DataFrame:
+    """Filled spans of each line: line, start, end (exclusive), from the places ``k`` where the filling changes.
+
+    A place that an even number of edges share changes nothing.
+    """
+    odd = crossings.groupBy(*line, "k").agg(F.count(F.lit(1)).alias("_n")).filter("_n % 2 = 1")
+    w = Window.partitionBy(*line).orderBy("k")
+    return odd.withColumns({"_i": F.row_number().over(w), "end": F.lead("k").over(w)}).filter("_i % 2 = 1 and end is not null").select(*line, F.col("k").alias("start"), "end")
+
+
+def _first_at_or_after(x: Column, place: Callable[[Column], Column], guess: Column) -> Column:
+    """Smallest k with place(k) >= x, given a guess that rounding can put one off; places are compared as they are computed elsewhere."""
+    return F.when(place(guess - 1) >= x, guess - 1).when(place(guess) >= x, guess).otherwise(guess + 1)
+
+
+def _crossing(y: Column) -> Column:
+    """Where an edge crosses the height y."""
+    return F.col("x1") + (y - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
+
+
+def _spanned(y: Column) -> Column:
+    """Whether a height lies in an edge's half-open span, so that a shared corner counts once."""
+    return (F.least("y1", "y2") <= y) & (y < F.greatest("y1", "y2"))
+
+
+def fitting_side(e: DataFrame, key: str = "poly_id") -> float:
+    """Side of index cells, a power of two: polygons have about as many cells as edges, so neither table outgrows the other."""
+    boxes = e.groupBy(key).agg(*((F.max(F.greatest(f"{a}1", f"{a}2")) - F.min(F.least(f"{a}1", f"{a}2"))).alias(a) for a in "xy"), F.count(F.lit(1)).alias("n"))
+    area, n = boxes.agg(F.sum(F.col("x") * F.col("y")), F.sum("n")).first()
+    return 2.0 ** math.floor(math.log2(math.sqrt(area / n))) if area else COARSE
 
 
-def containing(points: DataFrame, polygons: DataFrame, point: str = "point_id", key: str = "poly_id", side: float = COARSE) -> DataFrame:
+def cell_index(polygons: DataFrame, key: str = "poly_id", side: float | None = None) -> tuple[DataFrame, float]:
+    """Index of polygons by cells (cx, cy), and the cells' side.
+
+    One row for each cell whose lower right corner is inside (``x1`` null), and
+    one for each edge that comes near a cell. Cells that no edge comes near and
+    whose corner is outside have no row; those inside have just the one. A
+    corner's state comes from a scan along the cell rows' lower lines.
+    """
+    e = edges(polygons, key)
+    side = side or fitting_side(e, key)
+    rows = F.sequence(F.ceil(F.least("y1", "y2") / side), F.ceil(F.greatest("y1", "y2") / side) - 1)
+    lines = e.filter(F.ceil(F.least("y1", "y2") / side) < F.ceil(F.greatest("y1", "y2") / side)).withColumn("cy", F.explode(rows))
+    met = lines.filter(_spanned(F.col("cy") * side)).withColumn("_x", _crossing(F.col("cy") * side))
+    at = met.select(key, "cy", _first_at_or_after(F.col("_x"), lambda k: (k + 1) * F.lit(side), F.ceil(F.col("_x") / side) - 1).alias("k"))
+    inside = _spans(at, key, "cy").select(key, F.explode(F.sequence("start", F.col("end") - 1)).alias("cx"), "cy")
+    near = side * 1e-6
+    tall = e.withColumn("cy", F.explode(F.sequence(F.floor((F.least("y1", "y2") - near) / side), F.floor((F.greatest("y1", "y2") + near) / side))))
+    low, high = (F.greatest(F.least("y1", "y2"), F.col("cy") * side - near), F.least(F.greatest("y1", "y2"), (F.col("cy") + 1) * side + near))
+    flat = F.col("y1") == F.col("y2")
+    ends = [F.when(flat, F.col(x)).otherwise(_crossing(y)) for x, y in (("x1", low), ("x2", high))]
+    wide = tall.withColumn("cx", F.explode(F.sequence(F.floor((F.least(*ends) - near) / side), F.floor((F.greatest(*ends) + near) / side))))
+    return inside.select(key, "cx", "cy", *(F.lit(None).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2"))).unionByName(wide.select(key, "cx", "cy", "x1", "y1", "x2", "y2")), side
+
+
+def containing(points: DataFrame, polygons: DataFrame, point: str = "point_id", key: str = "poly_id", side: float | None = None) -> DataFrame:
     """Pairs (point, polygon) where the point (x, y) lies inside by ray crossing.
 
-    Points meet polygons in the coarse cells of the polygons' boxes, and edges
-    in the cell rows they cross, so both joins are equi-joins. Crossings use
+    A point meets only the edges of its own cell: its state differs from that
+    of the cell's lower right corner by the edges crossed on the way there.
+    Edges elsewhere in the cell's row are crossed as often from both, but for
+    those that end between the two heights right of the cell; they end in pairs,
+    and where one of a pair is the cell's own, it says so. Crossings use
     half-open spans, so a shared edge counts once; holes and parts follow from
     parity.
     """
-    e = edges(polygons, key)
-    boxes = e.groupBy(key).agg(*(F.min(F.least(f"{a}1", f"{a}2")).alias(f"{a}min") for a in "xy"), *(F.max(F.greatest(f"{a}1", f"{a}2")).alias(f"{a}max") for a in "xy"))
-    cover = boxes.select(key, F.explode(_steps(F.col("xmin"), F.col("xmax"), side)).alias("cx"), "ymin", "ymax").select(key, "cx", F.explode(_steps(F.col("ymin"), F.col("ymax"), side)).alias("cy"))
+    index, side = cell_index(polygons, key, side)
     placed = points.filter("x is not null and y is not null").select(point, "x", "y", F.floor(F.col("x") / side).alias("cx"), F.floor(F.col("y") / side).alias("cy"))
-    candidates = placed.join(cover, ["cx", "cy"]).select(point, key, "x", "y", "cy")
-    rows = e.filter("y1 <> y2").withColumn("cy", F.explode(_steps(F.least("y1", "y2"), F.greatest("y1", "y2"), side)))
-    crosses = (F.least("y1", "y2") <= F.col("y")) & (F.col("y") < F.greatest("y1", "y2")) & (F.col("x") < F.col("x1") + (F.col("y") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1")))
-    return candidates.join(rows, [key, "cy"]).groupBy(point, key).agg(F.count_if(crosses).alias("n")).filter(F.col("n") % 2 == 1).select(point, key)
+    right, base = (F.col("cx") + 1) * side, F.col("cy") * side
+    hit = lambda x, y: (_spanned(y) & (x < _crossing(y))).cast("int")
+    ends = sum((((F.col(f"x{k}") > right) & (base < F.col(f"y{k}")) & (F.col(f"y{k}") <= F.col("y"))).cast("int") for k in (1, 2)), F.lit(0))
+    level = F.col("y1") == F.col("y2")
+    own = F.when(F.col("x1").isNull(), 1).when(level, ends).otherwise(ends + hit(F.col("x"), F.col("y")) + hit(right, base))
+    return placed.join(index, ["cx", "cy"]).groupBy(point, key).agg(F.sum(own).alias("n")).filter(F.col("n") % 2 == 1).select(point, key)
 
 
 def first_polygon(points: DataFrame, polygons: DataFrame, point: str = "point_id", attribute: str = "gid") -> DataFrame:
@@ -50,41 +108,114 @@ def first_polygon(points: DataFrame, polygons: DataFrame, point: str = "point_id
     return points.join(hit.groupBy(point).agg(F.min_by(attribute, "seq").alias(attribute)), point, "left")
 
 
-def rasterise(grid: tuple[float, float, float], width: int, height: int, polygons: DataFrame, value: str = "value") -> DataFrame:
-    """Grid cells with the value of the last polygon (by seq) that holds their centre; null outside."""
+def filled_spans(grid: tuple[float, float, float], polygons: DataFrame, key: str = "poly_id") -> DataFrame:
+    """Columns whose centres each polygon holds, row by row of a grid: key, row, start, end (exclusive), on a grid without bounds.
+
+    A scan line through the centres of each row: an edge is met by the rows it
+    crosses only, and a row's sorted crossings are the ends of its spans.
+    """
     xmin, ymax, res = grid
-    cells = polygons.sparkSession.range(width * height).select(F.col("id").alias("point_id"), (F.col("id") / width).cast("int").alias("row"), (F.col("id") % width).cast("int").alias("col"))
-    points = cells.withColumns({"x": F.lit(xmin) + (F.col("col") + 0.5) * res, "y": F.lit(ymax) - (F.col("row") + 0.5) * res})
-    hit = containing(points, polygons).join(polygons.select("poly_id", "seq", value), "poly_id").groupBy("point_id").agg(F.max_by(value, "seq").alias(value))
-    return cells.join(hit, "point_id", "left").drop("point_id")
+    e = edges(polygons, key).filter("y1 <> y2")
+    row_of = lambda y: F.floor((F.lit(ymax) - y) / res - 0.5)
+    centre = F.lit(ymax) - (F.col("row") + 0.5) * res
+    rows = e.withColumn("row", F.explode(F.sequence(row_of(F.greatest("y1", "y2")), row_of(F.least("y1", "y2")) + 1))).filter(_spanned(centre)).withColumn("_x", _crossing(centre))
+    guess = F.ceil((F.col("_x") - xmin) / res - 0.5)
+    k = _first_at_or_after(F.col("_x"), lambda c: F.lit(xmin) + (c + 0.5) * res, guess)
+    return _spans(rows.select(key, "row", k.alias("k")), key, "row")
 
 
-def zonal_mean(cells: DataFrame, grid: tuple[float, float, float], polygons: DataFrame) -> DataFrame:
-    """Mean of a layer's known cells whose centres each polygon holds; null where there is none."""
-    xmin, ymax, res = grid
-    points = cells.filter("value is not null").select(F.xxhash64("row", "col").alias("point_id"), "value", (F.lit(xmin) + (F.col("col") + 0.5) * res).alias("x"), (F.lit(ymax) - (F.col("row") + 0.5) * res).alias("y"))
-    inside = containing(points, polygons).join(points.select("point_id", "value"), "point_id")
-    return polygons.select("poly_id").join(inside.groupBy("poly_id").agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("cells")), "poly_id", "left")
+def burned(grid: tuple[float, float, float], width: int, height: int, polygons: DataFrame, value: str = "value") -> DataFrame:
+    """Filled cells of a grid (row, col) with the value of the last polygon (by seq) that holds their centre."""
+    spans = filled_spans(grid, polygons).filter(F.col("row").between(0, height - 1)).withColumns({"start": F.greatest("start", F.lit(0)), "end": F.least("end", F.lit(width))}).filter("start < end")
+    cells = spans.join(polygons.select("poly_id", "seq", value), "poly_id").select(F.col("row").cast("int").alias("row"), F.explode(F.sequence(F.col("start").cast("int"), (F.col("end") - 1).cast("int"))).alias("col"), "seq", value)
+    return cells.groupBy("row", "col").agg(F.max_by(value, "seq").alias(value))
 
 
-def within_radius(points: DataFrame, others: DataFrame, km: float = C.RADIUS_KM, point: str = "point_id") -> DataFrame:
-    """Number of other points (lat, lon) within a great-circle radius of each point (lat, lon).
+def rasterise(grid: tuple[float, float, float], width: int, height: int, polygons: DataFrame, value: str = "value") -> DataFrame:
+    """All cells of a grid with the value of the last polygon (by seq) that holds their centre; null outside. The work before the last join follows edges and filled cells."""
+    cells = polygons.sparkSession.range(width * height).select(F.floor(F.col("id") / width).cast("int").alias("row"), (F.col("id") % width).cast("int").alias("col"))
+    return cells.join(burned(grid, width, height, polygons, value), ["row", "col"], "left")
 
-    Other points go to the latitude bands and longitude cells that their circle
-    can reach; the cell width follows the band's widest circle, so polar bands
-    stay right. Points without a near one get 0.
+
+def zonal_mean(cells: DataFrame, grid: tuple[float, float, float], polygons: DataFrame, by: tuple[str, ...] = (), groups: DataFrame | None = None) -> DataFrame:
+    """Mean of a layer's known cells whose centres each polygon holds; null where there is none.
+
+    ``by`` names columns that tell layers apart, ``groups`` (a few rows) lists
+    their values. Filled spans become cells only within the layers' own rows and
+    columns.
+    """
+    known = cells.filter("value is not null").select(*by, F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "value")
+    box = F.broadcast(known.agg(*(f(c).alias(f"{n}_{c}") for c in ("row", "col") for n, f in (("least", F.min), ("most", F.max)))))
+    spans = filled_spans(grid, polygons).crossJoin(box).filter("row between least_row and most_row").withColumns({"start": F.greatest("start", "least_col"), "end": F.least("end", F.col("most_col") + 1)}).filter("start < end")
+    filled = spans.select("poly_id", "row", F.explode(F.sequence("start", F.col("end") - 1)).alias("col"))
+    inside = filled.join(known, ["row", "col"])
+    every = polygons.select("poly_id") if groups is None else polygons.select("poly_id").crossJoin(F.broadcast(groups))
+    return every.join(inside.groupBy("poly_id", *by).agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("cells")), ["poly_id", *by], "left")
+
+
+def _reachable(points: DataFrame, others: DataFrame, km: float, keep: list[str]) -> DataFrame:
+    """Pairs of points (lat, lon and others) and others (olat, olon and ``keep``) among which are all within ``km``.
+
+    Others go to the latitude bands and longitude cells that their circle can
+    reach; the cell width follows the band's widest circle, and where circles
+    come near a pole the whole band is one cell.
     """
     deg = km / 111.0
-    spread = lambda band: deg / F.cos(F.radians(F.least(F.lit(89.0), F.greatest(F.abs(band * deg), F.abs((band + 1) * deg)) + deg)))
-    placed = points.filter("lat is not null and lon is not null").select(point, "lat", "lon", F.floor(F.col("lat") / deg).alias("band")).withColumn("cell", F.floor((F.col("lon") + 180.0) / spread(F.col("band"))))
-    near = others.select(F.col("lat").alias("olat"), F.col("lon").alias("olon")).filter("olat is not null and olon is not null")
-    near = near.withColumn("band", F.explode(F.sequence(F.floor(F.col("olat") / deg) - 1, F.floor(F.col("olat") / deg) + 1)))
+
+    def spread(band: Column) -> Column:
+        top = F.greatest(F.abs(band * deg), F.abs((band + 1) * deg))
+        return F.when(top + 2 * deg < 90, deg / F.cos(F.radians(top + deg))).otherwise(360.0)
+
+    placed = points.withColumn("band", F.floor(F.col("lat") / deg)).withColumn("cell", F.floor((F.col("lon") + 180.0) / spread(F.col("band"))))
+    near = others.select("olat", "olon", *keep).withColumn("band", F.explode(F.sequence(F.floor(F.col("olat") / deg) - 1, F.floor(F.col("olat") / deg) + 1)))
     at = F.floor((F.col("olon") + 180.0) / spread(F.col("band")))
     last = F.floor(F.lit(360.0) / spread(F.col("band")))
     wrapped = F.array_distinct(F.transform(F.sequence(at - 1, at + 1), lambda c: F.when(c < 0, last + c + 1).when(c > last, c - last - 1).otherwise(c)))
     near = near.withColumn("cell", F.explode(F.array_union(wrapped, F.when(at <= 1, F.array(last, last - 1)).when(at >= last - 1, F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).otherwise(F.array().cast("array<bigint>")))))
-    met = placed.join(near, ["band", "cell"]).filter(X.haversine_km(F.col("lat"), F.col("lon"), F.col("olat"), F.col("olon")) <= km)
-    return points.join(met.groupBy(point).agg(F.count(F.lit(1)).alias("n_near")), point, "left").withColumn("n_near", F.coalesce("n_near", F.lit(0)))
+    return placed.join(near, ["band", "cell"]).drop("band", "cell")
+
+
+#: Fine cells along a radius: the share of a circle that its rim takes is about six times the inverse.
+FINE = 32
+
+
+def _fine_cells(points: DataFrame, km: float, names: tuple[str, str]) -> DataFrame:
+    """``points`` with their fine cell: _band and _cell, its centre (``names``) and _reach, the kilometres from it to any point of the cell."""
+    deg = km / 111.0 / FINE
+    band = F.floor(F.col("lat") / deg)
+    top = F.least(F.lit(89.5), F.greatest(F.abs(band * deg), F.abs((band + 1) * deg)))
+    width = deg / F.cos(F.radians(top))
+    placed = points.withColumns({"_band": band, "_width": width}).withColumn("_cell", F.floor((F.col("lon") + 180.0) / F.col("_width")))
+    lat, lon = (F.col("_band") + 0.5) * deg, (F.col("_cell") + 0.5) * F.col("_width") - 180.0
+    corner = lambda up: X.haversine_km(lat, lon, F.greatest(F.lit(-90.0), F.least(F.lit(90.0), (F.col("_band") + up) * deg)), lon + F.col("_width") / 2)
+    return placed.withColumns({names[0]: lat, names[1]: lon, "_reach": F.greatest(corner(0), corner(1)) + 1e-6}).drop("_width")
+
+
+def within_radius(points: DataFrame, others: DataFrame, km: float = C.RADIUS_KM, point: str = "point_id") -> DataFrame:
+    """Number of other points (lat, lon) within a great-circle radius of each point (lat, lon).
+
+    Both sides are gathered in fine cells first. Two cells that lie wholly within
+    the radius of each other add the other cell's count to all points of the
+    first; only cells on the rim meet point by point, so crowded places cost as
+    much as their rim. Points without a near one get 0.
+    """
+    known = points.filter("lat is not null and lon is not null").select(point, "lat", "lon")
+    mine = _fine_cells(known, km, ("clat", "clon"))
+    theirs = _fine_cells(others.select("lat", "lon").filter("lat is not null and lon is not null"), km, ("olat", "olon"))
+    cells = theirs.groupBy(F.col("_band").alias("oband"), F.col("_cell").alias("ocell"), "olat", "olon", F.col("_reach").alias("oreach")).agg(F.count(F.lit(1)).alias("_n"))
+    own = mine.groupBy("_band", "_cell", F.col("clat").alias("lat"), F.col("clon").alias("lon"), "_reach").agg(F.count(F.lit(1)).alias("_points"))
+    far = km * (1.0 + 4.0 / FINE)  # two cells reach less than that beyond the radius; wide ones near the poles lie within it anyway
+    pairs = _reachable(own, cells, far, ["oband", "ocell", "oreach", "_n"])
+    apart, slack = X.haversine_km(F.col("lat"), F.col("lon"), F.col("olat"), F.col("olon")), F.col("_reach") + F.col("oreach")
+    met = pairs.withColumn("_whole", apart + slack <= km).filter(apart - slack <= km).select("_band", "_cell", "oband", "ocell", "_n", "_whole")
+    whole = met.filter("_whole").groupBy("_band", "_cell").agg(F.sum("_n").alias("_inner"))
+    rim = met.filter("not _whole").select("_band", "_cell", "oband", "ocell")
+    here = theirs.select(F.col("_band").alias("oband"), F.col("_cell").alias("ocell"), F.col("lat").alias("olat"), F.col("lon").alias("olon"))
+    tested = mine.select(point, "lat", "lon", "_band", "_cell").join(rim, ["_band", "_cell"]).join(here, ["oband", "ocell"])
+    edge = tested.filter(X.haversine_km(F.col("lat"), F.col("lon"), F.col("olat"), F.col("olon")) <= km).groupBy(point).agg(F.count(F.lit(1)).alias("_rim"))
+    inner = mine.select(point, "_band", "_cell").join(whole, ["_band", "_cell"]).select(point, "_inner")
+    found = points.join(inner, point, "left").join(edge, point, "left")
+    return found.withColumn("n_near", F.coalesce("_inner", F.lit(0)) + F.coalesce("_rim", F.lit(0))).drop("_inner", "_rim")
 
 
 def largest_part(polygons: DataFrame) -> DataFrame:
@@ -118,8 +249,8 @@ def basin_layer(table: DataFrame, grid: tuple[float, float, float], width: int,
     span = layers.domain(values, sentinel=sentinel)
     real = F.when(F.col("value") == sentinel, F.col("hi")).otherwise(F.col("value"))
     scaled = values.crossJoin(F.broadcast(span)).select("poly_id", "scenario", real.alias("value"), X.minmax(real, F.col("lo"), F.col("hi")).alias("scaled"))
-    burned = rasterise(grid, width, height, basins.withColumn("seq", F.col("poly_id")).withColumn("value", F.col("poly_id")), "value").withColumnRenamed("value", "poly_id")
-    every = burned.crossJoin(F.broadcast(table.sparkSession.createDataFrame([(s,) for s in scenarios], "scenario string")))
+    owned = rasterise(grid, width, height, basins.withColumns({"seq": F.col("poly_id"), "value": F.col("poly_id")})).withColumnRenamed("value", "poly_id")
+    every = owned.crossJoin(F.broadcast(table.sparkSession.createDataFrame([(s,) for s in scenarios], "scenario string")))
     return every.join(scaled, ["poly_id", "scenario"], "left").select("scenario", "row", "col", "value", "scaled")
 
 

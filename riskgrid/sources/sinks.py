@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
@@ -20,6 +23,39 @@ def scratch(spark: SparkSession) -> str:
     return f"{sc.getCheckpointDir()}/scratch-{uuid.uuid4().hex}"
 
 
+#: What deletes the tables that were made between steps.
+_MADE: list = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def _clear() -> None:
+    """Delete tables between steps when the driver ends; a session that is gone keeps its own."""
+    for spark, path in _MADE:
+        with contextlib.suppress(Exception):
+            _delete(spark, path)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written to shared storage and read back: computed once, the same for all that read it, and safe from lost executors. Deleted when the driver ends."""
+    spark, path = df.sparkSession, scratch(df.sparkSession)
+    df.write.parquet(path)
+    _MADE.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def write_tiled(cells: DataFrame, path: str, tile: int = 256, by: tuple[str, ...] = ("term", "scenario", "model")) -> str:
+    """Layers (row, col and ``by``) in folders a layer and tile of cells, so that a sample reads only the tiles it needs."""
+    tiled = cells.withColumns({"tile_row": F.floor(F.col("row") / tile).cast("int"), "tile_col": F.floor(F.col("col") / tile).cast("int")})
+    keys = [*by, "tile_row", "tile_col"]
+    tiled.repartition(*keys).sortWithinPartitions(*keys, "row", "col").write.partitionBy(*keys).parquet(path)
+    return path
+
+
 def write_csv(df: DataFrame, path: str) -> str:
     """CSV with a header and quotes doubled; nulls are empty fields."""
     df.write.option("header", True).option("escape", '"').csv(path)
