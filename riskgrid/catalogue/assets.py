@@ -100,6 +100,15 @@ def c1(spark, folder):
     return out
 
 
+@query("c1_report", """SELECT country, (SELECT count(*) FROM units u WHERE u.country = c.country AND lower(trim(status)) = 'operating') AS units_before, count(b.country) FILTER (stays) AS plants_after, count(b.country) FILTER (stays AND coalesce(capacity_mw = 0, true)) AS missing_or_zero_capacity,
+CASE WHEN country <> 'NATION_4' AND country <> 'NOWHERE' THEN count(b.country) FILTER (NOT inside) END AS outside_box, count(b.country) FILTER (NOT stays) AS excluded, count(b.country) FILTER (stays AND mixed_fuel_type) AS mixed_fuel, 0 AS n_hydro, count(b.country) FILTER (stays AND bucket = 'thermal') AS n_thermal,
+count(b.country) FILTER (stays AND bucket = 'wind') AS n_wind, 0 AS n_solar, count(b.country) FILTER (stays AND bucket IS NULL) AS n_unmapped, CASE WHEN plants_after = 0 THEN 'no operating plants' END AS note FROM (SELECT unnest(['NATION_1', 'NATION_2', 'NATION_3', 'NATION_4', 'NOWHERE']) AS country) c
+LEFT JOIN (SELECT *, coalesce(CASE country WHEN 'NATION_3' THEN lon BETWEEN -25 AND 15 AND lat BETWEEN -1 AND 20 WHEN 'NATION_4' THEN false ELSE lon BETWEEN -15 AND 15 AND lat BETWEEN 1 AND 32 END, false) AS inside, inside OR country IN ('NATION_2', 'NATION_4') AS stays FROM bucketed) b USING (country) GROUP BY country""", "bucketed")
+def c1r(spark, folder):
+    """Counts by reason of four countries, one of them without a box, and of one without any plant."""
+    return assets.asset_report(units(spark, folder), boxes(spark), ["NATION_1", "NATION_2", "NATION_3", "NATION_4", "NOWHERE"], OVERRIDES)
+
+
 @query("p5_box_union", """SELECT country, least(xmin, xmin + n) AS xmin, least(ymin, n - 2) AS ymin, greatest(xmax, n + 1.0) AS xmax, greatest(ymax, 3.0 * n) AS ymax FROM (SELECT n_name AS country, n_nationkey::DOUBLE AS n, n_nationkey % 5 - 5.0::DOUBLE AS xmin,
 n_nationkey % 3 - 3.0::DOUBLE AS ymin, 10.0::DOUBLE AS xmax, 12.0::DOUBLE AS ymax FROM nation)""")
 def p5(spark, folder):

@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 from riskgrid.functions import exprs as X
 from riskgrid.operators import grid, quality, risk
 from riskgrid.plans import carriers
+from riskgrid.sources import sinks
 
 from .base import bands, index, query, r, risks, samples, single
 
+#: Cells along a tile's side, small beside the tables' grids.
+TILE = 16
+
 
 @query("s2_plants", "SELECT * FROM plants", "plants")
 def s2(spark, folder):
@@ -28,6 +32,14 @@ def j2(spark, folder):
     return samples(spark, folder).select("plant_uid", "bucket", "water_scenario", "heat_scenario", "model", "term", "value")
 
 
+@query("j2_tiled_samples", "SELECT plant_uid, bucket, water_scenario, heat_scenario, model, term, value FROM samples", "samples")
+def j2t(spark, folder):
+    """Layers written by tile and read through the plants' tiles."""
+    tiled = spark.read.parquet(sinks.write_tiled(carriers.cells(spark, folder), sinks.scratch(spark), TILE))
+    found = grid.sample_tiled(carriers.plants(spark, folder), tiled, carriers.scenario_keys(spark), carriers.GRID, TILE)
+    return found.select("plant_uid", "bucket", "water_scenario", "heat_scenario", "model", "term", "value")
+
+
 @query("o5_wide_samples", """SELECT plant_uid, water_scenario, model, max(value) FILTER (term = 'ws') AS ws, max(value) FILTER (term = 'heat') AS heat, max(value) FILTER (term = 'sv') AS sv,
 max(value) FILTER (term = 'iv') AS iv, max(value) FILTER (term = 'spei') AS spei, max(value) FILTER (term = 'precip') AS precip, max(value) FILTER (term = 'wind') AS wind FROM samples GROUP BY ALL""", "samples")
 def o5(spark, folder):

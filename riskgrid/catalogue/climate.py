@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskgrid.operators import drought, grid, quality
 from riskgrid.plans import carriers
+from riskgrid.sources import sinks
 from riskgrid.sources.tables import read_table
 
 from .base import query, r
@@ -52,6 +53,18 @@ def c2(spark, folder):
     return grid.exceedance_days(daily(spark, folder), 20.0)
 
 
+@query("c2_heat_days_from_files", """SELECT t // 72 AS target_row, t % 72 AS target_col, days AS value FROM range(864) g(t) LEFT JOIN (SELECT floor((30 - lat) / 10)::BIGINT AS row, floor(((lon + 180) % 360) / 10)::BIGINT AS col, count(*) FILTER (value > 20) / 30.0::DOUBLE AS days
+FROM (SELECT event_id % 6 * 10.0::DOUBLE - 25 AS lat, user_id % 36 * 10.0::DOUBLE + 5 AS lon, value FROM events) GROUP BY 1, 2) ON row = t // 72 // 2 AND col = t % 72 // 2""")
+def c2f(spark, folder):
+    """Daily values in files by year whose variable's name changes from year to year, longitudes from 0 to 360, to a grid of half the cell size."""
+    k, path = F.col("event_id"), sinks.scratch(spark)
+    series = read_table(spark, folder, "events").select((k % 30 + 2041).cast("int").alias("year"), (k % 6 * 10.0 - 25.0).alias("lat"), (F.col("user_id") % 36 * 10.0 + 5.0).alias("lon"), "value")
+    for odd, name in enumerate(("tasmax", "tmax")):
+        series.filter(F.col("year") % 2 == odd).withColumnRenamed("value", name).repartition("year").write.mode("append").partitionBy("year").parquet(path)
+    found = grid.regridded_heat_days(spark, path, (-180.0, 30.0, 10.0), (-180.0, 30.0, 5.0), (360.0, 60.0), ("tasmax", "tmax"), threshold=20.0)
+    return found.select(F.col("target_row").cast("long").alias("target_row"), F.col("target_col").cast("long").alias("target_col"), "value")
+
+
 @query("c4_wet_day_exceedance", """SELECT cell, round("limit", 9) AS "limit", round(days / years::DOUBLE, 9) AS days_per_year FROM (SELECT cell, any_value(l) AS "limit", count(*) FILTER (value > l) AS days, count(DISTINCT year) AS years
 FROM daily JOIN (SELECT cell, quantile_cont(value, 0.95) FILTER (value >= 1) AS l FROM daily GROUP BY 1) USING (cell) GROUP BY cell)""", "daily")
 def c4(spark, folder):

@@ -221,7 +221,53 @@ def c14(spark, folder):
     return out.select("n1", "n2", r("median1", 9).alias("median1"), r("median2", 9).alias("median2"), r("u", 6).alias("u"), r("z", 8).alias("z"))
 
 
-@query("a16_rank_sum_test")
+@query("a38_tracks_by_country", "SELECT n_name AS country, count(t.event_id) AS points, count(DISTINCT t.event_id % 100) AS storms FROM nation LEFT JOIN (SELECT * FROM tracks WHERE event_id % 6 <> 5) t ON t.event_id % 6 = n_nationkey % 7 GROUP BY 1", "tracks")
+def a38c(spark, folder):
+    """Basins serve several countries, and two have no basin with points."""
+    k = F.col("event_id")
+    points_ = tracks(spark, folder).withColumns({"basin": k % 6, "sid": k % 100}).filter("basin <> 5")
+    countries = read_table(spark, folder, "nation").select(F.col("n_name").alias("country"), (F.col("n_nationkey") % 7).alias("basin"))
+    return events.track_summary(points_, countries)
+
+
+def normal_p(z: str) -> str:
+    """Two-sided p of a z in SQL, by the engine's own polynomial."""
+    t = f"(1.0::DOUBLE / (1.0 + 0.2316419::DOUBLE * abs({z})))"
+    upper = f"0.3989422804014327::DOUBLE * exp(-{z} * {z} / 2.0) * {t} * (0.319381530::DOUBLE + {t} * (-0.356563782::DOUBLE + {t} * (1.781477937::DOUBLE + {t} * (-1.821255978::DOUBLE + {t} * 1.330274429::DOUBLE))))"
+    return f"least(greatest(2 * CASE WHEN {z} >= 0 THEN {upper} ELSE 1 - {upper} END, 0), 1)"
+
+
+#: Sizes, medians, U, z and asymptotic p of rows rk(keys, value, flag, rk).
+TESTED = """{name} AS (SELECT {keys}, count(*) FILTER (flag) AS n1, count(*) FILTER (NOT flag) AS n2, quantile_cont(value, 0.5) FILTER (flag) AS median1, quantile_cont(value, 0.5) FILTER (NOT flag) AS median2, sum(rk) FILTER (flag) - n1 * (n1 + 1) / 2 AS u0, any_value(ties) AS tied,
+  (abs(u0 - n1 * n2 / 2.0::DOUBLE) - 0.5) / sqrt(n1 * n2 / 12.0::DOUBLE * ((n1 + n2 + 1) - tied / ((n1 + n2) * (n1 + n2 - 1.0::DOUBLE)))) AS z0 FROM (SELECT *, rank() OVER (PARTITION BY {keys} ORDER BY value) + (count(*) OVER (PARTITION BY {keys}, value) - 1) / 2 AS rk FROM {rows} WHERE value IS NOT NULL)
+  JOIN (SELECT {keys}, sum(t * t * t - t)::DOUBLE AS ties FROM (SELECT {keys}, value, count(*)::DOUBLE AS t FROM {rows} WHERE value IS NOT NULL GROUP BY ALL) GROUP BY ALL) USING ({keys}) GROUP BY ALL)"""
+
+
+@query("a16_rank_sum_test", f"""WITH flagged AS (SELECT l_linestatus, l_quantity AS value, l_returnflag = 'R' AS flag FROM lineitem), {TESTED.format(name="tested", keys="l_linestatus", rows="flagged")}
+SELECT l_linestatus, n1, n2, median1, median2, CASE WHEN least(n1, n2) >= 3 THEN round(u0, 1) END AS u, CASE WHEN least(n1, n2) >= 3 THEN round(z0, 6) END AS z, CASE WHEN least(n1, n2) >= 3 THEN round({normal_p("z0")}, 6) END AS p, CASE WHEN least(n1, n2) >= 3 THEN 'asymptotic' END AS method,
+CASE WHEN least(n1, n2) < 3 THEN 'group below 3' END AS reason FROM tested""")
 def a16(spark, folder):
     rows = read_table(spark, folder, "lineitem").select("l_linestatus", F.col("l_quantity").alias("value"), (F.col("l_returnflag") == "R").alias("flag"))
-    return events.rank_sum_test(rows, ("l_linestatus",))
+    return events.rank_sum_test(rows, ("l_linestatus",)).withColumns({"u": r("u", 1), "z": r("z", 6), "p": r("p", 6)})
+
+
+ZONAL = f"""z AS (SELECT poly_id, gid, term, avg(v) AS mean FROM polys CROSS JOIN (SELECT unnest(['heat', 'spei', 'ws']) AS term) LEFT JOIN (SELECT v AS poly_id, term, ((p_partkey * a + p_size * 7 + 11) % modulus) / divisor AS v FROM (SELECT id, v FROM ({CENTRES.format(pick="poly_id")})) JOIN part ON p_partkey = id CROSS JOIN rules
+  WHERE term IN ('heat', 'spei', 'ws') AND (p_partkey + a) % 31 <> 0) USING (poly_id, term) GROUP BY 1, 2, 3),
+flagged AS (SELECT unnest(['N' || poly_id // 5, 'all']) AS country, term, mean AS value, (term, gid) IN (SELECT CASE term WHEN 'precip' THEN 'ws' ELSE term END, gid FROM hits WHERE term IN ('heat', 'spei', 'precip')) AS flag FROM z),
+dp AS (SELECT 0 AS i, 0 AS size, 0 AS s, 1::HUGEINT AS c UNION ALL SELECT i + 1, size + t, s + t * (i + 1), sum(c)::HUGEINT FROM dp CROSS JOIN (VALUES (0), (1)) x(t) WHERE i < 25 GROUP BY i, size + t, s + t * (i + 1)),
+{TESTED.format(name="tested", keys="country, term", rows="flagged")},
+orders_of AS (SELECT i, size, s - size * (size + 1) // 2 AS u, sum(c) OVER (PARTITION BY i, size ORDER BY s DESC)::DOUBLE / sum(c) OVER (PARTITION BY i, size)::DOUBLE AS tail FROM dp),
+counted AS (SELECT country, term, count(*) FILTER (flag) AS polygons_with, count(*) FILTER (NOT flag) AS polygons_without FROM flagged GROUP BY 1, 2)
+SELECT country, term, polygons_with, polygons_without, coalesce(n1, 0) AS n1, coalesce(n2, 0) AS n2, round(median1, 9) AS median1, round(median2, 9) AS median2, CASE WHEN ok THEN round(u0, 1) END AS u, CASE WHEN ok THEN round(CASE WHEN exact THEN least(2 * tail, 1) ELSE {normal_p("z0")} END, 9) END AS p,
+CASE WHEN ok THEN CASE WHEN exact THEN 'exact' ELSE 'asymptotic' END END AS method, CASE WHEN NOT ok THEN 'group below 3' END AS reason
+FROM counted LEFT JOIN (SELECT *, least(n1, n2) >= 3 AS ok, tied = 0 AND least(n1, n2) BETWEEN 3 AND 8 AS exact FROM tested) USING (country, term) LEFT JOIN orders_of o ON exact AND o.i = n1 + n2 AND o.size = n1 AND o.u = greatest(u0, n1 * n2 - u0)"""
+
+
+@query("c14_zonal_validation", carriers.with_sql(ZONAL, "polys", "disasters", "rules").replace("WITH ", "WITH RECURSIVE ", 1).replace("\nz AS", ",\nz AS", 1))
+def c14z(spark, folder):
+    """Every country and all together, for the disaster types that have a zonal layer."""
+    layers = carriers.cells(spark, folder).filter("scenario = 'bau' and model in ('-', 'gfdl_esm4')").select("term", "row", "col", "value")
+    areas, found = polygons(spark, folder).withColumn("country", F.substring_index("gid", ".", 1)), disasters(spark, folder)
+    both = [events.zonal_event_tests(a, layers, carriers.GRID, found)["summary"] for a in (areas, areas.withColumn("country", F.lit("all")))]
+    out = both[0].unionByName(both[1])
+    return out.select("country", "term", "polygons_with", "polygons_without", "n1", "n2", r("median1", 9).alias("median1"), r("median2", 9).alias("median2"), r("u", 1).alias("u"), r("p", 9).alias("p"), "method", "reason")

@@ -64,10 +64,10 @@ def a35(spark, folder):
     return report.age_summary(risk.age_factors(carriers.plants(spark, folder))).withColumns({c: r(c, 9) for c in ("low", "mean", "high")})
 
 
-@query("f5_robust_transform", """SELECT plant_uid, water_scenario, model, round((least(greatest(value, p1), p99) - p1) / (p99 - p1), 8) AS robust, round((rk - 1) / (n - 1), 9) AS rank_quantile FROM (SELECT *, rank() OVER (PARTITION BY model ORDER BY value) + (count(*) OVER (PARTITION BY model, value) - 1) / 2 AS rk
-FROM samples WHERE term = 'heat' AND value IS NOT NULL) JOIN (SELECT model, quantile_cont(value, 0.01) AS p1, quantile_cont(value, 0.99) AS p99, count(value) AS n FROM samples WHERE term = 'heat' GROUP BY 1) USING (model)""", "samples")
+@query("f5_robust_transform", """SELECT plant_uid, term, water_scenario, model, round((least(greatest(value, p1), p99) - p1) / (p99 - p1), 8) AS robust, round((rk - 1) / (n - 1), 9) AS rank_quantile FROM (SELECT *, rank() OVER (PARTITION BY term, model ORDER BY value) + (count(*) OVER (PARTITION BY term, model, value) - 1) / 2 AS rk
+FROM samples WHERE value IS NOT NULL) JOIN (SELECT term, model, quantile_cont(value, 0.01) AS p1, quantile_cont(value, 0.99) AS p99, count(value) AS n FROM samples GROUP BY 1, 2) USING (term, model)""", "samples")
 def f5(spark, folder):
-    return report.robust(samples(spark, folder).filter("term = 'heat'"), "model").select("plant_uid", "water_scenario", "model", r("robust", 8).alias("robust"), r("rank_quantile", 9).alias("rank_quantile"))
+    return report.robust(samples(spark, folder), "term", "model").select("plant_uid", "term", "water_scenario", "model", r("robust", 8).alias("robust"), r("rank_quantile", 9).alias("rank_quantile"))
 
 
 carriers.SQL["cw"] = "cw(bucket, term, w) AS (VALUES " + ", ".join(f"('{b}', '{t}', {w!r}::DOUBLE)" for b, t, w in report.composite_weights()) + ")"
@@ -113,7 +113,7 @@ def c21(spark, folder):
 @query("j11_risk_with_bands", """SELECT r.plant_uid, r.term, r.water_scenario, r.model, risk::FLOAT::DOUBLE AS risk, risk_band FROM risk r LEFT JOIN bands b USING (plant_uid, term, water_scenario, model)""", "risk", "bands")
 def j11(spark, folder):
     s = samples(spark, folder)
-    own = risk.risk_bands(s).select("plant_uid", "term", "water_scenario", "model", "risk_band")
+    own = bands(spark, folder).select("plant_uid", "term", "water_scenario", "model", "risk_band")
     return risk.risk_by_hazard(s, risk.global_bounds(s)).join(own, ["plant_uid", "term", "water_scenario", "model"], "left").select("plant_uid", "term", "water_scenario", "model", single("risk").alias("risk"), "risk_band")
 
 
@@ -121,7 +121,7 @@ def j11(spark, folder):
 def j10(spark, folder):
     names = F.create_map(*(F.lit(x) for kv in (("N0", "AFRICA"), ("N1", "AMERICA"), ("N2", "ASIA"), ("N3", "EUROPE")) for x in kv))
     m = events.multipliers(places.disasters(spark, folder)).select(F.try_element_at(names, F.col("country")).alias("country"), "multiplier")
-    return carriers.plants(spark, folder).join(F.broadcast(m), "country", "left").select("plant_uid", r(F.col("capacity_mw") * F.coalesce("multiplier", F.lit(1.0)), 6).alias("weighted"))
+    return events.weighted_by_country(carriers.plants(spark, folder), m, "capacity_mw").select("plant_uid", r("weighted", 6).alias("weighted"))
 
 
 @query("q4_bounds_drift", """SELECT coalesce(b.term, z.term) AS term, coalesce(b.bound_model, z.bound_model) AS bound_model FROM bounds b FULL JOIN (SELECT term, bound_model, CASE WHEN term = 'heat' THEN lo - 0.0002 ELSE lo END AS lo, CASE term WHEN 'ws' THEN hi + 0.00005 WHEN 'precip' THEN hi + 0.00011 ELSE hi END AS hi
@@ -198,3 +198,10 @@ def t1(spark, folder):
     feed = read_table(spark, folder, "events").select((F.col("user_id") % 40).alias("cell"), (F.col("event_id") % 30 + 2041).alias("year"), "value")
     feed.repartition(4).write.parquet(f"{top}/feed")
     return annual_max.fold(spark, f"{top}/feed", "cell long, year long, value double", f"{top}/state", f"{top}/progress")
+
+
+@query("q4_frozen_bounds", "SELECT coalesce(b.term, z.term) AS term, coalesce(b.bound_model, z.bound_model) AS bound_model FROM bounds b FULL JOIN (VALUES " + ", ".join(f"('{t}', '{m or '-'}', {lo!r}::DOUBLE, {hi!r}::DOUBLE)" for (t, m), (lo, hi) in C.FROZEN_BOUNDS.items()) + """) z(term, bound_model, lo, hi) USING (term, bound_model)
+WHERE NOT coalesce(abs(b.lo - z.lo) <= 0.0001 AND abs(b.hi - z.hi) <= 0.0001, false)""", "bounds")
+def q4f(spark, folder):
+    """The tables' bounds against the registry's frozen ones."""
+    return quality.frozen_drift(risk.global_bounds(samples(spark, folder))).select("term", "bound_model")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from riskgrid.functions import config as C
@@ -57,22 +59,28 @@ def c21w(spark, folder):
     return report.invariant_band(bands(spark, folder)).withColumn("mw", r("mw", 4))
 
 
-@query("c24_plant_against_grid", """SELECT term, model, p.n AS plants_known, round(p.p5, 8) AS plants_p5, round(p.p50, 8) AS plants_p50, round(p.p95, 8) AS plants_p95, plants, c.n AS cells_known, round(c.p5, 8) AS cells_p5, round(c.p50, 8) AS cells_p50, round(c.p95, 8) AS cells_p95, round(p.n / plants::DOUBLE, 9) AS match_rate
-FROM (SELECT term, model, count(value) AS n, count(*) AS plants, quantile_cont(value, 0.05) AS p5, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95 FROM samples WHERE water_scenario = 'bau' AND term IN ('heat', 'spei', 'precip') GROUP BY 1, 2) p
-JOIN (SELECT term, model, count(v) AS n, quantile_cont(v, 0.05) AS p5, quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.95) AS p95 FROM (SELECT term, model, CASE WHEN (p_partkey + a) % 31 <> 0 THEN ((p_partkey * a + p_size * 7 + 11 + m * 5) % modulus) / divisor END AS v FROM part CROSS JOIN rules CROSS JOIN mods WHERE term IN ('heat', 'spei', 'precip')) GROUP BY 1, 2) c USING (term, model)""", "samples")
+@query("c24_plant_against_grid", """SELECT term, model, water_scenario, p.n AS plants_known, round(p.p5, 8) AS plants_p5, round(p.p50, 8) AS plants_p50, round(p.p95, 8) AS plants_p95, plants, c.n AS cells_known, round(c.p5, 8) AS cells_p5, round(c.p50, 8) AS cells_p50, round(c.p95, 8) AS cells_p95, round(p.n / plants::DOUBLE, 9) AS match_rate
+FROM (SELECT term, model, water_scenario, count(value) AS n, count(*) AS plants, quantile_cont(value, 0.05) AS p5, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95 FROM samples WHERE term IN ('heat', 'spei', 'precip') GROUP BY 1, 2, 3) p
+JOIN (SELECT term, model, water_scenario, count(v) AS n, quantile_cont(v, 0.05) AS p5, quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.95) AS p95 FROM (SELECT term, model, water_scenario, CASE WHEN (p_partkey + a) % 31 <> 0 THEN ((p_partkey * a + p_size * 7 + s * 11 + m * 5) % modulus) / divisor END AS v FROM part CROSS JOIN rules CROSS JOIN mods CROSS JOIN scen WHERE term IN ('heat', 'spei', 'precip')) GROUP BY 1, 2, 3) c USING (term, model, water_scenario)""", "samples")
 def c24(spark, folder):
-    own = samples(spark, folder).filter(F.col("term").isin(*C.MODEL_TERMS) & (F.col("water_scenario") == "bau"))
-    cells = carriers.cells(spark, folder).filter(F.col("term").isin(*C.MODEL_TERMS) & (F.col("scenario") == "bau"))
-    found = report.plant_against_grid(own, cells, "term", "model")
+    own = samples(spark, folder).filter(F.col("term").isin(*C.MODEL_TERMS))
+    cells = carriers.cells(spark, folder).filter(F.col("term").isin(*C.MODEL_TERMS)).withColumnRenamed("scenario", "water_scenario")
+    found = report.plant_against_grid(own, cells, "term", "model", "water_scenario")
     return found.withColumns({c: r(c, 8) for c in found.columns if "_p" in c} | {"match_rate": r("match_rate", 9)})
 
 
 @query("c24_two_hazards", """SELECT term_a, term_b, bucket, country, model, n, round(pearson_r, 8) AS pearson_r FROM gate WHERE term_a = 'precip' AND term_b = 'ws'""", "gate")
 def c24h(spark, folder):
-    found = gate.run_gate(samples(spark, folder)).filter("term_a = 'precip' and term_b = 'ws'")
+    found = gate.run_gate(samples(spark, folder), pairs=tuple(p for p in C.PAIRS if p[:2] == ("precip", "ws")))
     return found.select("term_a", "term_b", "bucket", "country", "model", "n", r("pearson_r", 8).alias("pearson_r"))
 
 
+@query("a13_water_thresholds", "SELECT term, water_scenario, round(avg((value >= CASE term WHEN 'ws' THEN 0.4 WHEN 'iv' THEN 0.665 ELSE 0.5 END::DOUBLE)::INTEGER), 9) AS share, count(value) AS n, round(quantile_cont(value, 0.9), 9) AS p90, round(quantile_cont(value, 0.95), 9) AS p95, round(quantile_cont(value, 0.99), 9) AS p99 FROM samples WHERE term IN ('ws', 'iv', 'sv') GROUP BY 1, 2", "samples")
+def a13w(spark, folder):
+    found = report.water_thresholds(samples(spark, folder), "water_scenario")
+    return found.select("term", "water_scenario", "n", *(r(c, 9).alias(c) for c in ("share", "p90", "p95", "p99")))
+
+
 @query("s11_results_with_capacity", "SELECT r.plant_uid, r.term, r.water_scenario, r.model, p.capacity_mw FROM risk r LEFT JOIN (SELECT * FROM plants WHERE country <> 'ASIA') p USING (plant_uid)", "risk")
 def s11(spark, folder):
     """Stored results without capacity, read again and joined with an inventory that lacks some plants."""
@@ -151,20 +159,36 @@ def f7(spark, folder):
     return joined.select("plant_uid", "term", "water_scenario", "model", r(X.transform("transform", "value", F.col("lo"), F.col("hi")), 7).alias("scaled"))
 
 
-@query("q8_registry_conflicts", """SELECT bucket, term, problem FROM (SELECT bucket, term, 'applicable without a rule' AS problem FROM applicable WHERE term = 'iv' UNION ALL SELECT 'solar', 'ws', 'rule that isn''t applicable' UNION ALL SELECT bucket, NULL, 'bucket without a hazard' FROM (SELECT DISTINCT 'N' || n_regionkey AS bucket FROM nation)
-UNION ALL SELECT bucket, term, 'excluded hazard' FROM applicable WHERE term = 'spei')""", "applicable")
+@query("q8_registry_conflicts", """WITH app AS (SELECT DISTINCT bucket, term FROM applicable), ruled AS (SELECT DISTINCT bucket, term FROM samples WHERE value >= 10 AND plant_uid < 'AM'), kinds AS (SELECT DISTINCT coalesce(fuel_type, bucket) AS bucket FROM plants),
+gone AS (SELECT term FROM samples GROUP BY term HAVING max(value) < 5)
+SELECT bucket, term, 'applicable without a rule' AS problem FROM app ANTI JOIN ruled USING (bucket, term) UNION ALL SELECT bucket, term, 'rule that isn''t applicable' FROM ruled ANTI JOIN app USING (bucket, term)
+UNION ALL SELECT bucket, NULL, 'bucket without a hazard' FROM kinds ANTI JOIN app USING (bucket) UNION ALL SELECT bucket, term, 'excluded hazard' FROM app SEMI JOIN gone USING (term)""".replace("WITH app", "SELECT * FROM (WITH app", 1) + ")", "samples", "applicable")
 def q8(spark, folder):
-    """Rules that lack one term and name one more, buckets of regions that no hazard serves, and a term that is ruled out."""
+    """Rules for what one region's samples reach, buckets named as the plants' fuels are, and terms ruled out whose samples stay low, against the registry."""
+    s = samples(spark, folder)
     applicable = spark.createDataFrame(C.applicability(), "bucket string, term string, pos int, size int").select("bucket", "term")
-    rules = applicable.filter("term <> 'iv'").unionByName(spark.createDataFrame([("solar", "ws")], "bucket string, term string"))
-    wanted = read_table(spark, folder, "nation").select(F.concat(F.lit("N"), F.col("n_regionkey").cast("string")).alias("bucket")).unionByName(applicable.select("bucket"))
-    excluded = spark.createDataFrame([("spei",), *((t,) for t in C.EXCLUDED_TERMS)], "term string")
+    rules = s.filter("value >= 10 and plant_uid < 'AM'").select("bucket", "term")
+    wanted = carriers.plants(spark, folder).select(F.coalesce("fuel_type", "bucket").alias("bucket"))
+    excluded = s.groupBy("term").agg(F.max("value").alias("most")).filter("most < 5").select("term")
     return quality.registry_conflicts(rules, applicable, excluded, wanted)
 
 
-@query("q10_usable_tables", "SELECT 'no column ' || c AS problem FROM (SELECT unnest(['lat', 'lon']) AS c) WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_acctbal > 1e12) UNION ALL SELECT 'no row' WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_acctbal > 1e12)")
+Q10 = """SELECT t AS name, 'no column ' || c AS problem FROM (SELECT unnest(['events', 'part', 'orders', 'supplier']) AS t) CROSS JOIN (SELECT unnest(['event_id', 'ts', 'value']) AS c) WHERE NOT EXISTS (SELECT 1 FROM duckdb_columns() d WHERE d.table_name = t AND d.column_name = c)
+UNION ALL SELECT 'events', 'no row' WHERE NOT EXISTS (SELECT 1 FROM events) UNION ALL SELECT 'part', 'no row' WHERE NOT EXISTS (SELECT 1 FROM part) UNION ALL SELECT 'orders', 'no row' WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_totalprice > (SELECT 2 * max(o_totalprice) FROM orders))
+UNION ALL SELECT 'supplier', 'no row' WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_acctbal < (SELECT avg(c_acctbal) FROM customer))"""
+
+
+@query("q10_usable_tables", Q10)
 def q10(spark, folder):
-    return quality.usable_table(read_table(spark, folder, "supplier").filter("s_acctbal > 1e12"), "s_name", "lat", "lon")
+    """Tables with all columns and rows, without some columns, and with no row beyond a limit that the data set."""
+    orders, customer = read_table(spark, folder, "orders"), read_table(spark, folder, "customer")
+    most, mean = F.broadcast(orders.agg(F.max("o_totalprice").alias("most"))), F.broadcast(customer.agg(F.avg("c_acctbal").alias("mean")))
+    tables = {
+        "events": read_table(spark, folder, "events"), "part": read_table(spark, folder, "part"), "orders": orders.crossJoin(most).filter("o_totalprice > 2 * most"),
+        "supplier": read_table(spark, folder, "supplier").crossJoin(mean).filter("s_acctbal < mean"),
+    }
+    found = [quality.usable_table(t, "event_id", "ts", "value").withColumn("name", F.lit(n)) for n, t in tables.items()]
+    return reduce(lambda a, b: a.unionByName(b), found)
 
 
 @query("a37_first_step", "SELECT y AS year, round(count(*) FILTER (event_id % 5 <> 0) / count(*)::DOUBLE, 9) AS share, count(*) AS rows FROM (SELECT *, event_id % 30 + 2041 AS y FROM events) WHERE y = 2041 GROUP BY 1")

@@ -99,15 +99,22 @@ def to_plants(units: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     )
 
 
-def with_bucket(plants: DataFrame, overrides: dict[str, str] | None = None) -> DataFrame:
-    """Bucket of each plant's fuel; a mixed plant takes its name's override, or its fuels' common bucket; else null."""
+def with_bucket(plants: DataFrame, overrides: dict[str, str] | None = None, strict: bool = False) -> DataFrame:
+    """Bucket of each plant's fuel; a mixed plant takes its name's override, or its fuels' common bucket; else null.
+
+    With ``strict`` a plant without a bucket raises when it is met, and names
+    its fuels; :func:`unmapped` lists them otherwise.
+    """
     spark = plants.sparkSession
     fuels = F.broadcast(spark.createDataFrame(list(C.FUEL_BUCKETS.items()), "_fuel string, _bucket string"))
     common = F.create_map(*(F.lit(x) for kv in C.FUEL_BUCKETS.items() for x in kv))
     kinds = F.array_distinct(F.transform(F.split("fuel_types_found", ";"), lambda f: F.try_element_at(common, f)))
     named = F.create_map(*(F.lit(x) for kv in (overrides or {"": ""}).items() for x in kv))
     mixed = F.coalesce(F.try_element_at(named, F.col("plant_name")), F.when(F.size(kinds) == 1, kinds[0]))
-    return plants.join(fuels, F.col("fuel_type") == F.col("_fuel"), "left").withColumn("bucket", F.when(F.col("mixed_fuel_type"), mixed).otherwise(F.col("_bucket"))).drop("_fuel", "_bucket")
+    bucket = F.when(F.col("mixed_fuel_type"), mixed).otherwise(F.col("_bucket"))
+    if strict:
+        bucket = F.coalesce(bucket, F.raise_error(F.concat(F.lit("no bucket for the fuels of "), F.coalesce("plant_name", F.lit("?")), F.lit(": "), F.coalesce("fuel_types_found", F.lit("none")))).cast("string"))
+    return plants.join(fuels, F.col("fuel_type") == F.col("_fuel"), "left").withColumn("bucket", bucket).drop("_fuel", "_bucket")
 
 
 def unmapped(plants: DataFrame) -> DataFrame:
@@ -130,3 +137,26 @@ def clean_assets(units: DataFrame, boxes: DataFrame, countries: list[str], overr
     classed = with_status(in_scope(units, countries))
     plants = with_bucket(boxed(to_plants(classed.filter("status_class = 'operating'")), boxes), overrides)
     return {"plants": plants.filter("stays").drop("reason", "stays"), "planned": classed.filter("status_class = 'planned'"), "excluded": plants.filter("not stays")}
+
+
+def asset_report(units: DataFrame, boxes: DataFrame, countries: list[str], overrides: dict[str, str] | None = None) -> DataFrame:
+    """What the cleaning did, one row for each of ``countries``: units before and plants after it, and plants by reason and bucket.
+
+    Plants outside their country's box are counted whether or not they leave for
+    it, and not at all (null) where the country has no box; the counts of
+    capacity, mixed fuels and buckets are of the plants that stay. A country
+    without a plant has a note.
+    """
+    name = F.trim("country").alias("country")
+    operating = with_status(in_scope(units, countries)).filter("status_class = 'operating'")
+    before = operating.groupBy(name).agg(F.count(F.lit(1)).alias("units_before"))
+    plants, stays = with_bucket(boxed(to_plants(operating), boxes), overrides), F.col("stays")
+    counted = plants.groupBy(name).agg(
+        F.count_if(stays).alias("plants_after"), F.count_if(stays & F.coalesce(F.col("capacity_mw") == 0, F.lit(True))).alias("missing_or_zero_capacity"), F.count_if(~F.col("inside")).alias("outside_box"),
+        F.count_if(~stays).alias("excluded"), F.count_if(stays & F.col("mixed_fuel_type")).alias("mixed_fuel"), *(F.count_if(stays & (F.col("bucket") == b)).alias(f"n_{b}") for b in C.BUCKETS),
+        F.count_if(stays & F.col("bucket").isNull()).alias("n_unmapped"),
+    )
+    listed = units.sparkSession.createDataFrame([(c,) for c in countries], "country string")
+    joined = listed.join(before, "country", "left").join(counted, "country", "left").join(boxes.select("country", F.lit(True).alias("_box")).distinct(), "country", "left")
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("units_before", *counted.columns[1:])}
+    return joined.withColumns(zero | {"outside_box": F.when(F.col("_box"), F.coalesce("outside_box", F.lit(0))), "note": F.when(F.coalesce("plants_after", F.lit(0)) == 0, "no operating plants")}).drop("_box")

@@ -66,6 +66,12 @@ def multipliers(events: DataFrame, weight: float = C.EVENT_WEIGHT, years: int =
     return rate.crossJoin(F.broadcast(most)).withColumn("multiplier", 1.0 + weight * F.col("rate") / F.col("most")).drop("most")
 
 
+def weighted_by_country(rows: DataFrame, found: DataFrame, value: str, out: str = "weighted") -> DataFrame:
+    """``rows`` (country and others) with ``value`` times its country's event multiplier (country, multiplier: :func:`multipliers`); 1 where a country has none."""
+    named = F.broadcast(found.select("country", F.col("multiplier").alias("_m")))
+    return rows.join(named, "country", "left").withColumn(out, F.col(value) * F.coalesce("_m", F.lit(1.0))).drop("_m")
+
+
 def exploded(events: DataFrame, terms: dict[str, str] = C.EVENT_TERMS) -> DataFrame:
     """One row for each event, mapped term and first-level admin code; the rest drop out."""
     spark = events.sparkSession

@@ -30,28 +30,28 @@ def normalisation_origin(samples: DataFrame) -> DataFrame:
     return stats.filter("n >= 3").withColumn("transform", F.when(F.abs("skewness") > C.SKEWED, "neg_log_minmax").otherwise("direct_minmax"))
 
 
-def pair_table(samples: DataFrame) -> DataFrame:
+def pair_table(samples: DataFrame, pairs: tuple = C.PAIRS) -> DataFrame:
     """Rows of every candidate pair: pair, bucket, country (and pooled), model, x, y; both values known.
 
     Pooled rows are made by exploding the country, since ranks are taken anew
     in each group.
     """
     spark = samples.sparkSession
-    pairs = F.broadcast(spark.createDataFrame([(a, b, g, k, a in C.MODEL_TERMS or b in C.MODEL_TERMS) for a, b, g, ks in C.PAIRS for k in ks], "term_a string, term_b string, gated boolean, bucket string, by_model boolean"))
+    pairs = F.broadcast(spark.createDataFrame([(a, b, g, k, a in C.MODEL_TERMS or b in C.MODEL_TERMS) for a, b, g, ks in pairs for k in ks], "term_a string, term_b string, gated boolean, bucket string, by_model boolean"))
     one = samples.filter(F.col("value").isNotNull()).groupBy("plant_uid", "country", "bucket", "water_scenario", "model").agg(F.map_from_entries(F.collect_list(F.struct("term", "value"))).alias("v"))
     both = one.join(pairs, "bucket").filter(F.col("by_model") | (F.col("model") == C.MODELS[0]))
     found = both.withColumns({"x": F.try_element_at("v", F.col("term_a")), "y": F.try_element_at("v", F.col("term_b"))}).filter("x is not null and y is not null")
     return found.select("term_a", "term_b", "gated", "bucket", F.when(F.col("by_model"), F.col("model")).otherwise("not_model_dependent").alias("model"), F.explode(F.array("country", F.lit("pooled"))).alias("country"), "x", "y")
 
 
-def run_gate(samples: DataFrame, threshold: float = C.GATE, small_groups: bool = False) -> DataFrame:
+def run_gate(samples: DataFrame, threshold: float = C.GATE, small_groups: bool = False, pairs: tuple = C.PAIRS) -> DataFrame:
     """Correlations and verdict of each pair, bucket, country and model; pooled rows have no verdict.
 
     Ranks are taken over ranges of values, since pooled groups grow with the
     plants; ``small_groups=True`` ranks a group in one task by windows.
     """
     keys = ("term_a", "term_b", "gated", "bucket", "country", "model")
-    rows = sinks.kept(pair_table(samples))  # read by the ranks of both sides and by the correlations
+    rows = sinks.kept(pair_table(samples, pairs))  # read by the ranks of both sides and by the correlations
     ranked = (ranks.window_ranks if small_groups else ranks.with_average_ranks)(rows, {"rx": "x", "ry": "y"}, *keys)
     stats = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), correlation("x", "y").alias("pearson_r"), correlation("rx", "ry").alias("spearman_rho"))
     return verdicts(stats, F.lit(threshold))

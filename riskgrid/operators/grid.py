@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskgrid.functions import config as C
 from riskgrid.functions import exprs as X
 from riskgrid.plans import ranks
 from riskgrid.plans.sizes import checked_broadcast
+from riskgrid.sources import tables
 
 
 def cell_of(lon: Column | str, lat: Column | str, xmin: float, ymax: float, res: float) -> tuple[Column, Column]:
@@ -80,6 +81,23 @@ def exceedance_days(daily: DataFrame, threshold: float = C.HOT_K, years: float =
     return daily.groupBy(*cell).agg((F.count_if(F.col("value") > threshold) / F.lit(float(years))).alias("days_per_year"))
 
 
+def regridded_heat_days(
+    spark: SparkSession, path: str, source: tuple[float, float, float], target: tuple[float, float, float], extent: tuple[float, float],
+    variables: tuple[str, ...] = ("tasmax",), first_year: int = 2041, last_year: int = 2070, threshold: float = C.HOT_K,
+) -> DataFrame:
+    """Days a year above a threshold on a target grid (target_row, target_col, value), from files of daily values by year.
+
+    Files give their own variable (lon, lat, year and one of ``variables``);
+    longitudes from 0 to 360 are brought to -180 to 180, days are counted on the
+    series' own grid ``source`` over all years of the window, and the target
+    grid takes the value of the cell under its centres (null off the source).
+    """
+    series = normalise_longitude(tables.read_series(spark, path, variables, first_year, last_year))
+    row, column = cell_of("lon", "lat", *source)
+    days = exceedance_days(series.withColumns({"row": row, "col": column}), threshold, last_year - first_year + 1, ("row", "col"))
+    return regrid(days.withColumnRenamed("days_per_year", "value"), source, target, extent)
+
+
 def wet_day_exceedance(daily: DataFrame, wet: float = C.WET_MM, percentile: float = 0.95, cell: tuple[str, ...] = ("cell",)) -> DataFrame:
     """Days a year above a cell's own percentile of wet days; null where no day is wet."""
     limits = daily.groupBy(*cell).agg(F.percentile(F.when(F.col("value") >= wet, F.col("value")), F.lit(percentile)).alias("limit"))

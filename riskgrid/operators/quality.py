@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskgrid.functions import config as C
+
 
 def require_none(violations: DataFrame, message: str) -> None:
     """Raise with a few examples if there is a violation."""
@@ -63,6 +65,12 @@ def other_grid(meta: DataFrame, by: str = "country", tolerance: float = 1e-9) ->
     return meta.join(first, by).filter(off).drop("ref")
 
 
+def frozen_drift(bounds: DataFrame, tolerance: float = 1e-4) -> DataFrame:
+    """Bounds (term, bound_model, lo, hi) that have left the registry's frozen values, or that only one side has."""
+    rows = [(t, m or "-", lo, hi) for (t, m), (lo, hi) in C.FROZEN_BOUNDS.items()]
+    return drifted(bounds, bounds.sparkSession.createDataFrame(rows, "term string, bound_model string, lo double, hi double"), "term", "bound_model", tolerance=tolerance)
+
+
 def buckets_in(df: DataFrame, column: str = "bucket") -> DataFrame:
     """The buckets of a comparison, if there is more than one."""
     return df.agg(F.array_sort(F.collect_set(column)).alias("buckets")).filter(F.size("buckets") > 1)

@@ -144,8 +144,15 @@ def country_ranks(index: DataFrame) -> DataFrame:
 
 
 def by_absolute(table: DataFrame, value: str) -> DataFrame:
-    """Rows by falling absolute value, missing last, with their place."""
-    return table.withColumn("place", F.rank().over(Window.orderBy(F.abs(value).desc_nulls_last()))).orderBy("place")
+    """Rows by falling absolute value, missing last, with their place, equal ones sharing it.
+
+    Places come from ranks over ranges of values, so no task holds the table.
+    """
+    size = table.withColumn("_size", -F.abs(value))
+    places = ranks.value_ranks(size, "_size")
+    known = F.broadcast(places.agg(F.coalesce(F.max("n"), F.lit(0)).alias("_known")))
+    joined = size.join(places.select("_size", "low"), "_size", "left").crossJoin(known)
+    return joined.withColumn("place", (F.coalesce("low", "_known") + 1).cast("int")).orderBy("place").drop("_size", "low", "_known")
 
 
 def gate_matrix(gate_rows: DataFrame) -> DataFrame:
@@ -211,6 +218,14 @@ def plant_against_grid(samples: DataFrame, cells: DataFrame, *by: str) -> DataFr
     return own.join(rows, list(by)).join(grid, list(by), "left").withColumn("match_rate", F.col("plants_known") / F.col("plants"))
 
 
+def water_thresholds(samples: DataFrame, *by: str) -> DataFrame:
+    """Share of each water term's samples at or above the term's published cut, with percentiles: term, by, share, n, p90, p95, p99."""
+    water = samples.filter(F.col("term").isin(*C.WATER_TAU))
+    cut = F.create_map(*(F.lit(x) for kv in C.WATER_TAU.items() for x in kv))[F.col("term")]
+    over = water.groupBy("term", *by).agg(F.avg(F.when(F.col("value").isNotNull(), (F.col("value") >= cut).cast("double"))).alias("share"))
+    return over.join(ranks.percentiles(water, "value", {"p90": 0.9, "p95": 0.95, "p99": 0.99}, "term", *by), ["term", *by])
+
+
 def map_layer(bands: DataFrame) -> DataFrame:
     """Bands with coordinates and a marker size against the largest plant."""
     most = bands.agg(F.max("capacity_mw").alias("_most"))
