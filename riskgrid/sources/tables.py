@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +28,8 @@ def read_series(spark: SparkSession, path: str, variables: tuple[str, ...], firs
     the variables raises, as does a window without a file. Other columns are
     kept; a group that lacks one gives nulls.
     """
-    listed = spark.read.parquet(path).filter(F.col("year").between(first_year, last_year)).inputFiles()
+    years = ((f, re.search(r"/year=(-?\d+)/", f)) for f in map(unquote, spark.read.parquet(path).inputFiles()))
+    listed = [f for f, year in years if year and first_year <= int(year[1]) <= last_year]
     if not listed:
         raise ValueError(f"no file between {first_year} and {last_year}")
     with ThreadPoolExecutor(AT_ONCE) as pool:

@@ -219,16 +219,36 @@ def test_sobol_finds_the_only_parameter(spark):
     assert max(abs(r.st) for p, r in found.items() if p != "coal_decay_rate") < 1e-9
 
 
-@pytest.mark.parametrize("buckets", [1, 5, 64])
-def test_ranks_in_buckets(spark, buckets):
+@pytest.mark.parametrize("rows_a_range", [1_000_000, 7, 3])
+def test_ranks_in_ranges(spark, rows_a_range, monkeypatch):
     from riskgrid.plans import ranks
 
-    rows = [("a", float((k * 7) % 23)) for k in range(100)] + [("b", 1.0), ("b", None), ("b", 1.0)]
+    monkeypatch.setattr(ranks, "RANGE_ROWS", rows_a_range)
+    rows = [("a", float((k * 7) % 23)) for k in range(100)] + [("b", 1.0), ("b", None), ("b", 1.0), (None, 4.0), (None, 2.0), ("c", None)]
     df = spark.createDataFrame(rows, "g string, v double")
-    found = {(r.g, r.v): (r.low, r.high, r.n) for r in ranks.value_ranks(df, "v", "g", buckets=buckets).collect()}
-    for g in "ab":
+    found = {(r.g, r.v): (r.low, r.high, r.n) for r in ranks.value_ranks(df, "v", "g").collect()}
+    for g in ("a", "b", None, "c"):
         own = sorted(v for x, v in rows if x == g and v is not None)
         assert {v: lh for (x, v), lh in found.items() if x == g} == {v: (own.index(v), own.index(v) + own.count(v), len(own)) for v in own}
+    halves = {r.g: (r.m, r.n) for r in ranks.percentiles(df, "v", {"m": 0.5}, "g").collect()}
+    assert halves == {"a": (pytest.approx(11.0), 100), "b": (1.0, 2), None: (3.0, 2), "c": (None, 0)}
+    assert tuple(ranks.percentiles(df, "v", {"m": 0.0}).first()) == (0.0, 104)
+
+
+def test_ranges_stay_bounded(spark, monkeypatch):
+    """One group holds nearly all values; no range holds much more than its share."""
+    from riskgrid.plans import ranks
+    from riskgrid.sources import sinks
+
+    monkeypatch.setattr(ranks, "RANGE_ROWS", 500)
+    made, keep = [], sinks.kept
+    monkeypatch.setattr(sinks, "kept", lambda df: made.append(keep(df)) or made[-1])
+    df = spark.range(20_000).selectExpr("if(id < 10, 'small', 'large') as g", "cast(id * 7919 % 20011 as double) as v")
+    got = ranks.value_ranks(df, "v", "g").collect()
+    sizes = [r["count"] for r in made[-1].groupBy("_b").count().collect()]
+    assert len(sizes) >= 30 and max(sizes) <= 2_000
+    large = sorted((r.v, r.low) for r in got if r.g == "large")
+    assert [low for _, low in large] == list(range(19_990))
 
 
 def test_both_rank_plans_agree(spark):
