@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from riskgrid.functions import config as C
 from riskgrid.functions import exprs as X
+from riskgrid.sources import sinks
 
 from . import grid as layers
 
@@ -177,6 +178,8 @@ def _reachable(points: DataFrame, others: DataFrame, km: float, keep: list[str])
 
 #: Fine cells along a radius: the share of a circle that its rim takes is about six times the inverse.
 FINE = 32
+#: Points of a fine cell, on the average of all points, from which cells are worth their joins.
+CROWDED = 4
 
 
 def _fine_cells(points: DataFrame, km: float, names: tuple[str, str]) -> DataFrame:
@@ -194,15 +197,22 @@ def _fine_cells(points: DataFrame, km: float, names: tuple[str, str]) -> DataFra
 def within_radius(points: DataFrame, others: DataFrame, km: float = C.RADIUS_KM, point: str = "point_id") -> DataFrame:
     """Number of other points (lat, lon) within a great-circle radius of each point (lat, lon).
 
-    Both sides are gathered in fine cells first. Two cells that lie wholly within
-    the radius of each other add the other cell's count to all points of the
-    first; only cells on the rim meet point by point, so crowded places cost as
-    much as their rim. Points without a near one get 0.
+    Other points are counted by fine cells first. Where they crowd (an average
+    one shares its cell with CROWDED others), both sides are gathered in cells:
+    two cells that lie wholly within the radius of each other add the other
+    cell's count to all points of the first, and only cells on the rim meet
+    point by point, so crowded places cost as much as their rim. Elsewhere points
+    meet directly. Points without a near one get 0.
     """
     known = points.filter("lat is not null and lon is not null").select(point, "lat", "lon")
+    near = others.select("lat", "lon").filter("lat is not null and lon is not null")
+    theirs = _fine_cells(near, km, ("olat", "olon"))
+    cells = sinks.kept(theirs.groupBy(F.col("_band").alias("oband"), F.col("_cell").alias("ocell"), "olat", "olon", F.col("_reach").alias("oreach")).agg(F.count(F.lit(1)).alias("_n")))
+    crowd = cells.agg(F.sum(F.col("_n").cast("double") * F.col("_n")) / F.sum("_n")).first()[0] or 0.0
+    if crowd <= CROWDED:
+        met = _reachable(known, near.select(F.col("lat").alias("olat"), F.col("lon").alias("olon")), km, []).filter(X.haversine_km(F.col("lat"), F.col("lon"), F.col("olat"), F.col("olon")) <= km)
+        return points.join(met.groupBy(point).agg(F.count(F.lit(1)).alias("n_near")), point, "left").withColumn("n_near", F.coalesce("n_near", F.lit(0)))
     mine = _fine_cells(known, km, ("clat", "clon"))
-    theirs = _fine_cells(others.select("lat", "lon").filter("lat is not null and lon is not null"), km, ("olat", "olon"))
-    cells = theirs.groupBy(F.col("_band").alias("oband"), F.col("_cell").alias("ocell"), "olat", "olon", F.col("_reach").alias("oreach")).agg(F.count(F.lit(1)).alias("_n"))
     own = mine.groupBy("_band", "_cell", F.col("clat").alias("lat"), F.col("clon").alias("lon"), "_reach").agg(F.count(F.lit(1)).alias("_points"))
     far = km * (1.0 + 4.0 / FINE)  # two cells reach less than that beyond the radius; wide ones near the poles lie within it anyway
     pairs = _reachable(own, cells, far, ["oband", "ocell", "oreach", "_n"])

@@ -71,7 +71,9 @@ def test_scan_lines_equal_points(spark, res, width, height):
         assert value == (float(max(held)) if held else None)
 
 
-def test_radius_join_counts_whole_cells(spark):
+@pytest.mark.parametrize("crowded", [-1, 4])
+def test_radius_join_counts_whole_cells(spark, crowded, monkeypatch):
+    monkeypatch.setattr(spatial, "CROWDED", crowded)
     rng = random.Random(4)
 
     def km(a, b, c, d):
@@ -85,6 +87,19 @@ def test_radius_join_counts_whole_cells(spark):
         assert got == {p: sum(km(a, b, c, d) <= 100 for c, d in others if None not in (a, b, c, d)) if a is not None else 0 for p, a, b in points}
 
 
+def test_a_crowded_lane_costs_its_rim(spark, monkeypatch):
+    """200 points beside 20,000 within a few kilometres: whole cells decide most pairs."""
+    asked, haversine = [], spatial._reachable
+    monkeypatch.setattr(spatial, "_reachable", lambda *a: asked.append(haversine(*a)) or asked[-1])
+    lane = spark.range(20_000).selectExpr("10 + (id % 100) / 1000.0D as lat", "20 + (id div 100) / 2000.0D as lon")
+    points = spark.range(200).selectExpr("cast(id as string) as point_id", "10 + id / 400.0D as lat", "20.0D as lon")
+    found = spatial.within_radius(points, lane, 30.0)
+    assert asked[0].count() < 200 * 20_000 / 20
+    got = {int(r.point_id): r.n_near for r in found.collect()}
+    direct = points.crossJoin(lane.withColumnsRenamed({"lat": "olat", "lon": "olon"})).filter(spatial.X.haversine_km(F.col("lat"), F.col("lon"), F.col("olat"), F.col("olon")) <= 30).groupBy("point_id").count().collect()
+    assert {int(r.point_id): r["count"] for r in direct} == {k: n for k, n in got.items() if n}
+
+
 def test_counted_tails():
     for m, n in ((3, 3), (3, 5), (4, 4)):
         us = [sum(r for r in rows) - m * (m + 1) / 2 for rows in itertools.combinations(range(1, m + n + 1), m)]
