@@ -25,8 +25,10 @@ from .common import arrow_batches, documents, table, texts
 
 DEFAULT = "piece_bpe_32k.model"
 MARK = "▁"
-#: Words a worker keeps in a generation; beyond it they become the old generation, from which words in use move back.
-CACHE_WORDS = 500_000
+#: Bytes, about, of the words that a worker keeps in a generation; beyond it they become the old generation, from which words in use move back.
+CACHE_BYTES = 100 << 20
+#: Longer words (text without spaces is one word) aren't kept, only their parts.
+CACHED_CHARS = 32
 #: Symbols up to which the agenda is a list searched for its minimum; beyond, a heap.
 SHORT = 40
 _NONE = 1 << 30
@@ -55,7 +57,25 @@ class MergeVocabulary:
             raise ValueError(f"{name}: a piece reaches across a space mark")
         self.words: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
+        self.held = 0
         self.parts: dict[str, tuple[int, ...]] = {}
+        self.parts_held = 0
+
+    @staticmethod
+    def weight(word: str, ids: tuple[int, ...]) -> int:
+        """Bytes of a kept word, about: its characters, its ids and what the dictionary needs."""
+        return 200 + 4 * len(word) + 36 * len(ids)
+
+    def keep(self, word: str, ids: tuple[int, ...]) -> None:
+        """Keep a word's ids unless it is long; a full generation becomes the old one."""
+        if len(word) <= CACHED_CHARS:
+            self.words[word] = ids
+            self.held += self.weight(word, ids)
+            if self.held >= CACHE_BYTES:
+                self.old, self.words, self.held = self.words, {}, 0
+
+    def forget(self) -> None:
+        self.words, self.old, self.held = {}, {}, 0
 
     def merge(self, part: str) -> list[str]:
         """Symbols of ``part`` after all merges, best score first and leftmost among equals."""
@@ -117,9 +137,12 @@ class MergeVocabulary:
     def part_ids(self, part: str) -> tuple[int, ...]:
         known = self.parts.get(part)
         if known is None:
-            if len(self.parts) >= CACHE_WORDS:
-                self.parts.clear()
-            known = self.parts[part] = self.ids_of(part)
+            known = self.ids_of(part)
+            if len(part) <= CACHED_CHARS:
+                if self.parts_held >= CACHE_BYTES:
+                    self.parts, self.parts_held = {}, 0
+                self.parts[part] = known
+                self.parts_held += self.weight(part, known)
         return known
 
     def word_ids(self, word: str) -> tuple[int, ...]:
@@ -151,19 +174,18 @@ def _cut(text: str) -> list[str]:
 
 def encode(text: str, vocab: MergeVocabulary, fresh: dict[str, tuple[int, ...]] | None = None) -> list[int]:
     """Ids of a text without the end id; words met for the first time are put into ``fresh``."""
-    words, out = vocab.words, []
+    out: list[int] = []
     for word in _cut(text):
-        ids = words.get(word)
+        ids = vocab.words.get(word)
         if ids is None:
             ids = vocab.old.get(word)
             if ids is None:
-                ids = vocab.word_ids(word if word[0] == MARK else MARK + word)
-                if fresh is not None:
-                    fresh[word] = ids
-            words[word] = ids
-            if len(words) >= CACHE_WORDS:
-                vocab.old, vocab.words = words, {}
-                words = vocab.words
+                ids = fresh.get(word) if fresh else None
+                if ids is None:
+                    ids = vocab.word_ids(word if word[0] == MARK else MARK + word)
+                    if fresh is not None:
+                        fresh[word] = ids
+            vocab.keep(word, ids)
         out.extend(ids)
     return out
 
@@ -198,7 +220,7 @@ def encode_documents(docs: DataFrame, model: str = DEFAULT) -> DataFrame:
             encoded = [encode(x, vocab, fresh) for x in whole]
             wrong = not agrees(fresh, vocab)
             if wrong:
-                vocab.words, vocab.old = {}, {}
+                vocab.forget()
                 encoded = [vocab.library.encode(x) for x in whole]
             rows = []
             for ids in encoded:
