@@ -10,6 +10,7 @@ look-alikes, both put into texts of the corpus.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import random
@@ -30,6 +31,8 @@ KINDS = ("email", "ip", "card", "phone")
 #: Bounds of the training sample: documents (on average), items put into each, and candidates.
 SAMPLE_DOCS = 2_500
 PLANTED = 6
+#: Candidates of a sampled text's own, at most, that training takes.
+OWN = 200
 SAMPLE_CANDIDATES = 40_000
 #: Precision that a threshold must reach on held-out documents, and the least threshold.
 PRECISION = 0.99
@@ -158,6 +161,31 @@ def candidates(text: str, runs: list[tuple[int, int]]) -> list[Span]:
     return sorted(found)
 
 
+class Taken:
+    """Text that spans cover, as merged stretches in order; asking costs a binary search."""
+
+    def __init__(self, spans: list[Span]) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for s in sorted(spans):
+            if self.ends and s.start <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], s.end)
+            else:
+                self.starts.append(s.start)
+                self.ends.append(s.end)
+
+    def meets(self, span: Span) -> bool:
+        """Whether a stretch shares a character with the span."""
+        k = bisect.bisect_left(self.starts, span.end)
+        return k > 0 and self.ends[k - 1] > span.start
+
+    def add(self, span: Span) -> None:
+        """Cover a span that meets no stretch."""
+        k = bisect.bisect_left(self.starts, span.start)
+        self.starts.insert(k, span.start)
+        self.ends.insert(k, span.end)
+
+
 N_FEATURES = 34
 
 
@@ -247,16 +275,16 @@ def labelled(text: str) -> list[tuple[list[float], bool, str]]:
         form = rng.choice((FORMS if true else LOOKALIKES)[KINDS[kind]])
         whole, start, end = planted(text, form, kind, rng)
         runs = clusters(whole)
-        strict = base_spans(whole, runs)
+        strict = Taken(base_spans(whole, runs))
         for span in candidates(whole, runs):
             hit = true and span == (start, kind, end)
-            if span.start < end and start < span.end and not any(span.start < t.end and t.start < span.end for t in strict) and (hit or span.kind or not written_out(whole[span.start : span.end])):
+            if span.start < end and start < span.end and not strict.meets(span) and (hit or span.kind or not written_out(whole[span.start : span.end])):
                 rows.append((features(whole, span), hit, form if hit else ""))
     runs = clusters(text)
-    strict = base_spans(text, runs)
-    for span in candidates(text, runs)[:200]:
+    strict = Taken(base_spans(text, runs))
+    for span in candidates(text, runs)[:OWN]:
         inner = text[span.start : span.end]
-        if not any(span.start < t.end and t.start < span.end for t in strict) and (_shape(inner) not in _SHAPES if span.kind > 1 else ":" not in inner and "[" not in inner) and not (span.kind == 0 and written_out(inner)):
+        if not strict.meets(span) and (_shape(inner) not in _SHAPES if span.kind > 1 else ":" not in inner and "[" not in inner) and not (span.kind == 0 and written_out(inner)):
             rows.append((features(text, span), False, ""))
     return rows
 
@@ -313,15 +341,16 @@ def train(docs: DataFrame) -> Learned:
 
 def select(text: str, strict: list[Span], runs: list[tuple[int, int]], model: tuple, thresholds: list[float]) -> list[Span]:
     """Strict spans plus the best scored of the other candidates that overlap no selected span."""
-    known = set(strict)
-    proposed = [s for s in candidates(text, runs) if s not in known and thresholds[s.kind] <= 1 and not any(s.start < t.end and t.start < s.end for t in strict)]
+    covered = Taken(strict)
+    proposed = [s for s in candidates(text, runs) if thresholds[s.kind] <= 1 and not covered.meets(s)]
     if not proposed:
         return strict
     scores = boosting.chance(model, np.array([features(text, s) for s in proposed], float))
     taken = list(strict)
     for score, span in sorted(zip((-scores).tolist(), proposed)):
-        if -score >= thresholds[span.kind] and not any(span.start < t.end and t.start < span.end for t in taken):
+        if -score >= thresholds[span.kind] and not covered.meets(span):
             taken.append(span)
+            covered.add(span)
     return sorted(taken)
 
 
