@@ -30,6 +30,10 @@ FULL_STOP = 0.25
 #: Share of the plain text from which a class or id no longer says that an element is boilerplate.
 HINTED_SHARE = 0.25
 READER_SHARE = 0.05
+#: Share of stop words below which a page's running text is in a language that STOP_WORDS lacks.
+FOREIGN_STOP = 0.05
+#: Characters from which a block without spaces counts as long.
+LONG_CHARS = 60
 
 # Frequent function words of English, German, French, Spanish, Italian, Portuguese and Dutch.
 STOP_WORDS = frozenset("""
@@ -60,12 +64,13 @@ _BOILER_ROLES = frozenset("navigation banner contentinfo complementary search fo
 #: Words in a class or id that hint at boilerplate. They are one feature: see decide().
 _HINT_WORDS = frozenset("""
 ad ads advert advertisement advertising adverts advertorial banner breadcrumb breadcrumbs comment comments consent cookie cookies
-copyright dialog discussion disqus donate footer gdpr legal login masthead menu modal nav navbar navigation newsletter notice notification
+commentlist copyright dialog discussion disqus donate feedback footer gdpr legal login masthead menu modal nav navbar navigation newsletter notice notification
 overlay pager pagination paywall popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup
 social sponsor sponsored subscribe subscription teaser toolbar topbar widget disclaimer advertise
 """.split())
 #: Words for what readers write, and for what holds it; such parts may be longer than the article.
-_READER_WORDS = frozenset("comment comments discussion disqus replies reply respond".split())
+_READER_WORDS = frozenset("comment commentlist comments discussion disqus feedback replies reply respond".split())
+_READERS = frozenset("customer guest reader readers user users".split())
 _HOLDERS = frozenset("area block body box container content form item list section thread wrap wrapper".split())
 _CONTENT_TAGS = frozenset(("article", "main"))
 #: Blocks of one of these are decided together.
@@ -180,6 +185,8 @@ def _hint(tag: str, attributes: dict[str, str]) -> int:
     strength = 0
     for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
         words = [w.lower() for w in _WORD_CUT.split(name) if w]
+        if len(words) > 1 and words[-1] == "reviews" and words[-2] in _READERS:
+            strength = 2
         if not _HINT_WORDS.isdisjoint(words):
             strength = max(strength, 1)
             if words[-1] in _READER_WORDS and words[0] not in ("no", "has", "with", "without") or words[0] in _READER_WORDS and words[-1] in _HOLDERS:
@@ -249,9 +256,10 @@ def blocks(page: str) -> tuple[list[Block], list[tuple[int, int]]]:
         if tag in _RAW_TAGS or tag in _SKIPPED_TAGS:
             if attributes.endswith("/") and tag not in _RAW_TAGS or tag in unclosed:
                 continue
-            shut = re.compile(f"</{tag}(?=[\\s/>])[^>]*>", re.IGNORECASE).search(page, end)
-            if shut:
-                at = shut.end()
+            shut = re.compile(f"</{tag}(?=[\\s/>])", re.IGNORECASE).search(page, end)
+            past = page.find(">", shut.end()) + 1 if shut else 0
+            if past:
+                at = past
                 spoken(" ")
             elif tag in _RAW_TAGS:
                 at = n
@@ -324,16 +332,28 @@ def hinted(found: list[Block], hints: list[tuple[int, int]]) -> list[bool]:
     return [b.hint >= 0 and counts[b.hint] for b in found]
 
 
+def _long(b: Block) -> bool:
+    """Enough text to stand for itself in any language: many words, or many characters in a script without spaces."""
+    return b.words >= LONG_WORDS or b.chars >= LONG_CHARS and b.chars >= 12 * b.words
+
+
+def _foreign(found: list[Block]) -> bool:
+    """Whether the page's text is in a language without stop words here: they are rare in what isn't ruled out."""
+    plain = [b for b in found if _plain(b)]
+    return sum(b.stops * b.words for b in plain) < FOREIGN_STOP * sum(b.words for b in plain)
+
+
 def decide(found: list[Block], hints: list[tuple[int, int]]) -> list[bool]:
     """Which blocks are the article's.
 
     First pass: blocks in boilerplate elements, hinted blocks and blocks that are
-    mostly links are not; blocks with enough words and stop words are. In an
+    mostly links are not; blocks with enough words and stop words are, and on a
+    page in a language without stop words here those with enough text. In an
     article or main that holds a quarter of the running text only its own
     blocks can be, and all that aren't ruled out are. The blocks of a table, list or
     preformatted text share their link density. Second pass: see _inherited().
     """
-    small = hinted(found, hints)
+    small, foreign = hinted(found, hints), _foreign(found)
     main = sum(b.words for b, h in zip(found, small) if b.inside and not h and _plain(b))
     around = sum(b.words for b, h in zip(found, small) if not b.inside and not h and _running(b))
     trusted = main > 0 and 3 * main >= around
@@ -351,7 +371,7 @@ def decide(found: list[Block], hints: list[tuple[int, int]]) -> list[bool]:
         whole, links = (chars[b.group], linked[b.group]) if b.group >= 0 and b.words < LONG_WORDS else (b.chars, b.linked)
         if links > MOST_LINKS * whole and not (trusted and b.words >= LONG_WORDS):
             label.append(False)
-        elif trusted or b.words >= SHORT_WORDS and b.stops >= FULL_STOP or b.words >= LONG_WORDS and b.stops >= LEAST_STOP:
+        elif trusted or foreign and _long(b) or b.words >= SHORT_WORDS and b.stops >= FULL_STOP or b.words >= LONG_WORDS and b.stops >= LEAST_STOP:
             label.append(True)
         elif b.words < SHORT_WORDS and b.text[:1] in "©®™":
             label.append(False)
