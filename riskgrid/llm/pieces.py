@@ -175,18 +175,18 @@ def _cut(text: str) -> list[str]:
 def encode(text: str, vocab: MergeVocabulary, fresh: dict[str, tuple[int, ...]] | None = None) -> list[int]:
     """Ids of a text without the end id; words met for the first time are put into ``fresh``."""
     out: list[int] = []
+    known, extend = vocab.words.get, out.extend
     for word in _cut(text):
-        ids = vocab.words.get(word)
+        ids = known(word)
         if ids is None:
             ids = vocab.old.get(word)
             if ids is None:
-                ids = fresh.get(word) if fresh else None
-                if ids is None:
-                    ids = vocab.word_ids(word if word[0] == MARK else MARK + word)
-                    if fresh is not None:
-                        fresh[word] = ids
+                ids = vocab.word_ids(word if word[0] == MARK else MARK + word)
+                if fresh is not None:
+                    fresh[word] = ids
             vocab.keep(word, ids)
-        out.extend(ids)
+            known = vocab.words.get
+        extend(ids)
     return out
 
 
