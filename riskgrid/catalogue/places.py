@@ -259,7 +259,7 @@ dp AS (SELECT 0 AS i, 0 AS size, 0 AS s, 1::HUGEINT AS c UNION ALL SELECT i + 1,
 orders_of AS (SELECT i, size, s - size * (size + 1) // 2 AS u, sum(c) OVER (PARTITION BY i, size ORDER BY s DESC)::DOUBLE / sum(c) OVER (PARTITION BY i, size)::DOUBLE AS tail FROM dp),
 counted AS (SELECT country, term, count(*) FILTER (flag) AS polygons_with, count(*) FILTER (NOT flag) AS polygons_without FROM flagged GROUP BY 1, 2)
 SELECT country, term, polygons_with, polygons_without, coalesce(n1, 0) AS n1, coalesce(n2, 0) AS n2, round(median1, 9) AS median1, round(median2, 9) AS median2, CASE WHEN ok THEN round(u0, 1) END AS u, CASE WHEN ok THEN round(CASE WHEN exact THEN least(2 * tail, 1) ELSE {normal_p("z0")} END, 9) END AS p,
-CASE WHEN ok THEN CASE WHEN exact THEN 'exact' ELSE 'asymptotic' END END AS method, CASE WHEN NOT ok THEN 'group below 3' END AS reason
+CASE WHEN ok THEN CASE WHEN exact THEN 'exact' ELSE 'asymptotic' END END AS method, CASE WHEN NOT coalesce(ok, false) THEN 'group below 3' END AS reason
 FROM counted LEFT JOIN (SELECT *, least(n1, n2) >= 3 AS ok, tied = 0 AND least(n1, n2) BETWEEN 3 AND 8 AS exact FROM tested) USING (country, term) LEFT JOIN orders_of o ON exact AND o.i = n1 + n2 AND o.size = n1 AND o.u = greatest(u0, n1 * n2 - u0)"""
 
 
