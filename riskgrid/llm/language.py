@@ -24,8 +24,12 @@ DICTIONARY_BYTES = 96 * 1024
 SAMPLE_BYTES = 2048
 #: A language's dictionary is made from twice as many distinct texts at most; the rest of the labelled rows is not collected.
 SAMPLE_ROWS = 120
-#: Languages learned at most, those with most labelled documents.
-LANGUAGES = 200
+#: All dictionaries together; where there are more than some 680 languages, each gets less, and fewer texts are collected for it.
+ALL_BYTES = 64 << 20
+#: Prepared dictionaries that a task keeps, each of about 0.6 MB; others are prepared again for each group of texts.
+PREPARED = 200
+#: Bytes of letters that are compressed with a dictionary before the next one's turn.
+GROUP_BYTES = 4 << 20
 #: A text is compressed in blocks of this size, so that far repeats within it don't hide the language.
 BLOCK_BYTES = 4096
 #: Short matches and one step of lookahead: words of a few letters tell languages apart.
@@ -62,13 +66,15 @@ def learn(docs: DataFrame, rows: int = SAMPLE_ROWS) -> dict[str, bytes]:
     the lowest hashes (which are alike over any partitioning), SAMPLE_BYTES of
     each and DICTIONARY_BYTES in all. Copies leave before they are collected: a
     share of hashes with twice as many texts is expected to hold the lowest.
-    Only languages with a text are learned, and at most LANGUAGES of them.
+    Every label with a text is learned; ALL_BYTES is shared where they are many.
     """
     spark = docs.sparkSession
     usable = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out())
     usable = usable.select("lang", "text", F.xxhash64("text").alias("at")).withColumn("place", F.pmod("at", F.lit(1_000_000)))
-    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("at").alias("d")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("at").alias("d")).orderBy(F.desc("n"), "lang").collect()
     counts = {r["lang"]: r["n"] for r in sizes}
+    most = min(DICTIONARY_BYTES, ALL_BYTES // max(1, len(sizes)))
+    rows = max(1, math.ceil(rows * most / DICTIONARY_BYTES))
     shares = [(r["lang"], max(1, math.ceil(1_000_000 * min(1.0, 4 * rows / r["d"])))) for r in sizes]
     below = F.broadcast(spark.createDataFrame(shares, "lang string, below long"))
     drawn = usable.join(below, "lang").filter(F.col("place") < F.col("below")).select("lang", "at", "place", F.substring("text", 1, SAMPLE_BYTES).alias("text")).distinct()
@@ -77,45 +83,66 @@ def learn(docs: DataFrame, rows: int = SAMPLE_ROWS) -> dict[str, bytes]:
     made: dict[str, bytearray] = {}
     seen: set[bytes] = set()
     for r in sorted(sample, key=lambda r: (r["lang"], r["at"] & (2**64 - 1), r["text"])):
-        raw = letters(r["text"])[:SAMPLE_BYTES]
+        raw = letters(r["text"])[: min(SAMPLE_BYTES, most)]
         whole = made.setdefault(r["lang"], bytearray())
-        if raw not in seen and len(whole) + len(raw) <= DICTIONARY_BYTES:
+        if raw not in seen and len(whole) + len(raw) <= most:
             seen.add(raw)
             whole += raw
     return {k: bytes(made[k]) for k in sorted(made, key=lambda k: (-counts[k], k))}
 
 
-@functools.lru_cache(2)
-def _compressors(dictionaries: tuple[tuple[str, bytes], ...]) -> list[tuple[str, object]]:
+@functools.lru_cache(PREPARED)
+def _compressor(raw: bytes):
     import zstandard
 
-    made = []
     how = zstandard.ZstdCompressionParameters(**SETTINGS, strategy=zstandard.STRATEGY_LAZY, write_content_size=False, write_dict_id=False)
-    for lang, raw in dictionaries:
-        known = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        known.precompute_compress(compression_params=how)
-        made.append((lang, zstandard.ZstdCompressor(compression_params=how, dict_data=known)))
-    return made
+    known = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    known.precompute_compress(compression_params=how)
+    return zstandard.ZstdCompressor(compression_params=how, dict_data=known)
 
 
 _LETTER = regex.compile(r"\p{L}")
 
 
-def classify(text: str | None, compressors: list[tuple[str, object]], least_margin: float = MARGIN) -> tuple[str, float, float, bool]:
-    """(language, score, margin, rejected) of one text.
+def _groups(texts: list[str | None]) -> Iterator[list[bytes | None]]:
+    """Letters of the texts, None where there is none, in groups of about GROUP_BYTES."""
+    group, size = [], 0
+    for text in texts:
+        group.append(letters(text) if text and _LETTER.search(text) else None)
+        size += len(group[-1] or b"")
+        if size >= GROUP_BYTES:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
+def judge(raw: bytes, sizes: list[int], dictionaries: dict[str, bytes], least_margin: float = MARGIN) -> tuple[str, float, float, bool]:
+    """(language, score, margin, rejected) of one text from its compressed sizes.
 
     The margin is the second smallest size over the smallest, less one; the
     score is the winner's share of exp(-60 * relative excess) over languages.
     Equal sizes go to the language with more labelled documents.
     """
-    if not text or not compressors or not _LETTER.search(text):
-        return UNDETERMINED, 0.0, 0.0, True
-    raw = letters(text)
-    sizes = sorted((sum(len(c.compress(raw[at : at + BLOCK_BYTES])) for at in range(0, len(raw), BLOCK_BYTES)), k) for k, (_, c) in enumerate(compressors))
-    least, lang = sizes[0][0], compressors[sizes[0][1]][0]
-    margin = (sizes[1][0] - least) / least if len(sizes) > 1 else 1.0
-    weights = [math.exp(-60.0 * (s - least) / least) for s, _ in sizes]
-    return lang, 1.0 / sum(weights), margin, len(raw) >= MARGIN_BYTES and margin < least_margin
+    best = min(range(len(sizes)), key=lambda k: (sizes[k], k))
+    least = sizes[best]
+    margin = min((s for k, s in enumerate(sizes) if k != best), default=2 * least) / least - 1.0
+    weights = sum(math.exp(-60.0 * (s - least) / least) for s in sizes)
+    return list(dictionaries)[best], 1.0 / weights, margin, len(raw) >= MARGIN_BYTES and margin < least_margin
+
+
+def classify(texts: list[str | None], dictionaries: dict[str, bytes], least_margin: float = MARGIN) -> list[tuple[str, float, float, bool]]:
+    """(language, score, margin, rejected) of each text; one dictionary is asked for a group of texts before the next."""
+    out = []
+    for group in _groups(texts):
+        sizes: list[list[int]] = [[] for _ in group]
+        for known in dictionaries.values():
+            c = _compressor(known)
+            for raw, own in zip(group, sizes):
+                if raw is not None:
+                    own.append(sum(len(c.compress(raw[at : at + BLOCK_BYTES])) for at in range(0, len(raw), BLOCK_BYTES)))
+        out += [judge(raw, own, dictionaries, least_margin) if own else (UNDETERMINED, 0.0, 0.0, True) for raw, own in zip(group, sizes)]
+    return out
 
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
@@ -124,12 +151,11 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MAR
     A text that is null or has no letter is ``und`` with score 0 and rejected;
     with a single learned language every other text gets that one.
     """
-    packed = docs.sparkSession.sparkContext.broadcast(tuple(dictionaries.items()))
+    packed = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compressors = _compressors(packed.value)
         for batch in batches:
-            rows = [classify(x, compressors, margin) for x in batch.column("text").to_pylist()]
+            rows = classify(batch.column("text").to_pylist(), packed.value, margin)
             yield table(PREDICTED, [batch.column("doc_id"), *(zip(*rows) if rows else [[]] * 4)])
 
     arrow_batches(docs.sparkSession)
@@ -138,13 +164,12 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MAR
 
 def known(docs: DataFrame, margin: float = MARGIN) -> DataFrame:
     """The documents' rows whose language can be told, learned from themselves; each row is judged where it is, without a shuffle."""
-    packed = docs.sparkSession.sparkContext.broadcast(tuple(learn(docs).items()))
+    packed = docs.sparkSession.sparkContext.broadcast(learn(docs))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compressors = _compressors(packed.value)
         for batch in batches:
-            yield batch.filter(pa.array([not classify(x, compressors, margin)[3] for x in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([not r[3] for r in classify(batch.column(at).to_pylist(), packed.value, margin)], pa.bool_()))
 
     arrow_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

@@ -103,7 +103,7 @@ def test_languages_of_one_text_or_too_many_are_learned(spark):
     many = spark.range(3000, 4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("some text of number "), "id").alias("text"), F.concat(F.lit("x"), F.col("id") % 500).alias("lang"))
     more = spark.range(4000, 6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("the text of number "), "id").alias("text"), F.lit("en").alias("lang"))
     learned = language.learn(one.unionByName(many).unionByName(more))
-    assert {"de", "en"} <= set(learned) and len(learned) <= language.LANGUAGES
+    assert {"de", "en"} <= set(learned) and len(learned) > 480
     assert language.learn(one.filter("false")) == {}
 
 
