@@ -25,11 +25,13 @@ from .common import arrow_batches, documents, save, table
 
 #: Slots of a fingerprint by level; a level's phrases are about three times as long as those below.
 SLOTS = {2: 16, 3: 24, 4: 24}
-#: Bytes of text in a range of neighbouring documents, and the most ranges (their bounds are held by every task).
+#: Bytes of text in a range of neighbouring documents, and the most ranges, each a task (beyond 400 GB of text ranges grow, 1 GB each at 100 TB; their sort spills).
 RANGE_BYTES = 4 << 20
-MOST_RANGES = 20_000
+MOST_RANGES = 100_000
 #: Keys drawn for each range to find the bounds, in proportion to their bytes, and what a row counts beside its text.
 SAMPLE_KEYS = 50
+#: Keys drawn in all, on average, at most.
+MOST_KEYS = 1_000_000
 ROW_BYTES = 200
 #: Rows of one doc_id and text that stay rows of a range; beyond, or beyond a 20,000th of all rows, they are taken once.
 EQUAL_ROWS = 64
@@ -187,7 +189,7 @@ def _ranges(keys: DataFrame, rows: int, size: int) -> np.ndarray:
     spark = keys.sparkSession
     wanted = min(MOST_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / RANGE_BYTES)))
     mean = max(1.0, (size + ROW_BYTES * rows) / max(rows, 1))
-    chance = F.lit(SAMPLE_KEYS * wanted / max(rows, 1)) * (F.coalesce("size", F.lit(0)) + ROW_BYTES * F.col("n")) / F.lit(mean)
+    chance = F.lit(min(SAMPLE_KEYS * wanted, MOST_KEYS) / max(rows, 1)) * (F.coalesce("size", F.lit(0)) + ROW_BYTES * F.col("n")) / F.lit(mean)
     drawn = keys.withColumn("chance", chance).filter(F.pmod(F.xxhash64("_hash", "doc_id"), F.lit(1_000_000_000)) < F.col("chance") * 1e9)
     drawn = drawn.select("doc_id", "_hash", F.greatest("chance", F.lit(1.0)).alias("weight")).toArrow().combine_chunks()
     if not drawn.num_rows:
