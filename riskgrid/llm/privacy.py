@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import ipaddress
 import math
 import random
 import re
@@ -42,31 +43,41 @@ CONTEXT = 32
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
-_CLUSTER = re.compile(r"[+0-9][0-9\x20.()-]*")
+_CLUSTER = re.compile(r"[+0-9][0-9\x20.()/-]*")
 # A leftmost match starts where its run of digits does, so later starts in a run needn't be tried.
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _OBFUSCATED = re.compile(r"[\w.%+-]{1,64}(?:\s?(?:@|\[at\]|\(at\)|\{at\})\s?|\sat\s(?=[\w-]{1,63}\sdot\s))[\w-]{1,63}(?:(?:\.|\s?(?:\[dot\]|\(dot\)|\{dot\})\s?|\sdot\s)[\w-]{1,63}){1,8}", re.IGNORECASE)
-_DEFANGED = re.compile(r"(?<![0-9])[0-9]{1,3}(?:\s?[\[({](?:\.|dot)[\])}]\s?[0-9]{1,3}){3}(?![0-9])", re.IGNORECASE)
+_JOINED = re.compile(r"(?<![A-Za-z0-9.%+])[A-Za-z0-9.%+]{1,64}([_-])at\1[A-Za-z0-9]{1,63}(?:\1dot\1[A-Za-z0-9]{1,63}){1,4}", re.IGNORECASE)
+_DEFANGED = re.compile(r"(?<![0-9])[0-9]{1,3}(?:\s?(?:[\[({](?:\.|dot)[\])}]|\bdot\b)\s?[0-9]{1,3}){3}(?![0-9])", re.IGNORECASE)
+_SPACED = re.compile(r"(?<![0-9])[0-9]{1,3}(?:\x20?\.\x20?[0-9]{1,3}){3}(?![0-9])")
 _COLONS = re.compile(r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}(?:::?[0-9A-Fa-f]{1,4}){3,7}(?![0-9A-Za-z:])")
-_AT = re.compile(r"@|[\[({]at[\])}]|\sat\s[\w-]{1,63}\sdot\s", re.IGNORECASE)
-# Forms to learn, by kind; # is a digit, x a hexadecimal one, N the part of an address before its @ and H a host's name.
+# Groups of digits with one separator throughout, whichever it is.
+_EVEN = re.compile(r"(?<![0-9])[0-9]{1,6}(\x20?[/.-]\x20?|\x20{1,3})[0-9]{2,7}(?:\1[0-9]{2,7}){0,5}(?![0-9])")
+_AT = re.compile(r"@|[\[({]at[\])}]|\sat\s[\w-]{1,63}\sdot\s|([_-])at\1", re.IGNORECASE)
+# Forms to learn, by kind; # is a digit, x a hexadecimal one, N the part of an address before its @ and H a host's name, P either of letters only, T a common last label.
 FORMS = {
-    "email": ("N [at] H [dot] com", "N(at)H(dot)org", "N {at} H.net", "N [at] H.example.com", "N at H dot com", "N at H dot co dot uk", "N @ H.com", "N[at]H[dot]example[dot]org", "N (at) H (dot) de"),
-    "ip": ("#[.]#[.]#[.]#", "#(.)#(.)#(.)#", "#[dot]#[dot]#[dot]#", "xxxx:xxxx:xxxx:xxxx:xxxx:xxxx:xxxx:xxxx", "xxxx:xxx::xxxx:xxxx:x", "fe80::xxxx:xxxx:xxxx:xxxx", "2001:db8::xxxx:xx"),
-    "card": ("####.####.####.####", "####  ####  ####  ####", "#### - #### - #### - ####", "####.######.#####", "####  ######  #####"),
-    "phone": ("0#### ######", "(0##) ####-####", "(0##) ########", "00## ## ########", "0049 ### #######", "(###) ###-####", "###-###-####", "###.###.####", "0## ### ####", "0### ## ## ##", "0# ## ## ## ##", "1 ### ### ####", "1-###-###-####", "0###-#######", "0###########"),
+    "email": ("N [at] H [dot] T", "N(at)H(dot)T", "N {at} H.T", "N [at] H.example.T", "N at H dot T", "N at H dot co dot T", "N @ H.T", "N[at]H[dot]example[dot]T", "N (at) H (dot) T", "P_at_P_dot_T", "P-at-P-dot-T"),
+    "ip": ("#[.]#[.]#[.]#", "#(.)#(.)#(.)#", "#[dot]#[dot]#[dot]#", "xxxx:xxxx:xxxx:xxxx:xxxx:xxxx:xxxx:xxxx", "xxxx:xxx::xxxx:xxxx:x", "fe80::xxxx:xxxx:xxxx:xxxx", "2001:db8::xxxx:xx", "# . # . # . #", "# dot # dot # dot #"),
+    "card": ("####.####.####.####", "####  ####  ####  ####", "#### - #### - #### - ####", "####.######.#####", "####  ######  #####", "####/####/####/####", "#### / ###### / #####"),
+    "phone": ("0#### ######", "(0##) ####-####", "(0##) ########", "00## ## ########", "0049 ### #######", "(###) ###-####", "###-###-####", "###.###.####", "0## ### ####", "0### ## ## ##", "0# ## ## ## ##", "1 ### ### ####", "1-###-###-####", "0###-#######", "0###########", "+## (0)## / ######", "+##/###/#######", "0##/#######", "0#-##-##-##-##", "0### ### ###", "0#### ## ## ##", "(0####) ######", "(0#) #### ####", "0##########", "00## # ## ## ## ##", "00##-###-#######"),
 }
-# Forms that look alike but are none; L is a card number that fails its check digit.
+# Forms that look alike but are none; L is a card number that fails its check digit, W a word of the text around.
 LOOKALIKES = {
-    "email": ("@N", "# @ #.##", "N@", "N @ ##.##", "N.N [at", "N @N", "at H.com", "N (at) home", "[at] the end"),
-    "ip": ("#.#.999.#", "##:##:##", "xx:xx:xx:xx:xx:xx", "##:##:##:##", "300.#.#.#.#", "#[#]#[#]#", "xx-xx-xx-xx", "1:2:3:4:5"),
-    "card": ("L", "L", "#### #### ####", "978-#-##-######-#", "####-####", "############", "##.####.####.##"),
-    "phone": ("L", "20##-0#-1# 1# 0#", "1#.0#.20##", "20##-0#-1#", "19##-20## ##", "#.###.###", "# ### ### ###", "##.#### ##.####", "17########", "########", "20########", "0.#### 0.####", "978-#-##-######-#", "978#########", "#### - ####", "##-##-##-##", "1#### 1#### 1####", "0000 0000"),
+    "email": ("@N", "# @ #.##", "N@", "N @ ##.##", "N.N [at", "N @N", "at H.T", "N (at) home", "[at] the end", "W at W dot W", "W at W dot W", "W at W dot it", "W_at_W"),
+    "ip": ("#.#.999.#", "##:##:##", "xx:xx:xx:xx:xx:xx", "##:##:##:##", "300.#.#.#.#", "#[#]#[#]#", "xx-xx-xx-xx", "1:2:3:4:5", "999 . # . # . #", "# . # . #", "#. #. #. 2###"),
+    "card": ("L", "L", "#### #### ####", "978-#-##-######-#", "####-####", "############", "##.####.####.##", "20##/20##/20##", "##/##/20##"),
+    "phone": ("L", "20##-0#-1# 1# 0#", "1#.0#.20##", "20##-0#-1#", "19##-20## ##", "#.###.###", "# ### ### ###", "##.#### ##.####", "17########", "########", "20########", "0.#### 0.####", "978-#-##-######-#", "978#########", "#### - ####", "##-##-##-##", "1#### 1#### 1####", "0000 0000", "##/##/20##", "#/##/20##", "20##/20## ####", "1#/2# / 3#/4#", "0#########", "0##########", "0###########"),
 }
-#: What bracketed words stand for.
+#: What written-out signs stand for.
 _MARKED = [(re.compile(r"\s?(?:\[at\]|\(at\)|\{at\})\s?", re.IGNORECASE), "@"), (re.compile(r"\s?(?:\[dot\]|\(dot\)|\{dot\})\s?", re.IGNORECASE), ".")]
+_SPOKEN = [*_MARKED, (re.compile(r"(?:\s|([_-]))at(?:\s|\1)", re.IGNORECASE), "@"), (re.compile(r"(?:\s|([_-]))dot(?:\s|\1)", re.IGNORECASE), "."), (re.compile(r"\s?@\s?"), "@")]
+_NUMERIC = re.compile(r"\s?(?:[\[({](?:\.|dot)[\])}]|\bdot\b|\.)\s?", re.IGNORECASE)
+# Common last labels of host names; the second list's are of countries, the third's of countries and words too.
+_GENERIC = frozenset("com org net edu gov mil int info biz name pro io ai app dev cloud online site shop tech".split())
+_COUNTRY = frozenset("uk de fr es nl pl ru cn jp br au ca ch se dk fi ie pt cz gr hu ro tr ua kr mx ar cl co za nz eu".split())
+_TOPS = (*sorted(_GENERIC), *sorted(_COUNTRY), "it", "in", "us", "at", "be", "no")
 _CUES = ("no", "order", "total", "page", "item", "version", "ref", "see", "on", "")
 _HINTS = {
     "email": ("mail", "contact", "write", "@"),
@@ -135,27 +146,27 @@ def base_spans(text: str, runs: list[tuple[int, int]] | None = None) -> list[Spa
 def candidates(text: str, runs: list[tuple[int, int]]) -> list[Span]:
     """Overlapping spans of high recall.
 
-    Every number of 7 to 19 digits as card and phone, dotted, bracketed and
-    colon-separated groups as IP address, and written-out e-mail addresses.
+    Every number of 7 to 19 digits as card and phone, dotted, spaced, bracketed
+    and colon-separated groups as IP address, and written-out e-mail addresses.
     """
     found = set()
     if _AT.search(text):
-        found.update(Span(m.start(), 0, m.end()) for m in _OBFUSCATED.finditer(text))
+        found.update(Span(m.start(), 0, m.end()) for pattern in (_OBFUSCATED, _JOINED) for m in pattern.finditer(text))
     if ":" in text:
         found.update(Span(m.start(), 1, m.end()) for m in _COLONS.finditer(text))
     for a, b in runs:
         while b > a and not "0" <= text[b - 1] <= "9":
             b -= 1
         parts = {(m.start(), m.end()) for m in _CARD.finditer(text, a, b)} | {(m.start(), m.end()) for m in _PHONE.finditer(text, a, b)}
+        parts.update((m.start(), m.end()) for m in _EVEN.finditer(text, a, b))
         if b - a <= 64:
             parts.add((a, b))
             if a and text[a - 1] == "(":
                 parts.add((a - 1, b))
         for s, e in parts:
-            n = len(_digits(text[s:e]))
-            if 7 <= n <= 19 and e - s <= 64:
+            if e - s <= 64 and 7 <= len(_digits(text[s:e])) <= 19:
                 found.update((Span(s, 2, e), Span(s, 3, e)))
-        found.update(Span(m.start(), 1, m.end()) for m in _IP.finditer(text, a, b) if m.end() - m.start() <= 32)
+        found.update(Span(m.start(), 1, m.end()) for pattern in (_IP, _SPACED) for m in pattern.finditer(text, a, b) if m.end() - m.start() <= 32)
     if "[.]" in text or "(.)" in text or "{.}" in text or "dot" in text or "DOT" in text:
         found.update(Span(m.start(), 1, m.end()) for m in _DEFANGED.finditer(text))
     return sorted(found)
@@ -186,34 +197,61 @@ class Taken:
         self.ends.insert(k, span.end)
 
 
-N_FEATURES = 34
+def address_of(inner: str) -> bool:
+    """Whether an IP address is left when bracketed, spaced and written-out dots are put back."""
+    plain = inner if ":" in inner else _NUMERIC.sub(".", inner)
+    if ":" not in plain:
+        plain = ".".join(p.lstrip("0") or "0" for p in plain.split("."))
+    try:
+        ipaddress.ip_address(plain)
+    except ValueError:
+        return False
+    return True
 
 
 def features(text: str, span: Span) -> list[float]:
-    """Format and context of a candidate; the digits of an e-mail address say nothing, so only whether it ends in them counts."""
+    """Format and context of a candidate.
+
+    Formats are told by what they come to, not by their signs, so that forms
+    which weren't learned are alike to those which were: whether an address is
+    left when signs are put back, whether the check digit holds, how the digits
+    are grouped, and whether one separator serves throughout. The digits of an
+    e-mail address say nothing.
+    """
     inner, kind = text[span.start : span.end], KINDS[span.kind]
     before, after = text[max(0, span.start - CONTEXT) : span.start], text[span.end : span.end + CONTEXT]
     digits = "" if kind == "email" else _digits(inner)
     groups = [g for g in re.split("[^0-9]+", inner) if g and digits]
+    between = re.findall("(?<=[0-9])[^0-9]+(?=[0-9])", inner) if digits else []
+    sizes = [len(g) for g in groups] or [0]
     low = before.lower()
     hexes = [g for g in re.split("[^0-9A-Fa-f]+", inner) if g] if ":" in inner else []
+    plain = inner
+    for pattern, sign in _SPOKEN if kind == "email" else ():
+        plain = pattern.sub(sign, plain)
+    labels = plain.rsplit("@", 1)[-1].lower().split(".") if kind == "email" else []
     return [
-        *(float(kind == k) for k in KINDS), float(len(inner)), float(len(digits)), float(len(groups)),
-        float(max(map(len, groups), default=0)), float(min(map(len, groups), default=0)), float(len(groups[0]) if groups else 0), float(len(groups[-1]) if groups else 0),
-        float(inner.count(".")), float(inner.count("-")), float(inner.count(" ")), float(inner.count("(") + inner.count(")")), float(inner.count("[") + inner.count("{")), float(inner.count("@")),
-        float(inner.count(":")), float("::" in inner), float(max(map(len, hexes), default=0)), float("  " in inner), float(inner.startswith("0")), float(inner.startswith(("00", "(0"))),
-        float(luhn(digits)), float(max(map(int, groups), default=0) > 255), float(inner[:2] in ("19", "20")), float(inner[:1].isalpha()), float(inner[-1:].isalpha()),
-        float(len(set(digits))), float(bool(before) and (before[-1].isalnum() or before[-1] in "=\"'_#/@")),
-        float(bool(after) and (after[0].isalnum() or after[0] in "\"'_%@/")), float(before[-1:].isspace() or not before), float(after[:1].isspace() or not after),
-        float(any(h in low for h in _HINTS[kind])),
+        *(float(kind == k) for k in KINDS), float(len(digits)), float(len(groups)), float(max(sizes)), float(min(sizes)), float(sizes[0]), float(sizes[-1]), float(len(set(sizes[:-1])) <= 1),
+        float(len(set(between))), float(max(map(len, between), default=0)), float("(" in inner or ")" in inner), float(inner.startswith("+")),
+        float(kind == "card" and 13 <= len(digits) <= 19 and luhn(digits)), float(len(digits) == 13 and digits[:3] in ("978", "979")),
+        float(digits.startswith("0")), float(digits.startswith("00")), float(any(len(g) == 4 and g[:2] in ("19", "20") for g in groups)), float(inner[:2] in ("19", "20")), float(len(set(digits))),
+        float(kind == "ip" and address_of(inner)), float(len(hexes)), float("::" in inner), float(max(map(len, hexes), default=0)),
+        float(kind == "email" and _emails(plain) == [Span(0, 0, len(plain))]), float(labels[-1:] != [] and labels[-1] in _GENERIC), float(labels[-1:] != [] and labels[-1] in _COUNTRY),
+        float(kind == "email" and (" at " in inner.lower() or " dot " in inner.lower())), float(kind == "email" and ("@" in inner or "[" in inner or "(" in inner or "{" in inner)), float(len(labels)),
+        float(inner[:1].isalpha()), float(inner[-1:].isalpha()),
+        float(bool(before) and (before[-1].isalnum() or before[-1] in "=\"'_#/@")), float(bool(after) and (after[0].isalnum() or after[0] in "\"'_%@/")),
+        float(before[-1:].isspace() or not before), float(after[:1].isspace() or not after), float(any(h in low for h in _HINTS[kind])),
     ]
 
 
+N_FEATURES = len(features("", Span(0, 0, 0)))
+
+
 def _check_digit(digits: str) -> str:
     return next(d for d in "0123456789" if luhn(digits + d))
 
 
-def made(form: str, kind: int, rng: random.Random) -> str:
+def made(form: str, kind: int, rng: random.Random, words: tuple[str, ...] = ("home",)) -> str:
     """An item in a form; digits of a card form end in their check digit."""
     def name(sign: str) -> str:
         letters = "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4)))
@@ -229,6 +267,12 @@ def made(form: str, kind: int, rng: random.Random) -> str:
             out.append(name(rng.choice("._")))
         elif c == "H":
             out.append(name("-"))
+        elif c == "P":
+            out.append(re.sub("[^a-z]", "", name("")))
+        elif c == "T":
+            out.append(rng.choice(_TOPS))
+        elif c == "W":
+            out.append(rng.choice(words))
         elif c == "x":
             out.append(rng.choice("0123456789abcdef"))
         elif c == "#":
@@ -250,12 +294,15 @@ _SHAPES = frozenset(_shape(f) for k in ("card", "phone") for f in FORMS[k])
 
 
 def planted(text: str, form: str, kind: int, rng: random.Random) -> tuple[str, int, int]:
-    """A stretch of the text with an item in it, after a cue in half the cases (a look-alike's may be a true item's), and the item's place."""
+    """A stretch of the text with an item in it, after a cue in half the cases (a look-alike's may be a true item's; digits alone are an item only after one), and the item's place."""
     at = text.find(" ", rng.randint(0, max(0, len(text) - 1)))
     at = len(text) if at < 0 else at
-    item = made(form, kind, rng)
+    words = tuple(w for w in text[max(0, at - 200) : at + 200].split() if w.isalpha() and len(w) < 20) or ("home",)
+    item = made(form, kind, rng, words)
     true = form in FORMS[KINDS[kind]]
-    cue = rng.choice(_HINTS[KINDS[kind]][:-1] if true or rng.random() < 0.3 else _CUES) + rng.choice((" ", ": ", ". ")) if rng.random() < 0.5 else ""
+    bare = not form.strip("0#")
+    hinted = true or rng.random() < 0.3 and not bare
+    cue = rng.choice(_HINTS[KINDS[kind]][:-1] if hinted else _CUES) + rng.choice((" ", ": ", ". ")) if rng.random() < 0.5 or true and bare else ""
     left = f"{text[max(0, at - 2 * CONTEXT) : at]} {cue}"
     return f"{left}{item}{rng.choice((' ', ' ', ', ', '. ', ')'))}{text[at + 1 : at + 2 * CONTEXT]}", len(left), len(left) + len(item)
 
@@ -297,6 +344,15 @@ def written_out(inner: str) -> bool:
     return plain != inner and _emails(plain) == [Span(0, 0, len(plain))]
 
 
+class Sample(NamedTuple):
+    """Candidates drawn for training: features, labels, forms of the true items, and which are of held-out documents."""
+
+    x: np.ndarray
+    y: np.ndarray
+    forms: np.ndarray
+    held: np.ndarray
+
+
 class Learned(NamedTuple):
     """Trees, thresholds by kind, and what the thresholds reach on held-out documents: (precision, recall) by kind."""
 
@@ -305,13 +361,8 @@ class Learned(NamedTuple):
     reached: list[tuple[float, float]]
 
 
-def train(docs: DataFrame) -> Learned:
-    """Trees and thresholds from a bounded sample of distinct texts.
-
-    A fifth of the documents, by hash, calibrates: a kind's threshold is the
-    least from LEAST on whose precision on them reaches PRECISION, and above 1
-    (nothing is added) where none does.
-    """
+def draw(docs: DataFrame) -> Sample:
+    """Candidates of a bounded sample of distinct texts; a fifth of the documents, by hash, is held out."""
     arrow_batches(docs.sparkSession)
     n = max(1, docs.count())
     share = min(1_000_000, math.ceil(1_000_000 * SAMPLE_DOCS / n))
@@ -319,13 +370,26 @@ def train(docs: DataFrame) -> Learned:
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(*r, hashlib.md5(text.encode()).hexdigest()) for text in batch.column(0).to_pylist() for r in labelled(text)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.float64())), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[3] for r in rows], pa.string())], ["x", "y", "at"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], pa.list_(pa.float64())), *(pa.array([r[k] for r in rows], t) for k, t in ((1, pa.bool_()), (2, pa.string()), (3, pa.string())))], ["x", "y", "form", "at"]
+            )
 
     sample = docs.filter(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share)).select("text").distinct()
-    drawn = sorted(sample.mapInArrow(propose, "x array<double>, y boolean, at string").orderBy("at", "x").limit(SAMPLE_CANDIDATES).collect(), key=lambda r: (r["at"], r["x"]))
-    x = np.array([r["x"] for r in drawn], float).reshape(-1, N_FEATURES)
-    y = np.array([r["y"] for r in drawn], float)
-    held = np.array([int(r["at"][:8], 16) % 5 == 0 for r in drawn], bool)
+    drawn = sorted(sample.mapInArrow(propose, "x array<double>, y boolean, form string, at string").orderBy("at", "x").limit(SAMPLE_CANDIDATES).collect(), key=lambda r: (r["at"], r["x"]))
+    return Sample(
+        np.array([r["x"] for r in drawn], float).reshape(-1, N_FEATURES), np.array([r["y"] for r in drawn], float),
+        np.array([r["form"] for r in drawn], str), np.array([int(r["at"][:8], 16) % 5 == 0 for r in drawn], bool),
+    )
+
+
+def fitted(sample: Sample) -> Learned:
+    """Trees of the documents that aren't held out, and thresholds of those that are.
+
+    A kind's threshold is the least from LEAST on whose precision on the
+    held-out documents reaches PRECISION, and above 1 (nothing is added) where
+    none does.
+    """
+    x, y, _, held = sample
     model = boosting.fit(x[~held], y[~held], rounds=60, depth=4)
     scores = boosting.chance(model, x[held]) if held.any() else np.empty(0)
     thresholds, reached = [], []
@@ -339,6 +403,26 @@ def train(docs: DataFrame) -> Learned:
     return Learned(model, thresholds, reached)
 
 
+def without_form(sample: Sample, form: str) -> tuple[float, float]:
+    """Precision of a form's kind and recall of the form when no item of the form is learned or calibrates.
+
+    All the sample's items of the form are looked for, and the held-out
+    documents' other candidates tell the precision.
+    """
+    x, y, forms, held = sample
+    own = forms == form
+    model, thresholds, _ = fitted(Sample(x[~own], y[~own], forms[~own], held[~own]))
+    kind = next(k for k, name in enumerate(KINDS) if form in FORMS[name])
+    seen = (own | held) & (x[:, kind] > 0)
+    hit = seen & (boosting.chance(model, x) >= thresholds[kind])
+    return float(y[hit].mean()) if hit.any() else 1.0, float(hit[own].sum() / max(1, own.sum()))
+
+
+def train(docs: DataFrame) -> Learned:
+    """Trees and thresholds from a bounded sample of distinct texts."""
+    return fitted(draw(docs))
+
+
 def select(text: str, strict: list[Span], runs: list[tuple[int, int]], model: tuple, thresholds: list[float]) -> list[Span]:
     """Strict spans plus the best scored of the other candidates that overlap no selected span."""
     covered = Taken(strict)

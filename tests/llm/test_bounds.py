@@ -5,7 +5,9 @@ import time
 
 import pytest
 
-from riskgrid.llm import pages, pieces, privacy
+from pyspark.sql import functions as F
+
+from riskgrid.llm import language, pages, parsing, pieces, privacy
 
 STORIES = {
     "Russian": "Это довольно длинный абзац русского текста о том как люди живут в больших городах и каждый день ездят на работу в метро и на автобусах среди шума и суеты больших улиц и площадей.",
@@ -85,3 +87,66 @@ def test_a_megabyte_of_numbers():
     for s in strict:
         covered.meets(s)
     assert time.perf_counter() - began < 1
+
+
+UNSEEN = {"card": "4111/1111/1111/1111", "ip": "192 . 168 . 0 . 1", "email": "joe_at_site_dot_com", "phone": "+49 (0)30 / 123456"}
+
+
+def test_generators_reach_unusual_forms():
+    for kind, item in UNSEEN.items():
+        text = f"you may take {item} for it"
+        assert privacy.Span(13, privacy.KINDS.index(kind), 13 + len(item)) in privacy.candidates(text, privacy.clusters(text))
+
+
+def test_forms_left_out_of_training_are_found(spark, small):
+    """Mean recall over forms of every kind when a form is neither learned nor calibrates (figures of all forms: README)."""
+    sample = privacy.draw(spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text"))
+    left = [f for k in privacy.KINDS for f in privacy.FORMS[k][:4]]
+    found = [privacy.without_form(sample, f) for f in left]
+    assert sum(r for _, r in found) >= 0.8 * len(found) and sum(p for p, _ in found) >= 0.98 * len(found)
+
+
+def test_prose_is_no_address(spark, small):
+    learned = privacy.train(spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text"))
+    for text in ("we met at home dot we left", "she is at work dot they said so", "on 12/03/2020 and 13/04/2021", "the seasons 1994-1998 2001-2005", "the id 0123456789 is taken", "10.5 12.7 13.9 1.25"):
+        runs = privacy.clusters(text)
+        assert privacy.select(text, privacy.base_spans(text, runs), runs, learned.model, learned.thresholds) == []
+
+
+def test_loose_numbers_take_linear_time(spark, small):
+    learned = privacy.train(spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text"))
+
+    def taken(n: int) -> float:
+        text = " ".join(f"0{30 + k % 69}/{1000000 + k * 7919 % 9000000}" for k in range(n))
+        runs = privacy.clusters(text)
+        began = time.perf_counter()
+        assert len(privacy.select(text, privacy.base_spans(text, runs), runs, learned.model, learned.thresholds)) >= 0.9 * n
+        return time.perf_counter() - began
+
+    assert taken(20_000) < 8 * taken(5_000)
+
+
+def test_many_languages_share_the_dictionaries_bound(spark, monkeypatch):
+    """More languages than prepared dictionaries: all are learned, within ALL_BYTES, and each text gets its own language."""
+    monkeypatch.setattr(language, "ALL_BYTES", 60_000)
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for k in range(300):
+        rng = random.Random(k)
+        words = ["".join(rng.choice(alphabet) for _ in range(7)) for _ in range(12)]
+        rows += [(1000 * k + j, " ".join(rng.sample(words, 12)), f"l{k:03d}") for j in range(6)]
+    learned = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(learned) == 300 and sum(map(len, learned.values())) <= 60_000
+    seen = language.classify([t for _, t, _ in rows[::6]] + [None, "12 !"], learned)
+    assert sum(p[0] == r[2] for p, r in zip(seen, rows[::6])) >= 290
+    assert [p[0] for p in seen[-2:]] == ["und", "und"]
+
+
+def test_ranges_beyond_their_most_grow(spark, monkeypatch):
+    """With the number of ranges and of keys at its bound, neighbours are the same."""
+    docs = spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit("some text of "), F.col("id")).alias("text"))
+    want = sorted(map(tuple, parsing.fingerprint_documents(docs).collect()))
+    monkeypatch.setattr(parsing, "MOST_RANGES", 3)
+    monkeypatch.setattr(parsing, "RANGE_BYTES", 64)
+    monkeypatch.setattr(parsing, "MOST_KEYS", 20)
+    assert sorted(map(tuple, parsing.fingerprint_documents(docs).collect())) == want
