@@ -61,7 +61,7 @@ FORMS = {
     "email": ("N [at] H [dot] T", "N(at)H(dot)T", "N {at} H.T", "N [at] H.example.T", "N at H dot T", "N at H dot co dot T", "N @ H.T", "N[at]H[dot]example[dot]T", "N (at) H (dot) T", "P_at_P_dot_T", "P-at-P-dot-T"),
     "ip": ("#[.]#[.]#[.]#", "#(.)#(.)#(.)#", "#[dot]#[dot]#[dot]#", "xxxx:xxxx:xxxx:xxxx:xxxx:xxxx:xxxx:xxxx", "xxxx:xxx::xxxx:xxxx:x", "fe80::xxxx:xxxx:xxxx:xxxx", "2001:db8::xxxx:xx", "# . # . # . #", "# dot # dot # dot #"),
     "card": ("####.####.####.####", "####  ####  ####  ####", "#### - #### - #### - ####", "####.######.#####", "####  ######  #####", "####/####/####/####", "#### / ###### / #####"),
-    "phone": ("0#### ######", "(0##) ####-####", "(0##) ########", "00## ## ########", "0049 ### #######", "(###) ###-####", "###-###-####", "###.###.####", "0## ### ####", "0### ## ## ##", "0# ## ## ## ##", "1 ### ### ####", "1-###-###-####", "0###-#######", "0###########", "+## (0)## / ######", "+##/###/#######", "0##/#######", "0#-##-##-##-##", "0### ### ###", "0#### ## ## ##", "(0####) ######", "(0#) #### ####", "0##########", "00## # ## ## ## ##", "00##-###-#######"),
+    "phone": ("0#### ######", "(0##) ####-####", "(0##) ########", "00## ## ########", "0049 ### #######", "(###) ###-####", "###-###-####", "###.###.####", "0## ### ####", "0### ## ## ##", "0# ## ## ## ##", "1 ### ### ####", "1-###-###-####", "0###-#######", "0###########", "+## (0)## / ######", "+##/###/#######", "0##/#######", "0#-##-##-##-##", "0### ### ###", "0#### ## ## ##", "(0####) ######", "(0#) #### ####", "0##########", "0#########", "00## # ## ## ## ##", "00## # #### ####", "00## ## ### ## ##", "00##-###-#######"),
 }
 # Forms that look alike but are none; L is a card number that fails its check digit, W a word of the text around.
 LOOKALIKES = {
@@ -308,7 +308,7 @@ def planted(text: str, form: str, kind: int, rng: random.Random) -> tuple[str, i
 
 
 def labelled(text: str) -> list[tuple[list[float], bool, str]]:
-    """(features, label, form) of candidates that the strict patterns don't settle.
+    """(features, label, form put in, if any) of candidates that the strict patterns don't settle.
 
     PLANTED items in forms to learn or look-alikes are put into the text, alone
     each; a candidate that is a whole item of its kind is positive, any other
@@ -326,7 +326,7 @@ def labelled(text: str) -> list[tuple[list[float], bool, str]]:
         for span in candidates(whole, runs):
             hit = true and span == (start, kind, end)
             if span.start < end and start < span.end and not strict.meets(span) and (hit or span.kind or not written_out(whole[span.start : span.end])):
-                rows.append((features(whole, span), hit, form if hit else ""))
+                rows.append((features(whole, span), hit, form))
     runs = clusters(text)
     strict = Taken(base_spans(text, runs))
     for span in candidates(text, runs)[:OWN]:
@@ -345,7 +345,7 @@ def written_out(inner: str) -> bool:
 
 
 class Sample(NamedTuple):
-    """Candidates drawn for training: features, labels, forms of the true items, and which are of held-out documents."""
+    """Candidates drawn for training: features, labels, forms of what was put in, and which are of held-out documents."""
 
     x: np.ndarray
     y: np.ndarray
@@ -406,15 +406,16 @@ def fitted(sample: Sample) -> Learned:
 def without_form(sample: Sample, form: str) -> tuple[float, float]:
     """Precision of a form's kind and recall of the form when no item of the form is learned or calibrates.
 
-    All the sample's items of the form are looked for, and the held-out
-    documents' other candidates tell the precision.
+    Nothing that was put in in the form is learned, whether it is an item or a
+    look-alike. All the sample's items of the form are looked for, and the
+    held-out documents' other candidates tell the precision.
     """
     x, y, forms, held = sample
-    own = forms == form
-    model, thresholds, _ = fitted(Sample(x[~own], y[~own], forms[~own], held[~own]))
+    rest = forms != form
+    model, thresholds, _ = fitted(Sample(x[rest], y[rest], forms[rest], held[rest]))
     kind = next(k for k, name in enumerate(KINDS) if form in FORMS[name])
-    seen = (own | held) & (x[:, kind] > 0)
-    hit = seen & (boosting.chance(model, x) >= thresholds[kind])
+    own = ~rest & (y > 0)
+    hit = (own | held) & (x[:, kind] > 0) & (boosting.chance(model, x) >= thresholds[kind])
     return float(y[hit].mean()) if hit.any() else 1.0, float(hit[own].sum() / max(1, own.sum()))
 
 
