@@ -130,9 +130,12 @@ def a17(spark, folder):
     return risks(spark, folder).groupBy("bucket", "term", "model").agg(r(X.weighted_mean("hazard", "capacity_mw"), 9).alias("mean"))
 
 
-@query("o2_by_absolute", "SELECT o_orderpriority, total, rank() OVER (ORDER BY abs(total) DESC NULLS LAST)::INTEGER AS place FROM (SELECT o_orderpriority, round(sum(o_totalprice - 150000), 2) AS total FROM orders GROUP BY 1)")
+@query("o2_by_absolute", "SELECT o_orderpriority, total, rank() OVER (ORDER BY abs(total) DESC NULLS LAST)::INTEGER AS place FROM (SELECT o_orderpriority, round(sum(o_totalprice - mean), 2) AS total FROM orders CROSS JOIN (SELECT avg(o_totalprice) AS mean FROM orders) GROUP BY 1)")
 def o2(spark, folder):
-    rows = read_table(spark, folder, "orders").groupBy("o_orderpriority").agg(F.round(F.sum(F.col("o_totalprice") - 150000), 2).alias("total"))
+    """Priorities by how far their orders' total lies from what the mean price gives, above or below."""
+    orders = read_table(spark, folder, "orders")
+    mean = F.broadcast(orders.agg(F.avg("o_totalprice").alias("mean")))
+    rows = orders.crossJoin(mean).groupBy("o_orderpriority").agg(F.round(F.sum(F.col("o_totalprice") - F.col("mean")), 2).alias("total"))
     return report.by_absolute(rows, "total")
 
 
@@ -191,10 +194,10 @@ def q10(spark, folder):
     return reduce(lambda a, b: a.unionByName(b), found)
 
 
-@query("a37_first_step", "SELECT y AS year, round(count(*) FILTER (event_id % 5 <> 0) / count(*)::DOUBLE, 9) AS share, count(*) AS rows FROM (SELECT *, event_id % 30 + 2041 AS y FROM events) WHERE y = 2041 GROUP BY 1")
+@query("a37_first_step", "SELECT y AS year, round(count(*) FILTER (event_id % 7 <> 0) / count(*)::DOUBLE, 9) AS share, count(*) AS rows FROM (SELECT *, event_id % 30 + 2041 AS y FROM events) WHERE y = 2041 GROUP BY 1")
 def a37(spark, folder):
     k = F.col("event_id")
-    return quality.first_step_share(read_table(spark, folder, "events").select((k % 30 + 2041).alias("year"), F.when(k % 5 == 0, F.when(k % 2 == 0, float("nan"))).otherwise(F.col("value")).alias("value"))).withColumn("share", r("share", 9))
+    return quality.first_step_share(read_table(spark, folder, "events").select((k % 30 + 2041).alias("year"), F.when(k % 7 == 0, F.when(k % 2 == 0, float("nan"))).otherwise(F.col("value")).alias("value"))).withColumn("share", r("share", 9))
 
 
 @query("w5_rank_one_bucket", "SELECT plant_uid, water_scenario, model, rank() OVER (PARTITION BY water_scenario, model ORDER BY index_value DESC NULLS LAST)::INTEGER AS rank FROM idx WHERE bucket = 'hydro'", "idx")

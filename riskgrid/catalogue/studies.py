@@ -113,7 +113,7 @@ trio AS (SELECT x.matrix AS param, {own}, x.draw, (x.{value} - m) / sd AS ab, (a
   JOIN {source} b ON b.matrix = 'B' AND b.draw = x.draw AND {on.format("b", "x")} JOIN mom ON {on.format("mom", "x")} WHERE x.matrix NOT IN ('A', 'B')),
 wt AS (SELECT *, CASE WHEN copy = 0 THEN 1.0::DOUBLE ELSE {steps} END AS k FROM trio CROSS JOIN range(51) c(copy)),
 rep AS (SELECT param, {by}, copy, sum(k * (a * a + b * b)) / (2 * sum(k)) - pow(sum(k * (a + b)) / (2 * sum(k)), 2) AS v, sum(k * b * (ab - a)) / sum(k) / v AS s1, 0.5 * sum(k * (a - ab) * (a - ab)) / sum(k) / v AS st FROM wt GROUP BY param, {by}, copy)
-SELECT param, {by}, round(max(s1) FILTER (copy = 0), 5) AS s1, round(1.96 * stddev_samp(s1) FILTER (copy > 0), 5) AS s1_conf, round(max(st) FILTER (copy = 0), 5) AS st, round(1.96 * stddev_samp(st) FILTER (copy > 0), 5) AS st_conf FROM rep GROUP BY param, {by}"""
+SELECT param, {by}, round(max(s1) FILTER (copy = 0), 5) + 0.0 AS s1, round(1.96 * stddev_samp(s1) FILTER (copy > 0), 5) AS s1_conf, round(max(st) FILTER (copy = 0), 5) AS st, round(1.96 * stddev_samp(st) FILTER (copy > 0), 5) AS st_conf FROM rep GROUP BY param, {by}"""
 
 
 def _indices(found: DataFrame, *by: str) -> DataFrame:

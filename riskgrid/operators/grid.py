@@ -46,8 +46,8 @@ def sample_tiled(plants: DataFrame, tiled: DataFrame, keys: DataFrame, grid: tup
 
 
 def wide(samples: DataFrame, *keys: str) -> DataFrame:
-    """One column a term."""
-    return samples.groupBy(*keys).pivot("term", list(C.TERMS)).agg(F.first("value"))
+    """One column a term; where rows of equal keys disagree the largest value stands."""
+    return samples.groupBy(*keys).pivot("term", list(C.TERMS)).agg(F.max("value"))
 
 
 def long(table: DataFrame, *keys: str, terms: tuple[str, ...] = C.TERMS) -> DataFrame:

@@ -66,7 +66,7 @@ def unmatched(samples: DataFrame) -> DataFrame:
 def cross_table(bands: DataFrame, a: str, b: str) -> DataFrame:
     """Capacity share by the bands of two terms of a bucket, per bucket and model."""
     keys = ("plant_uid", "bucket", "water_scenario", "model", "capacity_mw")
-    wide = bands.filter(F.col("term").isin(a, b) & F.col("risk_band").isNotNull()).groupBy(*keys).pivot("term", [a, b]).agg(F.first("risk_band")).filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+    wide = bands.filter(F.col("term").isin(a, b) & F.col("risk_band").isNotNull()).groupBy(*keys).pivot("term", [a, b]).agg(F.max("risk_band")).filter(F.col(a).isNotNull() & F.col(b).isNotNull())
     total = wide.groupBy("bucket", "model").agg(F.sum("capacity_mw").alias("_t"))
     return wide.groupBy("bucket", "model", F.col(a).alias("band_a"), F.col(b).alias("band_b")).agg(F.sum("capacity_mw").alias("mw")).join(total, ["bucket", "model"]).withColumn("share", F.try_divide("mw", "_t")).drop("_t")
 
@@ -120,7 +120,7 @@ def composite_score(samples: DataFrame, bounds: DataFrame, multipliers: DataFram
     low, high = F.col("lo"), F.col("hi")
     scaled = F.when(F.col("term").isin("sv", "iv"), X.minmax("value", low, high)).otherwise(X.log1p_minmax("value", low, high))
     summed = joined.withColumn("_x", scaled).groupBy("plant_uid", "country", "bucket", "water_scenario", "model").agg(
-        F.count("_x").alias("_k"), F.first("parts").alias("_p"), F.sum(F.col("weight") * F.col("_x")).alias("_s"), F.first(X.age_factor()).alias("_a")
+        F.count("_x").alias("_k"), F.max("parts").alias("_p"), F.sum(F.col("weight") * F.col("_x")).alias("_s"), F.max(X.age_factor()).alias("_a")
     )
     score = F.when(F.col("_k") == F.col("_p"), F.col("_s") * F.col("_a") * F.coalesce("multiplier", F.lit(1.0)))
     return summed.join(multipliers.select("country", "multiplier"), "country", "left").select("plant_uid", "country", "bucket", "water_scenario", "model", score.alias("score"))
