@@ -25,6 +25,8 @@ carriers.SQL["disasters"] = """disasters AS (SELECT o_orderkey AS event_id, 'N'
 hits AS (SELECT event_id, country, CASE disaster_type WHEN 'Flood' THEN 'precip' WHEN 'Storm' THEN 'wind' WHEN 'Drought' THEN 'spei' WHEN 'Extreme temperature' THEN 'heat' END AS term, start_year,
   unnest(CASE form WHEN 1 THEN ['N' || (event_id % 25) // 5 || '.' || event_id % 25 || '_1'] WHEN 2 THEN ['N' || (event_id % 25) // 5 || '.' || event_id % 25 || '_1']
     WHEN 5 THEN list_distinct(['N' || (event_id % 25) // 5 || '.' || event_id % 25 || '_1', 'N' || (event_id % 25) // 5 || '.' || event_id % 7 || '_1']) END) AS gid FROM disasters WHERE disaster_type <> 'Earthquake')"""
+carriers.SQL["placed"] = """placed AS (SELECT d.* REPLACE (n_name AS country), r_name AS region FROM disasters d JOIN orders ON o_orderkey = event_id JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey)"""
+carriers.NEEDS["placed"] = ("disasters",)
 carriers.SQL["tracks"] = "tracks AS (SELECT event_id, (1990 + event_id % 35)::INTEGER AS season, event_id % 4000 / 100.0::DOUBLE AS lat, event_id * 7 % 5000 / 100.0::DOUBLE AS lon, value AS wind_kt FROM events)"
 carriers.SQL["near"] = """near AS (SELECT plant_uid, count(t.event_id) AS n_near FROM plants p LEFT JOIN (SELECT * FROM tracks WHERE season >= 2000 AND wind_kt >= 34) t ON abs(t.lat - p.lat) < 1 AND 2 * 6371.0088 * asin(sqrt(least(1, pow(sin(radians(t.lat - p.lat) / 2), 2)
   + cos(radians(p.lat)) * cos(radians(t.lat)) * pow(sin(radians(t.lon - p.lon) / 2), 2)))) <= 100 GROUP BY 1)"""
@@ -146,8 +148,23 @@ def s6(spark, folder):
     return events.read_tracks(raw).select("sid", "season", "lat", "wind_kt")
 
 
-@query("a21_event_coverage", """SELECT country, count(*) AS events, count(location) AS with_location, count(*) FILTER (form <> 0) AS with_admin, count(*) FILTER (lat IS NOT NULL AND lon IS NOT NULL) AS with_coords,
-round(100.0::DOUBLE * count(location) / count(*), 1) AS pct_location, round(100.0::DOUBLE * count(*) FILTER (form <> 0) / count(*), 1) AS pct_admin, round(100.0::DOUBLE * count(*) FILTER (lat IS NOT NULL AND lon IS NOT NULL) / count(*), 1) AS pct_coords FROM disasters GROUP BY 1""", "disasters")
+COVERAGE = """SELECT country, count(*) AS events, count(location) AS with_location, count(*) FILTER (form <> 0) AS with_admin, count(*) FILTER (lat IS NOT NULL AND lon IS NOT NULL) AS with_coords,
+round(100.0::DOUBLE * count(location) / count(*), 1) AS pct_location, round(100.0::DOUBLE * count(*) FILTER (form <> 0) / count(*), 1) AS pct_admin, round(100.0::DOUBLE * count(*) FILTER (lat IS NOT NULL AND lon IS NOT NULL) / count(*), 1) AS pct_coords FROM disasters GROUP BY 1"""
+SEVERITY = """SELECT country, count(*) FILTER (deaths >= 10) AS n_deaths, count(*) FILTER (affected >= 100) AS n_affected, count(*) FILTER (declaration = 'Yes') AS n_declaration, count(*) FILTER (appeal = 'Yes') AS n_appeal,
+count(*) FILTER (deaths >= 10 OR coalesce(affected >= 100, false) OR declaration IS NOT NULL OR appeal = 'Yes') AS n_any, count(*) FILTER (form = 4) AS n_gid_0, count(*) FILTER (form IN (1, 5)) AS n_gid_1, count(*) FILTER (form IN (2, 5)) AS n_gid_2,
+count(*) FILTER (form = 3) AS n_unreadable FROM disasters GROUP BY 1"""
+MULTIPLIERS = "SELECT country, count(*) AS events, round(count(*) / 124.0::DOUBLE, 9) AS rate, round(1 + 0.5 * count(*) / max(count(*)) OVER (), 9) AS multiplier FROM disasters GROUP BY 1"
+
+
+def placed(spark, folder) -> DataFrame:
+    """The events in their customers' nations (and ``region``), which hold different numbers of them."""
+    nation = read_table(spark, folder, "nation").join(read_table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    owner = read_table(spark, folder, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("country"), F.col("r_name").alias("region"))
+    order = read_table(spark, folder, "orders").select(F.col("o_orderkey").alias("event_id"), F.col("o_custkey").alias("c_custkey"))
+    return disasters(spark, folder).drop("country").join(order.join(owner, "c_custkey").drop("c_custkey"), "event_id")
+
+
+@query("a21_event_coverage", COVERAGE, "disasters")
 def a21(spark, folder):
     return events.coverage(disasters(spark, folder))
 
@@ -157,18 +174,38 @@ def a22(spark, folder):
     return events.counts(disasters(spark, folder))
 
 
-@query("a23_severity", """SELECT country, count(*) FILTER (deaths >= 10) AS n_deaths, count(*) FILTER (affected >= 100) AS n_affected, count(*) FILTER (declaration = 'Yes') AS n_declaration, count(*) FILTER (appeal = 'Yes') AS n_appeal,
-count(*) FILTER (deaths >= 10 OR coalesce(affected >= 100, false) OR declaration IS NOT NULL OR appeal = 'Yes') AS n_any, count(*) FILTER (form = 4) AS n_gid_0, count(*) FILTER (form IN (1, 5)) AS n_gid_1, count(*) FILTER (form IN (2, 5)) AS n_gid_2,
-count(*) FILTER (form = 3) AS n_unreadable FROM disasters GROUP BY 1""", "disasters")
+@query("a23_severity", SEVERITY, "disasters")
 def a23(spark, folder):
     return events.severity(disasters(spark, folder))
 
 
-@query("a24_event_multipliers", "SELECT country, count(*) AS events, round(count(*) / 124.0::DOUBLE, 9) AS rate, round(1 + 0.5 * count(*) / max(count(*)) OVER (), 9) AS multiplier FROM disasters GROUP BY 1", "disasters")
+@query("a24_event_multipliers", MULTIPLIERS, "disasters")
 def a24(spark, folder):
     return events.multipliers(disasters(spark, folder)).withColumns({"rate": r("rate", 9), "multiplier": r("multiplier", 9)})
 
 
+@query("a21_nation_coverage", COVERAGE.replace("FROM disasters", "FROM placed"), "placed")
+def a21n(spark, folder):
+    return events.coverage(placed(spark, folder))
+
+
+@query("a23_nation_severity", SEVERITY.replace("FROM disasters", "FROM placed"), "placed")
+def a23n(spark, folder):
+    return events.severity(placed(spark, folder))
+
+
+@query("a24_nation_multipliers", MULTIPLIERS.replace("FROM disasters", "FROM placed"), "placed")
+def a24n(spark, folder):
+    return events.multipliers(placed(spark, folder)).withColumns({"rate": r("rate", 9), "multiplier": r("multiplier", 9)})
+
+
+@query("j10_region_multiplier", """SELECT plant_uid, round(capacity_mw * coalesce(m, 1), 6) AS weighted FROM plants LEFT JOIN (SELECT region AS country, 1 + 0.5 * count(*) / max(count(*)) OVER () AS m FROM placed WHERE disaster_type = 'Flood' AND region <> 'EUROPE' GROUP BY region) USING (country)""", "plants", "placed")
+def j10r(spark, folder):
+    """Capacity times the flood multiplier of the plant's region; one region has none."""
+    floods = placed(spark, folder).filter("disaster_type = 'Flood' and region <> 'EUROPE'").drop("country").withColumnRenamed("region", "country")
+    return events.weighted_by_country(carriers.plants(spark, folder), events.multipliers(floods), "capacity_mw").select("plant_uid", r("weighted", 6).alias("weighted"))
+
+
 @query("f31_event_codes", "SELECT event_id, country, term, start_year, gid FROM hits", "disasters")
 def f31(spark, folder):
     return events.exploded(disasters(spark, folder))

@@ -16,7 +16,7 @@ NAMES = (
     "j7_radius_join", "a23_severity", "f31_event_codes", "c13_contextual_validation", "c17_recompute", "c18_hazard_removal", "a27_band_distribution", "t1_annual_max_stream", "q3_grid_mismatch", "q4_bounds_drift", "q5_null_hazards", "s7_partitioned_series", "f27_composite_score", "f32_jitter_draws",
     "a40_table_profile", "c6_basin_layer", "c25_water_heat_table", "c24_plant_against_grid", "c15_pooled", "q8_registry_conflicts", "f7_named_transforms", "w11_country_ranks",
     "j2_tiled_samples", "c2_heat_days_from_files", "c1_report", "q4_frozen_bounds", "q10_usable_tables", "o2_by_absolute", "f5_robust_transform", "c24_two_hazards", "a13_water_thresholds", "a16_rank_sum_test", "c14_zonal_validation", "a38_tracks_by_country", "j6_zonal_mean", "w3_average_rank",
-    "c11_skewed_origins", "c12_gate_decisions", "c19_gate_flips", "a37_first_step",
+    "c11_skewed_origins", "c12_gate_decisions", "c19_gate_flips", "a37_first_step", "a21_nation_coverage", "a23_nation_severity", "a24_nation_multipliers", "j10_region_multiplier",
 )
 TABLES = "region nation customer supplier part orders lineitem events"
 
