@@ -175,6 +175,35 @@ def test_tiles_prune_the_layers(spark, small):
     assert sorted(map(str, found.select(*names).collect())) == sorted(map(str, want.select(*names).collect()))
 
 
+def test_samples_are_spelled_out_in_dealt_tasks(spark, monkeypatch):
+    monkeypatch.setattr(grid, "PLANTS_A_TASK", 10)
+    monkeypatch.setattr(grid, "FEW_CELLS", 6)
+    keys = spark.createDataFrame([("opt", "m", "ws", "opt", "-"), ("bau", "m", "ws", "bau", "-"), ("opt", "m", "wind", "-", "-")], "water_scenario string, model string, term string, layer_scenario string, layer_model string")
+    cells = spark.createDataFrame([("ws", "opt", "-", 0, c, float(c)) for c in range(4)] + [("ws", "opt", "-", 0, 1, 9.0), ("wind", "-", "-", 0, 0, None), ("wind", "-", "-", 7, 7, 1.0)], "term string, scenario string, model string, row int, col int, value double")
+    for columns in (4, 9):  # few cells and many
+        rows = [(f"p{k}", k % columns + 0.5, 39.5) for k in range(95)] + [("off", 60.0, 39.5), ("none", None, None)]
+        plants = spark.createDataFrame(rows, "plant_uid string, lon double, lat double").coalesce(1)
+        found = grid.sample_terms(plants, cells, keys, carriers.GRID)
+        if columns == 4:
+            assert found.rdd.getNumPartitions() == 10
+        got = sorted((r.plant_uid, r.water_scenario, r.term, str(r.value)) for r in found.collect())
+        value = {0: ["0.0"], 1: ["1.0", "9.0"], 2: ["2.0"], 3: ["3.0"]}
+        want = [(p, "opt", "ws", v) for p, x, _ in rows for v in value.get(int(x) if x is not None else -1, ["None"])] + [(p, s, t, "None") for p, *_ in rows for s, t in (("bau", "ws"), ("opt", "wind"))]
+        assert got == sorted(want)
+
+
+def test_layers_are_spelled_out_in_dealt_tasks(spark, small, monkeypatch):
+    monkeypatch.setattr(carriers, "PARTS_A_TASK", 50)
+    assert carriers.cells(spark, small).rdd.getNumPartitions() == 4
+
+
+def test_wide_terms_shrink_before_the_shuffle(spark):
+    rows = spark.createDataFrame([("p", "ws", 1.0), ("p", "ws", 3.0), ("p", "heat", None), ("q", "other", 1.0)], "plant_uid string, term string, value double")
+    found = grid.wide(rows, "plant_uid", terms=("ws", "heat"))
+    assert {tuple(r) for r in found.collect()} == {("p", 3.0, None), ("q", None, None)}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+
+
 def test_unmapped_fuel_raises_when_strict(spark):
     plants = spark.createDataFrame([("A", "coal", False, "coal"), ("B", "peat", False, "peat")], "plant_name string, fuel_type string, mixed_fuel_type boolean, fuel_types_found string")
     assert [r.bucket for r in assets.with_bucket(plants).orderBy("plant_name").collect()] == ["thermal", None]
