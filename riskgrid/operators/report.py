@@ -60,7 +60,7 @@ def spread(values: DataFrame, *by: str) -> DataFrame:
 def unmatched(samples: DataFrame) -> DataFrame:
     """Plants without any value in a term, with those terms."""
     hit = samples.groupBy("plant_uid", "term").agg(F.bool_or(F.col("value").isNotNull()).alias("hit"))
-    return hit.groupBy("plant_uid").agg(F.array_sort(F.collect_list(F.when(~F.col("hit"), F.col("term")))).alias("terms")).filter(F.size("terms") > 0)
+    return hit.filter(~F.col("hit") & F.col("term").isNotNull()).groupBy("plant_uid").agg(F.array_sort(F.collect_list("term")).alias("terms"))
 
 
 def cross_table(bands: DataFrame, a: str, b: str) -> DataFrame:
