@@ -11,7 +11,7 @@ from riskgrid.functions import config as C
 from riskgrid.functions import exprs as X
 from riskgrid.plans import ranks
 
-from . import gate, risk
+from . import gate, grid, risk
 
 # Water category boundaries and bucket weights of the composite score.
 WATER_BOUNDARIES = {"ws": (0.1, 0.2, 0.4, 0.8), "sv": (0.33, 0.66, 1.00, 1.33), "iv": (0.25, 0.50, 0.75, 1.00)}
@@ -175,7 +175,7 @@ def hazard_scores(samples: DataFrame) -> DataFrame:
     after log1p.
     """
     keys = ("plant_uid", "country", "bucket", "water_scenario", "model", "capacity_mw")
-    wide = samples.filter(F.col("term").isin(*EQUAL_TERMS)).groupBy(*keys).pivot("term", list(EQUAL_TERMS)).agg(F.max("value")).na.drop(subset=list(EQUAL_TERMS))
+    wide = grid.wide(samples.filter(F.col("term").isin(*EQUAL_TERMS)), *keys, terms=EQUAL_TERMS).na.drop(subset=list(EQUAL_TERMS))
     spans = wide.groupBy("model").agg(*(f(t).alias(f"_{n}_{t}") for t in EQUAL_TERMS for n, f in (("lo", F.min), ("hi", F.max))))
     scale = lambda t: (X.log1p_minmax if t in ("ws", "heat") else X.minmax)(F.col(t), F.col(f"_lo_{t}"), F.col(f"_hi_{t}"))
     score = sum((scale(t) * (1.0 / len(EQUAL_TERMS)) for t in EQUAL_TERMS[1:]), scale(EQUAL_TERMS[0]) * (1.0 / len(EQUAL_TERMS)))
