@@ -175,6 +175,18 @@ def test_tiles_prune_the_layers(spark, small):
     assert sorted(map(str, found.select(*names).collect())) == sorted(map(str, want.select(*names).collect()))
 
 
+def test_folders_of_tiles_do_not_grow_with_the_layer(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "TILE_FOLDERS", 4)
+    cells = spark.range(1600).selectExpr("'ws' as term", "'bau' as scenario", "'-' as model", "int(id div 40) as row", "int(id % 40) as col", "double(id) as value")
+    path = sinks.write_tiled(cells, str(tmp_path / "t"), 2)
+    files = [f for f in tmp_path.rglob("*.parquet") if f.is_file()]
+    assert len(files) <= 4 and spark.read.parquet(path).select("tile_row", "tile_col").distinct().count() == 400
+    plants = spark.createDataFrame([("a", 3.5, 38.5), ("b", 39.5, 0.5)], "plant_uid string, lon double, lat double")
+    keys = spark.createDataFrame([("bau", "m", "ws", "bau", "-")], "water_scenario string, model string, term string, layer_scenario string, layer_model string")
+    found = grid.sample_tiled(plants, spark.read.parquet(path), keys, carriers.GRID, 2)
+    assert {r.plant_uid: r.value for r in found.collect()} == {"a": 43.0, "b": 1599.0}
+
+
 def test_samples_are_spelled_out_in_dealt_tasks(spark, monkeypatch):
     monkeypatch.setattr(grid, "PLANTS_A_TASK", 10)
     monkeypatch.setattr(grid, "FEW_CELLS", 6)
