@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from riskgrid.operators import assets, events, grid, report, spatial
+from riskgrid.operators import assets, events, grid, report, sensitivity, spatial
 from riskgrid.plans import carriers
 from riskgrid.sources import sinks, tables
 from riskgrid.streaming import annual_max
@@ -175,6 +175,13 @@ def test_tiles_prune_the_layers(spark, small):
     assert sorted(map(str, found.select(*names).collect())) == sorted(map(str, want.select(*names).collect()))
 
 
+def test_complete_rows_are_counted_once(spark, small):
+    drawn = sensitivity.saltelli_draws(spark, 1)
+    samples = carriers.plants(spark, small).limit(40).crossJoin(F.broadcast(carriers.scenario_keys(spark))).withColumn("value", F.col("lon"))
+    plan = sensitivity.index_means(samples, drawn, ("draw", "matrix"), strata=("country",))._jdf.queryExecution().optimizedPlan().toString()
+    assert "_gone" not in plan
+
+
 def test_folders_of_tiles_do_not_grow_with_the_layer(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(sinks, "TILE_FOLDERS", 4)
     cells = spark.range(1600).selectExpr("'ws' as term", "'bau' as scenario", "'-' as model", "int(id div 40) as row", "int(id % 40) as col", "double(id) as value")
