@@ -9,7 +9,7 @@ from riskgrid.operators import grid, quality, risk
 from riskgrid.plans import carriers
 from riskgrid.sources import sinks
 
-from .base import bands, index, query, r, risks, samples, single
+from .base import bands, bounds, index, query, r, risks, samples, single
 
 #: Cells along a tile's side, small beside the tables' grids.
 TILE = 16
@@ -59,7 +59,7 @@ def c7(spark, folder):
 
 @query("a11_global_bounds", "SELECT * FROM bounds", "bounds")
 def a11(spark, folder):
-    return risk.global_bounds(samples(spark, folder))
+    return bounds(spark, folder)
 
 
 @query("c8_risk_by_hazard", "SELECT plant_uid, water_scenario, model, term, round(hazard, 8) AS hazard, round(age_factor, 8) AS age_factor, risk::FLOAT::DOUBLE AS risk FROM risk", "risk")
@@ -120,7 +120,7 @@ def w5(spark, folder):
 JOIN (SELECT plant_uid, max(risk) - min(risk) AS spread FROM risk WHERE term = 'precip' GROUP BY 1) b USING (plant_uid) WHERE bands > 1 OR spread > 1e-9""", "bands", "risk")
 def w6(spark, folder):
     s = samples(spark, folder)
-    found = risk.scenario_invariance(risk.risk_bands(s), risk.risk_by_hazard(s, risk.global_bounds(s)), "precip")
+    found = risk.scenario_invariance(risk.risk_bands(s), risk.risk_by_hazard(s, bounds(spark, folder)), "precip")
     return found.withColumn("spread", r("spread", 6))
 
 
@@ -154,6 +154,6 @@ def j13(spark, folder):
 round(least(greatest((ln(1 + greatest(value, 0)) - ln(1 + lo)) / (ln(1 + hi) - ln(1 + lo)), 0), 1), 8) AS log1p FROM samples JOIN bounds USING (term) WHERE bound_model = CASE WHEN term IN ('heat', 'spei', 'precip') THEN model ELSE '-' END AND value IS NOT NULL""", "samples", "bounds")
 def transforms(spark, folder):
     s = samples(spark, folder)
-    b = F.broadcast(risk.global_bounds(s).withColumnRenamed("term", "_t"))
+    b = F.broadcast(bounds(spark, folder).withColumnRenamed("term", "_t"))
     found = s.filter("value is not null").join(b, (F.col("term") == F.col("_t")) & (risk.bound_model() == F.col("bound_model")))
     return found.select("term", "water_scenario", "model", "plant_uid", r(X.minmax("value", F.col("lo"), F.col("hi")), 8).alias("direct"), r(X.log1p_minmax("value", F.col("lo"), F.col("hi")), 8).alias("log1p"))

@@ -13,7 +13,7 @@ from riskgrid.sources.tables import read_table
 from riskgrid.streaming import annual_max
 
 from . import places
-from .base import bands, index, query, r, samples, single
+from .base import bands, bounds, index, query, r, samples, single
 
 
 @query("a27_band_distribution", """SELECT k.country, k.bucket, k.term, k.water_scenario, k.model, l AS risk_band, count(b.plant_uid) FILTER (b.risk_band = l) AS n, round(coalesce(sum(capacity_mw) FILTER (b.risk_band = l), 0), 4) AS mw,
@@ -85,10 +85,9 @@ def f26(spark, folder):
 THEN (value - lo) / (hi - lo) ELSE (ln(1 + value) - ln(1 + lo)) / (ln(1 + hi) - ln(1 + lo)) END) AS s FROM samples s JOIN cw USING (bucket, term) JOIN bounds b ON b.term = s.term AND b.bound_model = CASE WHEN s.term IN ('heat', 'spei', 'precip') THEN s.model ELSE '-' END
 GROUP BY s.plant_uid, s.water_scenario, s.model) JOIN age USING (plant_uid) LEFT JOIN (SELECT r_name AS country, 1 + count(*) / 8.0::DOUBLE AS multiplier FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey <> 2 GROUP BY 1) m ON m.country = age.country""", "samples", "bounds", "age", "cw")
 def f27(spark, folder):
-    s = samples(spark, folder)
     named = read_table(spark, folder, "nation").join(read_table(spark, folder, "region").filter("r_regionkey <> 2"), F.col("n_regionkey") == F.col("r_regionkey"))
     m = named.groupBy(F.col("r_name").alias("country")).agg((1 + F.count(F.lit(1)) / F.lit(8.0)).alias("multiplier"))
-    return report.composite_score(s, risk.global_bounds(s), m).select("plant_uid", "water_scenario", "model", r("score", 8).alias("score"))
+    return report.composite_score(samples(spark, folder), bounds(spark, folder), m).select("plant_uid", "water_scenario", "model", r("score", 8).alias("score"))
 
 
 
@@ -114,7 +113,7 @@ def c21(spark, folder):
 def j11(spark, folder):
     s = samples(spark, folder)
     own = bands(spark, folder).select("plant_uid", "term", "water_scenario", "model", "risk_band")
-    return risk.risk_by_hazard(s, risk.global_bounds(s)).join(own, ["plant_uid", "term", "water_scenario", "model"], "left").select("plant_uid", "term", "water_scenario", "model", single("risk").alias("risk"), "risk_band")
+    return risk.risk_by_hazard(s, bounds(spark, folder)).join(own, ["plant_uid", "term", "water_scenario", "model"], "left").select("plant_uid", "term", "water_scenario", "model", single("risk").alias("risk"), "risk_band")
 
 
 @query("j10_country_multiplier", """SELECT plant_uid, round(capacity_mw * coalesce(m, 1), 6) AS weighted FROM plants LEFT JOIN (SELECT CASE country WHEN 'N0' THEN 'AFRICA' WHEN 'N1' THEN 'AMERICA' WHEN 'N2' THEN 'ASIA' WHEN 'N3' THEN 'EUROPE' END AS country, 1 + 0.5 * count(*) / max(count(*)) OVER () AS m FROM disasters GROUP BY country) USING (country)""", "plants", "disasters")
@@ -128,7 +127,7 @@ def j10(spark, folder):
 FROM bounds WHERE term <> 'sv' UNION ALL SELECT 'snow', '-', 0, 1) z USING (term, bound_model) WHERE NOT coalesce(abs(b.lo - z.lo) <= 0.0001 AND abs(b.hi - z.hi) <= 0.0001, false)""", "bounds")
 def q4(spark, folder):
     """Frozen bounds that lack a term, have one more, and move others within and beyond the tolerance."""
-    now, t = risk.global_bounds(samples(spark, folder)), F.col("term")
+    now, t = bounds(spark, folder), F.col("term")
     moved = now.filter(t != "sv").select("term", "bound_model", F.when(t == "heat", F.col("lo") - 0.0002).otherwise(F.col("lo")).alias("lo"), F.when(t == "ws", F.col("hi") + 0.00005).when(t == "precip", F.col("hi") + 0.00011).otherwise(F.col("hi")).alias("hi"))
     frozen = moved.unionByName(spark.createDataFrame([("snow", "-", 0.0, 1.0)], moved.schema))
     return quality.drifted(now, frozen, "term", "bound_model").select("term", "bound_model")
@@ -167,7 +166,7 @@ def s9(spark, folder):
 
 @query("s10_nested_round_trip", "SELECT term, bound_model, lo, hi FROM bounds", "bounds")
 def s10(spark, folder):
-    made = risk.global_bounds(samples(spark, folder)).select("term", "bound_model", F.struct("lo", "hi").alias("bounds"))
+    made = bounds(spark, folder).select("term", "bound_model", F.struct("lo", "hi").alias("bounds"))
     return sinks.read_json(spark, sinks.write_json(made, sinks.scratch(spark)), made.schema).select("term", "bound_model", "bounds.lo", "bounds.hi")
 
 
@@ -204,4 +203,4 @@ def t1(spark, folder):
 WHERE NOT coalesce(abs(b.lo - z.lo) <= 0.0001 AND abs(b.hi - z.hi) <= 0.0001, false)""", "bounds")
 def q4f(spark, folder):
     """The tables' bounds against the registry's frozen ones."""
-    return quality.frozen_drift(risk.global_bounds(samples(spark, folder))).select("term", "bound_model")
+    return quality.frozen_drift(bounds(spark, folder)).select("term", "bound_model")

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from riskgrid.catalogue import base, chain, reports
 from riskgrid.operators import assets, events, grid, report, sensitivity, spatial
 from riskgrid.plans import carriers
 from riskgrid.sources import sinks, tables
@@ -239,3 +240,27 @@ def test_tracks_of_a_country_without_a_basin(spark):
     tracks = spark.createDataFrame([("W", "s1", 1.0, 1.0), ("W", "s1", 2.0, 1.0), ("W", "s2", None, 1.0), ("E", "s3", 1.0, 1.0)], "basin string, sid string, lat double, lon double")
     countries = spark.createDataFrame([("P", "W"), ("Q", "W"), ("R", "N"), ("S", None)], "country string, basin string")
     assert {r.country: (r.points, r.storms) for r in events.track_summary(tracks, countries).collect()} == {"P": (2, 1), "Q": (2, 1), "R": (0, 0), "S": (0, 0)}
+
+
+def refuse(*_):
+    raise AssertionError("samples of every plant")
+
+
+def test_bounds_come_from_cells(spark, small, monkeypatch):
+    for module in (base, chain, reports):
+        monkeypatch.setattr(module, "samples", refuse)
+    for name in ("q4_frozen_bounds", "a11_global_bounds", "q4_bounds_drift", "s10_nested_round_trip"):
+        base.QUERIES[name](spark, small).collect()
+
+
+def test_one_plant_a_cell_stands_for_all(spark, small):
+    own = carriers.plants(spark, small)
+    twice = own.unionByName(own.withColumn("plant_uid", F.concat("plant_uid", F.lit("b"))))
+    a, b = (grid.one_a_cell(x, carriers.GRID, "country", "bucket") for x in (own, twice))
+    assert a.count() == b.count()
+    assert 2 * a.agg(F.sum("plants")).first()[0] == b.agg(F.sum("plants")).first()[0] == 2 * own.count()
+    keys = carriers.scenario_keys(spark)
+    each, all_ = (grid.sample_terms(x, carriers.cells(spark, small), keys, carriers.GRID) for x in (a, own))
+    by = ("country", "bucket", "water_scenario", "model", "term", "value")
+    told = lambda df, n: sorted(map(str, df.groupBy(*by).agg(n.alias("n")).collect()))
+    assert told(each, F.sum("plants")) == told(all_, F.count(F.lit(1)))
