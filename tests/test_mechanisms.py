@@ -264,3 +264,12 @@ def test_one_plant_a_cell_stands_for_all(spark, small):
     by = ("country", "bucket", "water_scenario", "model", "term", "value")
     told = lambda df, n: sorted(map(str, df.groupBy(*by).agg(n.alias("n")).collect()))
     assert told(each, F.sum("plants")) == told(all_, F.count(F.lit(1)))
+
+
+def test_cuts_come_from_cells(spark, small, monkeypatch):
+    for module in (base, chain, reports):
+        monkeypatch.setattr(module, "samples", refuse)
+    monkeypatch.setattr(base, "_CUTS", {})
+    for name in ("c23_cuts_table", "a12_percentile_cuts"):
+        base.QUERIES[name](spark, small).collect()
+    base.cuts(spark, small)
