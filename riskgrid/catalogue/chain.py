@@ -86,14 +86,14 @@ def p7(spark, folder):
 
 @query("a12_percentile_cuts", "SELECT term, model, round(p50, 8) AS p50, round(p75, 8) AS p75, round(p90, 8) AS p90, round(p95, 8) AS p95, round(p99, 8) AS p99, n FROM cuts", "bands")
 def a12(spark, folder):
-    return risk.percentile_cuts(counted(spark, folder), F.col("plants")).select("term", "model", *(r(c, 8).alias(c) for c in ("p50", "p75", "p90", "p95", "p99")), "n")
+    return risk.percentile_cuts(counted(spark, folder, "bucket"), F.col("plants")).select("term", "model", *(r(c, 8).alias(c) for c in ("p50", "p75", "p90", "p95", "p99")), "n")
 
 
 @query("c23_cuts_table", """SELECT bucket, term, model, round(CASE WHEN term = 'wind' THEN p75 ELSE p50 END, 8) AS diagnostic, round(CASE WHEN term = 'wind' THEN p90 ELSE p75 END, 8) AS cut_1,
 round(CASE WHEN term = 'wind' THEN p95 ELSE p90 END, 8) AS cut_2, round(CASE WHEN term = 'wind' THEN p99 ELSE p95 END, 8) AS cut_3, n FROM applicable JOIN cuts USING (term)
 WHERE term <> 'ws' AND bucket <> 'wind'""", "bands")
 def c23(spark, folder):
-    return risk.band_cuts(counted(spark, folder), F.col("plants")).filter("kind = 'percentile'").select("bucket", "term", "model", *(r(c, 8).alias(c) for c in ("diagnostic", "cut_1", "cut_2", "cut_3")), "n")
+    return risk.band_cuts(counted(spark, folder, "bucket"), F.col("plants")).filter("kind = 'percentile'").select("bucket", "term", "model", *(r(c, 8).alias(c) for c in ("diagnostic", "cut_1", "cut_2", "cut_3")), "n")
 
 
 @query("c9_risk_bands", "SELECT plant_uid, water_scenario, model, term, risk_band FROM bands", "bands")

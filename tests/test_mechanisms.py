@@ -7,8 +7,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from riskgrid.catalogue import base, chain, reports
-from riskgrid.operators import assets, events, grid, report, sensitivity, spatial
+from riskgrid.catalogue import base, chain, reports, studies
+from riskgrid.operators import assets, events, grid, report, risk, sensitivity, spatial
 from riskgrid.plans import carriers
 from riskgrid.sources import sinks, tables
 from riskgrid.streaming import annual_max
@@ -273,3 +273,22 @@ def test_cuts_come_from_cells(spark, small, monkeypatch):
     for name in ("c23_cuts_table", "a12_percentile_cuts"):
         base.QUERIES[name](spark, small).collect()
     base.cuts(spark, small)
+
+
+def test_the_index_comes_from_cells(spark, small, monkeypatch):
+    want = risk.screening_index(base.bands(spark, small))
+    monkeypatch.setattr(base, "samples", refuse)
+    found = base.index(spark, small)
+    assert sorted(found.columns) == sorted(want.columns)
+    assert sorted(map(str, found.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    assert studies.a29(spark, small).count() > 0
+
+
+def test_shared_ids_have_their_index_from_all_rows(spark, small, monkeypatch):
+    real = carriers.plants
+    monkeypatch.setattr(carriers, "plants", lambda *a: real(*a).withColumn("plant_uid", F.substring("plant_uid", 1, 5)))
+    for kept in ("_SAMPLES", "_ALIKE", "_CUTS", "_OWN"):
+        monkeypatch.setattr(base, kept, {})
+    assert not base.own_ids(spark, small)
+    want = risk.screening_index(base.bands(spark, small))
+    assert sorted(map(str, base.index(spark, small).select(*want.columns).collect())) == sorted(map(str, want.collect()))
