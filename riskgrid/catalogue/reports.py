@@ -13,7 +13,7 @@ from riskgrid.sources.tables import read_table
 from riskgrid.streaming import annual_max
 
 from . import places
-from .base import bands, bounds, index, query, r, samples, single
+from .base import bands, bounds, cuts, index, own_ids, query, r, sampled, samples, single
 
 
 @query("a27_band_distribution", """SELECT k.country, k.bucket, k.term, k.water_scenario, k.model, l AS risk_band, count(b.plant_uid) FILTER (b.risk_band = l) AS n, round(coalesce(sum(capacity_mw) FILTER (b.risk_band = l), 0), 4) AS mw,
@@ -111,9 +111,14 @@ def c21(spark, folder):
 
 @query("j11_risk_with_bands", """SELECT r.plant_uid, r.term, r.water_scenario, r.model, risk::FLOAT::DOUBLE AS risk, risk_band FROM risk r LEFT JOIN bands b USING (plant_uid, term, water_scenario, model)""", "risk", "bands")
 def j11(spark, folder):
-    s = samples(spark, folder)
-    own = bands(spark, folder).select("plant_uid", "term", "water_scenario", "model", "risk_band")
-    return risk.risk_by_hazard(s, bounds(spark, folder)).join(own, ["plant_uid", "term", "water_scenario", "model"], "left").select("plant_uid", "term", "water_scenario", "model", single("risk").alias("risk"), "risk_band")
+    """Where no plants share an id, a row's band is that of its own sample, so that nothing is joined."""
+    keys = ["plant_uid", "term", "water_scenario", "model"]
+    if own_ids(spark, folder):
+        graded = risk.risk_bands(sampled(spark, folder), cuts(spark, folder), others=True)
+        found = risk.risk_by_hazard(graded, bounds(spark, folder), keep=("risk_band",))
+    else:
+        found = risk.risk_by_hazard(samples(spark, folder), bounds(spark, folder)).join(bands(spark, folder).select(*keys, "risk_band"), keys, "left")
+    return found.select(*keys, single("risk").alias("risk"), "risk_band")
 
 
 @query("j10_country_multiplier", """SELECT plant_uid, round(capacity_mw * coalesce(m, 1), 6) AS weighted FROM plants LEFT JOIN (SELECT CASE country WHEN 'N0' THEN 'AFRICA' WHEN 'N1' THEN 'AMERICA' WHEN 'N2' THEN 'ASIA' WHEN 'N3' THEN 'EUROPE' END AS country, 1 + 0.5 * count(*) / max(count(*)) OVER () AS m FROM disasters GROUP BY country) USING (country)""", "plants", "disasters")

@@ -292,3 +292,12 @@ def test_shared_ids_have_their_index_from_all_rows(spark, small, monkeypatch):
     assert not base.own_ids(spark, small)
     want = risk.screening_index(base.bands(spark, small))
     assert sorted(map(str, base.index(spark, small).select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_risks_and_bands_are_not_joined_by_plant(spark, small, monkeypatch):
+    keys = ["plant_uid", "term", "water_scenario", "model"]
+    want = base.risks(spark, small).join(base.bands(spark, small).select(*keys, "risk_band"), keys, "left").select(*keys, base.single("risk").alias("risk"), "risk_band")
+    monkeypatch.setattr(reports, "samples", refuse)
+    found = reports.j11(spark, small)
+    assert sorted(map(str, found.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    assert found.filter("risk_band is null").count() > 0
