@@ -197,21 +197,25 @@ def _fine_cells(points: DataFrame, km: float, names: tuple[str, str]) -> DataFra
 def within_radius(points: DataFrame, others: DataFrame, km: float = C.RADIUS_KM, point: str = "point_id") -> DataFrame:
     """Number of other points (lat, lon) within a great-circle radius of each point (lat, lon).
 
-    Other points are counted by fine cells first. Where they crowd (an average
-    one shares its cell with CROWDED others), both sides are gathered in cells:
+    Places that several points share are taken once on both sides, so work
+    follows places. Other places are counted by fine cells first. Where they
+    crowd (an average one shares its cell with CROWDED others), both sides are
+    gathered in cells:
     two cells that lie wholly within the radius of each other add the other
     cell's count to all points of the first, and only cells on the rim meet
     point by point, so crowded places cost as much as their rim. Elsewhere points
     meet directly. Points without a near one get 0.
     """
-    known = points.filter("lat is not null and lon is not null").select(point, "lat", "lon")
-    near = others.select("lat", "lon").filter("lat is not null and lon is not null")
+    here = ("lat", "lon")
+    known = sinks.kept(points.filter("lat is not null and lon is not null").select(*here).distinct())
+    near = sinks.kept(others.filter("lat is not null and lon is not null").groupBy(*here).agg(F.count(F.lit(1)).alias("_times")))
     theirs = _fine_cells(near, km, ("olat", "olon"))
-    cells = sinks.kept(theirs.groupBy(F.col("_band").alias("oband"), F.col("_cell").alias("ocell"), "olat", "olon", F.col("_reach").alias("oreach")).agg(F.count(F.lit(1)).alias("_n")))
-    crowd = cells.agg(F.sum(F.col("_n").cast("double") * F.col("_n")) / F.sum("_n")).first()[0] or 0.0
+    cells = sinks.kept(theirs.groupBy(F.col("_band").alias("oband"), F.col("_cell").alias("ocell"), "olat", "olon", F.col("_reach").alias("oreach")).agg(F.sum("_times").alias("_n"), F.count(F.lit(1)).alias("_places")))
+    crowd = cells.agg(F.sum(F.col("_places").cast("double") * F.col("_places")) / F.sum("_places")).first()[0] or 0.0
+    cells = cells.drop("_places")
     if crowd <= CROWDED:
-        met = _reachable(known, near.select(F.col("lat").alias("olat"), F.col("lon").alias("olon")), km, []).filter(X.haversine_km(F.col("lat"), F.col("lon"), F.col("olat"), F.col("olon")) <= km)
-        return points.join(met.groupBy(point).agg(F.count(F.lit(1)).alias("n_near")), point, "left").withColumn("n_near", F.coalesce("n_near", F.lit(0)))
+        met = _reachable(known, near.select(F.col("lat").alias("olat"), F.col("lon").alias("olon"), "_times"), km, ["_times"]).filter(X.haversine_km(F.col("lat"), F.col("lon"), F.col("olat"), F.col("olon")) <= km)
+        return _with_counts(points, met.groupBy(*here).agg(F.sum("_times").alias("n_near")))
     mine = _fine_cells(known, km, ("clat", "clon"))
     own = mine.groupBy("_band", "_cell", F.col("clat").alias("lat"), F.col("clon").alias("lon"), "_reach").agg(F.count(F.lit(1)).alias("_points"))
     far = km * (1.0 + 4.0 / FINE)  # two cells reach less than that beyond the radius; wide ones near the poles lie within it anyway
@@ -220,12 +224,16 @@ def within_radius(points: DataFrame, others: DataFrame, km: float = C.RADIUS_KM,
     met = pairs.withColumn("_whole", apart + slack <= km).filter(apart - slack <= km).select("_band", "_cell", "oband", "ocell", "_n", "_whole")
     whole = met.filter("_whole").groupBy("_band", "_cell").agg(F.sum("_n").alias("_inner"))
     rim = met.filter("not _whole").select("_band", "_cell", "oband", "ocell")
-    here = theirs.select(F.col("_band").alias("oband"), F.col("_cell").alias("ocell"), F.col("lat").alias("olat"), F.col("lon").alias("olon"))
-    tested = mine.select(point, "lat", "lon", "_band", "_cell").join(rim, ["_band", "_cell"]).join(here, ["oband", "ocell"])
-    edge = tested.filter(X.haversine_km(F.col("lat"), F.col("lon"), F.col("olat"), F.col("olon")) <= km).groupBy(point).agg(F.count(F.lit(1)).alias("_rim"))
-    inner = mine.select(point, "_band", "_cell").join(whole, ["_band", "_cell"]).select(point, "_inner")
-    found = points.join(inner, point, "left").join(edge, point, "left")
-    return found.withColumn("n_near", F.coalesce("_inner", F.lit(0)) + F.coalesce("_rim", F.lit(0))).drop("_inner", "_rim")
+    there = theirs.select(F.col("_band").alias("oband"), F.col("_cell").alias("ocell"), F.col("lat").alias("olat"), F.col("lon").alias("olon"), "_times")
+    tested = mine.select(*here, "_band", "_cell").join(rim, ["_band", "_cell"]).join(there, ["oband", "ocell"])
+    edge = tested.filter(X.haversine_km(F.col("lat"), F.col("lon"), F.col("olat"), F.col("olon")) <= km).groupBy(*here).agg(F.sum("_times").alias("_part"))
+    inner = mine.select(*here, "_band", "_cell").join(whole, ["_band", "_cell"]).select(*here, F.col("_inner").alias("_part"))
+    return _with_counts(points, inner.unionByName(edge).groupBy(*here).agg(F.sum("_part").alias("n_near")))
+
+
+def _with_counts(points: DataFrame, counts: DataFrame) -> DataFrame:
+    """``points`` with n_near, the count of their place (lat, lon); 0 where it has none."""
+    return points.join(counts, ["lat", "lon"], "left").select(*points.columns, F.coalesce("n_near", F.lit(0)).alias("n_near"))
 
 
 def largest_part(polygons: DataFrame) -> DataFrame:

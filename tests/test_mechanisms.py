@@ -301,3 +301,23 @@ def test_risks_and_bands_are_not_joined_by_plant(spark, small, monkeypatch):
     found = reports.j11(spark, small)
     assert sorted(map(str, found.select(*want.columns).collect())) == sorted(map(str, want.collect()))
     assert found.filter("risk_band is null").count() > 0
+
+
+def test_shared_places_are_taken_once(spark, monkeypatch):
+    spots = [(40.0 + i % 4 / 2, 1.0 + i % 3 / 2) for i in range(12)]
+    points = spark.createDataFrame([(f"p{k}", *spots[k % 12]) for k in range(60)] + [("none", None, 1.0)], "point_id string, lat double, lon double")
+    others = spark.createDataFrame([spots[k % 12] for k in range(240)] + [(None, 2.0)], "lat double, lon double")
+    want = {f"p{k}": sum(20 for b, d in spots if _km(*spots[k % 12], b, d) <= 100) for k in range(60)} | {"none": 0}
+    real, met = spatial._reachable, []
+    monkeypatch.setattr(spatial, "_reachable", lambda *a: met.append((a[0].count(), a[1].count())) or real(*a))
+    for crowded in (0, spatial.CROWDED):
+        monkeypatch.setattr(spatial, "CROWDED", crowded)
+        found = spatial.within_radius(points, others, 100.0)
+        assert found.columns == ["point_id", "lat", "lon", "n_near"]
+        assert {r.point_id: r.n_near for r in found.collect()} == want
+    assert met == [(12, 12)] * 2
+
+
+def _km(a, b, c, d):
+    p = [math.radians(x) for x in (a, b, c, d)]
+    return 2 * 6371.0088 * math.asin(math.sqrt(math.sin((p[2] - p[0]) / 2) ** 2 + math.cos(p[0]) * math.cos(p[2]) * math.sin((p[3] - p[1]) / 2) ** 2))
