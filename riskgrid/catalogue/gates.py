@@ -8,7 +8,7 @@ from riskgrid.functions import config as C
 from riskgrid.operators import gate
 from riskgrid.plans import carriers, ranks
 
-from .base import query, r, samples
+from .base import counted, own_ids, query, r, samples
 
 carriers.SQL["rules2"] = "tie(term_a, term_b, bucket, keep, crit) AS (VALUES " + ", ".join(str(x) for x in C.tie_breakers()) + ")"
 carriers.SQL["gate"] = """pairs(term_a, term_b, gated, bucket, by_model) AS (VALUES ('precip', 'ws', true, 'hydro', true), ('precip', 'ws', true, 'thermal', true), ('precip', 'spei', true, 'hydro', true), ('sv', 'ws', true, 'hydro', false),
@@ -41,14 +41,25 @@ FROM gate g CROSS JOIN (SELECT unnest([0.60, 0.65, 0.70, 0.75, 0.80, 0.85, 0.90]
 
 def blended(spark, folder):
     """Samples whose terms follow water stress closely (iv), steeply (sv) or in part (precip), with skewed heat and one region's drought constant, so that every verdict, flip and transform occurs."""
-    s, keys = samples(spark, folder), ["plant_uid", "water_scenario", "model"]
+    return mixed(samples(spark, folder))
+
+
+def mixed(s):
+    keys = ["plant_uid", "water_scenario", "model"]
     w, v = F.col("w"), F.col("value")
     steep = (w * w) * (w * w) * ((w * w) * (w * w))
-    mixed = (
+    terms = (
         F.when(F.col("term") == "iv", 3 * w + 0.05 * v).when(F.col("term") == "sv", steep + 0 * v).when(F.col("term") == "precip", v + 29 * w)
         .when((F.col("term") == "spei") & (F.col("country") == "ASIA"), 1 + 0 * v).when(F.col("term") == "heat", (v * v) * (v * v)).otherwise(v)
     )
-    return s.join(s.filter("term = 'ws'").select(*keys, v.alias("w")), keys).withColumn("value", mixed).drop("w")
+    return s.join(s.filter("term = 'ws'").select(*keys, v.alias("w")), keys).withColumn("value", terms).drop("w")
+
+
+def gated(spark, folder, change=lambda s: s, **more):
+    """The gate over one plant a country, bucket and cell, counted; over every plant where ids are shared."""
+    if own_ids(spark, folder):
+        return gate.run_gate(change(counted(spark, folder, "country", "bucket")), weight=F.col("plants"), **more)
+    return gate.run_gate(change(samples(spark, folder)), **more)
 
 
 @query("c11_normalisation_origin", ORIGIN, "samples")
@@ -58,13 +69,13 @@ def c11(spark, folder):
 
 @query("c12_correlation_gate", GATED, "gate", "rules2")
 def c12(spark, folder):
-    found = gate.run_gate(samples(spark, folder), small_groups=False)
+    found = gated(spark, folder)
     return found.withColumns({"pearson_r": r("pearson_r", 8), "spearman_rho": r("spearman_rho", 8)}).drop("decision_r")
 
 
 @query("c19_gate_sweep", SWEPT, "gate")
 def c19(spark, folder):
-    found = gate.sweep(gate.run_gate(samples(spark, folder), small_groups=False))
+    found = gate.sweep(gated(spark, folder))
     return found.select("term_a", "term_b", "bucket", "country", "model", "threshold", F.col("verdict").alias("verdict_at"), "flipped")
 
 
@@ -75,13 +86,13 @@ def c11s(spark, folder):
 
 @query("c12_gate_decisions", GATED, "blended_gate", "rules2")
 def c12d(spark, folder):
-    found = gate.run_gate(blended(spark, folder))
+    found = gated(spark, folder, mixed)
     return found.withColumns({"pearson_r": r("pearson_r", 8), "spearman_rho": r("spearman_rho", 8)}).drop("decision_r")
 
 
 @query("c19_gate_flips", SWEPT, "blended_gate")
 def c19f(spark, folder):
-    found = gate.sweep(gate.run_gate(blended(spark, folder)))
+    found = gate.sweep(gated(spark, folder, mixed))
     return found.select("term_a", "term_b", "bucket", "country", "model", "threshold", F.col("verdict").alias("verdict_at"), "flipped")
 
 

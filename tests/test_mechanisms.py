@@ -7,8 +7,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from riskgrid.catalogue import base, chain, reports, studies
-from riskgrid.operators import assets, events, grid, report, risk, sensitivity, spatial
+from riskgrid.catalogue import base, chain, gates, reports, studies
+from riskgrid.functions import config as C
+from riskgrid.operators import assets, events, gate, grid, report, risk, sensitivity, spatial
 from riskgrid.plans import carriers
 from riskgrid.sources import sinks, tables
 from riskgrid.streaming import annual_max
@@ -321,3 +322,26 @@ def test_shared_places_are_taken_once(spark, monkeypatch):
 def _km(a, b, c, d):
     p = [math.radians(x) for x in (a, b, c, d)]
     return 2 * 6371.0088 * math.asin(math.sqrt(math.sin((p[2] - p[0]) / 2) ** 2 + math.cos(p[0]) * math.cos(p[2]) * math.sin((p[3] - p[1]) / 2) ** 2))
+
+
+def test_the_gate_counts_plants_by_cells(spark, small, monkeypatch):
+    def told(df):
+        return sorted(map(str, df.select(*("term_a", "term_b", "bucket", "country", "model", "n", "verdict"), *(F.round(c, 8) for c in ("pearson_r", "spearman_rho"))).collect()))
+
+    want = {change: told(gate.run_gate(change(base.samples(spark, small)), small_groups=True)) for change in (lambda s: s, gates.mixed)}
+    for module in (base, gates):
+        monkeypatch.setattr(module, "samples", refuse)
+    for change, rows in want.items():
+        assert told(gates.gated(spark, small, change)) == rows
+
+
+def test_a_gate_row_counts_as_often_as_its_weight(spark):
+    keys = ("hydro", "bau", C.MODELS[0])
+    values = [(f"p{k}", "X", *keys, t, v, k % 4 + 1) for k in range(9) for t, v in (("sv", 1e6 + k % 5), ("iv", float(k * k % 7)))]
+    names = "plant_uid string, country string, bucket string, water_scenario string, model string, term string, value double"
+    one = spark.createDataFrame(values, f"{names}, plants long")
+    many = spark.createDataFrame([(f"{v[0]}-{i}", *v[1:-1]) for v in values for i in range(v[-1])], names)
+    found = [sorted((r.country, r.n, r.pearson_r, r.spearman_rho) for r in df.collect()) for df in (gate.run_gate(one, weight=F.col("plants")), gate.run_gate(many), gate.run_gate(many, small_groups=True))]
+    for other in found[1:]:
+        assert [x[:2] for x in other] == [x[:2] for x in found[0]]
+        assert [x[2:] for x in other] == [pytest.approx(x[2:], abs=1e-9) for x in found[0]]
