@@ -51,7 +51,7 @@ def a32c(spark, folder):
 
 @query("c21_gate_matrix", "SELECT term_a || ' vs ' || term_b AS pair_label, gated, bucket, country, model, n, CASE WHEN nonlinear THEN 'spearman' ELSE 'pearson' END AS method, round(abs(decision_r), 8) AS strength, verdict FROM gate", "gate")
 def c21g(spark, folder):
-    return report.gate_matrix(gate.run_gate(samples(spark, folder))).withColumn("strength", r("strength", 8))
+    return report.gate_matrix(gates.gated(spark, folder)).withColumn("strength", r("strength", 8))
 
 
 @query("c21_invariant_wind", """SELECT bucket, risk_band, count(*) AS n, round(sum(capacity_mw), 4) AS mw FROM (SELECT plant_uid, any_value(bucket) AS bucket, min(risk_band) AS risk_band, any_value(capacity_mw) AS capacity_mw FROM bands WHERE term = 'wind' AND risk_band IS NOT NULL GROUP BY 1) GROUP BY 1, 2""", "bands")
@@ -71,7 +71,7 @@ def c24(spark, folder):
 
 @query("c24_two_hazards", """SELECT term_a, term_b, bucket, country, model, n, round(pearson_r, 8) AS pearson_r FROM gate WHERE term_a = 'precip' AND term_b = 'ws'""", "gate")
 def c24h(spark, folder):
-    found = gate.run_gate(samples(spark, folder), pairs=tuple(p for p in C.PAIRS if p[:2] == ("precip", "ws")))
+    found = gates.gated(spark, folder, pairs=tuple(p for p in C.PAIRS if p[:2] == ("precip", "ws")))
     return found.select("term_a", "term_b", "bucket", "country", "model", "n", r("pearson_r", 8).alias("pearson_r"))
 
 

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from riskgrid.catalogue import base, chain, gates, reports, studies
+from riskgrid.catalogue import base, chain, gates, reports, results, studies
 from riskgrid.functions import config as C
 from riskgrid.operators import assets, events, gate, grid, report, risk, sensitivity, spatial
 from riskgrid.plans import carriers
@@ -329,10 +329,11 @@ def test_the_gate_counts_plants_by_cells(spark, small, monkeypatch):
         return sorted(map(str, df.select(*("term_a", "term_b", "bucket", "country", "model", "n", "verdict"), *(F.round(c, 8) for c in ("pearson_r", "spearman_rho"))).collect()))
 
     want = {change: told(gate.run_gate(change(base.samples(spark, small)), small_groups=True)) for change in (lambda s: s, gates.mixed)}
-    for module in (base, gates):
+    for module in (base, gates, results):
         monkeypatch.setattr(module, "samples", refuse)
     for change, rows in want.items():
         assert told(gates.gated(spark, small, change)) == rows
+    assert results.c21g(spark, small).count() > 0
 
 
 def test_a_gate_row_counts_as_often_as_its_weight(spark):
